@@ -42,6 +42,11 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def only(rows: DataFrame, ids: DataFrame, on: list[str], limit: int = 1_000_000) -> DataFrame:
+    """The rows whose key is among ids; these are broadcast only where a count proves them few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= limit else ids, on, "left_semi")
+
+
 class WordHasher(dict):
     """word -> 64-bit hash, remembered for the words that a worker has seen."""
 

@@ -1,19 +1,19 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-Every document becomes a set of n-gram hashes. The hash order, with the n-grams that a large share
-of the documents hold moved behind all others, is the global order. Two sets that reach the
-threshold share an n-gram among the first few of each (the prefix), so prefix n-grams find every
-candidate. The order is cut into fragments; a candidate pair's overlap is counted in each fragment
-on its own and the counts are summed. Documents with equal sets form one class and are joined once.
-
-A prefix n-gram's documents are never paired with one another: they are compared with one pivot,
-linked, and only what lies in different components is paired then, which keeps every link between
-components and makes the work on a group of near copies grow with its size.
+Every document becomes a set of n-gram hashes; the order of the hashes is the global n-gram order.
+Cut into more fragments than two sets over the threshold can differ in n-grams, the order has a
+fragment in which both sets are the same, so equal fragments find every candidate pair. The number
+of fragments follows from the size class of the smaller set. A candidate pair's overlap is counted in
+each fragment on its own and the counts are summed. Documents with equal sets are one class and are
+joined once.
+
+The classes of one fragment are not paired with one another: they are compared with one pivot and
+linked, and only what then lies in different components is paired, which keeps every link between
+components while the work on a group of near copies grows with its size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,165 +22,175 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHasher, ascii_words, connected_components, shingle_hashes
+from .common import Scratch, WordHasher, ascii_words, connected_components, mix, only, shingle_hashes
 
-#: An n-gram in this share of the documents (and in HEAVY_LEAST of them) comes last in the global order.
-HEAVY_SHARE, HEAVY_LEAST = 0.001, 50
-#: N-grams under this hash are counted for it: the prefixes lie there.
-LOW = np.uint64(1 << 62)
+#: Each size class reaches up to this times its least size.
+CLASS_STEP = 1.5
+#: Fragments in which a pair's overlap is counted.
+COUNTED = 16
 
 
 def ngram_set(text: str | None, size: int, hasher: WordHasher) -> np.ndarray:
     return np.unique(shingle_hashes(hasher.of(ascii_words(text)), size))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """Sets of n n-grams that reach the threshold with another share one of the first so many."""
-    return n - math.ceil(n * percent / 100) + 1
+def class_of(n: int) -> tuple[int, int, int]:
+    """Size class of n: its number, least size, and the least size of the next."""
+    k, low = 0, 1
+    while (high := int(low * CLASS_STEP) + 1) <= n:
+        k, low = k + 1, high
+    return k, low, high
 
 
-def _signed(a: np.ndarray) -> pa.Array:
-    return pa.array(a.view(np.int64))
+def fragment_plan(high: int, percent: int) -> tuple[int, int]:
+    """Fragments for sets of which the smaller has under `high` n-grams, and how many of them may be empty.
+
+    Sets of n and m n-grams with intersection / union >= J differ in at most (n + m)(1 - J)/(1 + J)
+    n-grams. One fragment more than that has to be the same in both, and as many more as may be empty.
+    """
+    n = high - 1
+    most = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
+    spare = 1 + most // 20
+    return (most + 1 + spare, spare) if most else (0, 0)
+
+
+def fragment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
+    """A hash of each fragment of a sorted set, for the size classes of all smaller sets that may link with it."""
+    n, out = len(grams), []
+    if not n:
+        return grams
+    least, up_to = -(-n * percent // 100), n
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams))])
+    while up_to >= least:
+        k, low, high = class_of(up_to)
+        fragments, spare = fragment_plan(high, percent)
+        if fragments:
+            of = ((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+            bounds = np.searchsorted(of, np.arange(fragments + 1, dtype=np.uint64))
+            keys = mix((sums[bounds[1:]] - sums[bounds[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(fragments, dtype=np.uint64) + np.uint64(k << 40))
+            empty = bounds[1:] == bounds[:-1]
+            # Sets with more empty fragments than planned may agree in these alone.
+            out.append(keys if int(empty.sum()) > spare else keys[~empty])
+        up_to = low - 1
+    return np.concatenate(out) if out else grams[:0]
 
 
 def _class_id(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, fragments: int = 32, pivots: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id long, text string).
 
     Two rows link when 100 * intersection >= percent * union of their n-gram sets. A null or wordless
     text has an empty set, links with nothing and is its own component; a text of fewer than `size`
     words has one n-gram, all its words. A null doc_id is dropped. Rows that repeat an id are
     documents of their own; equal texts are one class. Other columns are ignored. An empty table
-    gives an empty table. Classes are told apart by 64-bit hash and set size.
+    gives an empty table. N-grams and classes are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, local, held = WordHasher(), 0, [], 0
+        """A row for each document, and rows of fragments for each class of equal sets."""
+        hasher, done = WordHasher(), set()
+
+        def rows(ids: list, sizes: list, of: list, found: list, owner: list) -> pa.RecordBatch:
+            m = sum(map(len, found))
+            return pa.record_batch(
+                [
+                    pa.concat_arrays([pa.array(ids, pa.int64()), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(of, pa.int64()), pa.array(np.repeat(np.array(owner, np.int64), [len(x) for x in found]))]),
+                    pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))]),
+                ],
+                ["doc_id", "n", "key", "fragment"],
+            )
+
         for batch in batches:
-            ids, n, key = [], [], []
+            ids, sizes, of, found, owner = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 grams = ngram_set(text.as_py(), size, hasher)
+                key = _class_id(grams)
                 ids.append(doc)
-                n.append(len(grams))
-                key.append(_class_id(grams))
-                local.append(grams[: np.searchsorted(grams, LOW)])
-                held += len(local[-1])
-                seen += 1
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.nulls(len(ids), pa.int64())], ["doc_id", "n", "key", "docs"])
-            if held > 4_000_000:
-                yield from frequent(local, seen)
-                local, held, seen = [], 0, 0
-        yield from frequent(local, seen)
-
-    def frequent(local: list[np.ndarray], seen: int) -> Iterator[pa.RecordBatch]:
-        """N-grams in many of the documents seen, as rows without a document."""
-        if local:
-            grams, count = np.unique(np.concatenate(local), return_counts=True)
-            many = count >= max(3, HEAVY_SHARE / 4 * seen)
-            none = pa.nulls(int(many.sum()), pa.int64())
-            yield pa.record_batch([none, none, _signed(grams[many]), pa.array(count[many].astype(np.int64))], ["doc_id", "n", "key", "docs"])
-
-    first = scratch.keep(docs.mapInArrow(sketch, "doc_id long, n long, key long, docs long"), "sketch")
+                sizes.append(len(grams))
+                of.append(key)
+                if key not in done:
+                    if len(done) < 200_000:
+                        done.add(key)
+                    found.append(fragment_keys(grams, percent))
+                    owner.append(key)
+                if len(ids) == 2000:
+                    yield rows(ids, sizes, of, found, owner)
+                    ids, sizes, of, found, owner = [], [], [], [], []
+            if ids:
+                yield rows(ids, sizes, of, found, owner)
+
+    first = scratch.keep(docs.mapInArrow(sketch, "doc_id long, n long, key long, fragment long"), "sketch")
     base = first.where("doc_id is not null").select("doc_id", "n", "key")
-    total = base.count()
-    # At most 1 / HEAVY_SHARE times the mean set size pass, whatever the corpus: a bounded array.
-    heavy = first.where("doc_id is null").groupBy("key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= max(HEAVY_LEAST, HEAVY_SHARE * total / 2)).select("key")
-    heavy = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in heavy.collect()], np.int64).view(np.uint64)))
+    index = first.where("doc_id is null").select("fragment", "key")
+    shared = index.groupBy("fragment").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot <> last").select("fragment", "pivot")
+    index = scratch.keep(index.join(shared, "fragment").select("fragment", "key", "pivot").distinct(), "shared")
+
+    # One text of each class that shares a fragment.
+    wanted = scratch.keep(only(base, index.select("key").distinct(), ["key"]).groupBy("key", "n").agg(F.min("doc_id").alias("doc_id")), "wanted")
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, last, done = WordHasher(), heavy.value, set()
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
         for batch in batches:
-            out, keys, sizes = [], [], []
-            for text in batch.column(0):
-                grams = ngram_set(text.as_py(), size, hasher)
-                n = len(grams)
-                if not n or (key := _class_id(grams)) in done:
-                    continue
-                if len(done) < 200_000:
-                    done.add(key)
-                k = prefix_length(n, percent)
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, grams), len(last) - 1)
-                    late = last[at] == grams
-                    grams = np.concatenate([grams[~late][:k], grams[late][: max(0, k - int((~late).sum()))]])
-                out.append(grams[:k])
-                keys.append(np.full(k, key, np.int64))
-                sizes.append(np.full(k, n, np.int32))
-            if out:
-                yield pa.record_batch([_signed(np.concatenate(out)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], ["gram", "key", "n"])
-
-    index = scratch.keep(docs.select("text").mapInArrow(prefixes, "gram long, key long, n int"), "index")
-    shared = index.groupBy("gram").agg(F.min("key").alias("pivot"), F.max("key").alias("high")).where("pivot <> high").select("gram", "pivot")
-    index = scratch.keep(index.join(shared, "gram").select("gram", "key", "n", "pivot").distinct(), "shared")
-    scratch.free("index")
-
-    # The n-gram sets of the classes that share anything, cut into fragments of the global order.
-    wanted = index.select("key").distinct()
-    one = base.join(wanted, "key", "left_semi").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    step = (1 << 64) // fragments
-    cuts = np.array([step * f for f in range(1, fragments)], np.uint64)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys = [_class_id(ngram_set(t.as_py(), size, hasher)) for t in batch.column(0)]
+            yield pa.record_batch([pa.array(keys, pa.int64()), batch.column(0)], ["key", "text"])
+
+    chosen = only(docs, wanted.select("doc_id").distinct(), ["doc_id"]).select("text").mapInArrow(keyed, "key long, text string")
+    texts = scratch.keep(chosen.join(wanted.select("key", "n"), "key").dropDuplicates(["key"]), "texts")
+
+    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each pair and fragment of the order the n-grams that both sets have there."""
         hasher = WordHasher()
+        cuts = np.array([(f << 64) // COUNTED for f in range(1, COUNTED)], np.uint64)
+        known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            keys, sizes, parts, values, offsets = [], [], [], [], [0]
-            for text in batch.column(0):
-                grams = ngram_set(text.as_py(), size, hasher)
-                bounds = [0, *np.searchsorted(grams, cuts), len(grams)]
-                key = _class_id(grams)
-                for f in range(fragments):
-                    if bounds[f] < bounds[f + 1]:
-                        keys.append(key)
-                        sizes.append(len(grams))
-                        parts.append(f)
-                        offsets.append(offsets[-1] + int(bounds[f + 1] - bounds[f]))
-                values.append(grams)
-            if keys:
-                grams = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(np.concatenate(values)))
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parts, pa.int32()), grams], ["key", "n", "fragment", "grams"])
-
-    chosen = docs.join(one, "doc_id", "left_semi").select("text")
-    segments = scratch.keep(chosen.mapInArrow(cut, "key long, n int, fragment int, grams array<long>").dropDuplicates(["key", "fragment"]), "segments")
+            a, b, na, nb = (batch.column(k).to_pylist() for k in range(4))
+            counts = np.zeros((len(a), COUNTED), np.int64)
+            for k in range(len(a)):
+                if known[0] != b[k]:
+                    known = (b[k], ngram_set(batch.column(5)[k].as_py(), size, hasher))
+                both = np.intersect1d(ngram_set(batch.column(4)[k].as_py(), size, hasher), known[1], assume_unique=True)
+                counts[k] = np.diff([0, *np.searchsorted(both, cuts), len(both)])
+            at = [np.repeat(np.array(x, np.int64), COUNTED) for x in (a, b, na, nb)]
+            yield pa.record_batch([*map(pa.array, at), pa.array(np.tile(np.arange(COUNTED, dtype=np.int32), len(a))), pa.array(counts.ravel())], ["a", "b", "na", "nb", "part", "common"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, na, nb) -> (u, v) of the pairs whose fragment overlaps sum to the threshold."""
-        left = segments.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
-        right = segments.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
-        cells = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
-        cells = cells.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
-        partial = cells.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("common"))
+        """(a, b) -> (u, v) of the pairs whose fragment overlaps sum to the threshold."""
+        left = texts.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta"))
+        right = texts.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb"))
+        sizes = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
+        near = sizes.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        both = near.join(left.select("a", "ta"), "a").join(right.select("b", "tb"), "b").select("a", "b", "na", "nb", "ta", "tb")
+        partial = both.mapInArrow(overlaps, "a long, b long, na long, nb long, part int, common long")
         pair = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return pair.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    def near(na: str, nb: str) -> F.Column:
-        return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-
-    sizes = index.groupBy("key").agg(F.max("n").alias("nb")).select(F.col("key").alias("pivot"), "nb")
     links, comps, rows = None, None, index
     for k in range(pivots + 1):
         if comps is not None:
             part = rows.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-            open_grams = part.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("gram", "key"), "key"))["key"].alias("pivot")).where("lo <> hi").select("gram", "pivot")
-            part = scratch.keep(part.drop("pivot").join(open_grams, "gram"), f"open{k}")
-            rows = part.select("gram", "key", "n", "pivot")
+            # Another pivot for each fragment, so that classes meet other classes than before.
+            pivot = F.min(F.struct(F.xxhash64("fragment", "key"), "key"))["key"].alias("pivot")
+            still = part.groupBy("fragment").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot).where("lo <> hi").select("fragment", "pivot")
+            part = scratch.keep(part.drop("pivot").join(still, "fragment"), f"open{k}")
+            rows = part.select("fragment", "key", "pivot")
             if part.isEmpty():
                 break
         if k < pivots:
-            pairs = rows.where("key <> pivot").groupBy("key", "pivot").agg(F.first("n").alias("na")).join(sizes, "pivot").where(near("na", "nb"))
-            pairs = pairs.select(F.col("key").alias("a"), F.col("pivot").alias("b"), "na", "nb")
+            pairs = rows.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
         else:
-            # What is left: only rows of different components that share a prefix n-gram.
-            apart = part.select("gram", "component").distinct()
-            apart = apart.join(apart.select("gram", F.col("component").alias("other")), "gram").where("component < other")
-            one_side = part.select("gram", "component", F.col("key").alias("a"), F.col("n").alias("na"))
-            other_side = part.select("gram", F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("nb"))
-            pairs = apart.join(one_side, ["gram", "component"]).join(other_side, ["gram", "other"]).where(near("na", "nb")).select("a", "b", "na", "nb").distinct()
+            # What is left: only classes of different components that share a fragment.
+            apart = part.select("fragment", "component").distinct()
+            apart = apart.join(apart.select("fragment", F.col("component").alias("other")), "fragment").where("component < other")
+            one = part.select("fragment", "component", F.col("key").alias("a"))
+            other = part.select("fragment", F.col("component").alias("other"), F.col("key").alias("b"))
+            pairs = apart.join(one, ["fragment", "component"]).join(other, ["fragment", "other"]).select("a", "b").distinct()
         found = scratch.keep(verified(pairs), f"links{k}")
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links, scratch, f"cc{k}")
