@@ -12,18 +12,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mpeg import read_media, store_texts
+
+    read = read_media(store_texts(_table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        "duration_samples",
+        "hertz",
+        F.size("offsets").cast("long").alias("n_frames"),
+    )
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import Scratch
+    from .warc import CHUNKS, read_records, resolve_revisits, with_revisits, write_archives
+
+    scratch = Scratch(spark)
+    write_archives(with_revisits(_table(spark, sf_dir, "pages")), f"{scratch.root}/archives")
+    records = scratch.keep(read_records(spark.read.schema(CHUNKS).parquet(f"{scratch.root}/archives")), "records")
+    scratch.free("archives")
+    return resolve_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_good", "whole")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -32,8 +68,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mpeg_audio": op3_mpeg_audio,
         "op4_ngram_join": op4_ngram_join,
+        "op5_warc": op5_warc,
         "op6_line_dedup": op6_line_dedup,
+        "op7_html_text": op7_html_text,
         "op8_substring_dedup": op8_substring_dedup,
     }
 
