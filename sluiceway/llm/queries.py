@@ -21,6 +21,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bm25")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import document_evidence, identify, text_model
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(document_evidence(docs), text_model(docs)).select("doc_id", "lang_id", "posterior", "text_lang", "accepted")
+
+
+def op2_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, page_evidence, text_model
+
+    evidence = page_evidence(_table(spark, sf_dir, "pages"))
+    return identify(evidence, text_model(_table(spark, sf_dir, "documents"))).select("page_id", "lang_id", "posterior", "text_lang", "declared", "suffix", "accepted")
+
+
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mpeg import read_media, store_texts
 
@@ -91,6 +105,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_language_id": op2_language_id,
+        "op2_language_id_pages": op2_language_id_pages,
         "op3_mpeg_audio": op3_mpeg_audio,
         "op4_ngram_join": op4_ngram_join,
         "op5_warc": op5_warc,
