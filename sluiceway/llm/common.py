@@ -29,19 +29,30 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/sluiceway-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, *names: str) -> None:
+        """Deletes these tables; nothing that is still read may come from them."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
+            self.names.discard(name)
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """Keeps this table and deletes all others."""
+        kept = self.keep(df, name)
+        self.free(*(self.names - {name}))
+        return kept
+
+
 def only(rows: DataFrame, ids: DataFrame, on: list[str], limit: int = 1_000_000) -> DataFrame:
     """The rows whose key is among ids; these are broadcast only where a count proves them few."""
     return rows.join(F.broadcast(ids) if ids.count() <= limit else ids, on, "left_semi")

@@ -7,9 +7,11 @@ of fragments follows from the size class of the smaller set. A candidate pair's
 each fragment on its own and the counts are summed. Documents with equal sets are one class and are
 joined once.
 
-The classes of one fragment are not paired with one another: they are compared with one pivot and
-linked, and only what then lies in different components is paired, which keeps every link between
-components while the work on a group of near copies grows with its size.
+The classes of one fragment are not paired with one another: they are compared with two pivots and
+linked, then with other pivots where they still lie in different components. When few pairs of
+different components are left, these are compared, which keeps every link between components while the
+work on a group of near copies grows with its size. A parity sketch of each set, whose bits differ in
+no more places than the sets in n-grams, tells most pairs apart before their texts are read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHasher, ascii_words, connected_components, mix, only, shingle_hashes
@@ -28,6 +30,10 @@ from .common import Scratch, WordHasher, ascii_words, connected_components, mix,
 CLASS_STEP = 1.5
 #: Fragments in which a pair's overlap is counted.
 COUNTED = 16
+#: A fragment held by so many classes of a task, and so large a share of them, is dealt apart from the rest.
+HOT_LEAST, HOT_SHARE, MOST_BROADCAST = 16, 0.001, 1_000_000
+#: Rounds of pivots, at most, and the pairs of different components for each fragment row at which they end.
+ROUNDS, FEW = 6, 2
 
 
 def ngram_set(text: str | None, size: int, hasher: WordHasher) -> np.ndarray:
@@ -75,11 +81,29 @@ def fragment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else grams[:0]
 
 
+def parity_sketch(grams: np.ndarray) -> np.ndarray:
+    """Bit k is set where an odd number of n-grams hash to k; a power of two, near 0.8 to 1.7 bits for each n-gram."""
+    bits = max(64, 1 << int(0.84 * len(grams)).bit_length())
+    odd = np.bincount((mix(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def sketch_distance(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ, the longer one folded to the shorter: at most the n-grams in which the sets differ."""
+
+    def fold(x: Column, other: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        folded = F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), folded).otherwise(x)
+
+    return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+
+
 def _class_id(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id long, text string).
 
     Two rows link when 100 * intersection >= percent * union of their n-gram sets. A null or wordless
@@ -92,8 +116,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, and rows of fragments for each class of equal sets."""
-        hasher, done = WordHasher(), set()
+        """A row for each document, rows of fragments for each class of equal sets, and the fragments that many classes hold."""
+        hasher, done, seen, held = WordHasher(), set(), [], 0
+
+        def often(classes: int) -> pa.RecordBatch:
+            keys, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *seen]), return_counts=True)
+            keys = keys[count >= HOT_LEAST + classes * HOT_SHARE]
+            none = pa.nulls(len(keys), pa.int64())
+            return pa.record_batch([none, none, none, pa.array(keys.view(np.int64))], ["doc_id", "n", "key", "fragment"])
 
         def rows(ids: list, sizes: list, of: list, found: list, owner: list) -> pa.RecordBatch:
             m = sum(map(len, found))
@@ -120,29 +150,43 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots
                         done.add(key)
                     found.append(fragment_keys(grams, percent))
                     owner.append(key)
+                    seen.append(found[-1])
+                    held += len(found[-1])
+                    if held > 4_000_000:
+                        yield often(len(seen))
+                        seen, held = [], 0
                 if len(ids) == 2000:
                     yield rows(ids, sizes, of, found, owner)
                     ids, sizes, of, found, owner = [], [], [], [], []
             if ids:
                 yield rows(ids, sizes, of, found, owner)
+        yield often(len(seen))
 
     first = scratch.keep(docs.mapInArrow(sketch, "doc_id long, n long, key long, fragment long"), "sketch")
     base = first.where("doc_id is not null").select("doc_id", "n", "key")
-    index = first.where("doc_id is null").select("fragment", "key")
-    shared = index.groupBy("fragment").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot <> last").select("fragment", "pivot")
-    index = scratch.keep(index.join(shared, "fragment").select("fragment", "key", "pivot").distinct(), "shared")
+    index = first.where("key is not null and doc_id is null").select("fragment", "key")
+    # Fragments that many classes of some task hold are shared for sure: their rows need not meet in one place.
+    hot = scratch.keep(first.where("key is null").select("fragment").distinct(), "hot")
+    shared = index.join(F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot, "fragment", "left_semi")
+    shared = shared.join(shared.groupBy("fragment").agg(F.min("key").alias("low"), F.max("key").alias("high")), "fragment").where("low <> high")
+    rest = index.join(F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot, "fragment", "left_anti")
+    together = Window.partitionBy("fragment")
+    rest = rest.select("fragment", "key", F.min("key").over(together).alias("low"), F.max("key").over(together).alias("high")).where("low <> high")
+    index = scratch.keep(rest.unionByName(shared.select("fragment", "key", "low", "high")).distinct(), "shared")
 
     # One text of each class that shares a fragment.
-    wanted = scratch.keep(only(base, index.select("key").distinct(), ["key"]).groupBy("key", "n").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    wanted = scratch.keep(only(base, index.select("key").distinct(), ["key"]).groupBy("key").agg(F.min("doc_id").alias("doc_id")), "wanted")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            keys = [_class_id(ngram_set(t.as_py(), size, hasher)) for t in batch.column(0)]
-            yield pa.record_batch([pa.array(keys, pa.int64()), batch.column(0)], ["key", "text"])
+            sets = [ngram_set(t.as_py(), size, hasher) for t in batch.column(0)]
+            sketches = pa.array([parity_sketch(g) for g in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array([_class_id(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), sketches, batch.column(0)], ["key", "n", "sketch", "text"])
 
-    chosen = only(docs, wanted.select("doc_id").distinct(), ["doc_id"]).select("text").mapInArrow(keyed, "key long, text string")
-    texts = scratch.keep(chosen.join(wanted.select("key", "n"), "key").dropDuplicates(["key"]), "texts")
+    chosen = only(docs, wanted.select("doc_id").distinct(), ["doc_id"]).select("text").mapInArrow(keyed, "key long, n long, sketch array<long>, text string")
+    texts = scratch.keep(only(chosen, wanted.select("key"), ["key"]).dropDuplicates(["key"]), "texts")
+    facts = texts.select("key", "n", "sketch")
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each pair and fragment of the order the n-grams that both sets have there."""
@@ -161,41 +205,51 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots
             yield pa.record_batch([*map(pa.array, at), pa.array(np.tile(np.arange(COUNTED, dtype=np.int32), len(a))), pa.array(counts.ravel())], ["a", "b", "na", "nb", "part", "common"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) -> (u, v) of the pairs whose fragment overlaps sum to the threshold."""
-        left = texts.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta"))
-        right = texts.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb"))
-        sizes = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
-        near = sizes.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        both = near.join(left.select("a", "ta"), "a").join(right.select("b", "tb"), "b").select("a", "b", "na", "nb", "ta", "tb")
-        partial = both.mapInArrow(overlaps, "a long, b long, na long, nb long, part int, common long")
+        """(a, b, na, nb) -> (u, v) of the pairs whose fragment overlaps sum to the threshold."""
+        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+        partial = both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(overlaps, "a long, b long, na long, nb long, part int, common long")
         pair = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return pair.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    links, comps, rows = None, None, index
-    for k in range(pivots + 1):
-        if comps is not None:
-            part = rows.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-            # Another pivot for each fragment, so that classes meet other classes than before.
-            pivot = F.min(F.struct(F.xxhash64("fragment", "key"), "key"))["key"].alias("pivot")
-            still = part.groupBy("fragment").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot).where("lo <> hi").select("fragment", "pivot")
-            part = scratch.keep(part.drop("pivot").join(still, "fragment"), f"open{k}")
-            rows = part.select("fragment", "key", "pivot")
-            if part.isEmpty():
-                break
-        if k < pivots:
-            pairs = rows.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-        else:
-            # What is left: only classes of different components that share a fragment.
-            apart = part.select("fragment", "component").distinct()
-            apart = apart.join(apart.select("fragment", F.col("component").alias("other")), "fragment").where("component < other")
-            one = part.select("fragment", "component", F.col("key").alias("a"))
-            other = part.select("fragment", F.col("component").alias("other"), F.col("key").alias("b"))
-            pairs = apart.join(one, ["fragment", "component"]).join(other, ["fragment", "other"]).select("a", "b").distinct()
+    def near() -> Column:
+        """Sizes and sketches allow the threshold."""
+        sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+        return sizes & (sketch_distance(F.col("sa"), F.col("sb")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
+    side_a, side_b = facts.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), facts.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    pivots = index.select("fragment", F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
+    links, rows = None, index.select("fragment", "key")
+    for k in range(ROUNDS + 1):
+        pairs = pivots.select("a", "b").distinct().join(side_a, "a").join(side_b, "b").where(near()).select("a", "b", "na", "nb")
         found = scratch.keep(verified(pairs), f"links{k}")
         links = found if links is None else links.unionByName(found)
-        comps = connected_components(links, scratch, f"cc{k}")
+        comps = connected_components(links, scratch, f"cc{k}").withColumnRenamed("node", "key")
+        part = rows.join(comps, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        held = part.groupBy("fragment", "component").agg(F.count(F.lit(1)).alias("n"))
+        still = held.groupBy("fragment").agg(F.count(F.lit(1)).alias("parts"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("parts > 1")
+        part = scratch.keep(part.select("fragment", "key", "component").join(still.select("fragment", "pairs"), "fragment"), f"open{k}")
+        rows = part.select("fragment", "key")
+        left = part.select("fragment", "pairs").distinct().agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")).first().pairs
+        if left <= FEW * part.count() or k == ROUNDS:
+            break
+        # Other pivots for each fragment, so that classes meet other classes than before.
+        drawn = [F.min(F.struct(F.xxhash64("fragment", "key", F.lit(2 * k + x)), "key", "component")) for x in (0, 1)]
+        chosen_pivots = part.groupBy("fragment").agg(F.array(*drawn).alias("pivots")).select("fragment", F.explode("pivots").alias("p"))
+        pivots = part.join(chosen_pivots, "fragment").where("component <> p.component").select("fragment", F.col("key").alias("a"), F.col("p.key").alias("b"))
+    # What is left: classes of different components that share a fragment, the smaller component's rows first.
+    if left:
+        held = part.groupBy("fragment", "component").agg(F.count(F.lit(1)).alias("n"))
+        other = held.select("fragment", F.col("component").alias("large"), F.col("n").alias("n_large"))
+        apart = held.join(other, "fragment").where("component <> large and (n < n_large or (n = n_large and component < large))").select("fragment", "component", "large")
+        full = part.join(facts, "key")
+        small_rows = apart.join(full.select("fragment", "component", F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), ["fragment", "component"])
+        large_rows = full.select("fragment", F.col("component").alias("large"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        pairs = small_rows.join(large_rows, ["fragment", "large"]).where(near()).select("a", "b", "na", "nb").distinct()
+        found = scratch.keep(verified(pairs), "links-last")
+        comps = connected_components(links.unionByName(found), scratch, "cc-last").withColumnRenamed("node", "key")
     # Components of classes, then the least document of each.
-    member = base.where("n > 0").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    member = base.where("n > 0").join(comps, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = member.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return joined.unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    result = joined.unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return scratch.last(result, "components")
