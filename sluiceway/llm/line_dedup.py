@@ -53,11 +53,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     placed = hashed.repartitionByRange("h1", "h2", "block")
     streamed = placed.withColumn("first_here", F.first("doc_id").over(Window.partitionBy("h1", "h2", "block").orderBy("doc_id", "pos")))
     spots = streamed.groupBy("h1", "h2", "block", "doc_id", "text_hash").agg(F.min("first_here").alias("first_here"), F.collect_set("pos").alias("at"))
-    spots = Scratch(docs.sparkSession).keep(spots, "spots")
+    scratch = Scratch(docs.sparkSession)
+    spots = scratch.keep(spots, "spots")
     firsts = spots.groupBy("h1", "h2").agg(F.min("first_here").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h1", "h2", "owner")
     lost = spots.join(firsts, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "text_hash", F.explode("at").alias("pos"))
     positions = lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    return positions.select("doc_id", "text_hash", _runs(F.col("at")).alias("dropped"))
+    return scratch.last(positions.select("doc_id", "text_hash", _runs(F.col("at")).alias("dropped")), "bitmaps")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:

@@ -253,3 +253,15 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     joined = member.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     result = joined.unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return scratch.last(result, "components")
+
+
+def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The row with the least doc_id of each component, unchanged; of rows that repeat an id and text, one.
+
+    Rows without an id stay. Documents without words are in no component and all stay.
+    """
+    found = jaccard_components(docs, size, percent)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = gone.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = gone.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    return docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti").select(*docs.columns)
