@@ -6,7 +6,8 @@ document of the corpus uses the same ones, and the type of a symbol is a bit of
 symbol becomes depends on its neighbours alone, and equal substrings have equal symbols but for a few
 at their ends. The least high-level symbol group within any stretch of STRETCH words is an anchor.
 Anchors held by two documents reveal where windows can repeat; only windows around them are hashed,
-compared over the whole corpus and, where an earlier document starts the same window, removed.
+compared over the whole corpus and, where an earlier document starts the same window, removed. An
+anchor is compared together with the EDGE words on either side, which all its windows share.
 
 Why no window is missed. A window has `window` words. Round 1 names runs of 2 or 3 equal words (a
 longer run is an anchor of its own) and pairs of single words: at either end of the window a cut run
@@ -146,6 +147,13 @@ def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return found[0], found[1]
 
 
+def in_context(name: np.ndarray, words: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Anchor names joined with the EDGE words on either side, which every window around the anchor holds."""
+    low, high = begin - EDGE, stop + EDGE
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_BASE, len(words)))])
+    return _name(name, (sums[high] - sums[low]) * _powers(pow(_BASE, -1, 1 << 64), len(words) + 1)[low])
+
+
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
@@ -179,8 +187,10 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 name, begin, stop, is_run = anchors(flat, of, window)
                 owner = of[begin] if len(begin) else begin
                 base = np.cumsum(size) - size
-                keep = size[owner] >= window
+                keep = (size[owner] >= window) & (is_run | ((begin - EDGE >= base[owner]) & (stop + EDGE <= base[owner] + size[owner])))
                 name, begin, stop, owner, is_run = name[keep], begin[keep], stop[keep], owner[keep], is_run[keep]
+                name = name.copy()
+                name[~is_run] = in_context(name[~is_run], flat, begin[~is_run], stop[~is_run])
                 # The windows that hold the anchor inside their edges, or overlap a long run.
                 low = np.where(is_run, begin - window + 1, stop - window + EDGE) - base[owner]
                 high = np.where(is_run, stop - 1, begin - EDGE) - base[owner]
