@@ -1,0 +1,76 @@
+"""One plan for a batch of runs, used by batch jobs, streams and evaluations alike."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import detection, extraction, merging, routing
+from ..sources import files as sources
+
+ENGINE_VERSION = "1.0.0"
+
+
+def _rows(df: DataFrame, *columns: str) -> list[tuple]:
+    """A package table as tuples: at most 10 MB, the ceiling of a package."""
+    return [tuple(r[c] for c in columns) for r in df.select(*columns).orderBy(*columns).collect()]
+
+
+def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str, workflow_id: str, version: str) -> DataFrame:
+    """messages (see sources.files.MESSAGE) -> one terminal row for each run, with what an audit needs.
+
+    run_id, client_id, workflow_id, package_version, engine_version, type, confidence, outcome, reasons,
+    fields (array of field and triple).
+    """
+    runs = messages.select("run_id", "body", "error_code", "attachments")
+    errors = runs.where("error_code is not null").select("run_id", F.col("error_code").alias("code"))
+    whole = runs.where("error_code is null")
+    segments = detection.segment(whole)
+    scores = detection.score_types(segments, _rows(package["keywords"], "type", "term", "weight"), _rows(package["patterns"], "type", "regex", "weight"), _rows(package["negatives"], "type", "term"))
+    locked = detection.lock_type(scores, package["types"])
+    typed = locked.where("type is not null").select("run_id", "type")
+    named = package["schema_fields"].select("type", "field", "field_type").join(package["aliases"], ["type", "field"], "left").select("type", "field", "field_type", F.explode(F.array_distinct(F.array(F.coalesce("alias", "field"), F.regexp_replace("field", "_", " ")))).alias("alias"))
+    attached = sources.attachments(whole)
+    csv_rows, sheet_rows = sources.parse_csv(attached), sources.parse_xlsx(attached)
+    candidates = merging.union_candidates(
+        extraction.extract_body(segments.join(typed, "run_id"), named),
+        extraction.extract_rows(csv_rows, typed, named, "csv_parser"),
+        extraction.extract_rows(sheet_rows, typed, named, "spreadsheet_parser"),
+    )
+    resolved = merging.resolve(candidates)
+    required = routing.required_of(typed, package["schema_fields"])
+    scored = routing.confidence(required, resolved, merging.agreement(candidates))
+    failed = csv_rows.unionByName(sheet_rows).where("error_code is not null").select("run_id", F.col("error_code").alias("code"))
+    invalid = extraction.validate(resolved.join(typed, "run_id"), package["schema_fields"])
+    flags = sources.attachment_flags(attached).unionByName(failed).unionByName(locked.where("ambiguous").select("run_id", F.lit("classification_ambiguous").alias("code"))).join(typed, "run_id", "left")
+    unclassified = flags.where("type is null").select("run_id", "code")
+    codes = routing.reasons(
+        flags.where("type is not null"),
+        package["always_review"],
+        routing.missing(required, resolved),
+        merging.conflicts(candidates, package["tolerances"].drop("type").dropDuplicates(["field"])),
+        scored.join(typed, "run_id"),
+        package["bands"],
+        required.where("critical").select("run_id", "field"),
+    )
+    codes = codes.unionByName(unclassified).unionByName(invalid).distinct()
+    ends = routing.terminal(runs.select("run_id"), codes, errors)
+    fields = resolved.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("field", F.struct(F.col("value_norm").alias("value"), "source", "confidence").alias("triple")))).alias("fields"))
+    out = ends.join(locked.select("run_id", "type"), "run_id", "left").join(scored.select("run_id", "confidence"), "run_id", "left").join(fields, "run_id", "left")
+    return out.select(
+        "run_id",
+        F.lit(client_id).alias("client_id"),
+        F.lit(workflow_id).alias("workflow_id"),
+        F.lit(version).alias("package_version"),
+        F.lit(ENGINE_VERSION).alias("engine_version"),
+        "type",
+        "confidence",
+        "outcome",
+        "reasons",
+        F.coalesce("fields", F.array().cast("array<struct<field:string,triple:struct<value:string,source:string,confidence:decimal(5,4)>>>")).alias("fields"),
+    )
+
+
+def canonical_hash(terminals: DataFrame) -> DataFrame:
+    """(run_id, hash) of what a replay must repeat: no time enters it."""
+    return terminals.select("run_id", F.sha2(F.to_json(F.struct("client_id", "workflow_id", "package_version", "engine_version", "type", "confidence", "outcome", "reasons", "fields"), {"ignoreNullFields": "false"}), 256).alias("hash"))
