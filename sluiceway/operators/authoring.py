@@ -78,9 +78,10 @@ def corpus_leaks(strings: DataFrame, corpus: DataFrame, size: int = 5) -> DataFr
     """
 
     def shingles(df: DataFrame, key: str, text: str) -> DataFrame:
-        words = F.filter(F.split(normal_label(F.col(text)), " "), lambda w: w != "")
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-        return df.select(key, F.explode(F.array_distinct(cut)).alias("shingle")).where(F.size(F.split("shingle", " ")) == size)
+        # Generated once for each text, so that the words are not split again for every shingle.
+        words = df.select(key, F.explode(F.array(F.split(normal_label(F.col(text)), " "))).alias("words")).where(F.size("words") >= size)
+        cut = F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.array_join(F.slice("words", i, size), " "))
+        return words.select(key, F.explode(F.array_distinct(cut)).alias("shingle"))
 
     a, b = shingles(strings, "artifact", "text"), shingles(corpus, "sample_id", "text")
     return b.join(F.broadcast(a), "shingle").groupBy("artifact", "sample_id").agg(F.count(F.lit(1)).alias("shingles"))

@@ -15,7 +15,7 @@ def segment(bodies: DataFrame) -> DataFrame:
     """run_id, body -> run_id, segment_index, text; 0 is the newest, a body without replies is one segment."""
     parts = F.split(F.coalesce("body", F.lit("")), REPLY)
     cut = bodies.select("run_id", F.posexplode(parts).alias("segment_index", "text"))
-    return cut.withColumn("text", F.trim("text")).where((F.col("text") != "") | (F.col("segment_index") == 0))
+    return cut.withColumn("text", F.btrim("text", F.lit(" \t\r\n"))).where((F.col("text") != "") | (F.col("segment_index") == 0))
 
 
 def recency(rows: DataFrame, thread: str, order: str, tie: str | None = None) -> DataFrame:
