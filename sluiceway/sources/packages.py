@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..plans.contracts import schema
 def package_files(spark: SparkSession, path: str) -> DataFrame:
     """path (within the package), content, size and sha256 of every file of a package."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    bare = path.removeprefix("file:").rstrip("/")
+    bare = re.sub(r"^file:/+", "/", path).rstrip("/")
     return files.select(F.regexp_replace(F.substring_index("path", bare, -1), "^/", "").alias("path"), "content", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
