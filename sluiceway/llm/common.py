@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words kept in a worker's hash memo before it is emptied (about 60 MB).
 MEMO_WORDS = 400_000
+#: Edges for each part of the tables of connected components.
+EDGES_PER_PART = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -103,28 +105,31 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
     """(u, v) long edges -> (node, component): the least node that each node reaches.
 
     Every round hooks each node to its least neighbour and contracts the graph; nothing is gathered
-    for a node but a minimum, so hubs cost a partial aggregate and a join that AQE can split.
+    for a node but a minimum, so hubs cost a partial aggregate and a join that AQE can split. Tables are
+    written in as many parts as the edges left in the round ask for.
     """
     spark = scratch.spark
-    edges = scratch.keep(edges.where("u <> v").select("u", "v").distinct(), f"{name}-e0")
+    edges = scratch.keep(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{name}-e0")
     mapping: DataFrame | None = None
     for k in range(max_rounds):
-        if edges.isEmpty():
+        left = edges.count()
+        if not left:
             break
+        parts = 2 + left // EDGES_PER_PART
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hook = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        hook = scratch.keep(hook, f"{name}-h{k}")
+        hook = scratch.keep(hook.coalesce(parts), f"{name}-h{k}")
         above = hook.select(F.col("u").alias("m"), F.col("m").alias("mm"))
-        hook = scratch.keep(hook.join(above, "m").select("u", F.col("mm").alias("m")), f"{name}-j{k}")
+        hook = scratch.keep(hook.join(above, "m").select("u", F.col("mm").alias("m")).coalesce(parts), f"{name}-j{k}")
         to_u, to_v = hook, hook.select(F.col("u").alias("v"), F.col("m").alias("n"))
         shrunk = edges.join(to_u, "u").join(to_v, "v").where("m <> n").select(F.least("m", "n").alias("u"), F.greatest("m", "n").alias("v")).distinct()
-        edges = scratch.keep(shrunk, f"{name}-e{k + 1}")
+        edges = scratch.keep(shrunk.coalesce(parts), f"{name}-e{k + 1}")
         if mapping is None:
-            mapping = hook.select(F.col("u").alias("node"), F.col("m").alias("component"))
+            mapping, nodes = hook.select(F.col("u").alias("node"), F.col("m").alias("component")), parts
         else:
             step = hook.select(F.col("u").alias("component"), "m")
             moved = mapping.join(step, "component", "left").select("node", F.coalesce("m", "component").alias("component"))
-            mapping = scratch.keep(moved, f"{name}-m{k}")
+            mapping = scratch.keep(moved.coalesce(nodes), f"{name}-m{k}")
     else:
         raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
     if mapping is None:
