@@ -33,7 +33,9 @@ COUNTED = 16
 #: A fragment held by so many classes of a task, and so large a share of them, is dealt apart from the rest.
 HOT_LEAST, HOT_SHARE, MOST_BROADCAST = 16, 0.001, 1_000_000
 #: Rounds of pivots, at most, and the pairs of different components for each fragment row at which they end.
-ROUNDS, FEW = 6, 2
+ROUNDS, FEW = 2, 2
+#: Rows of a fragment in each slice of the last comparison.
+SLICE = 512
 
 
 def ngram_set(text: str | None, size: int, hasher: WordHasher) -> np.ndarray:
@@ -226,8 +228,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
         comps = connected_components(links, scratch, f"cc{k}").withColumnRenamed("node", "key")
         part = rows.join(comps, "key", "left").withColumn("component", F.coalesce("component", "key"))
         held = part.groupBy("fragment", "component").agg(F.count(F.lit(1)).alias("n"))
-        still = held.groupBy("fragment").agg(F.count(F.lit(1)).alias("parts"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("parts > 1")
-        part = scratch.keep(part.select("fragment", "key", "component").join(still.select("fragment", "pairs"), "fragment"), f"open{k}")
+        still = held.groupBy("fragment").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("parts > 1")
+        part = scratch.keep(part.select("fragment", "key", "component").join(still.select("fragment", "pairs", "members"), "fragment"), f"open{k}")
         rows = part.select("fragment", "key")
         left = part.select("fragment", "pairs").distinct().agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")).first().pairs
         if left <= FEW * part.count() or k == ROUNDS:
@@ -236,15 +238,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
         drawn = [F.min(F.struct(F.xxhash64("fragment", "key", F.lit(2 * k + x)), "key", "component")) for x in (0, 1)]
         chosen_pivots = part.groupBy("fragment").agg(F.array(*drawn).alias("pivots")).select("fragment", F.explode("pivots").alias("p"))
         pivots = part.join(chosen_pivots, "fragment").where("component <> p.component").select("fragment", F.col("key").alias("a"), F.col("p.key").alias("b"))
-    # What is left: classes of different components that share a fragment, the smaller component's rows first.
+    # What is left: classes of different components that share a fragment, told apart by their sketches
+    # inside the join. The rows of a large fragment are dealt in slices, each of which meets them all.
     if left:
-        held = part.groupBy("fragment", "component").agg(F.count(F.lit(1)).alias("n"))
-        other = held.select("fragment", F.col("component").alias("large"), F.col("n").alias("n_large"))
-        apart = held.join(other, "fragment").where("component <> large and (n < n_large or (n = n_large and component < large))").select("fragment", "component", "large")
-        full = part.join(facts, "key")
-        small_rows = apart.join(full.select("fragment", "component", F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), ["fragment", "component"])
-        large_rows = full.select("fragment", F.col("component").alias("large"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        pairs = small_rows.join(large_rows, ["fragment", "large"]).where(near()).select("a", "b", "na", "nb").distinct()
+        full = part.join(facts, "key").withColumn("slices", F.ceil(F.col("members") / SLICE).cast("int"))
+        ones = full.select("fragment", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("slice"), "component", F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        others = full.select("fragment", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        pairs = ones.join(others, ["fragment", "slice"]).where(F.col("component") < F.col("other")).where(near()).select("a", "b", "na", "nb").distinct()
         found = scratch.keep(verified(pairs), "links-last")
         comps = connected_components(links.unionByName(found), scratch, "cc-last").withColumnRenamed("node", "key")
     # Components of classes, then the least document of each.
