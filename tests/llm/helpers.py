@@ -27,7 +27,7 @@ def hard_texts(seed: int = 1) -> list[tuple[int | None, str | None]]:
             w[r.randrange(len(w))] = f"x{r.randrange(10_000)}"
         rows.append((10 + k, " ".join(w)))
     rows += [(50 + k, f"{text(40 + k)}\n{passage}\n{text(30)}") for k in range(8)]
-    rows += [(60, "a " * 200), (61, "b " + "a " * 90 + "c"), (62, "a b " * 60), (63, "x " + "a b " * 70), (64, text(20_000)), (65, "line one is long\n" * 5 + "Line One Is Long \nother line here"), (66, "other line here\r\nshort\nshort\nline one is long")]
+    rows += [(60, "a " * 200), (61, "b " + "a " * 90 + "c"), (62, "a b " * 60), (63, "x " + "a b " * 70), (64, text(20_000)), (65, "line one is long\n" * 5 + "Line One Is Long \nother line here"), (66, "other line here\r\nshort\nshort\nline one is long"), (67, "line one is long\n" * 3 + "kept here, only here")]
     rows += [(70, "é É ß     x"), (70, "é É ß     x"), (71, "né " * 60)]
     return rows
 
