@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import authoring, detection, evaluation, extraction, history, merging, monitoring, routing
+from ..operators import authoring, detection, evaluation, extraction, governance, history, merging, monitoring, routing
 from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,3 +513,136 @@ def q_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of one client and of no other (OP-041)."""
     table = _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("client_id"), "c_custkey")
     return history.for_client(table, table.agg(F.min("client_id")).first()[0])
+
+
+@register("SELECT o_orderkey, 'EUR ' || CAST(o_orderkey AS VARCHAR) || '.50' AS money, strftime(o_orderdate, '%Y-%m-%d') AS day, 'Acme Widgets GmbH' AS org FROM orders")
+def q_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money, dates and organisations in a text (OP-138, 146)."""
+    text = F.concat(F.lit("pay EUR "), F.col("o_orderkey").cast("string"), F.lit(".50 to Acme Widgets GmbH before "), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    first = lambda found: F.get(found(F.col("text")), F.lit(0))
+    return rows.select("o_orderkey", first(fn.money_entities).alias("money"), first(fn.date_entities).alias("day"), first(fn.org_entities).alias("org"))
+
+
+@register("SELECT c_custkey, 'k' || c_custkey AS candidate, 'body:segment:' || (c_custkey % 3) AS source FROM customer WHERE c_custkey % 2 = 0")
+def q_key_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate keys named in a thread, with their segment (OP-141, 151)."""
+    text = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("the Password is k"), F.col("c_custkey").cast("string"), F.lit(" for you"))).otherwise("no secret")
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.explode(fn.key_candidates(text)).alias("candidate"))
+    return rows.select("c_custkey", "candidate", fn.body_locator(F.col("c_custkey") % 3).alias("source"))
+
+
+@register(f"WITH {_RUNS} SELECT run_id, CAST(att AS VARCHAR) AS winner, CAST(body AS VARCHAR) AS loser, 'confidence' AS rule FROM j WHERE att IS NOT NULL AND att <> body")
+def q_conflict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every losing amount beside the one that won (OP-066, 150)."""
+    found = _candidates(spark, sf_dir).where("field = 'amount'")
+    return merging.conflict_log(found, merging.resolve(found)).select("run_id", F.col("winner.value_norm").alias("winner"), F.col("loser.value_norm").alias("loser"), "rule")
+
+
+@register(f"WITH {_RUNS} SELECT run_id, CAST(CASE WHEN att IS NULL OR att = body THEN 1.0 ELSE 0.5 END AS DOUBLE) AS agreement FROM j")
+def q_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the kinds of sources agree on the amount (OP-068)."""
+    return merging.agreement(_candidates(spark, sf_dir).where("field = 'amount'")).select("run_id", F.col("agreement").cast("double").alias("agreement"))
+
+
+@register(f"WITH {_RUNS} SELECT run_id, CAST(CASE WHEN n IS NULL THEN 0.6667 ELSE 1.0 END AS DOUBLE) AS coverage FROM j")
+def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of required fields that have a value (OP-047, 048, 069, 070, 149)."""
+    found = _candidates(spark, sf_dir)
+    runs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.lit("invoice").alias("type"))
+    fields = spark.sql("SELECT 'invoice' AS type, field, true AS required, false AS critical FROM VALUES ('amount'), ('invoice_date'), ('line_count') v(field)")
+    scores = routing.confidence(routing.required_of(runs, fields), merging.resolve(found), merging.agreement(found))
+    return scores.select("run_id", F.col("coverage").cast("double").alias("coverage"))
+
+
+@register("SELECT DISTINCT p_type AS type, 'type_incomplete' AS code FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size = 7 GROUP BY 1 HAVING count(*) = 1)")
+def q_incomplete_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared types without exactly one schema (OP-059)."""
+    part = _t(spark, sf_dir, "part").withColumnRenamed("p_type", "type")
+    types = part.select("type").distinct()
+    return history.incomplete_types(types, part.where("p_size = 7"), types)
+
+
+@register("SELECT o_orderkey AS version, CASE WHEN o_orderkey % 5 = 0 THEN 'gate_failed' WHEN o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 THEN 'signoff_required' END AS code FROM orders")
+def q_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What forbids each promotion (OP-063, 154, 158)."""
+    v = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version"))
+    reports = v.select("version", (F.col("version") % 5 != 0).alias("passed"), F.lit("h").alias("report_hash"))
+    signed = v.where("version % 3 <> 0").select("version", F.lit("h").alias("report_hash"))
+    return history.may_promote(v, reports, signed, v.select("version", F.when(F.col("version") % 7 != 0, "me").alias("reviewed_by")))
+
+
+@register("""WITH t AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS stage_no, event_type AS agent, value > 95 AS differs FROM events)
+SELECT run_id, min(stage_no) AS stage_no, arg_min(agent, stage_no) AS agent FROM t WHERE differs GROUP BY 1""")
+def q_first_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stage at which two replays differ (OP-159)."""
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    a = _t(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), number.alias("stage_no"), F.col("event_type").alias("agent"), F.lit("x").alias("hash"), "value")
+    return history.first_divergence(a, a.withColumn("hash", F.when(F.col("value") > 95, "y").otherwise("x")))
+
+
+@register("SELECT 'c' AS client_id, 'w' AS workflow_id, p_partkey AS version FROM part WHERE p_size % 4 <> 0")
+def q_unevaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promoted packages without an evaluation on the engine that is rolled out (OP-053, 167)."""
+    promoted = _t(spark, sf_dir, "part").select(F.lit("c").alias("client_id"), F.lit("w").alias("workflow_id"), F.col("p_partkey").alias("version"), "p_size")
+    done = promoted.withColumn("engine_version", F.when(F.col("p_size") % 4 == 0, "2.0.0").otherwise("1.0.0"))
+    return history.unevaluated(promoted.drop("p_size"), done, "2.0.0")
+
+
+@register("SELECT conv_id AS sample_id, string_agg(DISTINCT role, ',' ORDER BY role) AS kinds, count(*) AS files, max(turn) AS depth FROM conversations GROUP BY 1")
+def q_corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory of each sample (OP-038, 093)."""
+    turns = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sample_id"), F.col("role").alias("kind"), F.lit(False).alias("encrypted"), F.array("role").alias("headers"), F.array().cast("array<string>").alias("sheets"), F.col("turn").alias("depth"))
+    return authoring.profile(turns).select("sample_id", F.array_join("kinds", ",").alias("kinds"), "files", "depth")
+
+
+@register("SELECT user_id AS message_id, count(*) AS attempts, arg_max(event_type, event_id) AS error FROM events WHERE value > 90 GROUP BY 1 HAVING count(*) >= 5")
+def q_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that failed too often (OP-021, 122)."""
+    from pyspark.sql import Window
+
+    from ..streaming.runs import poisoned
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    attempts = _t(spark, sf_dir, "events").where("value > 90").select(F.col("user_id").alias("message_id"), F.col("event_type").alias("error"), F.row_number().over(w).cast("long").alias("attempt"))
+    return poisoned(attempts, 5)
+
+
+@register("SELECT user_id AS run_id, CASE WHEN NOT bool_or(event_type = 'click') THEN 'click' WHEN NOT bool_or(event_type = 'view') THEN 'view' WHEN NOT bool_or(event_type = 'purchase') THEN 'purchase' END AS next_stage FROM events WHERE value > 110 GROUP BY 1")
+def q_next_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage at which an authoring run resumes (OP-120, 125)."""
+    stages = _t(spark, sf_dir, "events").where("value > 110").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"))
+    return authoring.next_stage(stages, ("click", "view", "purchase"))
+
+
+@register("SELECT p_type AS kind, p_partkey AS key, CASE WHEN p_size < 5 THEN upper(p_brand) ELSE p_brand END AS payload, CASE WHEN p_size < 5 THEN 'edit' WHEN p_size < 25 THEN 'accept' ELSE 'waiting' END AS decision FROM part")
+def q_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals after the designer's decisions (OP-126, 156, 160)."""
+    part = _t(spark, sf_dir, "part")
+    proposals = part.select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("key"), F.col("p_brand").alias("payload"))
+    decisions = part.where("p_size < 25").select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("key"), F.when(F.col("p_size") < 5, "edit").otherwise("accept").alias("decision"), F.when(F.col("p_size") < 5, F.upper("p_brand")).alias("payload"))
+    return authoring.apply_decisions(proposals, decisions)
+
+
+@register("SELECT metric, value, value >= lim AS passed FROM (SELECT 'type_accuracy' AS metric, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 9) AS value, 0.95 AS lim FROM labels UNION ALL SELECT 'review_rate', round(avg(CASE WHEN quality = 0 THEN 1.0 ELSE 0.0 END), 9), NULL FROM labels) WHERE metric = 'type_accuracy'")
+def q_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric against its gate (OP-155)."""
+    metric = _t(spark, sf_dir, "labels").agg(F.round(F.avg((F.col("quality") == 1).cast("double")), 9).alias("value")).select(F.lit("type_accuracy").alias("metric"), "value")
+    return evaluation.gates(metric).where("metric = 'type_accuracy'").select("metric", "value", "passed")
+
+
+@register("SELECT o_orderkey AS audit_id, o_totalprice AS value FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 9 <> 0")
+def q_production_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that count for production metrics (OP-013, 168)."""
+    records = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("audit_id"), F.col("o_totalprice").alias("value"), (F.col("o_orderkey") % 4 == 0).alias("is_shadow"), (F.col("o_orderkey") % 9 == 0).alias("human_corrected"))
+    return governance.production_only(records).select("audit_id", "value")
+
+
+@register("SELECT p_partkey, p_name || '/x.json' AS path, p_size % 4 <> 0 AS inside FROM part")
+def q_self_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundle paths that never leave their package (OP-042)."""
+    path = F.concat("p_name", F.lit("/x.json"))
+    climbing = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("a/../"), path)).otherwise(path)
+    return _t(spark, sf_dir, "part").select("p_partkey", path.alias("path"), fn.self_contained(climbing).alias("inside"))
