@@ -145,12 +145,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item")).where("item_id is not null").dropDuplicates()
-    blocks = max(1, -(-items.count() // ITEM_BLOCK) * 2)
+    # Hashes deal items unevenly, so more than one block is planned for half of ITEM_BLOCK each.
+    total = items.count()
+    blocks = 1 if total <= ITEM_BLOCK else -(-2 * total // ITEM_BLOCK)
     found = None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == k) if blocks > 2 else items
-        if blocks <= 2 and k:
-            break
+        part = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast([(r.item_id, r.item) for r in part.collect()])
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
