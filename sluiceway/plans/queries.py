@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import authoring, detection, evaluation, extraction, governance, history, merging, monitoring, routing
-from ..sources import files
+from ..sources import files, packages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -646,3 +646,75 @@ def q_self_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat("p_name", F.lit("/x.json"))
     climbing = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("a/../"), path)).otherwise(path)
     return _t(spark, sf_dir, "part").select("p_partkey", path.alias("path"), fn.self_contained(climbing).alias("inside"))
+
+
+@register("SELECT p_partkey AS run_id, CASE p_size % 5 WHEN 0 THEN 'encrypted_no_key' WHEN 1 THEN 'unsupported_attachment:image/png' WHEN 2 THEN 'encrypted_no_key' END AS code FROM part WHERE p_size % 5 < 3")
+def q_attachment_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds by first bytes, locked containers and unsupported types (OP-008, 039, 040)."""
+    kind = F.col("p_size") % 5
+    content = F.when(kind == 0, F.lit("%PDF-1.4 /Encrypt 5 0 R").cast("binary")).when(kind == 1, F.unhex(F.lit("89504E470D0A1A0A"))).when(kind == 2, F.unhex(F.lit("504B030414000100080000"))).when(kind == 3, F.lit("a,b").cast("binary")).otherwise(F.lit("%PDF-1.4 plain").cast("binary"))
+    one = F.struct(F.when(kind == 3, "t.csv").otherwise("f.bin").alias("name"), F.when(kind == 1, "image/png").otherwise("text/csv").alias("mime"), content.alias("content"))
+    messages = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("run_id"), F.array(one).alias("attachments"))
+    return files.attachment_flags(files.attachments(messages))
+
+
+@register("SELECT o.o_orderkey AS sample_id, CASE WHEN l.v IS NULL THEN o.o_orderpriority ELSE l.v END AS value FROM orders o LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag || l_linestatus, l_extendedprice) AS v FROM lineitem WHERE l_quantity > 40 GROUP BY 1) l ON o.o_orderkey = l.l_orderkey")
+def q_corrected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with the last correction of each field (OP-019, 020, 168)."""
+    labels = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.lit("f").alias("field"), F.col("o_orderpriority").alias("value"))
+    fixes = _t(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("sample_id"), F.lit("f").alias("field"), F.concat("l_returnflag", "l_linestatus").alias("corrected"), F.col("l_extendedprice").alias("corrected_at"))
+    return packages.corrected_labels(fixes, labels).select("sample_id", "value")
+
+
+@register("SELECT p_partkey AS skill_id, CASE WHEN p_size % 3 = 0 THEN 'OCR' ELSE 'NER' END AS tool FROM part WHERE p_size % 3 < 2")
+def q_undeclared_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tools that a skill names and does not declare (OP-153)."""
+    third = F.col("p_size") % 3
+    body = F.when(third == 0, "use OCR and regex").when(third == 1, "use ner").otherwise("use regex")
+    skills = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("skill_id"), body.alias("body"), F.array(F.lit("Regex")).alias("tools"))
+    return history.undeclared_tools(skills, ("OCR", "NER", "Regex"))
+
+
+@register("SELECT event_id AS run_id, 'error' AS outcome, 'agent_timeout:orchestrator' AS code FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 300 SECOND AND event_id % 3 <> 0")
+def q_overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Started runs without an audit after the ceiling (OP-017, 119)."""
+    started = _t(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("started_at"))
+    return monitoring.overdue(started, started.where("run_id % 3 = 0"), F.lit("2024-01-15 00:00:00").cast("timestamp"))
+
+
+@register("SELECT event_id AS run_id, event_type AS agent FROM events WHERE event_type = 'click'")
+def q_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that the orchestrator did not make (OP-107, 171)."""
+    trace = _t(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("agent"), F.when(F.col("event_type") != "click", "orchestrator").alias("parent"))
+    return governance.hops(trace).select("run_id", "agent")
+
+
+@register("SELECT o_orderkey AS run_id FROM orders WHERE o_orderkey % 4 = 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def q_empty_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review entries without fields although something was extracted (OP-016, 165)."""
+    fields = F.when(F.col("o_orderkey") % 4 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("a"), F.lit("b")))
+    entries = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), fields.alias("partial_fields"))
+    return routing.empty_partials(entries, _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"))).select("run_id")
+
+
+@register("SELECT CAST(l_orderkey AS VARCHAR) AS audit_id, l_linenumber AS field, l_shipdate AS value, o_orderstatus AS state FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey = (SELECT min(l_orderkey) FROM lineitem)")
+def q_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything recorded of one run (OP-023, 164, 166)."""
+    orders, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    first = lines.agg(F.min("l_orderkey")).first()[0]
+    audits = orders.select(F.col("o_orderkey").cast("string").alias("audit_id"), F.lit("c").alias("client_id"), F.lit("w").alias("workflow_id"), F.col("o_orderkey").alias("package_version"))
+    attribution = lines.select(F.col("l_orderkey").cast("string").alias("audit_id"), F.col("l_linenumber").alias("field"), F.col("l_shipdate").alias("value"))
+    registry = orders.select(F.lit("c").alias("client_id"), F.lit("w").alias("workflow_id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("state"))
+    return governance.reconstruct(str(first), audits, attribution, registry).select("audit_id", "field", "value", "state")
+
+
+@register("""SELECT 'package_corrupt' AS code, p_partkey || '.json' AS detail FROM part WHERE p_partkey % 50 = 0 AND p_size % 2 = 0 UNION SELECT 'schema_unsupported', p_partkey || '.json' FROM part WHERE p_partkey % 50 = 0 AND p_size > 40
+UNION SELECT 'engine_incompatible', '>=2.0.0' UNION SELECT 'version_exists', '1.0.0' UNION SELECT 'package_corrupt', 'size ' || CAST(sum(p_size) * 1000000 AS VARCHAR) FROM part WHERE p_partkey % 50 = 0 HAVING sum(p_size) * 1000000 > 10485760""")
+def q_publish_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What forbids a publication: checksums, size, engine, schema and version (OP-010, 022, 043, 045, 161)."""
+    part = _t(spark, sf_dir, "part").where("p_partkey % 50 = 0")
+    path = F.concat(F.col("p_partkey").cast("string"), F.lit(".json"))
+    listed = part.agg(F.collect_list(F.struct(path.alias("path"), F.lit("thresholds").alias("kind"), F.lit("h").alias("sha256"))).alias("artifacts"))
+    manifest = listed.select(F.lit("c").alias("client_id"), F.lit("w").alias("workflow_id"), F.lit("1.0.0").alias("version"), F.lit(">=2.0.0").alias("engine_range"), "artifacts")
+    found = part.select(path.alias("path"), (F.col("p_size").cast("long") * 1_000_000).alias("size"), F.when(F.col("p_size") % 2 == 0, "x").otherwise("h").alias("sha256"), F.when(F.col("p_size") > 40, "9").otherwise("1").alias("schema_version"))
+    return history.publish_problems(manifest, found, manifest.select("client_id", "workflow_id", "version"), "1.0.0")

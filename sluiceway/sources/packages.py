@@ -96,11 +96,15 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def corrected_labels(corrections: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels (sample_id, field, value) with the last correction (corrected, corrected_at) of each."""
+    fixed = corrections.groupBy("sample_id", "field").agg(F.max_by("corrected", "corrected_at").alias("corrected"))
+    return labels.join(fixed, ["sample_id", "field"], "left").withColumn("value", F.coalesce("corrected", "value")).drop("corrected")
+
+
 def export_corrections(corrections: DataFrame, labels: DataFrame, path: str) -> None:
     """Labels with the corrected values, as a new corpus version."""
-    fixed = corrections.groupBy("sample_id", "field").agg(F.max_by("corrected", "corrected_at").alias("corrected"))
-    merged = labels.join(fixed, ["sample_id", "field"], "left").withColumn("value", F.coalesce("corrected", "value")).drop("corrected")
-    write_once(merged, path)
+    write_once(corrected_labels(corrections, labels), path)
 
 
 def manifest_json(client_id: str, workflow_id: str, version: str, engine_range: str, email_types: list[str], artifacts: list[tuple[str, str, str]]) -> str:

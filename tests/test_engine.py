@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions import scalars as fn
-from sluiceway.operators import authoring, detection, evaluation, history, monitoring, routing
+from sluiceway.operators import authoring, detection, evaluation, governance, history, monitoring, routing
 from sluiceway.plans import contracts
 from sluiceway.plans.runs import canonical_hash, process
 from sluiceway.sources import files, packages
@@ -289,3 +289,26 @@ def test_immutable_versions(spark: SparkSession, tmp_path: Path) -> None:
     packages.write_once(spark.range(1), str(tmp_path / "v"))
     with pytest.raises(Exception, match="already exists"):
         packages.write_once(spark.range(1), str(tmp_path / "v"))
+
+
+def test_governance(spark: SparkSession, tmp_path: Path) -> None:
+    root = write_package(tmp_path / "prod")
+    before = governance.folder_hash(spark, root)
+    packages.load_package(spark, root)
+    assert governance.folder_hash(spark, root) == before
+    assert governance.package_path("s3://r/", "c", "w", "1.0.0") == "s3://r/c/w@1.0.0"
+    assert governance.stays_apart("/uat/x", "/prod") and not governance.stays_apart("/prod/x", "/prod")
+    out = spark.createDataFrame([("r", "x"), ("s", None)], "run_id string, mapping string")
+    assert governance.output_problems(out, {"mapping": "map<string,string>"}, "csv_parser") == ["agent_failed:csv_parser"]
+    assert governance.output_problems(out, {"mapping": "string"}, "csv_parser") == []
+    assert [r.run_id for r in governance.null_outputs(out, ["mapping"], "csv_parser").collect()] == ["s"]
+    assert governance.bad_ends(spark.createDataFrame([("a", "failed"), ("b", "lost")], "run_id string, state string")).first().run_id == "b"
+
+
+def test_corpus_folder(spark: SparkSession, tmp_path: Path) -> None:
+    (tmp_path / "c/samples/s1").mkdir(parents=True)
+    (tmp_path / "c/samples/s1/mail.eml").write_bytes(MAILS["good"])
+    (tmp_path / "c/labels.jsonl").write_text(json.dumps({"sample_id": "s1", "email_type": "invoice", "in_scope": True, "fields": {"amount": "100"}, "field_sources": {"amount": "body:segment:0"}}))
+    corpus = packages.load_corpus(spark, f"file://{tmp_path}/c")
+    assert corpus["samples"].select("sample_id", "file").first() == ("s1", "mail.eml")
+    assert corpus["label_fields"].select("field", "value", "source").first() == ("amount", "100", "body:segment:0")
