@@ -74,7 +74,7 @@ def corpus_leaks(strings: DataFrame, corpus: DataFrame, size: int = 5) -> DataFr
     """(artifact, sample_id, shingles): runs of `size` words of an artifact string that stand in a corpus text.
 
     Both sides are cut into word shingles and joined on their hashes, never by a substring test of every
-    string against every text.
+    string against every text. The strings are those of a package, which has at most 10 MB.
     """
 
     def shingles(df: DataFrame, key: str, text: str) -> DataFrame:
