@@ -35,7 +35,9 @@ class PlainHasher(WordHasher):
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_WORDS:
-            self.clear()
+            # The words met last are mostly rare ones.
+            for rare in list(self)[MEMO_WORDS // 2 :]:
+                del self[rare]
         plain = word.decode("utf-8", "replace").lower().strip(_EDGES)
         value = self[word] = xxhash.xxh3_64_intdigest(plain)
         return value
@@ -74,7 +76,8 @@ class Items:
     """Items of one block, ready to be matched."""
 
     ids: list[int]
-    lengths: np.ndarray
+    lengths: list[int]
+    distinct: list[int]
     counts: list[Counter]
     index: HammingIndex
     known: np.ndarray
@@ -89,7 +92,8 @@ def prepare(rows: list[tuple[int, str | None]]) -> Items:
     known = np.unique(np.concatenate(shingles)) if shingles else np.zeros(0, np.uint64)
     maybe = np.zeros(1 << _FILTER_BITS, bool)
     maybe[(known & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-    return Items([i for i, _ in words], np.array([len(w) for _, w in words], np.int64), [Counter(s.tolist()) for s in shingles], HammingIndex([simhash(s) for s in shingles]), known, maybe)
+    lengths = [len(w) for _, w in words]
+    return Items([i for i, _ in words], lengths, sorted(set(lengths)), [Counter(s.tolist()) for s in shingles], HammingIndex([simhash(s) for s in shingles]), known, maybe)
 
 
 def weighted_jaccard(a: Counter, b: Counter) -> float:
@@ -102,7 +106,7 @@ def matches(words: np.ndarray, items: Items, threshold: float) -> dict[int, tupl
     best: dict[int, tuple[float, int, int]] = {}
     if not len(words) or not len(items.ids):
         return best
-    plans = sorted({(min(int(m), len(words)), min(SIZE, int(m), len(words))) for m in items.lengths})
+    plans = sorted({(min(m, len(words)), min(SIZE, m, len(words))) for m in items.distinct})
     hits: dict[int, np.ndarray] = {}
     shingles: dict[int, np.ndarray] = {}
     for length, size in plans:
@@ -123,7 +127,7 @@ def matches(words: np.ndarray, items: Items, threshold: float) -> dict[int, tupl
             window = shingles[size][p : p + span]
             counts = None
             for k in items.index.near(simhash(window)):
-                if min(int(items.lengths[k]), len(words)) != length:
+                if min(items.lengths[k], len(words)) != length:
                     continue
                 counts = counts or Counter(window.tolist())
                 value = weighted_jaccard(counts, items.counts[k])
