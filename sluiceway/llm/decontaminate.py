@@ -79,7 +79,8 @@ class Items:
     lengths: list[int]
     distinct: list[int]
     counts: list[Counter]
-    index: HammingIndex
+    #: item length -> the index of the fingerprints of its items, and which items these are
+    by_length: dict[int, tuple[HammingIndex, list[int]]]
     known: np.ndarray
     maybe: np.ndarray
 
@@ -93,7 +94,21 @@ def prepare(rows: list[tuple[int, str | None]]) -> Items:
     maybe = np.zeros(1 << _FILTER_BITS, bool)
     maybe[(known & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
     lengths = [len(w) for _, w in words]
-    return Items([i for i, _ in words], lengths, sorted(set(lengths)), [Counter(s.tolist()) for s in shingles], HammingIndex([simhash(s) for s in shingles]), known, maybe)
+    of_length: dict[int, list[int]] = {}
+    for k, length in enumerate(lengths):
+        of_length.setdefault(length, []).append(k)
+    by_length = {length: (HammingIndex([simhash(shingles[k]) for k in ks]), ks) for length, ks in of_length.items()}
+    return Items([i for i, _ in words], lengths, sorted(of_length), [Counter(s.tolist()) for s in shingles], by_length, known, maybe)
+
+
+def candidates(items: Items, value: int, length: int, whole: bool) -> list[int]:
+    """Items within RADIUS of a window of `length` words: those of that length, or longer ones too if it is a whole document."""
+    lengths = [m for m in items.distinct if m >= length] if whole else [length]
+    found = []
+    for m in lengths:
+        index, ks = items.by_length[m]
+        found += [ks[j] for j in index.near(value)]
+    return sorted(found)
 
 
 def weighted_jaccard(a: Counter, b: Counter) -> float:
@@ -126,9 +141,7 @@ def matches(words: np.ndarray, items: Items, threshold: float) -> dict[int, tupl
         for p in np.flatnonzero(hits[size][span:] - hits[size][:-span] >= least).tolist():
             window = shingles[size][p : p + span]
             counts = None
-            for k in items.index.near(simhash(window)):
-                if min(items.lengths[k], len(words)) != length:
-                    continue
+            for k in candidates(items, simhash(window), length, length == len(words)):
                 counts = counts or Counter(window.tolist())
                 value = weighted_jaccard(counts, items.counts[k])
                 if value >= threshold and value > best.get(k, (0.0, 0, 0))[0]:
