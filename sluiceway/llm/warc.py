@@ -1,7 +1,7 @@
 """WARC archives as a chunked record table.
 
-An archive is a table of (archive, record, chunk, data, digest) rows: the data of its rows in order is
-the archive file. Payloads larger than a chunk take several rows, each with the digest of the record
+An archive is a table of (archive, record, chunk, last, data, digest) rows: the data of its rows in order
+is the archive file. Payloads larger than a chunk take several rows, each with the digest of the record
 so far, so a reader or writer holds one chunk and a digest state and never a whole record. Repeated
 payloads are written once, as the response with the largest page_id; the others are revisit records.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 64 * 1024
 DATE = "2024-01-01T00:00:00Z"
-CHUNKS = "archive long, record long, chunk int, data binary, digest string"
+CHUNKS = "archive long, record long, chunk int, last boolean, data binary, digest string"
 RECORDS = "page_id long, record_type string, refers_to long, target string, payload_bytes long, payload_digest string, digest_good boolean, whole boolean"
 #: The longest record head that is read; a longer one makes the record unreadable.
 MOST_HEAD = 1 << 20
@@ -76,7 +76,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
                     last = at >= len(body)
                     data = (head if chunk == 0 else b"") + piece + (b"\r\n\r\n" if last else b"")
                     state.update(data)
-                    held.append((archive, record, chunk, data, state.hexdigest()))
+                    held.append((archive, record, chunk, last, data, state.hexdigest()))
                     size += len(data)
                     chunk += 1
                     if size > 8_000_000:
@@ -93,8 +93,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 def _chunk_batch(held: list[tuple]) -> pa.RecordBatch:
     columns = zip(*held, strict=True)
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["archive", "record", "chunk", "data", "digest"])
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["archive", "record", "chunk", "last", "data", "digest"])
 
 
 class RecordReader:
@@ -150,6 +150,8 @@ def _page(uri: str | None) -> int | None:
 def read_records(chunks: DataFrame) -> DataFrame:
     """One row for each record of a chunked record table, its payload digested chunk by chunk.
 
+    Only records of several chunks are shuffled, to bring their chunks together in order; a chunk
+    numbered 0 begins a record.
     whole: the record ends where its head says and every chunk's running digest holds. A revisit has
     the digest that its head states and no payload_bytes (see resolve_revisits).
     """
@@ -163,8 +165,8 @@ def read_records(chunks: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
 
         for batch in batches:
-            for archive, record, chunk, data, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), strict=True):
-                if (archive, record) != now:
+            for archive, record, chunk, data, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
+                if (archive, record) != now or chunk == 0:
                     if now is not None:
                         done.append(reader.row())
                     now, reader = (archive, record), RecordReader()
@@ -177,8 +179,10 @@ def read_records(chunks: DataFrame) -> DataFrame:
         if done:
             yield out()
 
-    dealt = chunks.repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk")
-    return dealt.mapInArrow(fn, RECORDS)
+    chunks = chunks.select("archive", "record", "chunk", "last", "data", "digest")
+    alone = F.coalesce((F.col("chunk") == 0) & F.col("last"), F.lit(False))
+    dealt = chunks.where(~alone).repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk")
+    return chunks.where(alone).mapInArrow(fn, RECORDS).unionByName(dealt.mapInArrow(fn, RECORDS))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
