@@ -11,7 +11,8 @@ The classes of one fragment are not paired with one another: they are compared w
 linked, then with other pivots where they still lie in different components. When few pairs of
 different components are left, these are compared, which keeps every link between components while the
 work on a group of near copies grows with its size. A parity sketch of each set, whose bits differ in
-no more places than the sets in n-grams, tells most pairs apart before their texts are read.
+no more places than the sets in n-grams, tells most pairs apart before their texts are read; a finer
+one, with fewer n-grams to a bit, does so for pairs that are close to the threshold.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ COUNTED = 16
 HOT_LEAST, HOT_SHARE, MOST_BROADCAST = 16, 0.001, 1_000_000
 #: Rounds of pivots, at most, and the pairs of different components for each fragment row at which they end.
 ROUNDS, FEW = 2, 2
+#: Bits of the finer sketch for each bit of the plain one, up to this size; larger plain sketches serve as both.
+FINER, FINE_BITS = 4, 4096
 #: Rows of a fragment in each slice of the last comparison.
 SLICE = 512
 
@@ -83,9 +86,20 @@ def fragment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else grams[:0]
 
 
-def parity_sketch(grams: np.ndarray) -> np.ndarray:
-    """Bit k is set where an odd number of n-grams hash to k; a power of two, near 0.8 to 1.7 bits for each n-gram."""
-    bits = max(64, 1 << int(0.84 * len(grams)).bit_length())
+def sketch_bits(n: int) -> int:
+    """A power of two, near 0.8 to 1.7 bits for each of n n-grams."""
+    return max(64, 1 << int(0.84 * n).bit_length())
+
+
+def fine_sketch(grams: np.ndarray) -> np.ndarray | None:
+    """The finer sketch, null where the plain one is large enough; sets over the threshold have sizes within a factor of two here too."""
+    bits = sketch_bits(len(grams))
+    return parity_sketch(grams, min(FINER * bits, FINE_BITS)) if bits < FINE_BITS else None
+
+
+def parity_sketch(grams: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Bit k is set where an odd number of n-grams hash to k; of sketch_bits() bits unless others are asked for."""
+    bits = bits or sketch_bits(len(grams))
     odd = np.bincount((mix(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -184,11 +198,12 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
         for batch in batches:
             sets = [ngram_set(t.as_py(), size, hasher) for t in batch.column(0)]
             sketches = pa.array([parity_sketch(g) for g in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array([_class_id(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), sketches, batch.column(0)], ["key", "n", "sketch", "text"])
+            fine = pa.array([fine_sketch(g) for g in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array([_class_id(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), sketches, fine, batch.column(0)], ["key", "n", "sketch", "fine", "text"])
 
-    chosen = only(docs, wanted.select("doc_id").distinct(), ["doc_id"]).select("text").mapInArrow(keyed, "key long, n long, sketch array<long>, text string")
+    chosen = only(docs, wanted.select("doc_id").distinct(), ["doc_id"]).select("text").mapInArrow(keyed, "key long, n long, sketch array<long>, fine array<long>, text string")
     texts = scratch.keep(only(chosen, wanted.select("key"), ["key"]).dropDuplicates(["key"]), "texts")
-    facts = texts.select("key", "n", "sketch")
+    facts = texts.select("key", "n", "sketch", "fine")
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each pair and fragment of the order the n-grams that both sets have there."""
@@ -216,9 +231,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     def near() -> Column:
         """Sizes and sketches allow the threshold."""
         sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        return sizes & (sketch_distance(F.col("sa"), F.col("sb")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+        most = (F.col("na") + F.col("nb")) * (100 - percent)
+        plain = sketch_distance(F.col("sa"), F.col("sb")) * (100 + percent) <= most
+        return sizes & plain & (sketch_distance(F.coalesce("fa", "sa"), F.coalesce("fb", "sb")) * (100 + percent) <= most)
 
-    side_a, side_b = facts.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), facts.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    side_a, side_b = (facts.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("fine").alias(f"f{x}")) for x in "ab")
     pivots = index.select("fragment", F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
     links, rows = None, index.select("fragment", "key")
     for k in range(ROUNDS + 1):
@@ -242,8 +259,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     # inside the join. The rows of a large fragment are dealt in slices, each of which meets them all.
     if left:
         full = part.join(facts, "key").withColumn("slices", F.ceil(F.col("members") / SLICE).cast("int"))
-        ones = full.select("fragment", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("slice"), "component", F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        others = full.select("fragment", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        ones = full.select("fragment", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("slice"), "component", F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("fine").alias("fa"))
+        others = full.select("fragment", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("fine").alias("fb"))
         pairs = ones.join(others, ["fragment", "slice"]).where(F.col("component") < F.col("other")).where(near()).select("a", "b", "na", "nb").distinct()
         found = scratch.keep(verified(pairs), "links-last")
         comps = connected_components(links.unionByName(found), scratch, "cc-last").withColumnRenamed("node", "key")
