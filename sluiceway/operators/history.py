@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,19 +98,19 @@ def reconcile(terminals: DataFrame, audits: DataFrame, key: str = "audit_id") ->
     return t.join(a, key, "full_outer").select(key, side.alias("side")).where("side is not null")
 
 
-def publish_problems(manifest: DataFrame, files: DataFrame, existing: DataFrame, engine_version: str, supported: tuple[str, ...] = ("1",)) -> DataFrame:
-    """(code, detail) that forbid a publication.
+def publish_problems(manifest: DataFrame, files: DataFrame, existing: DataFrame, engine_version: str, supported: tuple[str, ...] = ("1",), keys: Sequence[str] = ()) -> DataFrame:
+    """(code, detail) that forbid a publication; with keys, for each package that they name.
 
-    manifest: one row of the manifest contract. files: path, size, sha256, schema_version. existing:
-    client_id, workflow_id, version.
+    manifest: one row of the manifest contract, or one for each package. files: path, size, sha256,
+    schema_version, and the keys. existing: client_id, workflow_id, version.
     """
-    listed = manifest.select(F.explode("artifacts").alias("a")).select("a.path", F.col("a.sha256").alias("listed"))
-    bad = listed.join(files.select("path", "sha256"), "path", "full_outer").where("not (listed <=> sha256)").select(F.lit("package_corrupt").alias("code"), F.col("path").alias("detail"))
-    paths = listed.where(~self_contained(F.col("path"))).select(F.lit("package_corrupt").alias("code"), F.col("path").alias("detail"))
-    size = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).where("n > 10 * 1024 * 1024").select(F.lit("package_corrupt").alias("code"), F.concat(F.lit("size "), F.col("n").cast("string")).alias("detail"))
-    engine = manifest.where(~in_range(F.lit(engine_version), F.col("engine_range"))).select(F.lit("engine_incompatible").alias("code"), F.col("engine_range").alias("detail"))
-    old = files.where(F.col("schema_version").isNotNull() & ~F.col("schema_version").isin(*supported)).select(F.lit("schema_unsupported").alias("code"), F.col("path").alias("detail"))
-    taken = manifest.join(existing, ["client_id", "workflow_id", "version"], "left_semi").select(F.lit("version_exists").alias("code"), F.col("version").alias("detail"))
+    listed = manifest.select(*keys, F.explode("artifacts").alias("a")).select(*keys, "a.path", F.col("a.sha256").alias("listed"))
+    bad = listed.join(files.select(*keys, "path", "sha256"), [*keys, "path"], "full_outer").where("not (listed <=> sha256)").select(*keys, F.lit("package_corrupt").alias("code"), F.col("path").alias("detail"))
+    paths = listed.where(~self_contained(F.col("path"))).select(*keys, F.lit("package_corrupt").alias("code"), F.col("path").alias("detail"))
+    size = files.groupBy(*keys).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).where("n > 10 * 1024 * 1024").select(*keys, F.lit("package_corrupt").alias("code"), F.concat(F.lit("size "), F.col("n").cast("string")).alias("detail"))
+    engine = manifest.where(~in_range(F.lit(engine_version), F.col("engine_range"))).select(*keys, F.lit("engine_incompatible").alias("code"), F.col("engine_range").alias("detail"))
+    old = files.where(F.col("schema_version").isNotNull() & ~F.col("schema_version").isin(*supported)).select(*keys, F.lit("schema_unsupported").alias("code"), F.col("path").alias("detail"))
+    taken = manifest.join(existing, ["client_id", "workflow_id", "version"], "left_semi").select(*keys, F.lit("version_exists").alias("code"), F.col("version").alias("detail"))
     out = bad
     for part in (paths, size, engine, old, taken):
         out = out.unionByName(part)

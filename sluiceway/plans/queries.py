@@ -475,24 +475,34 @@ def q_failure_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.exemplars(scored).select("sample_id", "field", "confidence")
 
 
-@register("SELECT c_custkey, 'c' || c_custkey || '@example.org' AS message_id, 'csv' AS kind, count(*) AS n FROM customer JOIN (VALUES (1), (2)) v(k) ON true WHERE c_custkey % 10 = 0 GROUP BY 1")
-def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw messages with a table attached, opened and parsed (OP-001, 002, 003, 008, 039, 116)."""
+def _messages(customers: DataFrame) -> DataFrame:
+    """A raw message of each customer with a table attached, opened and parsed."""
     crlf = "\r\n"
     raw = F.concat(
         F.lit(f"From: a@example.org{crlf}Message-ID: c"), F.col("c_custkey").cast("string"), F.lit(f"@example.org{crlf}Content-Type: multipart/mixed; boundary=x{crlf}{crlf}--x{crlf}Content-Type: text/plain{crlf}{crlf}Amount: "),
         F.col("c_acctbal").cast("string"), F.lit(f"{crlf}--x{crlf}Content-Type: text/csv{crlf}Content-Disposition: attachment; filename=t.csv{crlf}{crlf}name,amount{crlf}"), F.col("c_name"), F.lit(f",1{crlf}"), F.col("c_name"), F.lit(f",2{crlf}--x--{crlf}"),
     )
-    messages = files.ingest(_t(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("path"), raw.cast("binary").alias("content")))
+    messages = files.ingest(customers.select(F.col("c_custkey").alias("path"), raw.cast("binary").alias("content")))
     attached = files.attachments(messages)
     rows = files.parse_csv(attached).where("error_code is null").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     return messages.select("run_id", "message_id").join(attached.select("run_id", "kind"), "run_id").join(rows, "run_id").select(F.col("run_id").cast("long").alias("c_custkey"), "message_id", "kind", "n")
 
 
-@register("SELECT l_orderkey AS run_id, 'amount' AS field, CAST(CAST(max(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS DOUBLE) AS value FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1")
-def q_table_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates from CSV rows by the aliases of their headers (OP-003, 060, 145, 148)."""
-    lines = _t(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat_ws(";", F.col("l_linenumber").cast("string"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")))).alias("l"))
+@register("SELECT c_custkey, 'c' || c_custkey || '@example.org' AS message_id, 'csv' AS kind, count(*) AS n FROM customer JOIN (VALUES (1), (2)) v(k) ON true WHERE c_custkey % 10 = 0 GROUP BY 1")
+def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw messages of a tenth of the customers; q_messages_all has all (OP-001, 002, 003, 008, 039, 116)."""
+    return _messages(_t(spark, sf_dir, "customer").where("c_custkey % 10 = 0"))
+
+
+@register("SELECT c_custkey, 'c' || c_custkey || '@example.org' AS message_id, 'csv' AS kind, count(*) AS n FROM customer JOIN (VALUES (1), (2)) v(k) ON true GROUP BY 1")
+def q_messages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw messages of all customers with a table attached, opened and parsed (OP-001, 002, 003, 008, 039, 116)."""
+    return _messages(_t(spark, sf_dir, "customer"))
+
+
+def _table_candidates(spark: SparkSession, items: DataFrame) -> DataFrame:
+    """The greatest amount of each order among candidates from its lines as a CSV file."""
+    lines = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat_ws(";", F.col("l_linenumber").cast("string"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")))).alias("l"))
     attached = lines.select(F.col("l_orderkey").cast("string").alias("run_id"), F.lit("l.csv").alias("name"), F.concat(F.lit("line;Total Price\n"), F.array_join("l", "\n")).cast("binary").alias("content"), F.lit("csv").alias("kind"), F.lit(False).alias("encrypted"))
     rows = files.parse_csv(attached)
     fields = spark.sql("SELECT 'invoice' AS type, 'amount' AS field, 'decimal' AS field_type, 'total price' AS alias")
@@ -501,6 +511,18 @@ def q_table_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("run_id").cast("long").alias("run_id"), "field").agg(F.max("value_dec").cast("double").alias("value"))
 
 
+@register("SELECT l_orderkey AS run_id, 'amount' AS field, CAST(CAST(max(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS DOUBLE) AS value FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1")
+def q_table_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates from CSV rows of a twentieth of the orders; q_table_candidates_all has all (OP-003, 060, 145, 148)."""
+    return _table_candidates(spark, _t(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0"))
+
+
+@register("SELECT l_orderkey AS run_id, 'amount' AS field, CAST(CAST(max(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS DOUBLE) AS value FROM lineitem GROUP BY 1")
+def q_table_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates from CSV rows of all orders by the aliases of their headers (OP-003, 060, 145, 148)."""
+    return _table_candidates(spark, _t(spark, sf_dir, "lineitem"))
+
+
 @register("SELECT count(*) AS kept, min(CAST(ts AS DATE)) AS oldest FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-30' - 14")
 def q_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows within their retention (OP-025, 041)."""
@@ -718,3 +740,21 @@ def q_publish_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = listed.select(F.lit("c").alias("client_id"), F.lit("w").alias("workflow_id"), F.lit("1.0.0").alias("version"), F.lit(">=2.0.0").alias("engine_range"), "artifacts")
     found = part.select(path.alias("path"), (F.col("p_size").cast("long") * 1_000_000).alias("size"), F.when(F.col("p_size") % 2 == 0, "x").otherwise("h").alias("sha256"), F.when(F.col("p_size") > 40, "9").otherwise("1").alias("schema_version"))
     return history.publish_problems(manifest, found, manifest.select("client_id", "workflow_id", "version"), "1.0.0")
+
+
+_PACKAGES = "p AS (SELECT p_brand AS client_id, p_type AS workflow_id, '1.' || (p_partkey // 100000) || '.0' AS version, p_partkey || '.json' AS path, p_size FROM part)"
+
+
+@register(f"""WITH {_PACKAGES}, k AS (SELECT client_id, workflow_id, version, sum(p_size) * 1000000 AS n FROM p GROUP BY 1, 2, 3)
+SELECT client_id, workflow_id, version, 'package_corrupt' AS code, path AS detail FROM p WHERE p_size % 2 = 0 UNION SELECT client_id, workflow_id, version, 'schema_unsupported', path FROM p WHERE p_size > 40
+UNION SELECT client_id, workflow_id, version, 'package_corrupt', 'size ' || CAST(n AS VARCHAR) FROM k WHERE n > 10485760
+UNION SELECT client_id, workflow_id, version, 'engine_incompatible', '>=2.0.0' FROM k WHERE client_id < 'Brand#3' UNION SELECT client_id, workflow_id, version, 'version_exists', version FROM k WHERE workflow_id LIKE 'PROMO%'""")
+def q_publish_problems_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What forbids the publication of each package; brand, type and a block of keys name one, so a manifest stays small (OP-010, 022, 043, 045, 161)."""
+    keys = ["client_id", "workflow_id", "version"]
+    version = F.concat(F.lit("1."), F.floor(F.col("p_partkey") / 100_000).cast("string"), F.lit(".0"))
+    part = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("client_id"), F.col("p_type").alias("workflow_id"), version.alias("version"), F.concat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("path"), "p_size")
+    listed = part.groupBy(*keys).agg(F.collect_list(F.struct("path", F.lit("thresholds").alias("kind"), F.lit("h").alias("sha256"))).alias("artifacts"))
+    manifests = listed.withColumn("engine_range", F.when(F.col("client_id") < "Brand#3", ">=2.0.0").otherwise(">=1.0.0"))
+    found = part.select(*keys, "path", (F.col("p_size").cast("long") * 1_000_000).alias("size"), F.when(F.col("p_size") % 2 == 0, "x").otherwise("h").alias("sha256"), F.when(F.col("p_size") > 40, "9").otherwise("1").alias("schema_version"))
+    return history.publish_problems(manifests, found, part.where("workflow_id like 'PROMO%'").select(*keys).distinct(), "1.0.0", keys=keys)
