@@ -24,7 +24,12 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 # Fixed values of HTML: elements that hold no text of the page, void elements, and block elements.
-SILENT = frozenset("script style template noscript svg math iframe object select textarea button canvas audio video head title".split())
+SILENT = frozenset("script style template noscript svg math iframe object select textarea button canvas audio video title".split())
+#: Silent elements whose content holds no tags.
+RAW = frozenset("script style textarea title iframe noscript".split())
+#: Start tags that may stand inside a silent element that is never closed, and blocks that no button or select holds.
+LABEL = frozenset("span i b em strong small svg path use img option optgroup".split())
+NO_LABEL = frozenset("body main article section h1 h2 h3 table ul ol blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset header footer nav aside form center hgroup dialog menu search".split()
@@ -36,6 +41,10 @@ CHROME_TAGS = frozenset("nav footer aside form menu dialog search".split())
 CHROME_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar rail footer header masthead topbar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert gdpr comment comments disqus reply replies share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay widget pagination pager toolbar skip".split()
 )
+#: Beside one of these a chrome word tells of what a page has or lacks, not of the element.
+ABOUT = frozenset("has have no not non with without hide".split())
+#: How surely an element is chrome: by a part of a name or as a form (unless it holds most of the text), by a whole name, by its tag, as hidden.
+PART, NAME, TAG, HIDDEN = 1, 2, 3, 4
 
 
 @dataclass
@@ -44,19 +53,20 @@ class Element:
 
     tag: str
     path: str
-    chrome: bool
+    marks: tuple[tuple[int, int], ...]
     number: int
 
 
 @dataclass
 class Block:
-    """A block of text: the containers around it, how much of it is link text, and whether chrome holds it."""
+    """A block of text: the containers around it, how much of it is link text, the elements around it that may be chrome, and whether they are."""
 
     text: str
     inside: tuple[int, ...]
     link_chars: int
-    chrome: bool
+    marks: tuple[tuple[int, int], ...]
     heading: bool
+    chrome: bool = False
 
 
 @dataclass
@@ -67,18 +77,63 @@ class Page:
     paths: dict[int, str] = field(default_factory=dict)
 
 
-def _words_of(attributes: str) -> tuple[list[str], str]:
-    """Words of class, id and role, and the generalised class."""
-    found = {}
+def _names_of(attributes: str) -> tuple[int, str]:
+    """How surely class, id, role and hidden say chrome (0: they do not), and the generalised class."""
+    found: dict[str, str] = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), a or b or c)
-    words = [w for k in ("class", "id", "role") for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", found.get(k, "")).lower()) if w]
-    return words, ".".join(sorted(re.sub(r"\d+", "", x) for x in found.get("class", "").lower().split()))
+    sure = 0
+    for key in ("class", "id", "role"):
+        for name in found.get(key, "").split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+            if name.lower() in CHROME_WORDS:
+                sure = NAME
+            elif name.lower() == "hidden" or (not ABOUT.intersection(words) and CHROME_WORDS.intersection(words)):
+                sure = max(sure, PART)
+    bare = re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)
+    if re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", bare, re.I) or found.get("aria-hidden") == "true" or re.search(r"display:\s*none", found.get("style", "")):
+        sure = HIDDEN
+    return sure, ".".join(sorted(re.sub(r"\d+", "", x) for x in found.get("class", "").lower().split()))
+
+
+def _pairs(source: str, tag: str) -> dict[int, int]:
+    """The start of each start tag that has an end tag of its own, and where that begins."""
+    pairs, opened = {}, []
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).finditer(source):
+        if not m[1]:
+            opened.append(m.start())
+        elif opened:
+            pairs[opened.pop()] = m.start()
+    return pairs
+
+
+def _settle(page: Page) -> Page:
+    """Decides which blocks are chrome by what their marks hold; marks give way, the least sure first, before a page is left empty."""
+    held: dict[int, list[int]] = {}
+    total = 0
+    for b in page.blocks:
+        if all(sure == PART for _, sure in b.marks):
+            total += len(b.text)
+            for number, _ in b.marks:
+                of = held.setdefault(number, [0, 0])
+                of[0] += len(b.text)
+                of[1] += b.link_chars
+    cleared = {n for n, (chars, links) in held.items() if 2 * chars >= total and 2 * links < chars}
+    for least in (0, NAME, TAG, HIDDEN):
+        for b in page.blocks:
+            b.chrome = any(sure > least and not (sure == PART and number in cleared) for number, sure in b.marks)
+        if not all(b.chrome for b in page.blocks):
+            break
+    return page
 
 
 def parse_page(source: str | None) -> Page:
     """Blocks of a page with unclosed, misnested or cut tags; only block elements are tracked."""
-    page, stack, at, silent = Page(), [Element("", "", False, -1)], 0, ""
+    page, stack, at = Page(), [Element("", "", (), -1)], 0
+    # The silent element that is open, where its end tag is (None: it has none), and the blocks open in it.
+    silent, silent_end = "", None
+    inner: list[str] = []
+    pairs: dict[str, dict[int, int]] = {}
     parts: list[str] = []
     link, link_chars, number, heading = 0, 0, 0, False
     source = source or ""
@@ -87,7 +142,7 @@ def parse_page(source: str | None) -> Page:
         nonlocal link_chars
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            page.blocks.append(Block(text, tuple(e.number for e in stack if e.number >= 0), link_chars, stack[-1].chrome, stack[-1].tag[:1] == "h" and stack[-1].tag[1:].isdigit()))
+            page.blocks.append(Block(text, tuple(e.number for e in stack if e.number >= 0), link_chars, stack[-1].marks, stack[-1].tag[:1] == "h" and stack[-1].tag[1:].isdigit()))
         parts.clear()
         link_chars = 0
 
@@ -99,9 +154,7 @@ def parse_page(source: str | None) -> Page:
             if link:
                 link_chars += len(piece)
 
-    for m in _TAG.finditer(source):
-        if m.start() < at:
-            continue
+    while m := _TAG.search(source, at):
         text_until(m.start())
         at = m.end()
         if m[3] is None:
@@ -109,18 +162,47 @@ def parse_page(source: str | None) -> Page:
                 parts.append(entities.escape(m[1]))
             continue
         tag, closing = m[3].lower(), bool(m[2])
-        if silent:
-            if closing and tag == silent:
-                silent = ""
-            continue
         if not m[5]:
             continue  # the page is cut inside this tag
+        if silent:
+            if silent_end is not None and m.start() >= silent_end:
+                silent = ""
+                if m.start() == silent_end:
+                    continue
+        if silent:
+            if closing and tag in inner:
+                while inner.pop() != tag:
+                    pass
+                continue
+            if closing:
+                ended = tag in BLOCK and any(e.tag == tag for e in stack)
+            elif silent_end is None:
+                ended = tag not in LABEL
+            elif silent in ("svg", "math"):
+                ended = tag in BLOCK and "foreignobject" not in inner
+            else:
+                ended = tag in NO_LABEL and silent in ("button", "select")
+            if not ended:
+                if closing and tag == silent:
+                    silent = ""
+                elif not closing and tag in RAW:
+                    end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at, len(source) if silent_end is None else silent_end)
+                    at = end.start() if end else at
+                elif not closing and (tag in BLOCK or tag == "foreignobject") and not m[4].endswith("/"):
+                    inner.append(tag)
+                continue
+            silent = ""
         if tag in SILENT and not closing:
-            if not m[4].endswith("/"):
-                silent = tag
-                if tag in ("script", "style", "textarea", "title"):
-                    end = re.compile(rf"</{tag}", re.I).search(source, at)
-                    at = end.start() if end else len(source)
+            if not m[4].endswith("/") or tag in RAW:
+                silent, inner = tag, []
+                if tag in RAW:
+                    end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+                    silent_end = end.start() if end else len(source) if tag in ("script", "style") else None
+                    at = at if silent_end is None else silent_end
+                else:
+                    if tag not in pairs:
+                        pairs[tag] = _pairs(source, tag)
+                    silent_end = pairs[tag].get(m.start())
             continue
         if tag == "a":
             link = max(0, link - 1) if closing else 1
@@ -147,29 +229,37 @@ def parse_page(source: str | None) -> Page:
                             break
                 if tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1].tag == tag:
                     stack.pop()
-                words, classes = _words_of(m[4]) if m[4].strip() else ([], "")
+                sure, classes = _names_of(m[4]) if m[4].strip() else (0, "")
                 top = stack[-1]
                 in_article = any(e.tag in ("article", "main") for e in stack)
-                chrome = top.chrome or tag in CHROME_TAGS or (tag == "header" and not in_article) or (tag not in ("html", "body", "article", "main") and any(w in CHROME_WORDS for w in words)) or bool(re.search(r"\bhidden\b|display:\s*none", m[4]))
+                if tag in ("html", "body", "article", "main") and sure != HIDDEN:
+                    sure = 0
+                if tag == "form":
+                    sure = max(sure, PART)
+                elif tag in CHROME_TAGS or (tag == "header" and not in_article):
+                    sure = max(sure, TAG)
+                marks = (*top.marks, (number, sure)) if sure else top.marks
                 path = f"{top.path}>{tag}{'.' + classes if classes else ''}"
                 held = tag in CONTAINER
                 if held:
                     page.paths[number] = path
-                stack.append(Element(tag, path, chrome, number if held else -1))
+                stack.append(Element(tag, path, marks, number if held else -1))
                 number += 1
     if not silent and at < len(source):
         rest = source[at:]
         cut = re.search(r"<[a-zA-Z/!]?[^<>]*\Z", rest)
         parts.append(rest[: cut.start()] if cut and re.match(r"<[a-zA-Z/!]|<\Z", cut[0]) else rest)
     flush()
-    return page
+    return _settle(page)
 
 
 def container_scores(page: Page) -> dict[int, float]:
     """Characters of prose in each container, less link text, halved for each level between text and container."""
     scores: dict[int, float] = {}
     for b in page.blocks:
-        worth = 0.0 if b.chrome else len(b.text) - 2.0 * b.link_chars
+        if b.chrome:
+            continue
+        worth = len(b.text) - 2.0 * b.link_chars
         for depth, number in enumerate(reversed(b.inside)):
             scores[number] = scores.get(number, 0.0) + worth / 2**depth
     return {n: s + (0.25 * s if page.paths[n].rpartition(">")[2].split(".")[0] in ("article", "main") else 0) for n, s in scores.items()}

@@ -88,6 +88,37 @@ def test_html_text(spark: SparkSession) -> None:
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
+STORY = "A story that is long enough to be read as the text of the page."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>t</title><body><p>{STORY}</p></body></html>",
+        f"<title>t</title><meta charset=x><p>{STORY}</p>",
+        f"""<head><script>if (a <b && c == "x) {{}}</script></head><body><p>{STORY}</p></body>""",
+        f"""<body><script>if (a <b && c == "x) {{}}</script><p class="x">{STORY}</p></body>""",
+        f"<body><div><button>Menu</div><p>{STORY}</p></body>",
+        f"<body><button>Menu<p>{STORY}</p><button>Top</button></body>",
+        f"<body><div><select><option>a</div><article><p>{STORY}</p></article></body>",
+        f"<body><svg><path d=x><p>{STORY}</p></body>",
+        f"<body><object data=x><p>{STORY}</p><object></object></body>",
+        f'<body><div class="layout has-sidebar"><article><p>{STORY}</p></article></div><div>Short note</div></body>',
+        f'<body><div id="page-no-comments"><p>{STORY}</p></div></body>',
+        f'<body><div class="sidebar-layout"><p>{STORY}</p></div><div class="cookie-notice">We use cookies</div></body>',
+        f'<body><div class="overflow-hidden"><p>{STORY}</p></div></body>',
+        f'<body><form action="x.aspx"><div><p>{STORY}</p></div></form></body>',
+        f'<body><div class="widget"><p>{STORY}</p></div></body>',
+        f'<body><aside><p>{STORY}</p></aside><footer></footer></body>',
+        f'<body><div class="nav"><p>Home</p></div><div><p><a href=x>{STORY}</a></p></div></body>',
+    ],
+)
+def test_html_text_of_hard_pages(spark: SparkSession, page: str) -> None:
+    parsed = html_text.parse_page(page)
+    path = html_text.best_path(parsed)[0]
+    assert (html_text.text_at(parsed, path) if path else "\n".join(b.text for b in parsed.blocks if not b.chrome)) == STORY
+
+
 def test_tokens_equal_the_tokenizer() -> None:
     words = load(PATH)
     plain = Tokenizer.from_file(PATH)
