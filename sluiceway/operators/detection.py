@@ -37,9 +37,9 @@ def rule_hits(text: Column, keywords: list[tuple[str, str, float]], patterns: li
     return found
 
 
-def score_types(segments: DataFrame, keywords: list[tuple[str, str, float]], patterns: list[tuple[str, str, float]], negatives: list[tuple[str, str]] | None = None, key: str = "run_id", text: str = "text") -> DataFrame:
+def score_types(segments: DataFrame, keywords: list[tuple[str, str, float]], patterns: list[tuple[str, str, float]], negatives: list[tuple[str, str]] | None = None, key: str = "run_id", text: str = "text", entities: list[tuple[str, str, float]] | None = None) -> DataFrame:
     """(key, type, score): the weights of the rules that hold, at most 1; a negative signal vetoes its type."""
-    hits = rule_hits(F.col(text), keywords, patterns)
+    hits = rule_hits(F.col(text), keywords, patterns, entities)
     veto: dict[str, Column] = {}
     for kind, term in negatives or []:
         veto[kind] = veto.get(kind, F.lit(False)) | phrase_in(F.col(text), term)

@@ -19,13 +19,26 @@ def typed(candidates: DataFrame) -> DataFrame:
 
 def extract_body(segments: DataFrame, fields: DataFrame, confidence: float = 0.7) -> DataFrame:
     """Candidates 'label: value' of segments (run_id, type, segment_index, text); fields: type, field, field_type, alias."""
-    lines = segments.select("run_id", "type", "segment_index", F.explode(F.split("text", "\n")).alias("line"))
-    pairs = lines.select("run_id", "type", "segment_index", normal_label(F.regexp_extract("line", r"^\s*([^:=]{2,40})\s*[:=]", 1)).alias("label"), F.trim(F.regexp_extract("line", r"^[^:=]{2,40}[:=]\s*(.+)$", 1)).alias("value_raw")).where("label <> '' and value_raw <> ''")
-    named = fields.select("type", "field", "field_type", normal_label(F.col("alias")).alias("label"))
-    found = pairs.join(F.broadcast(named), ["type", "label"])
+    found = _labelled(segments, fields)
     return typed(found.select("run_id", "field", "field_type", "value_raw", body_locator(F.col("segment_index")).alias("source"), "segment_index", F.lit(confidence).cast("decimal(5,4)").alias("confidence"), F.lit("body_parser").alias("producer")))
 
 
+def extract_texts(texts: DataFrame, types: DataFrame, fields: DataFrame, producer: str, confidence: float = 0.8) -> DataFrame:
+    """Candidates 'label: value' of document pages (run_id, file, page_no, text); types: run_id, type."""
+    found = _labelled(texts.where("error_code is null").join(types, "run_id"), fields)
+    source = attachment_locator(F.col("file"), F.concat(F.lit("p"), F.col("page_no").cast("string")))
+    return typed(found.select("run_id", "field", "field_type", "value_raw", source.alias("source"), F.lit(None).cast("int").alias("segment_index"), F.lit(confidence).cast("decimal(5,4)").alias("confidence"), F.lit(producer).alias("producer")))
+
+
+def _labelled(texts: DataFrame, fields: DataFrame) -> DataFrame:
+    """The lines 'label: value' of texts (type, text, ...) whose label means a field of the type."""
+    kept = [c for c in texts.columns if c != "text"]
+    lines = texts.select(*kept, F.explode(F.split("text", "\n")).alias("line"))
+    pairs = lines.select(*kept, normal_label(F.regexp_extract("line", r"^\s*([^:=]{2,40})\s*[:=]", 1)).alias("label"), F.trim(F.regexp_extract("line", r"^[^:=]{2,40}[:=]\s*(.+)$", 1)).alias("value_raw")).where("label <> '' and value_raw <> ''")
+    named = fields.select("type", "field", "field_type", normal_label(F.col("alias")).alias("label"))
+    return pairs.join(F.broadcast(named), ["type", "label"])
+
+
 def extract_rows(rows: DataFrame, types: DataFrame, fields: DataFrame, producer: str, confidence: float = 0.9) -> DataFrame:
     """Candidates of table rows (run_id, file, sheet, row_no, cells, places); types: run_id, type."""
     cells = rows.where("error_code is null").join(types, "run_id").select("run_id", "type", "file", "sheet", F.explode("cells").alias("header", "value_raw"), F.col("places").alias("_p"))

@@ -27,14 +27,15 @@ def resolve(candidates: DataFrame, key: list[str] | None = None) -> DataFrame:
 def conflicts(candidates: DataFrame, tolerances: DataFrame) -> DataFrame:
     """(run_id, field, delta, days, beyond): how far a field's candidates lie apart, against its tolerance.
 
-    tolerances: field, absolute, days. A field without a tolerance must have one value.
+    tolerances: field, absolute, days, and type where candidates have one. A field without a tolerance must have one value.
     """
-    spread = candidates.groupBy("run_id", "field").agg(
+    on = ["type", "field"] if "type" in tolerances.columns else ["field"]
+    spread = candidates.groupBy("run_id", *on).agg(
         (F.max("value_dec") - F.min("value_dec")).alias("delta"),
         F.datediff(F.max("value_date"), F.min("value_date")).alias("days"),
         F.count_distinct("value_norm").alias("values"),
     )
-    near = spread.join(F.broadcast(tolerances.withColumnRenamed("days", "most_days")), "field", "left")
+    near = spread.join(F.broadcast(tolerances.withColumnRenamed("days", "most_days")), on, "left")
     beyond = F.when(F.col("absolute").isNotNull() & F.col("delta").isNotNull(), F.col("delta") > F.col("absolute")).when(F.col("most_days").isNotNull() & F.col("days").isNotNull(), F.col("days") > F.col("most_days")).otherwise(F.col("values") > 1)
     return near.select("run_id", "field", "delta", "days", "values", beyond.alias("beyond"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..operators import detection, extraction, merging, routing
 from ..sources import files as sources
 
 ENGINE_VERSION = "1.0.0"
+#: Embedded messages are opened down to this depth.
+MOST_DEPTH = 3
 
 
 def _rows(df: DataFrame, *columns: str) -> list[tuple]:
@@ -16,39 +22,60 @@ def _rows(df: DataFrame, *columns: str) -> list[tuple]:
     return [tuple(r[c] for c in columns) for r in df.select(*columns).orderBy(*columns).collect()]
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared checkpoint folder, so that no later branch opens messages again."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    path = f"{root.rstrip('/')}/sluiceway-run-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str, workflow_id: str, version: str) -> DataFrame:
     """messages (see sources.files.MESSAGE) -> one terminal row for each run, with what an audit needs.
 
     run_id, client_id, workflow_id, package_version, engine_version, type, confidence, outcome, reasons,
     fields (array of field and triple).
     """
-    runs = messages.select("run_id", "body", "error_code", "attachments")
+    runs = messages.select("run_id", "body", "depth", "error_code", "attachments", "embedded")
     errors = runs.where("error_code is not null").select("run_id", F.col("error_code").alias("code"))
     whole = runs.where("error_code is null")
     segments = detection.segment(whole)
-    scores = detection.score_types(segments, _rows(package["keywords"], "type", "term", "weight"), _rows(package["patterns"], "type", "regex", "weight"), _rows(package["negatives"], "type", "term"))
+    scores = detection.score_types(segments, _rows(package["keywords"], "type", "term", "weight"), _rows(package["patterns"], "type", "regex", "weight"), _rows(package["negatives"], "type", "term"), entities=_rows(package["entities"], "type", "entity", "weight"))
     locked = detection.lock_type(scores, package["types"])
     typed = locked.where("type is not null").select("run_id", "type")
     named = package["schema_fields"].select("type", "field", "field_type").join(package["aliases"], ["type", "field"], "left").select("type", "field", "field_type", F.explode(F.array_distinct(F.array(F.coalesce("alias", "field"), F.regexp_replace("field", "_", " ")))).alias("alias"))
-    attached = sources.attachments(whole)
+    opened = _kept(sources.expand_embedded(whole, MOST_DEPTH)[0], "messages")
+    too_deep = opened.where((F.col("depth") == MOST_DEPTH) & (F.size("embedded") > 0)).select("run_id", F.lit("embedded_depth_exceeded").alias("code")).distinct()
+    every = sources.away(opened)
+    unread = sources.at_home(every.where("error_code is not null")).select("run_id", F.concat(F.lit("attachment_parse_failed:embedded:"), "origin").alias("code"))
+    attached = sources.attachments(every)
     csv_rows, sheet_rows = sources.parse_csv(attached), sources.parse_xlsx(attached)
-    candidates = merging.union_candidates(
-        extraction.extract_body(segments.join(typed, "run_id"), named),
-        extraction.extract_rows(csv_rows, typed, named, "csv_parser"),
-        extraction.extract_rows(sheet_rows, typed, named, "spreadsheet_parser"),
+    documents, pages = sources.parse_docx(attached), sources.parse_pdf(attached)
+    # The type is locked on the outer message, and every embedded one is read as of that type.
+    typed_all = sources.away(opened.select("run_id", "origin").join(typed, "run_id")).select("run_id", "type")
+    parsed = merging.union_candidates(
+        extraction.extract_body(detection.segment(every).join(typed_all, "run_id"), named),
+        extraction.extract_rows(csv_rows, typed_all, named, "csv_parser"),
+        extraction.extract_rows(sheet_rows, typed_all, named, "spreadsheet_parser"),
+        extraction.extract_texts(documents, typed_all, named, "doc_parser"),
+        extraction.extract_texts(pages, typed_all, named, "pdf_parser"),
     )
+    inside = F.when(F.col("origin") == "", F.col("source")).otherwise(F.concat(F.lit("embedded:"), "origin", F.lit("/"), "source"))
+    candidates = _kept(sources.at_home(parsed).withColumn("source", inside).drop("origin"), "candidates")
     resolved = merging.resolve(candidates)
     required = routing.required_of(typed, package["schema_fields"])
     scored = routing.confidence(required, resolved, merging.agreement(candidates))
-    failed = csv_rows.unionByName(sheet_rows).where("error_code is not null").select("run_id", F.col("error_code").alias("code"))
+    failed = reduce(DataFrame.unionByName, [x.where("error_code is not null").select("run_id", F.col("error_code").alias("code")) for x in (csv_rows, sheet_rows, documents, pages)])
+    of_files = sources.at_home(sources.attachment_flags(attached).unionByName(failed)).select("run_id", "code")
     invalid = extraction.validate(resolved.join(typed, "run_id"), package["schema_fields"])
-    flags = sources.attachment_flags(attached).unionByName(failed).unionByName(locked.where("ambiguous").select("run_id", F.lit("classification_ambiguous").alias("code"))).join(typed, "run_id", "left")
+    flags = of_files.unionByName(unread).unionByName(too_deep).unionByName(locked.where("ambiguous").select("run_id", F.lit("classification_ambiguous").alias("code"))).join(typed, "run_id", "left")
     unclassified = flags.where("type is null").select("run_id", "code")
     codes = routing.reasons(
         flags.where("type is not null"),
         package["always_review"],
         routing.missing(required, resolved),
-        merging.conflicts(candidates, package["tolerances"].drop("type").dropDuplicates(["field"])),
+        merging.conflicts(candidates.join(typed, "run_id"), package["tolerances"]),
         scored.join(typed, "run_id"),
         package["bands"],
         required.where("critical").select("run_id", "field"),

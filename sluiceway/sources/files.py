@@ -82,18 +82,30 @@ def ingest(files: DataFrame, id_column: str = "path") -> DataFrame:
 def expand_embedded(messages: DataFrame, most_depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """All messages down to most_depth, and flags (run_id, code) of runs that go deeper.
 
-    One pass for each level: the depth is checked before a level is opened.
+    One pass for each level: the depth is checked before a level is opened. origin is the depth and the
+    place of an embedded message, such as 2:0.1, and empty for the outer one.
     """
-    level, found = messages, messages
-    flags = None
+    level = found = messages.withColumn("origin", F.lit(""))
     for depth in range(1, most_depth + 1):
-        inner = level.select("run_id", F.explode("embedded").alias("content")).withColumn("depth", F.lit(depth))
-        level = ingest(inner, "run_id")
+        each = level.select("run_id", "origin", F.posexplode("embedded").alias("place", "content"))
+        above = F.concat(F.substring_index("origin", ":", -1), F.lit(".")) if depth > 1 else F.lit("")
+        inner = each.select(F.concat("run_id", F.lit(f"\0{depth}:"), above, F.col("place").cast("string")).alias("id"), "content", F.lit(depth).alias("depth"))
+        level = at_home(ingest(inner, "id")).select(*found.columns)
         found = found.unionByName(level)
     flags = level.where(F.size("embedded") > 0).select("run_id", F.lit("embedded_depth_exceeded").alias("code")).distinct()
     return found, flags
 
 
+def away(messages: DataFrame) -> DataFrame:
+    """Messages whose run_id holds their origin too, so that it passes through every parser."""
+    return messages.withColumn("run_id", F.concat("run_id", F.lit("\0"), "origin"))
+
+
+def at_home(rows: DataFrame) -> DataFrame:
+    """Rows with run_id and origin apart again."""
+    return rows.withColumns({"run_id": F.substring_index("run_id", "\0", 1), "origin": F.substring_index("run_id", "\0", -1)})
+
+
 def attachments(messages: DataFrame) -> DataFrame:
     """run_id, name, mime, kind, encrypted, content: kind by the first bytes, never by the name."""
     each = messages.select("run_id", F.explode("attachments").alias("a")).select("run_id", "a.name", "a.mime", "a.content")
@@ -204,6 +216,10 @@ def _docx_text(name: str, content: bytes) -> list[dict]:
     return [{"page_no": 1, "text": "\n".join(lines), "path": "docx"}]
 
 
+#: Shown strings, and the operators that move to another line.
+_PDF_TEXT = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*(Tj|'|\")|\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ|(-?(?:\d+\.?\d*|\.\d+))\s+(Td|TD|Tm)\b|(T\*|\bET\b)")
+
+
 def _pdf_text(name: str, content: bytes) -> list[dict]:
     """Text operators of plain and deflated content streams; a PDF without any fails (no OCR here)."""
     out = []
@@ -213,8 +229,16 @@ def _pdf_text(name: str, content: bytes) -> list[dict]:
             data = zlib.decompressobj().decompress(data, MOST_MEMBER)
         if b"BT" not in data:
             continue
-        parts = re.findall(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")|\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ", data)
-        text = " ".join((a or b"".join(re.findall(rb"\(((?:\\.|[^\\()])*)\)", b))).decode("latin-1") for a, b in parts)
+        lines: list[list[str]] = [[]]
+        height = b""
+        for a, show, b, y, move, new in _PDF_TEXT.findall(data):
+            if new or (move in (b"Td", b"TD") and float(y) != 0) or (move == b"Tm" and y != height) or show in (b"'", b'"'):
+                lines.append([])
+            if move == b"Tm":
+                height = y
+            if show or b:
+                lines[-1].append((a if show else b"".join(re.findall(rb"\(((?:\\.|[^\\()])*)\)", b))).decode("latin-1"))
+        text = "\n".join(" ".join(line) for line in lines if line)
         out.append({"page_no": len(out) + 1, "text": re.sub(r"\\([()\\])", r"\1", text), "path": "pdf_text"})
     if not any(r["text"].strip() for r in out):
         raise ValueError("no text")

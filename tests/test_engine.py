@@ -153,6 +153,59 @@ def test_documents_and_pdf(spark: SparkSession) -> None:
     assert {(r.file, r.text, r.error_code) for r in files.parse_pdf(attached).collect()} == {("b.pdf", "Total: 5", None), ("c.pdf", None, "attachment_parse_failed:c.pdf")}
 
 
+def docx(*lines: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="x">' + "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in lines) + "</w:document>")
+    return out.getvalue()
+
+
+def holding(body: str, inner: bytes) -> bytes:
+    import email
+    import email.policy
+
+    m = EmailMessage()
+    m["Message-ID"] = "<o@example.org>"
+    m.set_content(body)
+    m.add_attachment(email.message_from_bytes(inner, policy=email.policy.default))
+    return m.as_bytes()
+
+
+def test_documents_and_embedded_messages_reach_the_run(spark: SparkSession, tmp_path: Path) -> None:
+    pdf = b"%PDF-1.4\nstream\nBT 1 0 0 1 50 700 Tm (Total: 5.00) Tj 0 -14 Td (Due:) Tj 30 0 Td (2024-05-01) Tj ET\nendstream\n"
+    deep = mail("deepest")
+    for _ in range(4):
+        deep = holding("An invoice\nTotal: 7\nDue: 2024-05-01\n", deep)
+    mails = {
+        "pdf": mail("An invoice\n", ("a.pdf", "application/pdf", pdf)),
+        "docx": mail("An invoice\n", ("a.docx", "application/x", docx("Total: 6.00", "Due: 2024-05-02"))),
+        "inner": holding("An invoice\n", mail("Total: 8\n", ("i.csv", "text/csv", b"total,due\n8,2024-05-03\n"))),
+        "inner_pdf": holding("An invoice\n", mail("see file\n", ("b.pdf", "application/pdf", pdf))),
+        "bad_pdf": mail("An invoice\nTotal: 7\nDue: 2024-05-01\n", ("c.pdf", "application/pdf", b"%PDF-1.4")),
+        "deep": deep,
+    }
+    package = packages.load_package(spark, write_package(tmp_path / "d", accept=0.5))
+    package["always_review"] = package["always_review"].unionByName(spark.createDataFrame([("invoice", "embedded_depth_exceeded")], "type string, prefix string"))
+    done = {r.run_id: r for r in process(files.ingest(spark.createDataFrame(list(mails.items()), "path string, content binary")), package, "acme", "invoices", "1.0.0").collect()}
+    values = {k: {f.field: (f.triple.value, f.triple.source) for f in r.fields} for k, r in done.items()}
+    assert {k: v[0] for k, v in values["pdf"].items()} == {"amount": "5.00", "due_date": "2024-05-01"} and values["pdf"]["amount"][1] == "attachment:a.pdf#p1"
+    assert {k: v[0] for k, v in values["docx"].items()} == {"amount": "6.00", "due_date": "2024-05-02"}
+    assert values["inner"]["due_date"] == ("2024-05-03", "embedded:1:0/attachment:i.csv#row2:due")
+    assert values["inner_pdf"]["amount"][1] == "embedded:1:0/attachment:b.pdf#p1"
+    assert [done[k].outcome for k in ("pdf", "docx", "inner", "inner_pdf")] == ["extracted"] * 4
+    assert done["bad_pdf"].reasons == ["attachment_parse_failed:c.pdf"]
+    assert done["deep"].reasons == ["embedded_depth_exceeded"]
+
+
+def test_entities_score_and_tolerances_keep_their_type(spark: SparkSession, tmp_path: Path) -> None:
+    package = packages.load_package(spark, write_package(tmp_path / "e", accept=0.3))
+    package["entities"] = spark.createDataFrame([("invoice", "MONEY", 0.7)], "type string, entity string, weight double")
+    package["tolerances"] = spark.sql("SELECT 'other' AS type, 'amount' AS field, CAST(0 AS DECIMAL(18,2)) AS absolute, CAST(NULL AS INT) AS days UNION ALL SELECT 'invoice', 'amount', CAST(100 AS DECIMAL(18,2)), NULL")
+    mails = [("a", mail("Pay EUR 12.00\nTotal: 12\nDue: 2024-05-01\n", ("t.csv", "text/csv", b"total,due\n50,2024-05-01\n")))]
+    one = process(files.ingest(spark.createDataFrame(mails, "path string, content binary")), package, "acme", "invoices", "1.0.0").first()
+    assert (one.type, one.outcome, one.reasons) == ("invoice", "extracted", [])
+
+
 def test_scalars(spark: SparkSession) -> None:
     row = spark.range(1).select(
         fn.parse_amount(F.lit("EUR 1.240,50")).alias("a"), fn.parse_amount(F.lit("$1,240.50")).alias("b"), fn.parse_amount(F.lit("none")).alias("c"), fn.parse_date(F.lit("01.05.2024")).alias("d"),
