@@ -17,9 +17,11 @@ EDGES_PER_PART = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one where it names none (tests)."""
+    """The shared folder that the cluster names; where it names none, a temporary one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sluiceway-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,7 +49,6 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-
     def last(self, df: DataFrame, name: str) -> DataFrame:
         """Keeps this table and deletes all others."""
         kept = self.keep(df, name)
@@ -55,6 +56,14 @@ class Scratch:
         return kept
 
 
+def fresh(name: str, *taken: list[str]) -> str:
+    """This name, with as many underscores before it as it takes to clash with none of those taken; case does not count."""
+    known = {c.lower() for names in taken for c in names}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def only(rows: DataFrame, ids: DataFrame, on: list[str], limit: int = 1_000_000) -> DataFrame:
     """The rows whose key is among ids; these are broadcast only where a count proves them few."""
     return rows.join(F.broadcast(ids) if ids.count() <= limit else ids, on, "left_semi")

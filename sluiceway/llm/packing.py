@@ -132,6 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
                 for x in coded:
                     df[np.unique(np.frombuffer(x, tokens.dtype))] += 1
                 yield pa.record_batch([part.column(0), pa.array(coded, pa.binary()), pa.array([len(x) // tokens.dtype.itemsize for x in coded], pa.int64()), pa.nulls(n, pa.int64())], ["doc_id", "ids", "n", "token"])
+        tokens.forget()
         seen = np.flatnonzero(df)
         if len(seen):
             yield pa.record_batch([pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.binary()), pa.array(df[seen]), pa.array(seen)], ["doc_id", "ids", "n", "token"])
@@ -148,9 +149,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     stats = spark.sparkContext.broadcast(Statistics(idf, total.tokens / max(1, total.docs)))
 
     def shard(key: tuple, table: pa.Table) -> pa.Table:
-        dtype = load(tokenizer).dtype
         table = table.sort_by([("doc_id", "ascending"), ("n", "ascending")])
-        ids, texts = table.column("doc_id").to_pylist(), [np.frombuffer(x.as_buffer(), dtype) for x in table.column("ids")]
+        ids = table.column("doc_id").to_pylist()
+        # Every document has at least one id, so the bytes tell how wide an id is.
+        texts = [np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // n}") for x, n in zip(table.column("ids"), table.column("n").to_pylist(), strict=True)]
         pieces = fill([len(x) for x in texts], ShardIndex(texts, stats.value), window)
         base = key[0].as_py() << 32
         columns = [

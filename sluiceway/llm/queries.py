@@ -25,14 +25,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import document_evidence, identify, text_model
 
     docs = _table(spark, sf_dir, "documents")
-    return identify(document_evidence(docs), text_model(docs)).select("doc_id", "lang_id", "posterior", "text_lang", "accepted")
+    return identify(document_evidence(docs), text_model(docs), columns=["doc_id"]).select("doc_id", "lang_id", "posterior", "text_lang", "accepted")
 
 
 def op2_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify, page_evidence, text_model
 
     evidence = page_evidence(_table(spark, sf_dir, "pages"))
-    return identify(evidence, text_model(_table(spark, sf_dir, "documents"))).select("page_id", "lang_id", "posterior", "text_lang", "declared", "suffix", "accepted")
+    judged = identify(evidence, text_model(_table(spark, sf_dir, "documents")), columns=["page_id", "declared", "suffix"])
+    return judged.select("page_id", "lang_id", "posterior", "text_lang", "declared", "suffix", "accepted")
 
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import os
-from bisect import bisect_right
+from array import array
 from itertools import islice
 
 import numpy as np
 
-#: Chunks that a worker remembers (about 250 MB) before it forgets the half that it met last, mostly rare ones.
-MEMO_CHUNKS = 1_200_000
+#: Chunks that a worker remembers (about 60 MB) before it forgets the half that it met last, mostly rare ones.
+MEMO_CHUNKS = 300_000
+#: Signs that the tokenizer splits off a word, and texts joined for one call.
+SIGNS, TOGETHER = b".,;:!?", 100
 _LOADED: dict[str, WordTokens] = {}
 
 
 class WordTokens:
     """A tokenizer whose pre-tokens never cross white space, so a text's ids are those of its chunks in order.
 
-    That holds for tokenizers that split at white space and drop it. Texts that could hold a special
-    token, or white space that only Python knows, are encoded as a whole.
+    That holds for tokenizers that split at white space and drop it. Where the tokenizer lower-cases, so
+    do the chunks (A-Z only), and where it splits a sign off a word, chunks are put together from both;
+    a probe of each shows whether it does. Texts that could hold a special token are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -25,41 +28,60 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.dtype, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
         self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.memo: dict[str, bytes] = {}
+        self.folds = self._whole("ABC Xyz") == self._whole("abc xyz")
+        self.signs = bytes(c for c in SIGNS if self._whole(f"word{chr(c)}") == self._whole(f"word {chr(c)}"))
+        self.memo: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[bytes]) -> None:
         """Encodes chunks in joined lines; a token belongs to the chunk in which it starts."""
-        for k in range(0, len(chunks), 50):
-            part = chunks[k : k + 50]
-            starts, at = [], 0
-            for c in part:
-                starts.append(at)
-                at += len(c) + 1
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = [[] for _ in part]
-            for i, (start, _) in zip(found.ids, found.offsets, strict=True):
-                ids[bisect_right(starts, start) - 1].append(i)
-            for c, x in zip(part, ids, strict=True):
-                self.memo[c] = np.array(x, self.dtype).tobytes()
+        parted = [c for c in chunks if c[-1] in self.signs and c[:-1].isalpha()]
+        if parted:
+            whole = set(chunks).difference(parted)
+            known = self.memo
+            chunks = [*whole, *({x for c in parted for x in (c[:-1], c[-1:])} - whole - known.keys())]
+        for k in range(0, len(chunks), TOGETHER):
+            part = chunks[k : k + TOGETHER]
+            texts = [c.decode("utf-8", "surrogatepass") for c in part]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids, n, held = found.ids, 0, 0
+            starts = [start for start, _ in found.offsets]
+            end = -1
+            for c, text in zip(part, texts, strict=True):
+                end += len(text) + 1
+                while n < len(starts) and starts[n] < end:
+                    n += 1
+                self.memo[c] = array(self.code, ids[held:n]).tobytes()
+                held = n
+        for c in parted:
+            self.memo[c] = self.memo[c[:-1]] + self.memo[c[-1:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype; none for a null text."""
-        split = [None if self._odd(t) else t.split() for t in (t or "" for t in texts)]
+        split: list[list[bytes] | None] = []
+        for text in texts:
+            if text and any(m in text for m in self.marks):
+                split.append(None)
+            else:
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                split.append((raw.lower() if self.folds else raw).split())
+        seen = set().union(*(chunks for chunks in split if chunks))
+        new = seen - self.memo.keys()
+        if len(self.memo) + len(new) > MEMO_CHUNKS and self.memo:
+            self.memo = dict(islice(self.memo.items(), MEMO_CHUNKS // 2))
+            new = seen - self.memo.keys()
+        self._learn(list(new))
         memo = self.memo
-        fresh = list({c for chunks in split if chunks for c in chunks if c not in memo})
-        if len(memo) + len(fresh) > MEMO_CHUNKS and memo:
-            memo = self.memo = dict(islice(memo.items(), MEMO_CHUNKS // 2))
-            fresh = list({c for chunks in split if chunks for c in chunks if c not in memo})
-        self._learn(fresh)
-        return [self._whole(t) if chunks is None else b"".join([memo[c] for c in chunks]) for t, chunks in zip(texts, split, strict=True)]
+        return [self._whole(text) if chunks is None else b"".join([memo[c] for c in chunks]) for text, chunks in zip(texts, split, strict=True)]
 
-    def _odd(self, text: str) -> bool:
-        return any(m in text for m in self.marks) or any(c in text for c in "\x1c\x1d\x1e\x1f")
+    def forget(self) -> None:
+        """Empties the memo, so that a worker holds it only while a task tokenizes."""
+        self.memo = {}
 
 
 def load(path: str) -> WordTokens:
