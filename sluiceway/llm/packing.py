@@ -1,10 +1,11 @@
 """Lexical retrieval packing: a sharded BM25 index finds unused neighbours that fill a seed's window.
 
-Token statistics (document frequencies, mean length) are counted over all documents. Documents are
-dealt to shards of a bounded number of tokens by a hash of the id; each shard indexes its documents'
-rarer tokens. A seed document asks the index for its nearest unused documents, which follow it until
-the window is full; what is cut off the last one opens the next window as its seed, so every window of
-a shard but its last is full.
+Token statistics (document frequencies, mean length) are counted over all documents. Documents are dealt
+by content: each gets the tokens that weigh most in it, the whole table is range-partitioned and sorted
+by these, and runs of a bounded number of tokens are the shards, so that documents about the same lie in
+the same shard. A seed document asks its shard's index, by all its tokens, for its nearest unused
+documents, which follow it until the window is full; what is cut off the last one opens the next window
+as its seed, so every window of a shard but its last is full.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,48 +23,87 @@ from .common import Scratch
 from .tokens import load
 
 WINDOW, END = 4096, 2
-#: Tokens of a shard, on average.
+#: Tokens of a shard, at least, unless its partition ends.
 SHARD_TOKENS = 2_000_000
-#: Terms of a query, and the share of documents from which a token is no term.
-QUERY_TERMS, COMMON = 24, 0.1
+#: Tokens by which a document is dealt, and the share of a shard's documents from which a token's weights are kept dense.
+DEALT_BY, DENSE = 3, 0.1
+#: Shards of a task that have a number of their own in sequence_id.
+TASK_SHARDS = 4096
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bm25 float"
 
 
 @dataclass
 class Statistics:
-    """Of all documents: their number, mean length and the inverse document frequency of each token (0: no term)."""
+    """Of all documents: the inverse document frequency of each token (0: no other document has it) and the mean length."""
 
     idf: np.ndarray
     mean: float
 
+    def weights(self, token: np.ndarray, tf: np.ndarray, length: np.ndarray | float) -> np.ndarray:
+        """BM25 of tokens that occur tf times in documents of these lengths."""
+        return self.idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(self.mean, 1e-9)))
+
+
+def heaviest(ids: np.ndarray, stats: Statistics) -> list[int]:
+    """The DEALT_BY tokens that weigh most in a document, -1 where it has fewer; of equal weights the smaller token."""
+    token, tf = np.unique(ids, return_counts=True)
+    weight = stats.weights(token, tf, len(ids))
+    best = np.lexsort((token, -weight))[:DEALT_BY]
+    return [int(token[k]) if weight[k] > 0 else -1 for k in best] + [-1] * (DEALT_BY - len(best))
+
 
 class ShardIndex:
-    """BM25 postings of the documents of one shard."""
+    """BM25 weights of the documents of one shard: postings of rare tokens, a dense table of frequent ones."""
 
     def __init__(self, docs: list[np.ndarray], stats: Statistics):
         self.n = len(docs)
-        flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(self.n, dtype=np.int64), [len(d) for d in docs])
-        flat = np.minimum(flat.astype(np.int64), len(stats.idf) - 1)
-        term = stats.idf[flat] > 0
-        cells, tf = np.unique(flat[term] << 32 | owner[term], return_counts=True)
-        self.token, self.doc = cells >> 32, (cells & 0xFFFFFFFF).astype(np.int64)
-        length = np.array([len(d) for d in docs], np.float64)
-        norm = K1 * (1 - B + B * length / max(stats.mean, 1e-9))
-        self.weight = stats.idf[self.token] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.bounds = np.searchsorted(self.token, np.arange(len(stats.idf) + 1))
-        order = np.lexsort((self.token, -self.weight, self.doc))
-        self.by_doc, self.doc_bounds = self.token[order], np.searchsorted(self.doc[order], np.arange(self.n + 1))
+        known = stats.idf[flat] > 0
+        cells, tf = np.unique(flat[known] << 32 | owner[known], return_counts=True)
+        token, doc = cells >> 32, cells & 0xFFFFFFFF
+        weight = stats.weights(token, tf, np.array([len(d) for d in docs], np.float64)[doc]).astype(np.float32)
+        tokens, at, held = np.unique(token, return_inverse=True, return_counts=True)
+        frequent = held > max(DENSE * self.n, 1)
+        place = np.cumsum(frequent) - 1
+        many = frequent[at]
+        self.dense = np.zeros((self.n, int(frequent.sum())), np.float32)
+        self.dense[doc[many], place[at[many]]] = weight[many]
+        self.doc, self.weight = doc[~many], weight[~many]
+        low = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.where(frequent, 0, held))])
+        self.low, self.high = low[:-1], low[1:]
+        # The tokens of each document, by their places in `tokens`.
+        order = np.argsort(doc, kind="stable")
+        self.terms, self.bounds = at[order], np.searchsorted(doc[order], np.arange(self.n + 1))
+        self.frequent, self.place = frequent, place
 
     def scores(self, doc: int) -> np.ndarray:
-        """Every document's score for the heaviest terms of this one."""
-        low = self.doc_bounds[doc]
-        terms = self.by_doc[low : min(self.doc_bounds[doc + 1], low + QUERY_TERMS)]
-        if not len(terms):
-            return np.zeros(self.n)
-        at = np.concatenate([np.arange(self.bounds[t], self.bounds[t + 1]) for t in terms.tolist()])
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        """Every document's score for the tokens of this one."""
+        terms = self.terms[self.bounds[doc] : self.bounds[doc + 1]]
+        often = self.frequent[terms]
+        asked = np.zeros(self.dense.shape[1], np.float32)
+        asked[self.place[terms[often]]] = 1
+        out = (self.dense @ asked).astype(np.float64)
+        low, size = self.low[terms[~often]], (self.high - self.low)[terms[~often]]
+        if len(size):
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(low - (ends - size), size)
+            out += np.bincount(self.doc[at], self.weight[at], self.n)
+        return out
+
+
+def best_first(score: np.ndarray) -> Iterator[int]:
+    """Places in falling order of score, of equal scores the first; sorts no more than it is asked for."""
+    most = 64
+    if len(score) > 4 * most:
+        bar = np.partition(score, len(score) - most)[len(score) - most]
+        top = np.flatnonzero(score > bar)
+        yield from top[np.argsort(-score[top], kind="stable")].tolist()
+        rest = np.flatnonzero(score <= bar)
+    else:
+        rest = np.arange(len(score))
+    yield from rest[np.argsort(-score[rest], kind="stable")].tolist()
 
 
 def fill(lengths: list[int], index: ShardIndex, window: int) -> list[tuple[int, int, int, int, int, float]]:
@@ -94,7 +135,7 @@ def fill(lengths: list[int], index: ShardIndex, window: int) -> list[tuple[int,
             continue
         # The window has room: the seed's nearest unused documents, then any.
         score = np.where(unused, index.scores(seed), -1.0)
-        for near in np.lexsort((np.arange(len(score)), -score))[: window].tolist() if index.n else []:
+        for near in best_first(score):
             if score[near] <= 0:
                 break
             unused[near] = False
@@ -112,8 +153,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     unsigned 32-bit. A piece lies at `offset` of its sequence, without gaps from 0; start counts the
     document's ids before it; bm25 is its document's score for the seed (0 for seeds and their rests).
     A null text is empty (one id, `end`); a null doc_id is dropped; repeated rows are documents of their
-    own; other columns are ignored; an empty table has no pieces. Of equal scores the smaller doc_id
-    comes first.
+    own; other columns are ignored; an empty table has no pieces. Of equal scores the document that
+    comes first in its shard's order (heaviest tokens, hash of the ids, doc_id) comes first; rows that
+    are equal in all of these have equal ids.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -139,33 +181,61 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
     coded = scratch.keep(rows.mapInArrow(tokenize, "doc_id long, ids binary, n long, token long"), "tokens")
     total = coded.where("doc_id is not null").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    shards = max(1, -(-total.tokens // shard_tokens))
     # One row for each token of the vocabulary at most.
     frequent = coded.where("doc_id is null").groupBy("token").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(max([0, *(r.token for r in frequent)]) + 1)
     for r in frequent:
         df[r.token] = r.n
-    idf = np.where((df > 1) & (df <= max(2, COMMON * total.docs)), np.log1p((total.docs - df + 0.5) / (df + 0.5)), 0.0)
+    idf = np.where(df > 1, np.log1p((total.docs - df + 0.5) / (df + 0.5)), 0.0)
     stats = spark.sparkContext.broadcast(Statistics(idf, total.tokens / max(1, total.docs)))
+    keys = [f"k{k}" for k in range(DEALT_BY)]
+
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        """The ids of each row; every document has at least one, so the bytes tell how wide an id is."""
+        cells = (x.as_buffer() for x in batch.column("ids"))
+        return [np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(cells, batch.column("n").to_pylist(), strict=True)]
 
-    def shard(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("n", "ascending")])
-        ids = table.column("doc_id").to_pylist()
-        # Every document has at least one id, so the bytes tell how wide an id is.
-        texts = [np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // n}") for x, n in zip(table.column("ids"), table.column("n").to_pylist(), strict=True)]
-        pieces = fill([len(x) for x in texts], ShardIndex(texts, stats.value), window)
-        base = key[0].as_py() << 32
-        columns = [
-            pa.array([ids[p[0]] for p in pieces], pa.int64()),
-            pa.array([p[1] for p in pieces], pa.int64()),
-            pa.array([p[2] for p in pieces], pa.int64()),
-            pa.array([texts[p[0]][p[1] : p[1] + p[2]].astype("<u4").tobytes() for p in pieces], pa.binary()),
-            pa.array([len(texts[p[0]]) for p in pieces], pa.int64()),
-            pa.array([base + p[3] for p in pieces], pa.int64()),
-            pa.array([p[4] for p in pieces], pa.int64()),
-            pa.array([p[5] for p in pieces], pa.float32()),
-        ]
-        return pa.table(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bm25"])
-
-    dealt = coded.where("doc_id is not null").select("doc_id", "ids", "n", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInArrow(shard, PIECES)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([heaviest(x, stats.value) for x in arrays(batch)], np.int32).reshape(-1, DEALT_BY)
+            yield pa.record_batch([*batch.columns, *(pa.array(found[:, k]) for k in range(DEALT_BY))], [*batch.schema.names, *keys])
+
+    dealt = coded.where("doc_id is not null").select("doc_id", "ids", "n").mapInArrow(deal, f"doc_id long, ids binary, n long, {', '.join(f'{k} int' for k in keys)}")
+    dealt = scratch.keep(dealt.withColumn("salt", F.xxhash64("ids", "doc_id")), "dealt")
+    scratch.free("tokens")
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs each run of shard_tokens ids of the task's sorted rows."""
+        shard, sequences, ids, texts, size = 0, TaskContext.get().partitionId() * TASK_SHARDS << 32, [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal shard, sequences
+            pieces = fill([len(x) for x in texts], ShardIndex(texts, stats.value), window)
+            columns = [
+                pa.array([ids[p[0]] for p in pieces], pa.int64()),
+                pa.array([p[1] for p in pieces], pa.int64()),
+                pa.array([p[2] for p in pieces], pa.int64()),
+                pa.array([texts[p[0]][p[1] : p[1] + p[2]].astype("<u4").tobytes() for p in pieces], pa.binary()),
+                pa.array([len(texts[p[0]]) for p in pieces], pa.int64()),
+                pa.array([sequences + p[3] for p in pieces], pa.int64()),
+                pa.array([p[4] for p in pieces], pa.int64()),
+                pa.array([p[5] for p in pieces], pa.float32()),
+            ]
+            # The shard stands in the high bits; a task's shards beyond TASK_SHARDS go on numbering in the last.
+            shard += 1
+            sequences = sequences + pieces[-1][3] + 1 if shard >= TASK_SHARDS else (sequences >> 32) + 1 << 32
+            return pa.record_batch(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bm25"])
+
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), arrays(batch), strict=True):
+                ids.append(doc)
+                texts.append(text)
+                size += len(text)
+                if size >= shard_tokens:
+                    yield packed()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield packed()
+
+    order = [*keys, "salt", "doc_id"]
+    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids", "n").mapInArrow(shards, PIECES)
