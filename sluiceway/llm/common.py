@@ -110,23 +110,24 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out + np.uint64(size))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 40) -> DataFrame:
-    """(u, v) long edges -> (node, component): the least node that each node reaches.
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", least: bool = True) -> DataFrame:
+    """(u, v) long edges -> (node, component): the least node that each node reaches; some node of these unless `least`.
 
-    Every round hooks each node to its least neighbour and contracts the graph; nothing is gathered
-    for a node but a minimum, so hubs cost a partial aggregate and a join that AQE can split. Tables are
-    written in as many parts as the edges left in the round ask for.
+    Every round hooks each node to the neighbour that a hash of the round puts first, and contracts the
+    graph; the hash makes a round shrink chains, stars and cliques alike by a share of their nodes.
+    Nothing is gathered for a node but a minimum, so hubs cost a partial aggregate and a join that AQE can
+    split. Tables are written in as many parts as the edges left in the round ask for.
     """
     spark = scratch.spark
     edges = scratch.keep(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{name}-e0")
     mapping: DataFrame | None = None
-    for k in range(max_rounds):
-        left = edges.count()
-        if not left:
-            break
+    k = nodes = 0
+    while left := edges.count():
         parts = 2 + left // EDGES_PER_PART
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        place = lambda c, k=k: F.struct(F.xxhash64(c, F.lit(k)).alias("p"), F.col(c).alias("node"))
+        first = both.groupBy("u").agg(F.min(place("v")).alias("m"))
+        hook = first.select("u", F.least("m", place("u"))["node"].alias("m"))
         hook = scratch.keep(hook.coalesce(parts), f"{name}-h{k}")
         above = hook.select(F.col("u").alias("m"), F.col("m").alias("mm"))
         hook = scratch.keep(hook.join(above, "m").select("u", F.col("mm").alias("m")).coalesce(parts), f"{name}-j{k}")
@@ -139,8 +140,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
             step = hook.select(F.col("u").alias("component"), "m")
             moved = mapping.join(step, "component", "left").select("node", F.coalesce("m", "component").alias("component"))
             mapping = scratch.keep(moved.coalesce(nodes), f"{name}-m{k}")
-    else:
-        raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
+        k += 1
     if mapping is None:
         return spark.createDataFrame([], "node long, component long")
+    if least:
+        low = mapping.groupBy("component").agg(F.min("node").alias("low"))
+        mapping = scratch.keep(mapping.join(low, "component").select("node", F.col("low").alias("component")), f"{name}-least")
     return mapping

@@ -4,14 +4,19 @@ Every document becomes a set of n-gram hashes; the order of the hashes is the gl
 Cut into more fragments than two sets over the threshold can differ in n-grams, the order has a
 fragment in which both sets are the same, so equal fragments find every candidate pair. The number
 of fragments follows from the size class of the smaller set. A candidate pair's overlap is counted in
-each fragment on its own and the counts are summed. Documents with equal sets are one class and are
-joined once.
+each of COUNTED fragments on its own, from rows that hold a set's n-grams of that fragment, and the
+counts are summed. Documents with equal sets are one class and are joined once.
+
+There are fragments to spare: linked sets are the same in more of them than a set may leave out. Fragments
+without n-grams are left out first, then those that the most classes hold (of shared passages, mostly).
+All sets leave out by the same order of fragments, so the rarest one in which two linked sets are the
+same stays with both, and no candidate is lost.
 
 The classes of one fragment are not paired with one another: they are compared with two pivots and
 linked, then with other pivots where they still lie in different components. When few pairs of
 different components are left, these are compared, which keeps every link between components while the
 work on a group of near copies grows with its size. A parity sketch of each set, whose bits differ in
-no more places than the sets in n-grams, tells most pairs apart before their texts are read; a finer
+no more places than the sets in n-grams, tells most pairs apart before their n-grams are read; a finer
 one, with fewer n-grams to a bit, does so for pairs that are close to the threshold.
 """
 
@@ -25,13 +30,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHasher, ascii_words, connected_components, mix, only, shingle_hashes
+from .common import Scratch, WordHasher, ascii_words, connected_components, fresh, mix, only, shingle_hashes
 
 #: Each size class reaches up to this times its least size.
 CLASS_STEP = 1.5
 #: Fragments in which a pair's overlap is counted.
 COUNTED = 16
+ROOM_BITS = 20
+#: Fragments to spare, for each by which linked sets may differ.
+SPARE = 0.3
 #: A fragment held by so many classes of a task, and so large a share of them, is dealt apart from the rest.
+#: Any other is held by less than 16 in a task and a thousandth of all classes, however thinly it is spread.
 HOT_LEAST, HOT_SHARE, MOST_BROADCAST = 16, 0.001, 1_000_000
 #: Rounds of pivots, at most, and the pairs of different components for each fragment row at which they end.
 ROUNDS, FEW = 2, 2
@@ -54,25 +63,27 @@ def class_of(n: int) -> tuple[int, int, int]:
 
 
 def fragment_plan(high: int, percent: int) -> tuple[int, int]:
-    """Fragments for sets of which the smaller has under `high` n-grams, and how many of them may be empty.
+    """Fragments for sets of which the smaller has under `high` n-grams, and how many of them a set may leave out.
 
     Sets of n and m n-grams with intersection / union >= J differ in at most (n + m)(1 - J)/(1 + J)
-    n-grams. One fragment more than that has to be the same in both, and as many more as may be empty.
+    n-grams. One fragment more than that has to be the same in both, and as many more as may be left out.
     """
     n = high - 1
     most = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
-    spare = 1 + most // 20
+    spare = 1 + int(SPARE * most)
     return (most + 1 + spare, spare) if most else (0, 0)
 
 
-def fragment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
-    """A hash of each fragment of a sorted set, for the size classes of all smaller sets that may link with it."""
-    n, out = len(grams), []
-    if not n:
-        return grams
+def fragment_keys(grams: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each fragment of a sorted set, for the size classes of all smaller sets that may link with it.
+
+    With each its room: the number of the size class in the high bits and, in the low ROOM_BITS, how many
+    more of the set's fragments for that class may be left out.
+    """
+    n, out, rooms = len(grams), [grams[:0]], [np.zeros(0, np.int32)]
     least, up_to = -(-n * percent // 100), n
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams))])
-    while up_to >= least:
+    while n and up_to >= least:
         k, low, high = class_of(up_to)
         fragments, spare = fragment_plan(high, percent)
         if fragments:
@@ -80,10 +91,12 @@ def fragment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
             bounds = np.searchsorted(of, np.arange(fragments + 1, dtype=np.uint64))
             keys = mix((sums[bounds[1:]] - sums[bounds[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(fragments, dtype=np.uint64) + np.uint64(k << 40))
             empty = bounds[1:] == bounds[:-1]
-            # Sets with more empty fragments than planned may agree in these alone.
-            out.append(keys if int(empty.sum()) > spare else keys[~empty])
+            room = spare - int(empty.sum())
+            # Sets with more empty fragments than they can spare may agree in these alone.
+            out.append(keys if room < 0 else keys[~empty])
+            rooms.append(np.full(len(out[-1]), k << ROOM_BITS | min(max(room, 0), (1 << ROOM_BITS) - 1), np.int32))
         up_to = low - 1
-    return np.concatenate(out) if out else grams[:0]
+    return np.concatenate(out), np.concatenate(rooms)
 
 
 def sketch_bits(n: int) -> int:
@@ -119,112 +132,108 @@ def _class_id(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id long, text string).
-
-    Two rows link when 100 * intersection >= percent * union of their n-gram sets. A null or wordless
-    text has an empty set, links with nothing and is its own component; a text of fewer than `size`
-    words has one n-gram, all its words. A null doc_id is dropped. Rows that repeat an id are
-    documents of their own; equal texts are one class. Other columns are ignored. An empty table
-    gives an empty table. N-grams and classes are told apart by 64-bit hashes.
-    """
-    scratch = Scratch(docs.sparkSession)
+def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, text_hash, n, component_id, component for each row of docs; component is null for empty sets (see jaccard_components)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, rows of fragments for each class of equal sets, and the fragments that many classes hold."""
         hasher, done, seen, held = WordHasher(), set(), [], 0
+        names = ["doc_id", "text_hash", "n", "key", "fragment", "room"]
 
         def often(classes: int) -> pa.RecordBatch:
             keys, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *seen]), return_counts=True)
             keys = keys[count >= HOT_LEAST + classes * HOT_SHARE]
             none = pa.nulls(len(keys), pa.int64())
-            return pa.record_batch([none, none, none, pa.array(keys.view(np.int64))], ["doc_id", "n", "key", "fragment"])
+            return pa.record_batch([none, none, none, none, pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.int32())], names)
 
-        def rows(ids: list, sizes: list, of: list, found: list, owner: list) -> pa.RecordBatch:
-            m = sum(map(len, found))
+        def rows(docs: list[tuple], found: list, rooms: list, owner: list) -> pa.RecordBatch:
+            n, m = len(docs), sum(map(len, found))
+            facts = [pa.array(c, pa.int64()) for c in zip(*docs, strict=True)]
             return pa.record_batch(
                 [
-                    pa.concat_arrays([pa.array(ids, pa.int64()), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.array(of, pa.int64()), pa.array(np.repeat(np.array(owner, np.int64), [len(x) for x in found]))]),
-                    pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))]),
+                    *(pa.concat_arrays([c, pa.nulls(m, pa.int64())]) for c in facts[:3]),
+                    pa.concat_arrays([facts[3], pa.array(np.repeat(np.array(owner, np.int64), [len(x) for x in found]))]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))]),
+                    pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rooms]))]),
                 ],
-                ["doc_id", "n", "key", "fragment"],
+                names,
             )
 
         for batch in batches:
-            ids, sizes, of, found, owner = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            facts, found, rooms, owner = [], [], [], []
+            for doc, text, text_hash in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 grams = ngram_set(text.as_py(), size, hasher)
                 key = _class_id(grams)
-                ids.append(doc)
-                sizes.append(len(grams))
-                of.append(key)
+                facts.append((doc, text_hash, len(grams), key))
                 if key not in done:
                     if len(done) < 200_000:
                         done.add(key)
-                    found.append(fragment_keys(grams, percent))
+                    keys, room = fragment_keys(grams, percent)
+                    found.append(keys)
+                    rooms.append(room)
                     owner.append(key)
-                    seen.append(found[-1])
-                    held += len(found[-1])
+                    seen.append(keys)
+                    held += len(keys)
                     if held > 4_000_000:
                         yield often(len(seen))
                         seen, held = [], 0
-                if len(ids) == 2000:
-                    yield rows(ids, sizes, of, found, owner)
-                    ids, sizes, of, found, owner = [], [], [], [], []
-            if ids:
-                yield rows(ids, sizes, of, found, owner)
+                if len(facts) == 2000:
+                    yield rows(facts, found, rooms, owner)
+                    facts, found, rooms, owner = [], [], [], []
+            if facts:
+                yield rows(facts, found, rooms, owner)
         yield often(len(seen))
 
-    first = scratch.keep(docs.mapInArrow(sketch, "doc_id long, n long, key long, fragment long"), "sketch")
-    base = first.where("doc_id is not null").select("doc_id", "n", "key")
-    index = first.where("key is not null and doc_id is null").select("fragment", "key")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text"))
+    first = scratch.keep(hashed.mapInArrow(sketch, "doc_id long, text_hash long, n long, key long, fragment long, room int"), "sketch")
+    base = first.where("doc_id is not null").select("doc_id", "text_hash", "n", "key")
+    index = first.where("key is not null and doc_id is null").select("fragment", "key", "room")
     # Fragments that many classes of some task hold are shared for sure: their rows need not meet in one place.
     hot = scratch.keep(first.where("key is null").select("fragment").distinct(), "hot")
-    shared = index.join(F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot, "fragment", "left_semi")
-    shared = shared.join(shared.groupBy("fragment").agg(F.min("key").alias("low"), F.max("key").alias("high")), "fragment").where("low <> high")
-    rest = index.join(F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot, "fragment", "left_anti")
+    few = hot.count() <= MOST_BROADCAST
+    shared = index.join(F.broadcast(hot) if few else hot, "fragment", "left_semi")
+    rest = index.join(F.broadcast(hot) if few else hot, "fragment", "left_anti")
     together = Window.partitionBy("fragment")
-    rest = rest.select("fragment", "key", F.min("key").over(together).alias("low"), F.max("key").over(together).alias("high")).where("low <> high")
-    index = scratch.keep(rest.unionByName(shared.select("fragment", "key", "low", "high")).distinct(), "shared")
+    rest = rest.select("fragment", "key", "room", F.min("key").over(together).alias("low"), F.max("key").over(together).alias("high")).where("low <> high")
+    index = scratch.keep(rest.select("fragment", "key", "room").unionByName(shared).distinct(), "shared")
+
+    # Of its shared fragments a class leaves out as many as it has room for, those of the most classes first.
+    held = index.groupBy("fragment").agg(F.count_distinct("key").alias("classes")).where("classes > 1")
+    most = Window.partitionBy("key", "room").orderBy(F.desc("classes"), "fragment")
+    ranked = index.join(held, "fragment").withColumn("rank", F.row_number().over(most))
+    left = scratch.keep(ranked.where(F.col("rank") > F.col("room").bitwiseAND(F.lit((1 << ROOM_BITS) - 1))).select("fragment", "key").distinct(), "needed")
+    ends = left.groupBy("fragment").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    index = scratch.keep(left.join(ends, "fragment"), "index")
+    scratch.free("shared", "needed")
 
     # One text of each class that shares a fragment.
     wanted = scratch.keep(only(base, index.select("key").distinct(), ["key"]).groupBy("key").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    cuts = np.array([(f << 64) // COUNTED for f in range(1, COUNTED)], np.uint64)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each text a row of its set's size and sketches, and a row for each fragment of the order with the n-grams there."""
         hasher = WordHasher()
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
-            sets = [ngram_set(t.as_py(), size, hasher) for t in batch.column(0)]
-            sketches = pa.array([parity_sketch(g) for g in sets], pa.list_(pa.int64()))
-            fine = pa.array([fine_sketch(g) for g in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array([_class_id(g) for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), sketches, fine, batch.column(0)], ["key", "n", "sketch", "fine", "text"])
-
-    chosen = only(docs, wanted.select("doc_id").distinct(), ["doc_id"]).select("text").mapInArrow(keyed, "key long, n long, sketch array<long>, fine array<long>, text string")
-    texts = scratch.keep(only(chosen, wanted.select("key"), ["key"]).dropDuplicates(["key"]), "texts")
-    facts = texts.select("key", "n", "sketch", "fine")
-
-    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each pair and fragment of the order the n-grams that both sets have there."""
-        hasher = WordHasher()
-        cuts = np.array([(f << 64) // COUNTED for f in range(1, COUNTED)], np.uint64)
-        known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in batches:
-            a, b, na, nb = (batch.column(k).to_pylist() for k in range(4))
-            counts = np.zeros((len(a), COUNTED), np.int64)
-            for k in range(len(a)):
-                if known[0] != b[k]:
-                    known = (b[k], ngram_set(batch.column(5)[k].as_py(), size, hasher))
-                both = np.intersect1d(ngram_set(batch.column(4)[k].as_py(), size, hasher), known[1], assume_unique=True)
-                counts[k] = np.diff([0, *np.searchsorted(both, cuts), len(both)])
-            at = [np.repeat(np.array(x, np.int64), COUNTED) for x in (a, b, na, nb)]
-            yield pa.record_batch([*map(pa.array, at), pa.array(np.tile(np.arange(COUNTED, dtype=np.int32), len(a))), pa.array(counts.ravel())], ["a", "b", "na", "nb", "part", "common"])
+            for k in range(0, batch.num_rows, 1000):
+                out = []
+                for text in batch.column(0).slice(k, 1000):
+                    g = ngram_set(text.as_py(), size, hasher)
+                    key = _class_id(g)
+                    out.append((key, -1, len(g), parity_sketch(g), fine_sketch(g), None))
+                    out += [(key, f, None, None, None, x.view(np.int64)) for f, x in enumerate(np.split(g, np.searchsorted(g, cuts))) if len(x)]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "part", "n", "sketch", "fine", "grams"])
+
+    chosen = only(docs, wanted.select("doc_id").distinct(), ["doc_id"]).select("text").mapInArrow(keyed, "key long, part int, n long, sketch array<long>, fine array<long>, grams array<long>")
+    sets = scratch.keep(only(chosen, wanted.select("key"), ["key"]).dropDuplicates(["key", "part"]), "sets")
+    facts = sets.where("part < 0").select("key", "n", "sketch", "fine")
+    grams = sets.where("part >= 0").select("key", "part", "grams")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, na, nb) -> (u, v) of the pairs whose fragment overlaps sum to the threshold."""
-        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-        partial = both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(overlaps, "a long, b long, na long, nb long, part int, common long")
+        """(a, b, na, nb) -> (u, v) of the pairs whose overlaps, counted fragment by fragment, sum to the threshold."""
+        one, other = (grams.select(F.col("key").alias(x), "part", F.col("grams").alias(f"g{x}")) for x in "ab")
+        partial = pairs.join(one, "a").join(other, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("common"))
         pair = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return pair.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -242,7 +251,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
         pairs = pivots.select("a", "b").distinct().join(side_a, "a").join(side_b, "b").where(near()).select("a", "b", "na", "nb")
         found = scratch.keep(verified(pairs), f"links{k}")
         links = found if links is None else links.unionByName(found)
-        comps = connected_components(links, scratch, f"cc{k}").withColumnRenamed("node", "key")
+        comps = connected_components(links, scratch, f"cc{k}", least=False).withColumnRenamed("node", "key")
         part = rows.join(comps, "key", "left").withColumn("component", F.coalesce("component", "key"))
         held = part.groupBy("fragment", "component").agg(F.count(F.lit(1)).alias("n"))
         still = held.groupBy("fragment").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("parts > 1")
@@ -263,22 +272,50 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
         others = full.select("fragment", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("fine").alias("fb"))
         pairs = ones.join(others, ["fragment", "slice"]).where(F.col("component") < F.col("other")).where(near()).select("a", "b", "na", "nb").distinct()
         found = scratch.keep(verified(pairs), "links-last")
-        comps = connected_components(links.unionByName(found), scratch, "cc-last").withColumnRenamed("node", "key")
+        comps = connected_components(links.unionByName(found), scratch, "cc-last", least=False).withColumnRenamed("node", "key")
     # Components of classes, then the least document of each.
     member = base.where("n > 0").join(comps, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = member.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    result = joined.unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    return scratch.last(result, "components")
+    joined = member.join(least, "component").select("doc_id", "text_hash", "n", "component_id", "component")
+    return joined.unionByName(base.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component")))
+
+
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id long, text string).
+
+    Two rows link when 100 * intersection >= percent * union of their n-gram sets. A null or wordless
+    text has an empty set, links with nothing and is its own component; a text of fewer than `size`
+    words has one n-gram, all its words. A null doc_id is dropped. Rows that repeat an id are
+    documents of their own; equal texts are one class. Other columns are ignored. An empty table
+    gives an empty table. N-grams and classes are told apart by 64-bit hashes.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = _classes(docs, size, percent, scratch)
+    return scratch.last(found.select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "components")
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The row with the least doc_id of each component, unchanged; of rows that repeat an id and text, one.
+    """One row of docs of each component, unchanged: that with the least doc_id, of equal ids the least hash of the text.
 
-    Rows without an id stay. Documents without words are in no component and all stay.
+    Of rows that repeat an id and text one stays. Rows without an id stay, and so do all documents
+    without words, which are in no component. An empty table stays empty; extra columns stay, whatever
+    their names.
     """
-    found = jaccard_components(docs, size, percent)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    gone = gone.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    gone = gone.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
-    return docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.last(_classes(docs, size, percent, scratch).where("component is not null").select("doc_id", "text_hash", "component"), "classes")
+    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+    gone = found.join(kept, "component").where(F.struct("doc_id", "text_hash") != F.col("kept")).select("doc_id", "text_hash").distinct()
+    again = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash")
+    mark, doc = fresh("_hash", docs.columns), fresh("_doc", docs.columns)
+    marked = docs.withColumns({mark: F.xxhash64(F.col("text").cast("string")), doc: F.col("doc_id").cast("long")})
+
+    def on(rows: DataFrame, name: str) -> tuple[DataFrame, Column]:
+        rows = scratch.keep(rows, name)
+        rows = rows.select(F.col("doc_id").alias(f"{doc}_x"), F.col("text_hash").alias(f"{mark}_x"))
+        return (F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows), (F.col(doc) == F.col(f"{doc}_x")) & (F.col(mark) == F.col(f"{mark}_x"))
+
+    left = marked.join(*on(gone, "gone"), "left_anti")
+    repeats, same = on(again, "again")
+    if not repeats.isEmpty():
+        left = left.join(repeats, same, "left_anti").unionByName(left.join(repeats, same, "left_semi").dropDuplicates([doc, mark]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

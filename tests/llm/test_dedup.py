@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from helpers import WHITE, frame, hard_texts, words
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from sluiceway.llm import ngram_join, substring_dedup
 from sluiceway.llm.common import Scratch, connected_components
@@ -96,7 +97,8 @@ def ngrams(text: str | None, size: int) -> frozenset:
     return frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def components(rows: list[tuple[int, str | None]], size: int, percent: int) -> list[tuple[int, int, int]]:
+def components(rows: list[tuple[int, str | None]], size: int, percent: int, roots: bool = False) -> list[tuple[int, int, int]]:
+    """(id, size of the set, least id of its component, or the number of a row of it) of each row."""
     sets = [ngrams(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -111,7 +113,7 @@ def components(rows: list[tuple[int, str | None]], size: int, percent: int) -> l
     least: dict[int, int] = {}
     for k, (i, _) in enumerate(rows):
         least[find(k)] = min(least.get(find(k), i), i)
-    return [(i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows)]
+    return [(i, len(sets[k]), find(k) if roots else least[find(k)]) for k, (i, _) in enumerate(rows)]
 
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
@@ -122,10 +124,43 @@ def test_ngram_join(spark: SparkSession, size: int, percent: int) -> None:
 
 
 def test_keep_one_of_each(spark: SparkSession) -> None:
+    """Repeated rows leave one, and a copy goes even if it shares its id with a row that stays."""
     rows = hard_texts(3)
-    kept = sorted(r.doc_id for r in ngram_join.keep_one_of_each(frame(spark, rows), 5, 80).collect())
-    assert kept == sorted(i for i, _, c in components(rows, 5, 80) if i == c)
-    assert ngram_join.keep_one_of_each(frame(spark, rows).limit(0)).isEmpty()
+    base = dict(rows)[5]
+    rows += [(3, base), (3, base), (5, "another text than the other row of this id has"), (None, base), (None, base)]
+    known = [r for r in rows if r[0] is not None]
+    docs = frame(spark, rows).withColumns({"_hash": F.lit(1), "component": F.lit(2), "text_hash": F.lit(3), "a.b": F.lit(4)})
+    found = ngram_join.keep_one_of_each(docs, 5, 80)
+    kept = sorted(((r.doc_id, r.text) for r in found.where("doc_id is not null").collect()), key=repr)
+    members: dict[int, set] = {}
+    for (i, t), (_, n, c) in zip(known, components(known, 5, 80, roots=True), strict=True):
+        if n:
+            members.setdefault(c, set()).add((i, t))
+    least = sorted(min(i for i, _ in m) for m in members.values())
+    wordless = [r for r in known if not words(r[1])]
+    assert sorted(i for i, t in kept if words(t)) == least and [r for r in kept if not words(r[1])] == sorted(wordless, key=repr)
+    assert all(sum(r in m for r in kept) == 1 for m in members.values())
+    assert found.columns == docs.columns and found.where("doc_id is null").count() == 2
+    assert ngram_join.keep_one_of_each(docs.limit(0)).isEmpty()
+
+
+def test_common_fragments_lose_no_link(spark: SparkSession) -> None:
+    """Near copies in a crowd of documents that share a passage."""
+    r = random.Random(8)
+    text = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    passage, rows = text(60), []
+    for k in range(60):
+        w = [*text(r.randrange(20, 200)), *passage, *text(r.randrange(20, 200))]
+        rows.append((k, " ".join(w)))
+        if k % 3 == 0:
+            for n in range(2):
+                near = list(w)
+                for _ in range(r.randrange(1, 4)):
+                    near[r.randrange(len(near))] = "new"
+                rows.append((100 + 10 * k + n, " ".join(near)))
+    for size, percent in ((3, 90), (5, 80)):
+        found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), size, percent)
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in found.collect()) == sorted(components(rows, size, percent))
 
 
 @pytest.mark.parametrize("percent", [80, 90])
@@ -142,7 +177,7 @@ def test_linked_sets_share_a_fragment(percent: int) -> None:
                 b.add(r.getrandbits(64))
         if 100 * len(a & b) >= percent * len(a | b):
             x, y = (np.sort(np.array(list(s), np.uint64)) for s in (a, b))
-            assert a == b or set(ngram_join.fragment_keys(x, percent).tolist()) & set(ngram_join.fragment_keys(y, percent).tolist())
+            assert a == b or set(ngram_join.fragment_keys(x, percent)[0].tolist()) & set(ngram_join.fragment_keys(y, percent)[0].tolist())
             px, py = ngram_join.parity_sketch(x), ngram_join.parity_sketch(y)
             while len(px) > len(py):
                 px = px[: len(px) // 2] ^ px[len(px) // 2 :]
@@ -152,7 +187,7 @@ def test_linked_sets_share_a_fragment(percent: int) -> None:
 
 
 def test_connected_components(spark: SparkSession) -> None:
-    chain = [(k, k + 1) for k in range(60)] + [(100, 200 + k) for k in range(20)] + [(7, 7)]
+    chain = [(k, k + 1) for k in range(300, 800)] + [(k, k + 1) for k in range(60)] + [(100, 200 + k) for k in range(20)] + [(7, 7)]
     found = connected_components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark))
-    assert {r.node: r.component for r in found.collect()} == {k: 0 for k in range(61)} | {100: 100} | {200 + k: 100 for k in range(20)}
+    assert {r.node: r.component for r in found.collect()} == {k: 300 for k in range(300, 801)} | {k: 0 for k in range(61)} | {100: 100} | {200 + k: 100 for k in range(20)}
     assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark)).isEmpty()
