@@ -20,7 +20,7 @@ from .common import Scratch
 
 #: The most hosts whose winning paths are broadcast; more are joined by a shuffle.
 MOST_HOSTS = 100_000
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*+)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 # Fixed values of HTML: elements that hold no text of the page, void elements, and block elements.
@@ -41,10 +41,15 @@ CHROME_TAGS = frozenset("nav footer aside form menu dialog search".split())
 CHROME_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar rail footer header masthead topbar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert gdpr comment comments disqus reply replies share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay widget pagination pager toolbar skip".split()
 )
+#: Words that tell of an element's place or kind; beside chrome words they leave a name as sure as these are.
+LAYOUT_WORDS = frozenset(
+    "area article articles bar block body bottom box button buttons card col column container content entry form global group holder icon inner item items layout left link links list main module outer page panel post posts primary right row secondary section site text title top wrap wrapper".split()
+)
 #: Beside one of these a chrome word tells of what a page has or lacks, not of the element.
 ABOUT = frozenset("has have no not non with without hide".split())
-#: How surely an element is chrome: by a part of a name or as a form (unless it holds most of the text), by a whole name, by its tag, as hidden.
-PART, NAME, TAG, HIDDEN = 1, 2, 3, 4
+#: How surely an element is chrome: by a part of a name with other words (outside of articles only), by a part of a
+#: name with layout words or as a form (unless it holds most of the text), by a whole name, by its tag, as hidden.
+LOOSE, PART, NAME, TAG, HIDDEN = 1, 2, 3, 4, 5
 
 
 @dataclass
@@ -89,9 +94,9 @@ def _names_of(attributes: str) -> tuple[int, str]:
             if name.lower() in CHROME_WORDS:
                 sure = NAME
             elif name.lower() == "hidden" or (not ABOUT.intersection(words) and CHROME_WORDS.intersection(words)):
-                sure = max(sure, PART)
-    bare = re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)
-    if re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", bare, re.I) or found.get("aria-hidden") == "true" or re.search(r"display:\s*none", found.get("style", "")):
+                sure = max(sure, PART if CHROME_WORDS.union(LAYOUT_WORDS).issuperset(words) else LOOSE)
+    bare = _ATTRIBUTE.sub(" ", attributes).lower().replace("/", " ").split()
+    if "hidden" in bare or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display:\s*none", found.get("style", "")):
         sure = HIDDEN
     return sure, ".".join(sorted(re.sub(r"\d+", "", x) for x in found.get("class", "").lower().split()))
 
@@ -234,6 +239,8 @@ def parse_page(source: str | None) -> Page:
                 in_article = any(e.tag in ("article", "main") for e in stack)
                 if tag in ("html", "body", "article", "main") and sure != HIDDEN:
                     sure = 0
+                if sure == LOOSE:
+                    sure = 0 if in_article else PART
                 if tag == "form":
                     sure = max(sure, PART)
                 elif tag in CHROME_TAGS or (tag == "header" and not in_article):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -119,6 +120,57 @@ def test_html_text_of_hard_pages(spark: SparkSession, page: str) -> None:
     assert (html_text.text_at(parsed, path) if path else "\n".join(b.text for b in parsed.blocks if not b.chrome)) == STORY
 
 
+@pytest.mark.parametrize(
+    "block",
+    ["<p class=it's>{}</p>", "<p title=a'b data-x=c\"d>{}</p>", "<p data-x='hidden'>{}</p>", "<p data-hidden=1>{}</p>", '<div class="market-share">{}</div>', '<div class="comment-analysis">{}</div>', '<div id="ad-hoc">{}</div>', "<a href=x?y=it's>{}</a>"],
+)
+def test_html_text_keeps_blocks_of_an_article(block: str) -> None:
+    page = html_text.parse_page(f"<body><nav>Home</nav><article><p>{STORY}</p>{block.format('Middle block')}<p>{STORY}</p></article></body>")
+    assert html_text.text_at(page, html_text.best_path(page)[0]) == f"{STORY}\nMiddle block\n{STORY}"
+
+
+@pytest.mark.parametrize("block", ['<div class="related-posts">{}</div>', '<div class="comment-list">{}</div>', '<section id="newsletter-signup">{}</section>', "<p hidden>{}</p>", "<p class=ad>{}</p>", '<p hidden="">{}</p>', "<aside>{}</aside>"])
+def test_html_text_drops_chrome_in_an_article(block: str) -> None:
+    page = html_text.parse_page(f"<body><article><p>{STORY}</p>{block.format('Other block')}<p>{STORY}</p></article></body>")
+    assert html_text.text_at(page, html_text.best_path(page)[0]) == f"{STORY}\n{STORY}"
+
+
+class ArticleText(HTMLParser):
+    """The text of the article element by the standard library's parser: one line for each block."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.depth, self.lines = 0, [""]
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.depth += tag == "article"
+        if tag == "br":
+            self.lines[-1] += " "
+        elif tag in html_text.BLOCK:
+            self.lines.append("")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.depth -= tag == "article"
+        if tag in html_text.BLOCK:
+            self.lines.append("")
+
+    def handle_data(self, data: str) -> None:
+        if self.depth:
+            self.lines[-1] += data
+
+
+def test_html_text_of_all_pages(spark: SparkSession, sf: str) -> None:
+    """Whole generated pages, whose text is their article, against another parser."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    found = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    for r in pages.collect():
+        parser = ArticleText()
+        parser.feed(r.html)
+        parser.close()
+        assert found[r.page_id] == "\n".join(x for x in (" ".join(line.split()) for line in parser.lines) if x)
+    assert len(found) == pages.count() > 0
+
+
 def test_tokens_equal_the_tokenizer() -> None:
     words = load(PATH)
     plain = Tokenizer.from_file(PATH)
