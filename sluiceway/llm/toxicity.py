@@ -1,14 +1,16 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded (compatibility forms, case, look-alike letters of other scripts, digits and signs that
-stand for letters) and matched by an Aho-Corasick automaton of word starts. The lexicon joins a short
-list of insults with word starts learned from labelled rows, each weighted by its log-odds. Matches
-inside exception phrases do not count. The sum of weights, the same in proportion to the length, and
-the heaviest match go into a logistic model fitted on labelled rows that the weights were not learned from.
+stand for letters inside words) and matched by an Aho-Corasick automaton of word starts. The lexicon joins
+a short list of insults with words and word starts learned from labelled rows, each weighted by its
+log-odds. Matches inside exception phrases do not count. The sum of weights, the same in proportion to the
+length, and the heaviest match go into a logistic model. It is fitted on all labelled rows, each with the
+features that a lexicon learned from the other folds gives; the lexicon that serves is learned from all.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -22,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Labelled rows that are learned from, at most; of more, those with the least id hashes.
 TRAIN_ROWS = 20_000
-#: Learned terms, at most, the best supported first.
-MOST_TERMS = 20_000
-LEAST_DOCS, LEAST_PURITY = 5, 0.75
+#: A learned term: the toxic texts that hold it at least, its log-odds, and these in standard deviations.
+LEAST_DOCS, LEAST_ODDS, LEAST_SURE = 5, 1.5, 4.0
+#: Letters of the word starts that are weighed beside whole words, and parts of the labelled rows.
+STARTS, FOLDS = range(3, 9), 3
 
 # Insults of the base lexicon, phrases in which they are harmless, and look-alikes.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting", "trash", "clown", "imbecile", "cretin", "dumbass", "bastard", "vermin", "filth")
@@ -39,13 +44,15 @@ LOOK_ALIKES = {
 }
 _FOLD = str.maketrans(LOOK_ALIKES)
 _GAPS = re.compile(r"[\W_]+")
+_NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 
 
 def fold(text: str | None) -> str:
-    """Folded words, each after one space, and a space at the end."""
+    """Folded words, each after one space, and a space at the end; numbers are no words."""
     text = text or ""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
+    text = _NUMBER.sub(" ", text)
     return " " + _GAPS.sub(" ", text.lower().translate(_FOLD)).strip() + " "
 
 
@@ -105,34 +112,43 @@ class Matcher:
 
 
 def starts_of(text: str | None) -> set[str]:
-    """Folded words and their starts of three to eight letters."""
+    """Folded words of three letters or more, and their starts."""
     out = set()
     for w in set(fold(text).split()):
-        out.update(w[:k] for k in range(3, min(9, len(w) + 1)))
-        if 3 <= len(w) <= 24:
+        out.update(w[:k] for k in STARTS if k <= len(w))
+        if len(w) >= STARTS[0]:
             out.add(w)
     return out
 
 
+def fold_of(doc: int) -> int:
+    return doc * 2654435761 % 2**32 % FOLDS
+
+
 def choose_terms(counted: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """(start, toxic texts, clean texts) -> weights; of starts of one another the widest, and of equals the longest."""
-    pure = [(t, p, n) for t, p, n in counted if p >= LEAST_DOCS and p >= LEAST_PURITY * (p + n)]
-    chosen: dict[str, tuple[int, int]] = {}
-    by_start: dict[str, tuple[str, int]] = {}  # a start -> its longest extension with nearly as many texts
-    for t, p, _ in sorted(pure, key=lambda x: len(x[0])):
-        for k in range(3, len(t)):
-            s = t[:k]
-            if s in by_start and p >= 0.95 * by_start[s][1]:
-                by_start[s] = (t, by_start[s][1])
-        by_start[t] = (t, p)
-    counts = {t: (p, n) for t, p, n in pure}
-    for t, p, _ in sorted(pure, key=lambda x: (-x[1], len(x[0]), x[0])):
-        t = by_start[t][0]
-        if not any(t[:k] in chosen for k in range(3, len(t) + 1)):
-            chosen[t] = counts[t]
-        if len(chosen) >= MOST_TERMS:
-            break
-    return {t: math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1)) for t, (p, n) in chosen.items()}
+    """(start, toxic texts, clean texts) -> weights; of starts of one another the surest, drawn out as far as nearly all its toxic texts go."""
+    odds: dict[str, float] = {}
+    sure: dict[str, tuple[float, int]] = {}
+    for t, p, n in counted:
+        value = math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
+        z = value / math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
+        if p >= LEAST_DOCS and value >= LEAST_ODDS and z >= LEAST_SURE:
+            odds[t], sure[t] = value, (z, p)
+    longest: dict[str, str] = {}
+    for t in sorted(odds, key=lambda t: (len(t), t)):
+        longest[t] = t
+        for s in (t[:k] for k in range(STARTS[0], len(t))):
+            if s in longest and sure[t][1] >= 0.95 * sure[s][1]:
+                longest[s] = t
+    chosen: dict[str, float] = {}
+    taken: set[str] = set()  # the starts of all chosen
+    for t in sorted(odds, key=lambda t: (-sure[t][0], len(t), t)):
+        t = longest[t]
+        if t in taken or any(t[:k] in chosen for k in range(STARTS[0], len(t) + 1)):
+            continue
+        chosen[t] = odds[t]
+        taken.update(t[:k] for k in range(STARTS[0], len(t) + 1))
+    return chosen
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.05) -> list[float]:
@@ -155,58 +171,73 @@ def held_out(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lexicon:
     """Learns from at most train_rows labelled rows (doc_id, toxic) that are not held out.
 
-    Of more rows those with the least id hashes count. Two thirds give the words, one third the model.
-    Null labels, ids and texts are left out. Without toxic and clean rows in both parts the base
-    lexicon and a fixed model serve.
+    Of more rows those with the least id hashes count. Null labels, ids and texts are left out; a doc_id
+    with several labels is toxic if one of them is. Other columns are ignored. Without toxic and clean
+    rows in every part the base lexicon and a fixed model serve, as for empty tables.
     """
     base = {w: 6.0 for w in INSULTS}
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(F.broadcast(known), "doc_id")
+    names = [f"{c}{f}" for c in ("toxic", "clean") for f in range(FOLDS)]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts of a part in which a start stands, by label; and each row of the other part for the model."""
-        seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        """Texts in which a start stands, by label and fold; the empty start stands in all."""
+        seen = [Counter() for _ in names]
         for batch in batches:
             for doc, text, toxic in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                if doc * 2654435761 % 2**32 % 3:
-                    seen[toxic > 0].update(starts_of(text.as_py()))
-                    seen[toxic > 0][""] += 1
-        terms = [*{*seen[True], *seen[False]}]
+                part = seen[(0 if toxic > 0 else FOLDS) + fold_of(doc)]
+                part.update(starts_of(text.as_py()))
+                part[""] += 1
+        terms = list(set().union(*seen))
         for k in range(0, len(terms), 100_000):
             part = terms[k : k + 100_000]
-            yield pa.record_batch([pa.array(part), pa.array([seen[True][t] for t in part], pa.int64()), pa.array([seen[False][t] for t in part], pa.int64())], ["term", "toxic", "clean"])
-
-    counted = rows.mapInArrow(sketch, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    good = counted.where((F.col("term") == "") | ((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= LEAST_PURITY * (F.col("toxic") + F.col("clean")))))
-    # At most 6 starts of each of MOST_TERMS words, the best supported first.
-    found = [(r.term, r.toxic, r.clean) for r in good.orderBy(F.desc("toxic"), "term").limit(7 * MOST_TERMS).collect()]
-    toxic, clean = next(((p, n) for t, p, n in found if not t), (0, 0))
-    if not toxic or not clean:
+            yield pa.record_batch([pa.array(part, pa.string()), *(pa.array([c[t] for t in part], pa.int64()) for c in seen)], ["term", *names])
+
+    counted = rows.mapInArrow(sketch, f"term string, {', '.join(f'{c} long' for c in names)}").groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
+    counted = Scratch(docs.sparkSession).keep(counted, "counted")
+    whole = counted.where("term = ''").first()
+    if whole is None or any(not whole[c] for c in names):
         return Lexicon(base)
-    weights = choose_terms([x for x in found if x[0]], toxic, clean)
-    lexicon = Lexicon({w: v for w, v in base.items() if not any(w[:k] in weights for k in range(3, len(w) + 1))} | weights)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def of(without: int | None) -> list[list[str]]:
+        """The toxic and the clean counts of all folds but this one."""
+        return [[c for k, c in enumerate(names[at : at + FOLDS]) if k != without] for at in (0, FOLDS)]
+
+    def passes(without: int | None) -> F.Column:
+        (p, toxic), (n, clean) = ((sum(F.col(c) for c in group) + 0.5, sum(whole[c] for c in group) + 1) for group in of(without))
+        value = F.log(p / toxic) - F.log(n / clean)
+        # Rounding may differ from choose_terms, which decides.
+        return (p > LEAST_DOCS) & (value >= LEAST_ODDS - 1e-6) & (value / F.sqrt(1 / p + 1 / n) >= LEAST_SURE - 1e-6)
+
+    # Terms of some lexicon; the bound on labelled rows bounds them.
+    choices = [*range(FOLDS), None]
+    found = counted.where("term <> ''").where(functools.reduce(lambda a, b: a | b, map(passes, choices))).collect()
+
+    def lexicon(without: int | None) -> Lexicon:
+        toxic, clean = of(without)
+        total = lambda r, group: sum(r[c] for c in group)
+        weights = choose_terms([(r.term, total(r, toxic), total(r, clean)) for r in found], total(whole, toxic), total(whole, clean))
+        return Lexicon({w: v for w, v in base.items() if not any(w[:k] in weights for k in range(STARTS[0], len(w) + 1))} | weights)
+
+    shared = docs.sparkSession.sparkContext.broadcast([lexicon(k) for k in range(FOLDS)])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
+        matchers = [Matcher(x) for x in shared.value]
         for batch in batches:
-            at = [k for k, doc in enumerate(batch.column(0).to_pylist()) if not doc * 2654435761 % 2**32 % 3]
-            rows = [matcher.features(batch.column(1)[k].as_py()) for k in at]
-            labels = batch.column(2).to_pylist()
-            yield pa.record_batch([pa.array([r[c] for r in rows], pa.float64()) for c in range(4)] + [pa.array([labels[k] for k in at], pa.int32())], ["a", "b", "c", "d", "y"])
+            rows = [matchers[fold_of(doc)].features(text.as_py()) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            yield pa.record_batch([pa.array([r[c] for r in rows], pa.float64()) for c in range(4)] + [batch.column(2)], ["a", "b", "c", "d", "y"])
 
     sample = np.array([tuple(r) for r in rows.mapInArrow(features, "a double, b double, c double, d double, y int").collect()], np.float64).reshape(-1, 5)
-    y = (sample[:, 4] > 0).astype(float)
-    if 0 < y.sum() < len(y):
-        lexicon.model = fit_logistic(sample[:, :4], y)
-    return lexicon
+    out = lexicon(None)
+    out.model = fit_logistic(sample[:, :4], (sample[:, 4] > 0).astype(float))
+    return out
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text); the text alone gives the score.
 
-    A null text is empty; empty texts have the score of no match. A null doc_id is kept and counts as
+    An empty table gives an empty table. A null text is empty; empty texts have the score of no match. A null doc_id is kept and counts as
     not held out. Repeated rows keep a row each; other columns are ignored. predicted is 1 from
     `threshold` on.
     """
