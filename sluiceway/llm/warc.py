@@ -4,26 +4,30 @@ An archive is a table of (archive, record, chunk, last, data, digest) rows: the
 is the archive file. Payloads larger than a chunk take several rows, each with the digest of the record
 so far, so a reader or writer holds one chunk and a digest state and never a whole record. Repeated
 payloads are written once, as the response with the largest page_id; the others are revisit records.
+`read_files` streams .warc and .warc.gz files into such a table, `write_files` makes files of one.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 64 * 1024
 DATE = "2024-01-01T00:00:00Z"
 CHUNKS = "archive long, record long, chunk int, last boolean, data binary, digest string"
 RECORDS = "page_id long, record_type string, refers_to long, target string, payload_bytes long, payload_digest string, digest_good boolean, whole boolean"
-#: The longest record head that is read; a longer one makes the record unreadable.
-MOST_HEAD = 1 << 20
+#: Fields of a record head that are read; of other lines only so many bytes are held.
+FIELDS = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-payload-digest", "content-type", "content-length")
+LINE = 8192
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
@@ -97,11 +101,42 @@ def _chunk_batch(held: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["archive", "record", "chunk", "last", "data", "digest"])
 
 
+class Lines:
+    """Cuts chunks into lines; of a line that is still open and not wanted it holds no more than LINE bytes."""
+
+    def __init__(self) -> None:
+        self.held = b""
+
+    def next(self, data: bytes, at: int, wanted: bool) -> tuple[bytes | None, int]:
+        """The line that ends in data from `at` on, without its line break, and where the next begins; None if it goes on."""
+        end = data.find(b"\n", at)
+        stop = len(data) if end < 0 else end
+        room = stop - at if wanted and _wanted(self.held or data[at : at + 64]) else max(0, LINE - len(self.held))
+        self.held += data[at : min(stop, at + room)]
+        if end < 0:
+            return None, len(data)
+        line, self.held = self.held.removesuffix(b"\r"), b""
+        return line, end + 1
+
+
+def _wanted(line: bytes) -> bool:
+    return line[:64].lower().startswith(tuple(f.encode() for f in FIELDS))
+
+
+def _digest(stated: str) -> str | None:
+    """The hexadecimal form of a stated SHA-1, in base 32 or 16; None if it is none."""
+    value = stated.strip().partition(":")[2] if ":" in stated else stated.strip()
+    if re.fullmatch(r"[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", value) else None
+
+
 class RecordReader:
-    """Reads one record from its chunks; holds the head and digest states only."""
+    """Reads one record from its chunks; holds the fields it needs, a part of a line and digest states only."""
 
     def __init__(self) -> None:
-        self.head: bytes | None = b""
+        self.state = "version"  # then fields, http (the head of the response), body and what follows it
+        self.lines = Lines()
         self.fields: dict[str, str] = {}
         self.payload, self.all = hashlib.sha1(), hashlib.sha1()
         self.left = self.size = 0
@@ -113,32 +148,44 @@ class RecordReader:
         self.all.update(data)
         self.good &= chunk == self.next and self.all.hexdigest() == digest
         self.next += 1
-        if self.head is not None:
-            self.head += data
-            first = self.head.find(b"\r\n\r\n")
-            second = self.head.find(b"\r\n\r\n", first + 4) if first >= 0 else -1
-            if second < 0:
-                self.good &= len(self.head) <= MOST_HEAD
-                return
-            lines = self.head[:first].decode("utf-8", "replace").split("\r\n")
-            self.fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-            length = self.fields.get("content-length", "")
-            self.good &= lines[0].startswith("WARC/1.") and length.isdigit()
-            self.left = int(length) - (second - first) if length.isdigit() else 0
-            data, self.head = self.head[second + 4 :], None
-        body = data[: self.left]
+        at = 0
+        while at < len(data) and self.state != "body":
+            begin = at
+            line, at = self.lines.next(data, at, self.state == "fields")
+            if self.state == "http":
+                self.left -= at - begin
+            if line is not None:
+                self._line(line)
+        body = data[at : at + max(0, self.left)] if self.state == "body" else b""
         self.payload.update(body)
         self.size += len(body)
         self.left -= len(body)
-        self.tail += data[len(body) :][:8]
+        self.tail += data[at + len(body) :][:8] if self.state == "body" and len(self.tail) < 8 else b""
+
+    def _line(self, line: bytes) -> None:
+        if self.state == "version":
+            self.good &= line.startswith(b"WARC/1.")
+            self.state = "fields"
+        elif line:
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            if self.state == "fields" and name.strip().lower() in FIELDS:
+                self.fields.setdefault(name.strip().lower(), value.strip())
+        elif self.state == "http":
+            self.state = "body"
+        else:
+            length = self.fields.get("content-length", "")
+            self.good &= length.isdigit()
+            self.left = int(length) if length.isdigit() else 0
+            self.state = "http" if self.fields.get("content-type", "").lower().startswith("application/http") else "body"
 
     def row(self) -> tuple:
         page = _page(self.fields.get("warc-record-id"))
         kind, refers_to = self.fields.get("warc-type"), _page(self.fields.get("warc-refers-to"))
-        stated = self.fields.get("warc-payload-digest", "").removeprefix("sha1:")
-        digest = self.payload.hexdigest() if kind != "revisit" else base64.b32decode(stated).hex()
-        good = base64.b32encode(self.payload.digest()).decode() == stated if kind != "revisit" else True
-        whole = self.head is None and self.left == 0 and self.tail == b"\r\n\r\n" and self.good
+        stated = self.fields.get("warc-payload-digest", "")
+        digest = self.payload.hexdigest() if kind != "revisit" else _digest(stated)
+        # A revisit has no payload of its own; resolve_revisits holds its digest against the response's.
+        good = digest is not None and (kind == "revisit" or digest == _digest(stated))
+        whole = self.state == "body" and self.left == 0 and self.tail in (b"\r\n\r\n", b"\n\n") and self.good
         return page, kind, refers_to, self.fields.get("warc-target-uri"), self.size if kind != "revisit" else None, digest, good, whole
 
 
@@ -152,8 +199,11 @@ def read_records(chunks: DataFrame) -> DataFrame:
 
     Only records of several chunks are shuffled, to bring their chunks together in order; a chunk
     numbered 0 begins a record.
-    whole: the record ends where its head says and every chunk's running digest holds. A revisit has
-    the digest that its head states and no payload_bytes (see resolve_revisits).
+    whole: the record ends where its head says and every chunk's running digest holds; a chunk that is
+    missing, damaged or null makes its record not whole and no other. digest_good: the payload has the
+    digest that the head states, in base 32 or 16. A revisit has the digest that its head states (null
+    and not good if that is none) and no payload_bytes (see resolve_revisits). Records whose id is not a
+    page's have a null page_id. An empty table has no records; other columns are ignored.
     """
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +220,7 @@ def read_records(chunks: DataFrame) -> DataFrame:
                     if now is not None:
                         done.append(reader.row())
                     now, reader = (archive, record), RecordReader()
-                reader.feed(chunk, data.as_py(), digest)
+                reader.feed(chunk, data.as_py() or b"", digest)
                 if len(done) >= 5000:
                     yield out()
                     done = []
@@ -186,7 +236,123 @@ def read_records(chunks: DataFrame) -> DataFrame:
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """records with payload_bytes of the response that each revisit refers to; null if that is missing or differs."""
+    """records with payload_bytes of the response that each revisit refers to; null, and digest_good false, if that is missing or differs."""
     responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
     joined = records.join(responses, ["refers_to", "payload_digest"], "left")
-    return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "_bytes")).select(*records.columns)
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    good = F.when(revisit, F.col("_bytes").isNotNull() & F.col("digest_good")).otherwise(F.col("digest_good"))
+    return joined.withColumns({"payload_bytes": F.coalesce("payload_bytes", "_bytes"), "digest_good": good}).select(*records.columns)
+
+
+def _open(path: str, write: bool = False) -> pa.NativeFile:
+    """A stream of the bytes of a file at a path or URI, packed or unpacked as its name says."""
+    system, plain = FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    packed = "gzip" if path.endswith(".gz") else None
+    return system.open_output_stream(plain, compression=packed) if write else system.open_input_stream(plain, compression=packed)
+
+
+def record_chunks(stream: pa.NativeFile) -> Iterator[tuple[int, int, bool, bytes, str]]:
+    """(record, chunk, last, data, running digest) of a stream of records; holds the head of one record and one chunk.
+
+    A record reaches from its version line to the blank lines after its block, whose length the head
+    states. Bytes before the next version line belong to the record before them.
+    """
+    buffer, record, ended = b"", 0, False
+
+    def fill(n: int) -> None:
+        nonlocal buffer, ended
+        while len(buffer) < n and not ended:
+            more = stream.read(CHUNK)
+            buffer, ended = buffer + more, not more
+
+    while True:
+        fill(4)
+        if not buffer:
+            return
+        size = 0
+        while (at := min((x for x in (buffer.find(b"\r\n\r\n", max(0, size - 4)), buffer.find(b"\n\n", max(0, size - 4))) if x >= 0), default=-1)) < 0 and not ended:
+            size = len(buffer)
+            fill(size + 1)
+        head = buffer if at < 0 else buffer[: at + (4 if buffer[at : at + 1] == b"\r" else 2)]
+        stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)", head)
+        left = len(head) + (int(stated[1]) if stated else 0)
+        state, chunk = hashlib.sha1(), 0
+        while True:
+            fill(min(left, CHUNK + len(head)) + 8)
+            piece = buffer[: min(left, CHUNK + (len(head) if chunk == 0 else 0))]
+            buffer, left = buffer[len(piece) :], left - len(piece)
+            last = left == 0 or not piece
+            if last:
+                # Blank lines end the record.
+                fill(5)
+                blank = len(buffer) - len(buffer.lstrip(b"\r\n"))
+                piece, buffer = piece + buffer[:blank], buffer[blank:]
+            state.update(piece)
+            yield record, chunk, last, piece, state.hexdigest()
+            chunk += 1
+            if last:
+                break
+        record += 1
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The chunked record table of .warc and .warc.gz files that all executors can open, each read by one task as a stream.
+
+    archive is the place of a file in `paths`. Without paths the table is empty.
+    """
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held, size = [], 0
+                with _open(path) as stream:
+                    for row in record_chunks(stream):
+                        held.append((archive, *row))
+                        size += len(row[3])
+                        if size > 8_000_000:
+                            yield _chunk_batch(held)
+                            held, size = [], 0
+                if held:
+                    yield _chunk_batch(held)
+
+    files = spark.createDataFrame(list(enumerate(paths)), "archive long, path string")
+    return files.repartition(max(1, len(paths)), "archive").mapInArrow(fn, CHUNKS)
+
+
+def write_files(chunks: DataFrame, folder: str, packed: bool = True) -> DataFrame:
+    """archive, path, bytes: a file in `folder` for each archive of a chunked record table, written by one task as a stream.
+
+    A task writes under a name of its attempt and renames the file when it is whole, so a lost executor
+    leaves no part of a file under its name. The files are written when the result is first computed.
+    """
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, size, done = None, None, 0, []
+        mine = f"{TaskContext.get().taskAttemptId()}"
+
+        def close() -> None:
+            out.close()
+            path = f"{folder}/{now:06d}.warc{'.gz' if packed else ''}"
+            system, plain = FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+            system.move(f"{plain[: -len('.gz')] if packed else plain}.{mine}{'.gz' if packed else ''}", plain)
+            done.append((now, path, size))
+
+        for batch in batches:
+            for archive, data in zip(batch.column(0).to_pylist(), batch.column(4), strict=True):
+                if archive != now:
+                    if out is not None:
+                        close()
+                    now, size = archive, 0
+                    target = f"{folder}/{archive:06d}.warc.{mine}{'.gz' if packed else ''}"
+                    system, plain = FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+                    system.create_dir(plain)
+                    out = _open(target, write=True)
+                out.write(data.as_buffer())
+                size += len(data.as_buffer())
+        if out is not None:
+            close()
+        if done:
+            yield pa.record_batch([pa.array(c) for c in zip(*done, strict=True)], ["archive", "path", "bytes"])
+
+    dealt = chunks.select("archive", "record", "chunk", "last", "data").repartition("archive").sortWithinPartitions("archive", "record", "chunk")
+    return dealt.mapInArrow(fn, "archive long, path string, bytes long")

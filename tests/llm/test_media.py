@@ -77,6 +77,63 @@ def test_warc_round_trip(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
     assert base64.b32encode(hashlib.sha1(b"short").digest()) in archive
 
 
+def head(**fields: str) -> bytes:
+    return "\r\n".join(["WARC/1.1", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items())]).encode() + b"\r\n\r\n"
+
+
+def read_one(data: bytes, step: int) -> tuple[tuple, int]:
+    """The row of a record fed in steps, and the most bytes that its reader held."""
+    reader, state, held = warc.RecordReader(), hashlib.sha1(), 0
+    for k, at in enumerate(range(0, len(data), step)):
+        piece = data[at : at + step]
+        state.update(piece)
+        reader.feed(k, piece, state.hexdigest())
+        held = max(held, len(reader.lines.held) + len(reader.tail))
+    return reader.row(), held
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000, 1 << 20])
+def test_records_cut_anywhere(step: int) -> None:
+    http = b"HTTP/1.1 200 OK\r\nX: " + b"y" * 30_000 + b"\r\n\r\n"
+    body = b"body\n\r\n\r\n" * 500
+    sha = hashlib.sha1(body)
+    fields = {"WARC_Type": "response", "WARC_Record_ID": "<urn:page:7>", "X_Other": "z" * 40_000, "WARC_Target_URI": "http://" + "u" * 20_000, "WARC_Payload_Digest": f"sha1:{sha.hexdigest()}", "Content_Type": "application/http; msgtype=response", "Content_Length": str(len(http) + len(body))}
+    row, held = read_one(head(**fields) + http + body + b"\r\n\r\n", step)
+    assert row == (7, "response", None, "http://" + "u" * 20_000, len(body), sha.hexdigest(), True, True)
+    assert held < 21_000
+    plain, _ = read_one(head(WARC_Type="resource", Content_Type="text/plain", Content_Length="4") + b"abcd\r\n\r\n", step)
+    assert plain[4:] == (4, hashlib.sha1(b"abcd").hexdigest(), False, True)
+    bad, _ = read_one(head(WARC_Type="revisit", WARC_Payload_Digest="sha1:not base 32", Content_Length="0") + b"\r\n\r\n", step)
+    assert bad[5:] == (None, False, True)
+    endless, held = read_one(b"WARC/1.1\r\nX: " + b"z" * 300_000, step)
+    assert not endless[-1] and held <= warc.LINE
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_warc_files(spark: SparkSession, tmp_path, packed: bool) -> None:  # noqa: ANN001
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(warc.with_revisits(pages), str(tmp_path / "w"))
+    chunks = spark.read.schema(warc.CHUNKS).parquet(str(tmp_path / "w"))
+    files = sorted(r.path for r in warc.write_files(chunks, str(tmp_path / "files"), packed).collect())
+    assert sorted(str(f) for f in (tmp_path / "files").iterdir()) == files
+    read = warc.read_files(spark, files)
+    assert read.agg(F.max(F.length("data"))).first()[0] <= warc.CHUNK + 2000
+    columns = ["page_id", "record_type", "refers_to", "target", "payload_bytes", "payload_digest", "digest_good", "whole"]
+    one, other = (sorted(map(repr, warc.read_records(x).select(*columns).collect())) for x in (read, chunks))
+    assert one == other and len(one) == 8
+    assert warc.read_files(spark, []).isEmpty() and warc.read_records(warc.read_files(spark, [])).isEmpty()
+
+
+def test_warc_edges(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    """Empty tables, and revisits of records that are missing."""
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(warc.with_revisits(none), str(tmp_path / "none"))
+    assert warc.resolve_revisits(warc.read_records(spark.read.schema(warc.CHUNKS).parquet(str(tmp_path / "none")))).isEmpty()
+    records = spark.createDataFrame([(1, "revisit", 9, None, None, "d", True, True), (2, "response", None, None, 5, "e", True, True), (3, "revisit", 2, None, None, "e", True, True)], warc.RECORDS)
+    found = {r.page_id: (r.payload_bytes, r.digest_good) for r in warc.resolve_revisits(records).collect()}
+    assert found == {1: (None, False), 2: (5, True), 3: (5, True)}
+
+
 HOSTED = '<html><head><title>t</title><script>var a="<p>no</p>"</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div><div class="wrap"><div class="post-{n}"><h1>Title &amp; {n}</h1><p>First&nbsp; para\n graph, long enough to count.<p>Second <b>bold<br>line</b> here, with more words.</div><aside>Side</aside></div><div id="comments"><p>Nice article, thank you very much indeed!</p></div><footer>&copy; x</footer></body></html>'
 
 
