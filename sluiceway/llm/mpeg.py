@@ -3,7 +3,8 @@
 `write_stream` stores bytes without loss in the ancillary data of silent Layer III frames (UTF-8 never
 holds the byte 0xFF, so stored text cannot look like a frame header). `parse_stream` reads any MPEG-1,
 2 or 2.5 audio stream of Layers I to III: it skips ID3 tags, finds frame headers again after junk, reads
-Xing/Info and VBRI tables, checks Layer III checksums and returns exact durations and frame offsets.
+Xing/Info and VBRI tables with their seek points and encoder delay, checks the checksums of all layers
+and returns exact durations and frame offsets.
 """
 
 from __future__ import annotations
@@ -30,6 +31,14 @@ KBITS = {
     (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+# Bits of a Layer II bit allocation, from the lowest subband on, by table (MPEG-1 B.2a to B.2d, MPEG-2 B.1).
+ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "2": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
 HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 
@@ -49,35 +58,90 @@ class Header:
 
 
 @lru_cache(maxsize=4096)
-def read_header(four: bytes) -> Header | None:
-    """The header in these four bytes, if they are one with a bit rate of its own."""
+def read_header(four: bytes, free_size: int = 0) -> Header | None:
+    """The header in these four bytes, if they are one.
+
+    A free-format header states no bit rate; it counts only with the size of a frame without padding.
+    """
     if len(four) < 4 or four[0] != 0xFF or four[1] & 0xE0 != 0xE0:
         return None
     version_bits, layer = (four[1] >> 3) & 3, 4 - ((four[1] >> 1) & 3)
     rate, hz = four[2] >> 4, (four[2] >> 2) & 3
-    if version_bits == 1 or layer == 4 or rate in (0, 15) or hz == 3:
+    if version_bits == 1 or layer == 4 or rate == 15 or hz == 3 or (rate == 0 and not free_size):
         return None
     v1 = version_bits == 3
     kbits, hertz = KBITS[(1 if v1 else 2, layer)][rate], HERTZ[version_bits][hz]
     padding, mono = (four[2] >> 1) & 1, four[3] >> 6 == 3
-    if layer == 1:
-        samples, size = 384, (12_000 * kbits // hertz + padding) * 4
-    else:
-        samples = 576 if layer == 3 and not v1 else 1152
-        size = samples // 8 * 1000 * kbits // hertz + padding
+    samples = 384 if layer == 1 else 576 if layer == 3 and not v1 else 1152
+    unit = 4 if layer == 1 else 1
+    size = free_size + padding * unit if rate == 0 else (samples // 8 * 1000 * kbits // hertz // unit + padding) * unit
     side = (17 if mono else 32) if v1 else (9 if mono else 17)
+    kbits = kbits or round(free_size * 8 * hertz / samples / 1000)
     return Header(1 if v1 else 2 if version_bits == 2 else 25, layer, not four[1] & 1, kbits, hertz, mono, size, samples, side if layer == 3 else 0)
 
 
+def free_frame_size(data: bytes, at: int, end: int) -> int:
+    """The size without padding of the free-format frame at `at`: the way to the next header of its kind; 0 if there is none."""
+    kind, hz = data[at + 1], data[at + 2] & 0x0C
+    if data[at] != 0xFF or data[at + 2] >> 4:
+        return 0
+    p = data.find(bytes((0xFF, kind)), at + 24, end)
+    while 0 <= p < end - 4:
+        if data[p + 2] >> 4 == 0 and data[p + 2] & 0x0C == hz:
+            unit = 4 if 4 - ((kind >> 1) & 3) == 1 else 1
+            return p - at - ((data[at + 2] >> 1) & 1) * unit
+        p = data.find(bytes((0xFF, kind)), p + 1, end)
+    return 0
+
+
+def _crc(value: int, bits: int) -> int:
+    """The checksum of MPEG audio over so many bits of a number: polynomial 0x8005, all ones at first."""
+    crc = 0xFFFF
+    for k in range(bits - 1, -1, -1):
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15 ^ value >> k) & 1 else crc << 1) & 0xFFFF
+    return crc
+
+
 @lru_cache(maxsize=4096)
-def crc16(covered: bytes) -> int:
-    """The checksum of MPEG audio: polynomial 0x8005, all ones at first."""
-    value = 0xFFFF
-    for byte in covered:
-        value ^= byte << 8
-        for _ in range(8):
-            value = (value << 1 ^ 0x8005 if value & 0x8000 else value << 1) & 0xFFFF
-    return value
+def crc16(covered: bytes, bits: int | None = None) -> int:
+    """The checksum of the first so many bits (all unless told) of these bytes."""
+    bits = 8 * len(covered) if bits is None else bits
+    return _crc(int.from_bytes(covered, "big") >> (8 * len(covered) - bits), bits)
+
+
+def _allocation_table(head: Header) -> str:
+    if head.version != 1:
+        return "2"
+    each = head.kbits // (1 if head.mono else 2)
+    if each >= 56 and (head.hertz == 48000 or each <= 80):
+        return "a"
+    if each >= 56:
+        return "b"
+    return "d" if head.hertz == 32000 else "c"
+
+
+def covered_bits(frame: bytes, head: Header) -> int:
+    """Bits after the checksum that it covers: side information, or the bit allocation and (Layer II) how scale factors are sent."""
+    if head.layer == 3:
+        return 8 * head.side
+    channels, joint = (1 if head.mono else 2), frame[3] >> 6 == 1
+    table = (4,) * 32 if head.layer == 1 else ALLOCATION[_allocation_table(head)]
+    bound = min(len(table), 4 * (((frame[3] >> 4) & 3) + 1)) if joint else len(table)
+    value, total = int.from_bytes(frame[6:], "big"), 8 * (len(frame) - 6)
+    at = selected = 0
+    for band, n in enumerate(table):
+        both = channels == 2 and band >= bound
+        for _ in range(1 if both else channels):
+            used = value >> max(0, total - at - n) & ((1 << n) - 1)
+            at += n
+            selected += bool(used) * (2 if both else 1)
+    return at + (2 * selected if head.layer == 2 else 0)
+
+
+def checksum_good(frame: bytes, head: Header) -> bool:
+    """Whether the checksum after the header is that of the last two header bytes and of what it covers."""
+    bits = covered_bits(frame, head)
+    return crc16(frame[2:4] + frame[6 : 6 + (bits + 7) // 8], 16 + bits) == int.from_bytes(frame[4:6], "big")
 
 
 def _synchsafe(n: int) -> bytes:
@@ -122,7 +186,10 @@ class Stream:
     offsets: list[int] = field(default_factory=list)
     headers: list[Header] = field(default_factory=list)
     tags: dict[str, str] = field(default_factory=dict)
+    #: frames, bytes, delay and padding as the table says, and the offset of the frame that holds it
     vbr: dict[str, int] = field(default_factory=dict)
+    #: (share of the duration, offset) of each seek point of the table
+    seek: list[tuple[float, int]] = field(default_factory=list)
     crc_good: int = 0
     crc_bad: int = 0
     junk: int = 0
@@ -130,22 +197,42 @@ class Stream:
 
     @property
     def samples(self) -> int:
-        return sum(h.samples for h in self.headers)
+        """Samples of all frames, less those that the encoder says it added."""
+        return max(0, sum(h.samples for h in self.headers) - self.vbr.get("delay", 0) - self.vbr.get("padding", 0))
+
+    def seek_error(self) -> float:
+        """The furthest that a seek point lies from the frame at its share of the duration, as a share of the bytes; 0 without seek points."""
+        if not self.seek or not self.offsets:
+            return 0.0
+        places = [self.offsets[min(len(self.offsets) - 1, int(share * len(self.offsets)))] for share, _ in self.seek]
+        return max(abs(at - place) for (_, at), place in zip(self.seek, places, strict=True)) / max(1, self.vbr.get("bytes", 0) or self.offsets[-1])
+
+
+def _safe(raw: bytes) -> int:
+    """A number of seven bits a byte."""
+    return sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0), strict=False))
 
 
 def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
-    """Reads the tag that starts here; the offset after it."""
-    major, flags = data[at + 3], data[at + 5]
-    size = int.from_bytes(bytes(4), "big") + sum((b & 0x7F) << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=False))
-    end, p = min(len(data), at + 10 + size), at + 10
-    while major in (3, 4) and p + 10 <= end and data[p : p + 4].strip(b"\0"):
-        raw = data[p + 4 : p + 8]
-        n = int.from_bytes(raw, "big") if major == 3 else sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True))
-        body = data[p + 10 : min(end, p + 10 + n)]
-        name = data[p : p + 4].decode("latin-1")
-        if name[0] == "T" and body:
-            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
-            parts = body[1:].decode(code, "replace").split("\0")
+    """Reads the tag that starts here (versions 2.3 and 2.4; others are skipped); the offset after it."""
+    major, flags, size = data[at + 3], data[at + 5], _safe(data[at + 6 : at + 10])
+    end = min(len(data), at + 10 + size)
+    body, p = data[at + 10 : end], 0
+    if flags & 0x80 and major == 3:
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 0x40:
+        p = 4 + int.from_bytes(body[:4], "big") if major == 3 else _safe(body[:4])
+    while major in (3, 4) and p + 10 <= len(body) and body[p : p + 4].strip(b"\0"):
+        raw = body[p + 4 : p + 8]
+        n = int.from_bytes(raw, "big") if major == 3 else _safe(raw)
+        value, name = body[p + 10 : p + 10 + n], body[p : p + 4].decode("latin-1")
+        if major == 4 and body[p + 9] & 0x01:
+            value = value[4:]  # the length before unsynchronisation
+        if major == 4 and (body[p + 9] & 0x02 or flags & 0x80):
+            value = value.replace(b"\xff\0", b"\xff")
+        if name[0] == "T" and value:
+            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(value[0], "latin-1")
+            parts = value[1:].decode(code, "replace").split("\0")
             if name == "TXXX" and len(parts) > 1:
                 tags[f"TXXX:{parts[0]}"] = parts[1]
             else:
@@ -154,62 +241,85 @@ def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     return end + (10 if flags & 0x10 else 0)
 
 
-def _vbr_table(frame: bytes, head: Header) -> dict[str, int]:
-    """The Xing/Info or VBRI table of this frame, if it has one."""
-    at = 4 + (2 if head.has_crc else 0) + head.side
-    for start in {at, 4 + head.side}:
+def _vbr_table(frame: bytes, head: Header, at: int) -> tuple[dict[str, int], list[tuple[float, int]]]:
+    """The Xing/Info or VBRI table of this frame and its seek points, if it has one; `at` is the frame's offset."""
+    for start in (4 + head.side, 6 + head.side):
         if frame[start : start + 4] in (b"Xing", b"Info") and len(frame) >= start + 8:
-            flags, p, out = int.from_bytes(frame[start + 4 : start + 8], "big"), start + 8, {}
+            flags, p, out, seek = int.from_bytes(frame[start + 4 : start + 8], "big"), start + 8, {"at": at}, []
             for bit, name in ((1, "frames"), (2, "bytes")):
                 if flags & bit and len(frame) >= p + 4:
                     out[name] = int.from_bytes(frame[p : p + 4], "big")
                     p += 4
-            return out | {"toc": int(bool(flags & 4))}
-    if frame[36:40] == b"VBRI" and len(frame) >= 54:
-        return {"bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big"), "toc": 1}
-    return {}
+            if flags & 4 and len(frame) >= p + 100:
+                seek = [(k / 100, at + frame[p + k] * out.get("bytes", 0) // 256) for k in range(100)]
+                p += 100
+            p += 4 if flags & 8 else 0
+            if frame[p : p + 4] in (b"LAME", b"Lavf", b"Lavc") and len(frame) >= p + 24:
+                added = int.from_bytes(frame[p + 21 : p + 24], "big")
+                out |= {"delay": added >> 12, "padding": added & 0xFFF}
+            return out, seek
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        delay, n_bytes, frames = int.from_bytes(frame[42:44], "big"), int.from_bytes(frame[46:50], "big"), int.from_bytes(frame[50:54], "big")
+        n, scale, width, each = (int.from_bytes(frame[k : k + 2], "big") for k in (54, 56, 58, 60))
+        seek, place = [], at + head.size
+        for k in range(n if 0 < width <= 4 and frames else 0):
+            entry = frame[62 + k * width : 62 + (k + 1) * width]
+            if len(entry) < width or k * each >= frames:
+                break
+            seek.append((k * each / frames, place))
+            place += int.from_bytes(entry, "big") * scale
+        return {"at": at, "bytes": n_bytes, "frames": frames, "delay": delay}, seek
+    return {}, []
 
 
 def parse_stream(data: bytes | None) -> Stream:
     """Reads a whole stream; what is no frame or tag counts as junk, and an empty or null stream has nothing."""
     out, at, data = Stream(), 0, data or b""
-    end = len(data)
-    if data[-128:-125] == b"TAG":
-        end -= 128
-        for name, low, high in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            if value := data[end + low : end + high].split(b"\0")[0].decode("latin-1").strip():
-                out.tags.setdefault(name, value)
-    locked = False
+    end, locked, free_size = len(data), None, 0
+
+    def tag_v1(p: int) -> bool:
+        return p == end - 128 and data[p : p + 3] == b"TAG"
+
+    def header(p: int) -> Header | None:
+        nonlocal free_size
+        four = data[p : p + 4]
+        if len(four) == 4 and four[0] == 0xFF and four[2] >> 4 == 0:
+            free_size = free_size or free_frame_size(data, p, end)
+            return read_header(four, free_size)
+        return read_header(four)
+
     while at < end:
         if data[at : at + 3] == b"ID3" and at + 10 <= end:
             at = _id3v2(data, at, out.tags)
             continue
-        head = read_header(data[at : at + 4])
+        if tag_v1(at):
+            for name, low, high in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
+                if value := data[at + low : at + high].split(b"\0")[0].decode("latin-1").strip():
+                    out.tags.setdefault(name, value)
+            break
+        head = header(at)
         if head and at + head.size <= end:
-            after = at + head.size
-            # Out of step, a header counts only if another one, a tag or the end follows its frame.
-            if locked or after == end or data[after : after + 3] == b"ID3" or read_header(data[after : after + 4]):
-                frame, locked = data[at:after], True
-                table = _vbr_table(frame, head) if head.layer == 3 and not out.headers and not out.vbr else {}
+            after, kind = at + head.size, (head.version, head.layer, head.hertz)
+            following = header(after)
+            # Out of step, a header counts only if one of its kind, a tag or the end follows its frame.
+            if kind == locked or after == end or data[after : after + 3] == b"ID3" or tag_v1(after) or (following and (following.version, following.layer, following.hertz) == kind):
+                frame, locked = data[at:after], kind
+                table, seek = _vbr_table(frame, head, at) if head.layer == 3 and not out.headers and not out.vbr else ({}, [])
                 if table:
-                    out.vbr = table
+                    out.vbr, out.seek = table, seek
                 else:
-                    body = 4 + head.side
                     if head.has_crc:
-                        body += 2
-                        if head.layer == 3:
-                            good = crc16(frame[2:4] + frame[6:body]) == int.from_bytes(frame[4:6], "big")
-                            out.crc_good += good
-                            out.crc_bad += not good
+                        good = checksum_good(frame, head)
+                        out.crc_good += good
+                        out.crc_bad += not good
                     out.offsets.append(at)
                     out.headers.append(head)
-                    out.data.append(frame[body:])
+                    out.data.append(frame[4 + 2 * head.has_crc + head.side :])
                 at = after
                 continue
-        locked = False
-        step = data.find(b"\xff", at + 1, end)
-        nearer = data.find(b"ID3", at + 1, end)
-        step = min(x for x in (step, nearer, end) if x > 0)
+        locked = None
+        ends = (data.find(b"\xff", at + 1, end), data.find(b"ID3", at + 1, end), end - 128 if at < end - 128 and tag_v1(end - 128) else -1, end)
+        step = min(x for x in ends if x > 0)
         out.junk += step - at
         at = step
     return out
@@ -262,7 +372,9 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def read_media(media: DataFrame) -> DataFrame:
     """media (doc_id, media) with n_bytes, payload, duration_samples, hertz, offsets and feature.
 
-    Streams are parsed whole; a stream without frames has no duration. feature sums up frames, exact
+    Streams are parsed whole; a stream without frames has no duration, and a null one is empty. Rows with a
+    null doc_id and repeated rows stay; other columns are ignored; an empty table gives an empty table.
+    feature sums up frames, exact
     duration, bit rates, checksums, junk and the payload's byte statistics.
     """
 
@@ -270,7 +382,7 @@ def read_media(media: DataFrame) -> DataFrame:
         rates = Counter(h.kbits for h in stream.headers)
         values = np.frombuffer(payload, np.uint8).astype(np.float64)
         low, high, mean, power = (int(values.min()), int(values.max()), values.mean(), ((values - values.mean()) ** 2).mean()) if len(values) else (0, 0, 0.0, 0.0)
-        return f"frames={len(stream.headers)};samples={stream.samples};table_frames={stream.vbr.get('frames', -1)};rates={','.join(f'{k}x{n}' for k, n in sorted(rates.items()))};crc={stream.crc_good}/{stream.crc_bad};junk={stream.junk};min={low};max={high};mean={mean:.4f};power={power:.4f}"
+        return f"frames={len(stream.headers)};samples={stream.samples};table_frames={stream.vbr.get('frames', -1)};rates={','.join(f'{k}x{n}' for k, n in sorted(rates.items()))};crc={stream.crc_good}/{stream.crc_bad};seek_points={len(stream.seek)};seek_error={stream.seek_error():.4f};junk={stream.junk};min={low};max={high};mean={mean:.4f};power={power:.4f}"
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:

@@ -52,6 +52,7 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         "duration_samples",
         "hertz",
         F.size("offsets").cast("long").alias("n_frames"),
+        F.col("offsets").alias("frame_offsets"),
     )
 
 

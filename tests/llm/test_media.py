@@ -20,7 +20,7 @@ from sluiceway.llm.tokens import load
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-@pytest.mark.parametrize("text", [None, "", "a", "é" * 5000, "x" * 192, "y" * 193, "z" * 122_000])
+@pytest.mark.parametrize("text", [None, "", "a", "TAG" * 100, "TAG" * 1000 + "x", "ID3" * 900, "é" * 5000, "x" * 192, "y" * 193, "z" * 122_000])
 def test_stream_round_trip(text: str | None) -> None:
     payload, size = mpeg.padded(text)
     stream = mpeg.parse_stream(mpeg.write_stream(payload, size))
@@ -49,10 +49,80 @@ def test_headers_of_other_versions() -> None:
     assert mpeg.read_header(bytes((0xFF, 0xFB, 0xF0, 0))) is None and mpeg.read_header(b"\xff") is None
 
 
+def long_division(bits: str) -> int:
+    """The remainder of the bits by x^16 + x^15 + x^2 + 1, begun with sixteen ones."""
+    register = [1] * 16
+    for bit in bits:
+        out = register.pop(0) ^ int(bit)
+        register.append(0)
+        if out:
+            for at in (0, 13, 15):
+                register[at] ^= 1
+    return int("".join(map(str, register)), 2)
+
+
+@pytest.mark.parametrize(
+    ("second", "third", "fourth", "covered"),
+    [
+        (0xFE, 0x90, 0xC0, 32 * 4),  # MPEG-1 Layer I, mono
+        (0xFE, 0x90, 0x00, 64 * 4),  # stereo
+        (0xFE, 0x90, 0x50, (8 * 2 + 24) * 4),  # joint stereo from subband 8 on
+        (0xFC, 0x84, 0xC0, 11 * 4 + 12 * 3 + 4 * 2),  # Layer II, 128 kbit/s mono at 48 kHz: table a
+        (0xFC, 0x80, 0xC0, 11 * 4 + 12 * 3 + 7 * 2),  # 44.1 kHz: table b
+        (0xFC, 0x10, 0xC0, 2 * 4 + 6 * 3),  # 32 kbit/s mono: table c
+        (0xFC, 0x18, 0xC0, 2 * 4 + 10 * 3),  # at 32 kHz: table d
+        (0xF4, 0x80, 0xC0, 4 * 4 + 7 * 3 + 19 * 2),  # MPEG-2 Layer II
+    ],
+)
+def test_checksums_of_layers_one_and_two(second: int, third: int, fourth: int, covered: int) -> None:
+    head = bytes((0xFF, second, third, fourth))
+    size = mpeg.read_header(head).size
+    frame = head + b"\0\0" + bytes(size - 6)
+    assert mpeg.covered_bits(frame, mpeg.read_header(head)) == covered
+    bits = "".join(f"{b:08b}" for b in frame[2:4]) + "0" * covered
+    good = head + long_division(bits).to_bytes(2, "big") + bytes(size - 6)
+    stream = mpeg.parse_stream(good * 3 + good[:4] + bytes((good[4] ^ 1,)) + good[5:])
+    assert (stream.crc_good, stream.crc_bad, stream.junk, len(stream.headers)) == (3, 1, 0, 4)
+
+
+def test_seek_points_and_delay() -> None:
+    media = mpeg.write_stream(*mpeg.padded("word " * 30_000))
+    stream = mpeg.parse_stream(media)
+    assert len(stream.seek) == 100 and stream.seek_error() <= 2 / 100 and stream.offsets[0] == stream.vbr["at"] + 192
+    assert all(media[x] == 0xFF for x in stream.offsets)
+    table = bytearray(media[stream.vbr["at"] : stream.vbr["at"] + 192])
+    place = 21 + 8 + 8 + 100
+    table[place : place + 4], table[place + 21 : place + 24] = b"LAME", (576 << 12 | 1000).to_bytes(3, "big")
+    told = mpeg.parse_stream(media[: stream.vbr["at"]] + bytes(table) + media[stream.vbr["at"] + 192 :])
+    assert stream.samples - told.samples == 1576
+    head = bytes((0xFF, 0xFB, 0x90, 0xC0))
+    vbri = head + bytes(32) + b"VBRI" + bytes(6) + (417 * 5).to_bytes(4, "big") + (4).to_bytes(4, "big") + b"".join(n.to_bytes(2, "big") for n in (4, 1, 2, 1, 417, 417, 417, 417))
+    found = mpeg.parse_stream(vbri + bytes(417 - len(vbri)) + (head + bytes(413)) * 4)
+    assert [at for _, at in found.seek] == found.offsets and found.seek_error() == 0
+
+
+def test_free_format_tags_and_false_headers() -> None:
+    free = bytes((0xFF, 0xFB, 0x00, 0xC0)) + bytes(496)
+    found = mpeg.parse_stream(free * 4)
+    assert [h.size for h in found.headers] == [500] * 4 and found.headers[0].kbits == 153
+    frame = bytes((0xFF, 0xFB, 0x90, 0xC0)) + bytes(413)
+    # A header of another kind inside junk leads to a frame of the stream, but it is none.
+    false = bytes((0xFF, 0xFD, 0x10, 0xC0)) + bytes(100)
+    assert mpeg.parse_stream(false + frame * 3).offsets == [len(false) + 417 * k for k in range(3)]
+    text = b"TIT2" + (5).to_bytes(4, "big") + b"\0\0\0a\xff\0b"
+    tag = b"ID3\x03\0\xc0" + mpeg._synchsafe(10 + len(text)) + (6).to_bytes(4, "big") + bytes(6) + text
+    assert mpeg.parse_stream(tag + frame * 2).tags == {"TIT2": "aÿb"}
+    last = b"TAG" + b"Title".ljust(30, b"\0") + bytes(95)
+    ended = mpeg.parse_stream(frame * 2 + last)
+    assert ended.tags == {"TIT2": "Title"} and len(ended.headers) == 2 and ended.junk == 0
+
+
 def test_media_columns(spark: SparkSession) -> None:
     rows = hard_texts()
     found = mpeg.read_media(mpeg.store_texts(frame(spark, rows))).collect()
     assert sorted((r.doc_id, r.n_bytes, bytes(r.payload)) for r in found) == sorted((i, mpeg.padded(t)[1], mpeg.padded(t)[0]) for i, t in rows)
+    none = frame(spark, rows).limit(0)
+    assert mpeg.read_media(mpeg.store_texts(none)).isEmpty()
     assert len({(bytes(r.media), r.feature) for r in found}) == len({mpeg.padded(t) for _, t in rows})
 
 
