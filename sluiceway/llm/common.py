@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words kept in a worker's hash memo before it is emptied (about 60 MB).
 MEMO_WORDS = 400_000
+#: Keys that are joined apart from the rest since they hold many rows, at most.
+MOST_HOT = 10_000
 #: Edges for each part of the tables of connected components.
 EDGES_PER_PART = 200_000
 
@@ -69,6 +71,20 @@ def only(rows: DataFrame, ids: DataFrame, on: list[str], limit: int = 1_000_000)
     return rows.join(F.broadcast(ids) if ids.count() <= limit else ids, on, "left_semi")
 
 
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined with keyed, which holds each key once and, as n, in how many of the `total` rows it lies.
+
+    Keys of more than one in MOST_HOT rows, which are MOST_HOT at most, are broadcast, so that no task gets
+    all rows of one; the others are joined by a shuffle. Both tables are read several times.
+    """
+    least = max(64, total // MOST_HOT)
+    hot = keyed.where(F.col("n") > least)
+    if hot.isEmpty():
+        return rows.join(keyed.drop("n"), on)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col("n") <= least).drop("n"), on)
+    return rows.join(F.broadcast(hot.drop("n")), on).unionByName(cold)
+
+
 class WordHasher(dict):
     """word -> 64-bit hash, remembered for the words that a worker has seen."""
 

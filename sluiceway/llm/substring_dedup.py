@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHasher, ascii_words, mix
+from .common import Scratch, WordHasher, ascii_words, hot_join, mix
 
 EDGE, GROUP, LONG_RUN = 10, 4, 4
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -232,8 +232,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     # A text that an earlier document has as a whole needs no windows of its own: all its words go.
     owner = whole.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("sha", "owner")
     copies = scratch.keep(whole.join(owner, "sha").where("doc_id > owner").select("doc_id", "text_hash").distinct(), "copies")
-    shared = spots.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("anchor")
-    around = spots.join(shared, "anchor").select("doc_id", "text_hash", "low", "high").distinct()
+    shared = spots.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("least < last").select("anchor", "n")
+    shared = scratch.keep(shared, "shared")
+    around = hot_join(spots, shared, ["anchor"], spots.count()).select("doc_id", "text_hash", "low", "high").distinct()
     around = around.join(copies, ["doc_id", "text_hash"], "left_anti")
     around = around.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("around"))
 
@@ -261,8 +262,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     suspects = scratch.keep(hashed.join(around, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "around"), "suspects")
     windows = scratch.keep(suspects.mapInArrow(hashes, "h1 long, h2 int, doc_id long, text_hash long, pos int"), "windows")
-    earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("h1", "h2", "least")
-    repeats = windows.join(earliest, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("at"))
+    earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("least < last").select("h1", "h2", "least", "n")
+    earliest = scratch.keep(earliest, "earliest")
+    repeats = hot_join(windows, earliest, ["h1", "h2"], windows.count()).where("doc_id > least").groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("at"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

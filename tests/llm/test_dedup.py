@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.llm import ngram_join, substring_dedup
-from sluiceway.llm.common import Scratch, connected_components
+from sluiceway.llm.common import Scratch, connected_components, hot_join
 from sluiceway.llm.line_dedup import dedup_lines, keep_bitmaps
 
 LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -41,6 +41,10 @@ def test_line_dedup(spark: SparkSession) -> None:
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in found.collect()) == sorted(expected)
     assert found.columns[: len(docs.columns)] == docs.columns
     assert dedup_lines(docs.limit(0)).isEmpty()
+    odd = docs.withColumns({c: F.lit(1) for c in ("_doc", "_lines", "_dropped", "_hash", "dropped", "kept_text", "a.b")})
+    renamed = dedup_lines(odd)
+    assert renamed.columns == [*(c for c in odd.columns if c != "kept_text"), "n_lines", "n_dropped", "kept_text"]
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in renamed.collect()) == sorted(expected)
     assert any(len(r.dropped) < 2 < sum(d.last - d.first + 1 for d in r.dropped) for r in keep_bitmaps(docs).collect())
 
 
@@ -186,6 +190,13 @@ def test_linked_sets_share_a_fragment(percent: int) -> None:
             assert sum(int(v).bit_count() for v in (px ^ py).view(np.uint64)) <= len(a ^ b)
 
 
+def test_hot_keys_are_joined_apart(spark: SparkSession) -> None:
+    rows = spark.createDataFrame([(k, 7 if k % 2 else k) for k in range(1000)], "id long, key long")
+    keyed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    found = {r.id: r.least for r in hot_join(rows, keyed, ["key"], 1000).collect()}
+    assert found == {k: 1 if k % 2 else k for k in range(1000)}
+
+
 def test_connected_components(spark: SparkSession) -> None:
     chain = [(k, k + 1) for k in range(300, 800)] + [(k, k + 1) for k in range(60)] + [(100, 200 + k) for k in range(20)] + [(7, 7)]
     found = connected_components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark))
