@@ -3,9 +3,10 @@
 Every document becomes a set of n-gram hashes; the order of the hashes is the global n-gram order.
 Cut into more fragments than two sets over the threshold can differ in n-grams, the order has a
 fragment in which both sets are the same, so equal fragments find every candidate pair. The number
-of fragments follows from the size class of the smaller set. A candidate pair's overlap is counted in
-each of COUNTED fragments on its own, from rows that hold a set's n-grams of that fragment, and the
-counts are summed. Documents with equal sets are one class and are joined once.
+of fragments follows from the size class of the smaller set. Sets are held cut into COUNTED fragments;
+the overlap of a candidate pair is counted in each of these on its own, and the counts are summed. (A row
+for each pair and fragment would say the same in COUNTED times the rows.) Documents with equal sets are
+one class and are joined once.
 
 There are fragments to spare: linked sets are the same in more of them than a set may leave out. Fragments
 without n-grams are left out first, then those that the most classes hold (of shared passages, mostly).
@@ -212,30 +213,27 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
     cuts = np.array([(f << 64) // COUNTED for f in range(1, COUNTED)], np.uint64)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text a row of its set's size and sketches, and a row for each fragment of the order with the n-grams there."""
+        """For each text its set's size and sketches, and the n-grams of each fragment of the order."""
         hasher = WordHasher()
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 out = []
                 for text in batch.column(0).slice(k, 1000):
                     g = ngram_set(text.as_py(), size, hasher)
-                    key = _class_id(g)
-                    out.append((key, -1, len(g), parity_sketch(g), fine_sketch(g), None))
-                    out += [(key, f, None, None, None, x.view(np.int64)) for f, x in enumerate(np.split(g, np.searchsorted(g, cuts))) if len(x)]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "part", "n", "sketch", "fine", "grams"])
+                    out.append((_class_id(g), len(g), parity_sketch(g), fine_sketch(g), [x.view(np.int64) for x in np.split(g, np.searchsorted(g, cuts))]))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "n", "sketch", "fine", "fragments"])
 
-    chosen = only(docs, wanted.select("doc_id").distinct(), ["doc_id"]).select("text").mapInArrow(keyed, "key long, part int, n long, sketch array<long>, fine array<long>, grams array<long>")
-    sets = scratch.keep(only(chosen, wanted.select("key"), ["key"]).dropDuplicates(["key", "part"]), "sets")
-    facts = sets.where("part < 0").select("key", "n", "sketch", "fine")
-    grams = sets.where("part >= 0").select("key", "part", "grams")
+    chosen = only(docs, wanted.select("doc_id").distinct(), ["doc_id"]).select("text").mapInArrow(keyed, "key long, n long, sketch array<long>, fine array<long>, fragments array<array<long>>")
+    sets = scratch.keep(only(chosen, wanted.select("key"), ["key"]).dropDuplicates(["key"]), "sets")
+    facts = sets.select("key", "n", "sketch", "fine")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, na, nb) -> (u, v) of the pairs whose overlaps, counted fragment by fragment, sum to the threshold."""
-        one, other = (grams.select(F.col("key").alias(x), "part", F.col("grams").alias(f"g{x}")) for x in "ab")
-        partial = pairs.join(one, "a").join(other, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("common"))
-        pair = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-        return pair.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        """(a, b, na, nb) -> (u, v) of the pairs whose overlaps, counted in each fragment on its own, sum to the threshold."""
+        one, other = (sets.select(F.col("key").alias(x), F.col("fragments").alias(f"f{x}")) for x in "ab")
+        partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
+        counted = pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda total, n: total + n).cast("long").alias("common"))
+        return counted.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def near() -> Column:
         """Sizes and sketches allow the threshold."""
