@@ -11,7 +11,10 @@ import numpy as np
 #: Chunks that a worker remembers (about 60 MB) before it forgets the half that it met last, mostly rare ones.
 MEMO_CHUNKS = 300_000
 #: Signs that the tokenizer splits off a word, and texts joined for one call.
-SIGNS, TOGETHER = b".,;:!?", 100
+SIGNS, TOGETHER = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 100
+#: The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, others follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _LOADED: dict[str, WordTokens] = {}
 
 
@@ -19,8 +22,9 @@ class WordTokens:
     """A tokenizer whose pre-tokens never cross white space, so a text's ids are those of its chunks in order.
 
     That holds for tokenizers that split at white space and drop it. Where the tokenizer lower-cases, so
-    do the chunks (A-Z only), and where it splits a sign off a word, chunks are put together from both;
-    a probe of each shows whether it does. Texts that could hold a special token are encoded as a whole.
+    do the chunks (A-Z only), where it splits a sign off a word, chunks are put together from both, and
+    where the model alone gives a word of plain letters its ids, it is asked directly; probes of each show
+    whether they hold. Texts that could hold a special token are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -32,19 +36,44 @@ class WordTokens:
         self.dtype, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
         self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.folds = self._whole("ABC Xyz") == self._whole("abc xyz")
-        self.signs = bytes(c for c in SIGNS if self._whole(f"word{chr(c)}") == self._whole(f"word {chr(c)}"))
+        # Signs that stand for themselves as a run of their own, however many follow each other.
+        apart = lambda run: self._whole(f"word{run}") == self._whole(f"word {run}")
+        self.signs = bytes(c for c in SIGNS if apart(chr(c)) and apart(chr(c) + "!?") and apart("." + chr(c)))
+        self.plain = all(self._direct(w.encode()) == self._whole(w) for w in ("a", "word", "zxqvj", "internationally"))
+        self.latin = all(self._direct(w.encode()) == self._whole(w) for w in ("été", "über", "größe", "ñandú", "ÀÉ", "µª"))
         self.memo: dict[bytes, bytes] = {}
 
+    def _direct(self, word: bytes) -> bytes:
+        """The ids that the model alone gives a word, each of its bytes as the letter that stands for it."""
+        letters = word.lower().decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
+    def _is_word(self, chunk: bytes) -> bool:
+        """Whether a chunk is a word whose ids _direct gives: letters of ASCII or, composed, of Latin-1."""
+        if chunk.isascii():
+            return self.plain and chunk.isalpha()
+        if not self.latin:
+            return False
+        text = chunk.decode("utf-8", "surrogatepass")
+        return text.isalpha() and max(text) <= "\xff"
+
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, chunks: list[bytes]) -> None:
-        """Encodes chunks in joined lines; a token belongs to the chunk in which it starts."""
-        parted = [c for c in chunks if c[-1] in self.signs and c[:-1].isalpha()]
-        if parted:
-            whole = set(chunks).difference(parted)
-            known = self.memo
-            chunks = [*whole, *({x for c in parted for x in (c[:-1], c[-1:])} - whole - known.keys())]
+        """Plain words at once, with the signs after them; other chunks in joined lines, where a token belongs to the chunk in which it starts."""
+        memo, parted, rest = self.memo, [], set()
+        for c in chunks:
+            core = c.rstrip(self.signs)
+            if not core or not self._is_word(core):
+                rest.add(c)
+                continue
+            if core not in memo:
+                memo[core] = self._direct(core)
+            if len(core) < len(c):
+                parted.append((c, core, c[len(core) :]))
+        rest.update(tail for _, _, tail in parted if tail not in memo)
+        chunks = list(rest)
         for k in range(0, len(chunks), TOGETHER):
             part = chunks[k : k + TOGETHER]
             texts = [c.decode("utf-8", "surrogatepass") for c in part]
@@ -58,8 +87,8 @@ class WordTokens:
                     n += 1
                 self.memo[c] = array(self.code, ids[held:n]).tobytes()
                 held = n
-        for c in parted:
-            self.memo[c] = self.memo[c[:-1]] + self.memo[c[-1:]]
+        for c, core, tail in parted:
+            memo[c] = memo[core] + memo[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype; none for a null text."""
