@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import normal_label, pii_findings
 
 
+#: Hashes that are broadcast, at most (8 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
 def holdout(samples: DataFrame, corpus_id: str, by: str = "email_type", sample: str = "sample_id", share: float = 0.2, least: int = 5) -> DataFrame:
     """samples with is_holdout: of each type the max(least, ceil(share n)) samples with the least hashes."""
     key = F.sha2(F.concat_ws("|", F.lit(corpus_id), F.col(sample).cast("string")), 256)
@@ -71,20 +75,22 @@ def without_rejected(proposals: DataFrame, rejections: DataFrame) -> DataFrame:
 
 
 def corpus_leaks(strings: DataFrame, corpus: DataFrame, size: int = 5) -> DataFrame:
-    """(artifact, sample_id, shingles): runs of `size` words of an artifact string that stand in a corpus text.
+    """(artifact, sample_id, shingles): how many runs of `size` words of an artifact string stand in a corpus text.
 
-    Both sides are cut into word shingles and joined on their hashes, never by a substring test of every
-    string against every text. The strings are those of a package, which has at most 10 MB.
+    Both sides are cut into 64-bit hashes of word shingles, each counted once for a string and text, and
+    joined on these, never by a substring test of every string against every text. The artifacts' hashes
+    are broadcast only where a count shows them few.
     """
 
     def shingles(df: DataFrame, key: str, text: str) -> DataFrame:
         # Generated once for each text, so that the words are not split again for every shingle.
         words = df.select(key, F.explode(F.array(F.split(normal_label(F.col(text)), " "))).alias("words")).where(F.size("words") >= size)
-        cut = F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.array_join(F.slice("words", i, size), " "))
+        cut = F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(size)]))
         return words.select(key, F.explode(F.array_distinct(cut)).alias("shingle"))
 
-    a, b = shingles(strings, "artifact", "text"), shingles(corpus, "sample_id", "text")
-    return b.join(F.broadcast(a), "shingle").groupBy("artifact", "sample_id").agg(F.count(F.lit(1)).alias("shingles"))
+    a, b = shingles(strings, "artifact", "text").distinct(), shingles(corpus, "sample_id", "text")
+    few = a.count() <= MOST_BROADCAST
+    return b.join(F.broadcast(a) if few else a, "shingle").groupBy("artifact", "sample_id").agg(F.count_distinct("shingle").alias("shingles"))
 
 
 def pii_scan(texts: DataFrame, key: str = "sample_id", text: str = "text") -> DataFrame:

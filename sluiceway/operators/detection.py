@@ -24,30 +24,53 @@ def recency(rows: DataFrame, thread: str, order: str, tie: str | None = None) ->
     return rows.withColumn("recency_index", (F.row_number().over(Window.partitionBy(thread).orderBy(*by)) - 1).cast("long"))
 
 
-def rule_hits(text: Column, keywords: list[tuple[str, str, float]], patterns: list[tuple[str, str, float]], entities: list[tuple[str, str, float]] | None = None) -> dict[str, list[Column]]:
-    """type -> one weight column for each rule, a rule counting once: rules become expressions, never a join."""
+def rule_hits(text: Column, words: Column, keywords: list[tuple[str, str, float]], patterns: list[tuple[str, str, float]], entities: list[tuple[str, str, float]] | None = None) -> dict[str, list[Column]]:
+    """type -> one weight column for each rule, a rule counting once: rules become expressions, never a join.
+
+    words are the terms of one word that stand in the text (see one_word); phrases are looked up in the text.
+    """
     found: dict[str, list[Column]] = {}
     kinds = {"MONEY": money_entities, "DATE": date_entities, "ORG": org_entities}
+    weigh = lambda hit, weight: F.when(hit, F.lit(weight).cast("decimal(5,4)")).otherwise(F.lit(0).cast("decimal(5,4)"))
     for kind, term, weight in keywords:
-        found.setdefault(kind, []).append(F.when(phrase_in(text, term), F.lit(weight).cast("decimal(5,4)")).otherwise(F.lit(0).cast("decimal(5,4)")))
+        found.setdefault(kind, []).append(weigh(_stands(text, words, term), weight))
     for kind, regex, weight in patterns:
-        found.setdefault(kind, []).append(F.when(text.rlike(regex), F.lit(weight).cast("decimal(5,4)")).otherwise(F.lit(0).cast("decimal(5,4)")))
+        found.setdefault(kind, []).append(weigh(text.rlike(regex), weight))
     for kind, entity, weight in entities or []:
-        found.setdefault(kind, []).append(F.when(F.size(kinds[entity](text)) > 0, F.lit(weight).cast("decimal(5,4)")).otherwise(F.lit(0).cast("decimal(5,4)")))
+        found.setdefault(kind, []).append(weigh(F.size(kinds[entity](text)) > 0, weight))
     return found
 
 
+def one_word(term: str) -> bool:
+    """Whether a term is one word in lower case, so that it can be met among a text's words."""
+    return bool(term) and all(c.isalnum() for c in term)
+
+
+def _stands(text: Column, words: Column, term: str) -> Column:
+    return F.array_contains(words, term.lower()) if one_word(term) else phrase_in(text, term)
+
+
 def score_types(segments: DataFrame, keywords: list[tuple[str, str, float]], patterns: list[tuple[str, str, float]], negatives: list[tuple[str, str]] | None = None, key: str = "run_id", text: str = "text", entities: list[tuple[str, str, float]] | None = None) -> DataFrame:
-    """(key, type, score): the weights of the rules that hold, at most 1; a negative signal vetoes its type."""
-    hits = rule_hits(F.col(text), keywords, patterns, entities)
+    """(key, type, score): the weights of the rules that hold, at most 1; a negative signal vetoes its type.
+
+    A text is cut into words once, and these are met with the terms of all rules; each key leaves its task
+    as one row.
+    """
+    terms = sorted({t.lower() for _, t, *_ in [*keywords, *(negatives or [])] if one_word(t)})
+    cut = F.array_intersect(F.split(F.lower(F.col(text)), f"[^{LETTER}]+"), F.array(*[F.lit(t) for t in terms]).cast("array<string>"))
+    found = segments.select(key, F.col(text).alias("_text"), cut.alias("_words"))
+    hits = rule_hits(F.col("_text"), F.col("_words"), keywords, patterns, entities)
     veto: dict[str, Column] = {}
     for kind, term in negatives or []:
-        veto[kind] = veto.get(kind, F.lit(False)) | phrase_in(F.col(text), term)
-    total = [
-        F.struct(F.lit(kind).alias("type"), F.when(veto.get(kind, F.lit(False)), F.lit(0)).otherwise(F.least(F.lit(1).cast("decimal(10,4)"), sum(columns[1:], columns[0]).cast("decimal(10,4)"))).cast("decimal(5,4)").alias("score"))
-        for kind, columns in sorted(hits.items())
-    ]
-    return segments.select(key, F.explode(F.array(*total)).alias("s")).groupBy(key, F.col("s.type").alias("type")).agg(F.max("s.score").alias("score"))
+        veto[kind] = veto.get(kind, F.lit(False)) | _stands(F.col("_text"), F.col("_words"), term)
+    kinds = sorted(hits)
+    score = {
+        kind: F.when(veto.get(kind, F.lit(False)), F.lit(0)).otherwise(F.least(F.lit(1).cast("decimal(10,4)"), sum(hits[kind][1:], hits[kind][0]).cast("decimal(10,4)"))).cast("decimal(5,4)")
+        for kind in kinds
+    }
+    per = found.select(key, *[score[kind].alias(f"_s{k}") for k, kind in enumerate(kinds)]).groupBy(key).agg(*[F.max(f"_s{k}").alias(f"_s{k}") for k in range(len(kinds))])
+    rows = F.array(*[F.struct(F.lit(kind).alias("type"), F.col(f"_s{k}").alias("score")) for k, kind in enumerate(kinds)])
+    return per.select(key, F.explode(rows).alias("s")).select(key, "s.type", "s.score")
 
 
 def lock_type(scores: DataFrame, thresholds: DataFrame, key: str = "run_id") -> DataFrame:
@@ -64,12 +87,3 @@ def contradicted(locked: DataFrame, later: DataFrame, key: str = "run_id") -> Da
     """Runs whose locked type later evidence (key, type) contradicts: flagged, never changed."""
     other = later.select(key, F.col("type").alias("later_type")).distinct()
     return locked.join(other, key).where("type <> later_type").select(key, F.lit("classification_ambiguous").alias("code")).distinct()
-
-
-def rule_matches(segments: DataFrame, rules: DataFrame, key: str = "run_id", text: str = "text") -> DataFrame:
-    """(key, type, rule): every rule of a table (type, rule, regex) on every segment; for rule tables too large to compile."""
-    return segments.join(F.broadcast(rules), F.col(text).rlike(F.col("regex"))).select(key, "type", "rule").distinct()
-
-
-def boundary(term: Column) -> Column:
-    return F.concat(F.lit(f"(^|[^{LETTER}])"), term, F.lit(f"([^{LETTER}]|$)"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import in_range, self_contained, version_key
+from ..functions.scalars import in_range, phrase_in, self_contained, version_key
 from ..plans.contracts import MOVES
 
 
@@ -51,12 +51,15 @@ def first_deliveries(messages: DataFrame, keys: list[str], at: str, days: int =
 
 
 def redelivered(messages: DataFrame, runs: DataFrame, keys: list[str], at: str, days: int = 7) -> DataFrame:
-    """messages with original_audit_id: the run of the same key that started within `days` before, else null."""
-    prior = runs.select(*keys, F.col("started_at"), F.col("audit_id").alias("original_audit_id"))
-    near = messages.join(prior, keys, "left").where(F.col("started_at").isNull() | (F.col("started_at") <= F.col(at)))
-    fresh = F.col("started_at") > F.col(at) - F.make_dt_interval(F.lit(days))
-    found = near.groupBy(*messages.columns).agg(F.min_by(F.when(fresh, F.col("original_audit_id")), F.when(fresh, F.col("started_at"))).alias("original_audit_id"))
-    return messages.join(found, messages.columns, "left")
+    """messages with original_audit_id: the run of the same key that started within `days` before, else null.
+
+    Of several the first. Runs are matched by key and time alone, so nulls in other columns do not matter.
+    """
+    moments = messages.select(*keys, F.col(at).alias("_at")).distinct()
+    prior = runs.select(*keys, "started_at", F.col("audit_id").alias("original_audit_id"))
+    fresh = (F.col("started_at") <= F.col("_at")) & (F.col("started_at") > F.col("_at") - F.make_dt_interval(F.lit(days)))
+    found = moments.join(prior, keys).where(fresh).groupBy(*keys, "_at").agg(F.min_by("original_audit_id", F.struct("started_at", "original_audit_id")).alias("original_audit_id"))
+    return messages.join(found.withColumnRenamed("_at", at), [*keys, at], "left").select(*messages.columns, "original_audit_id")
 
 
 def audit_id(client: F.Column, workflow: F.Column, message: F.Column, epoch: F.Column) -> F.Column:
@@ -149,8 +152,8 @@ def binding_violations(invocations: DataFrame, bindings: DataFrame, tools: DataF
 
 
 def undeclared_tools(skills: DataFrame, known: tuple[str, ...]) -> DataFrame:
-    """(skill_id, tool): tools that a skill's body names and its manifest does not declare."""
-    named = F.filter(F.array(*[F.lit(t) for t in known]), lambda t: F.lower(F.col("body")).contains(F.lower(t)))
+    """(skill_id, tool): tools that a skill's body names, as whole words, and its manifest does not declare."""
+    named = F.array_compact(F.array(*[F.when(phrase_in(F.col("body"), t), F.lit(t)) for t in known]))
     return skills.select("skill_id", F.explode(F.array_except(named, F.coalesce("tools", F.array().cast("array<string>")))).alias("tool"))
 
 

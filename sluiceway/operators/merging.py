@@ -16,26 +16,43 @@ def union_candidates(*branches: DataFrame) -> DataFrame:
     return both.where("source is not null and confidence is not null")
 
 
+def settle(candidates: DataFrame, by: tuple[str, ...] = ("run_id", "field")) -> DataFrame:
+    """Each (run, field) in one grouping: its winner's columns, delta, days and values (see conflicts), and agreement.
+
+    The winner has the highest confidence, then the newest segment, then the first source. agreement is the
+    share of source kinds that give the value most of them give.
+    """
+    order = F.struct((-F.col("confidence")).alias("c"), F.coalesce("segment_index", F.lit(2**31 - 1)).alias("s"), F.col("source").alias("o"), F.coalesce("value_norm", F.lit("")).alias("v"))
+    kind = F.substring_index("source", ":", 1)
+    own = [c for c in candidates.columns if c not in by]
+    per = candidates.groupBy(*by).agg(
+        F.min_by(F.struct(*own), order).alias("w"),
+        (F.max("value_dec") - F.min("value_dec")).alias("delta"),
+        F.datediff(F.max("value_date"), F.min("value_date")).alias("days"),
+        # A field of one run has few candidates.
+        F.collect_set(F.struct(F.col("value_norm").alias("v"), kind.alias("k"))).alias("seen"),
+    )
+    values = F.array_distinct(F.transform("seen", lambda x: x["v"]))
+    most = F.array_max(F.transform(values, lambda v: F.size(F.filter("seen", lambda x: x["v"].eqNullSafe(v)))))
+    kinds = F.size(F.array_distinct(F.transform("seen", lambda x: x["k"])))
+    return per.select(*by, "w.*", "delta", "days", F.size(F.array_compact(values)).cast("long").alias("values"), (most / kinds).cast("decimal(5,4)").alias("agreement"))
+
+
 def resolve(candidates: DataFrame, key: list[str] | None = None) -> DataFrame:
     """The winner of each (run, field): highest confidence, then newest segment, then source."""
-    key = key or ["run_id", "field"]
-    order = F.struct((-F.col("confidence")).alias("c"), F.coalesce("segment_index", F.lit(2**31 - 1)).alias("s"), F.col("source").alias("o"), F.coalesce("value_norm", F.lit("")).alias("v"))
-    best = F.min_by(F.struct(*[c for c in candidates.columns if c not in key]), order).alias("w")
-    return candidates.groupBy(*key).agg(best).select(*key, "w.*")
+    by = tuple(key or ("run_id", "field"))
+    return settle(candidates, by).select(*by, *[c for c in candidates.columns if c not in by])
 
 
-def conflicts(candidates: DataFrame, tolerances: DataFrame) -> DataFrame:
-    """(run_id, field, delta, days, beyond): how far a field's candidates lie apart, against its tolerance.
+def conflicts(settled: DataFrame, tolerances: DataFrame) -> DataFrame:
+    """(run_id, field, delta, days, values, beyond): how far a field's candidates lie apart, against its tolerance.
 
-    tolerances: field, absolute, days, and type where candidates have one. A field without a tolerance must have one value.
+    settled: see settle, with type where tolerances (field, absolute, days) have one. A field without a
+    tolerance must have one value.
     """
     on = ["type", "field"] if "type" in tolerances.columns else ["field"]
-    spread = candidates.groupBy("run_id", *on).agg(
-        (F.max("value_dec") - F.min("value_dec")).alias("delta"),
-        F.datediff(F.max("value_date"), F.min("value_date")).alias("days"),
-        F.count_distinct("value_norm").alias("values"),
-    )
-    near = spread.join(F.broadcast(tolerances.withColumnRenamed("days", "most_days")), on, "left")
+    # A package's tolerances, at most 10 MB.
+    near = settled.join(F.broadcast(tolerances.withColumnRenamed("days", "most_days")), on, "left")
     beyond = F.when(F.col("absolute").isNotNull() & F.col("delta").isNotNull(), F.col("delta") > F.col("absolute")).when(F.col("most_days").isNotNull() & F.col("days").isNotNull(), F.col("days") > F.col("most_days")).otherwise(F.col("values") > 1)
     return near.select("run_id", "field", "delta", "days", "values", beyond.alias("beyond"))
 
@@ -50,10 +67,7 @@ def conflict_log(candidates: DataFrame, winners: DataFrame) -> DataFrame:
 
 def agreement(candidates: DataFrame) -> DataFrame:
     """(run_id, field, agreement): the share of source kinds that give the value most of them give."""
-    kind = F.substring_index("source", ":", 1)
-    per = candidates.groupBy("run_id", "field", "value_norm").agg(F.count_distinct(kind).alias("n"))
-    kinds = candidates.groupBy("run_id", "field").agg(F.count_distinct(kind).alias("kinds"))
-    return per.groupBy("run_id", "field").agg(F.max("n").alias("n")).join(kinds, ["run_id", "field"]).select("run_id", "field", (F.col("n") / F.col("kinds")).cast("decimal(5,4)").alias("agreement"))
+    return settle(candidates).select("run_id", "field", "agreement")
 
 
 def overall_confidence(coverage: F.Column, agree: F.Column, certainty: F.Column) -> F.Column:

@@ -19,9 +19,9 @@ def missing(required: DataFrame, resolved: DataFrame) -> DataFrame:
     return required.join(resolved.where("value_norm is not null"), ["run_id", "field"], "left_anti").select("run_id", "field")
 
 
-def confidence(required: DataFrame, resolved: DataFrame, agree: DataFrame) -> DataFrame:
-    """(run_id, coverage, agreement, certainty, confidence) of every run with a required field."""
-    have = required.join(resolved.select("run_id", "field", "confidence"), ["run_id", "field"], "left").join(agree, ["run_id", "field"], "left")
+def confidence(required: DataFrame, settled: DataFrame) -> DataFrame:
+    """(run_id, coverage, agreement, certainty, confidence) of every run with a required field; settled: see merging.settle."""
+    have = required.join(settled.select("run_id", "field", "confidence", "agreement"), ["run_id", "field"], "left")
     per = have.groupBy("run_id").agg(
         (F.count("confidence") / F.count(F.lit(1))).cast("decimal(5,4)").alias("coverage"),
         F.coalesce(F.avg("agreement"), F.lit(0)).cast("decimal(5,4)").alias("agreement"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..functions.frames import kept, spread
 from ..operators import authoring, detection, evaluation, extraction, governance, history, merging, monitoring, routing
 from ..sources import files, packages
 
@@ -40,7 +41,7 @@ _LOCKED = f"""WITH s AS ({_SCORES}), r AS (SELECT *, row_number() OVER (PARTITIO
 
 
 def _type_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detection.score_types(_t(spark, sf_dir, "documents").select("doc_id", "text"), KEYWORDS, [], key="doc_id")
+    return detection.score_types(spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), KEYWORDS, [], key="doc_id")
 
 
 def _locked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +108,9 @@ def q_route_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = spark.sql("SELECT 'invoice' AS type, CAST(0.85 AS DECIMAL(5,4)) AS accept_at, CAST(0.5 AS DECIMAL(5,4)) AS reject_below")
     always = spark.sql("SELECT 'invoice' AS type, 'encrypted_no_key' AS prefix")
     no_flags = runs.where("false").select("run_id", "type", F.lit("").alias("code"))
-    resolved, required = merging.resolve(found), routing.required_of(runs, fields)
-    scores = routing.confidence(required, resolved, merging.agreement(found)).join(runs, "run_id")
-    codes = routing.reasons(no_flags, always, routing.missing(required, resolved), merging.conflicts(found, tolerances), scores, bands, required.where("critical").select("run_id", "field"))
+    settled, required = kept(merging.settle(found), "settled"), routing.required_of(runs, fields)
+    scores = routing.confidence(required, settled).join(runs, "run_id")
+    codes = routing.reasons(no_flags, always, routing.missing(required, settled), merging.conflicts(settled, tolerances), scores, bands, required.where("critical").select("run_id", "field"))
     return routing.terminal(runs, codes).groupBy("outcome", F.array_join("reasons", "|").alias("codes")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -122,7 +123,7 @@ def q_resolved_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {_RUNS} SELECT run_id, CAST(delta AS DOUBLE) AS delta, delta > 20000 AS beyond FROM j WHERE att IS NOT NULL")
 def q_amount_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far an order's amounts lie apart (OP-067, 133)."""
-    both = merging.conflicts(_candidates(spark, sf_dir).where("field = 'amount'"), spark.sql("SELECT 'amount' AS field, CAST(20000 AS DECIMAL(18,2)) AS absolute, CAST(NULL AS INT) AS days"))
+    both = merging.conflicts(merging.settle(_candidates(spark, sf_dir).where("field = 'amount'")), spark.sql("SELECT 'amount' AS field, CAST(20000 AS DECIMAL(18,2)) AS absolute, CAST(NULL AS INT) AS days"))
     return both.where("values > 1 or delta > 0").select("run_id", F.col("delta").cast("double").alias("delta"), "beyond")
 
 
@@ -573,7 +574,7 @@ def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _candidates(spark, sf_dir)
     runs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.lit("invoice").alias("type"))
     fields = spark.sql("SELECT 'invoice' AS type, field, true AS required, false AS critical FROM VALUES ('amount'), ('invoice_date'), ('line_count') v(field)")
-    scores = routing.confidence(routing.required_of(runs, fields), merging.resolve(found), merging.agreement(found))
+    scores = routing.confidence(routing.required_of(runs, fields), merging.settle(found))
     return scores.select("run_id", F.col("coverage").cast("double").alias("coverage"))
 
 

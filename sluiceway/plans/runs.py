@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detection, extraction, merging, routing
+from ..functions.frames import kept
+from ..operators import detection, extraction, history, merging, routing
 from ..sources import files as sources
+from .records import trace
 
 ENGINE_VERSION = "1.0.0"
 #: Embedded messages are opened down to this depth.
@@ -22,30 +22,35 @@ def _rows(df: DataFrame, *columns: str) -> list[tuple]:
     return [tuple(r[c] for c in columns) for r in df.select(*columns).orderBy(*columns).collect()]
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared checkpoint folder, so that no later branch opens messages again."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    path = f"{root.rstrip('/')}/sluiceway-run-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def received(text: F.Column) -> F.Column:
+    """The time of a Date header, or of an ISO timestamp; null if it is neither."""
+    mail = F.regexp_extract(text, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})", 1)
+    return F.coalesce(F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(text))
 
 
-def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str, workflow_id: str, version: str) -> DataFrame:
-    """messages (see sources.files.MESSAGE) -> one terminal row for each run, with what an audit needs.
+def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str, workflow_id: str, version: str, attempts: DataFrame | None = None) -> DataFrame:
+    """messages (see sources.files.MESSAGE) -> one terminal row for each run, with what its records need.
 
-    run_id, client_id, workflow_id, package_version, engine_version, type, confidence, outcome, reasons,
-    fields (array of field and triple).
+    run_id, audit_id, client_id, workflow_id, package_version, engine_version, received_at, type, confidence,
+    outcome, reasons, error, fields (array of field and triple), raw_sources, agent_trace,
+    field_attribution and retries (see plans.records). audit_id follows from client, workflow, run and, where
+    messages have it, delivery_epoch, so a replay keeps it. attempts (run_id, agent, attempt, status) are what a retry controller saw.
     """
-    runs = messages.select("run_id", "body", "depth", "error_code", "attachments", "embedded")
+    messages = kept(messages, "ingested")
+    epoch = F.col("delivery_epoch") if "delivery_epoch" in messages.columns else F.lit(1)
+    runs = messages.select(
+        "run_id", "body", "depth", "error_code", "attachments", "embedded",
+        history.audit_id(F.lit(client_id), F.lit(workflow_id), F.col("run_id"), epoch).alias("audit_id"),
+        received(F.col("received_at")).alias("received_at"),
+    )
     errors = runs.where("error_code is not null").select("run_id", F.col("error_code").alias("code"))
-    whole = runs.where("error_code is null")
+    whole = runs.where("error_code is null").select("run_id", "body", "depth", "error_code", "attachments", "embedded")
     segments = detection.segment(whole)
     scores = detection.score_types(segments, _rows(package["keywords"], "type", "term", "weight"), _rows(package["patterns"], "type", "regex", "weight"), _rows(package["negatives"], "type", "term"), entities=_rows(package["entities"], "type", "entity", "weight"))
     locked = detection.lock_type(scores, package["types"])
     typed = locked.where("type is not null").select("run_id", "type")
     named = package["schema_fields"].select("type", "field", "field_type").join(package["aliases"], ["type", "field"], "left").select("type", "field", "field_type", F.explode(F.array_distinct(F.array(F.coalesce("alias", "field"), F.regexp_replace("field", "_", " ")))).alias("alias"))
-    opened = _kept(sources.expand_embedded(whole, MOST_DEPTH)[0], "messages")
+    opened = kept(sources.expand_embedded(whole, MOST_DEPTH)[0], "messages")
     too_deep = opened.where((F.col("depth") == MOST_DEPTH) & (F.size("embedded") > 0)).select("run_id", F.lit("embedded_depth_exceeded").alias("code")).distinct()
     every = sources.away(opened)
     unread = sources.at_home(every.where("error_code is not null")).select("run_id", F.concat(F.lit("attachment_parse_failed:embedded:"), "origin").alias("code"))
@@ -62,39 +67,57 @@ def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str,
         extraction.extract_texts(pages, typed_all, named, "pdf_parser"),
     )
     inside = F.when(F.col("origin") == "", F.col("source")).otherwise(F.concat(F.lit("embedded:"), "origin", F.lit("/"), "source"))
-    candidates = _kept(sources.at_home(parsed).withColumn("source", inside).drop("origin"), "candidates")
-    resolved = merging.resolve(candidates)
+    candidates = kept(sources.at_home(parsed).withColumn("source", inside).drop("origin"), "candidates")
+    settled = kept(merging.settle(candidates), "settled")
     required = routing.required_of(typed, package["schema_fields"])
-    scored = routing.confidence(required, resolved, merging.agreement(candidates))
+    scored = routing.confidence(required, settled)
     failed = reduce(DataFrame.unionByName, [x.where("error_code is not null").select("run_id", F.col("error_code").alias("code")) for x in (csv_rows, sheet_rows, documents, pages)])
     of_files = sources.at_home(sources.attachment_flags(attached).unionByName(failed)).select("run_id", "code")
-    invalid = extraction.validate(resolved.join(typed, "run_id"), package["schema_fields"])
+    invalid = extraction.validate(settled.join(typed, "run_id"), package["schema_fields"])
     flags = of_files.unionByName(unread).unionByName(too_deep).unionByName(locked.where("ambiguous").select("run_id", F.lit("classification_ambiguous").alias("code"))).join(typed, "run_id", "left")
     unclassified = flags.where("type is null").select("run_id", "code")
     codes = routing.reasons(
         flags.where("type is not null"),
         package["always_review"],
-        routing.missing(required, resolved),
-        merging.conflicts(candidates.join(typed, "run_id"), package["tolerances"]),
+        routing.missing(required, settled),
+        merging.conflicts(settled.join(typed, "run_id"), package["tolerances"]),
         scored.join(typed, "run_id"),
         package["bands"],
         required.where("critical").select("run_id", "field"),
     )
     codes = codes.unionByName(unclassified).unionByName(invalid).distinct()
     ends = routing.terminal(runs.select("run_id"), codes, errors)
-    fields = resolved.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("field", F.struct(F.col("value_norm").alias("value"), "source", "confidence").alias("triple")))).alias("fields"))
-    out = ends.join(locked.select("run_id", "type"), "run_id", "left").join(scored.select("run_id", "confidence"), "run_id", "left").join(fields, "run_id", "left")
+    triple = F.struct(F.col("value_norm").alias("value"), "source", "confidence")
+    made = F.struct("field", F.col("value_norm").alias("value"), "source", F.col("producer").alias("produced_by"), "confidence")
+    fields = settled.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("field", triple.alias("triple")))).alias("fields"), F.array_sort(F.collect_list(made)).alias("field_attribution"))
+    named = F.transform("attachments", lambda a: F.concat(F.lit("attachment:"), a["name"]))
+    raw = F.concat(F.when(F.col("body").isNotNull(), F.array(F.lit("body"))).otherwise(F.array().cast("array<string>")), F.coalesce(named, F.array().cast("array<string>")))
+    facts = runs.select("run_id", "audit_id", "received_at", F.col("error_code").alias("error"), raw.alias("raw_sources"))
+    out = ends.join(facts, "run_id").join(locked.select("run_id", "type"), "run_id", "left").join(scored.select("run_id", "confidence"), "run_id", "left").join(fields, "run_id", "left")
+    tried = "array<struct<agent:string,attempts:int,final_status:string>>"
+    if attempts is not None:
+        per = attempts.groupBy("run_id", "agent").agg(F.max("attempt").cast("int").alias("attempts"), F.max_by("status", "attempt").alias("final_status")).where("attempts > 1")
+        out = out.join(per.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("agent", "attempts", "final_status"))).cast(tried).alias("retries")), "run_id", "left")
+    else:
+        out = out.withColumn("retries", F.lit(None).cast(tried))
     return out.select(
         "run_id",
+        "audit_id",
         F.lit(client_id).alias("client_id"),
         F.lit(workflow_id).alias("workflow_id"),
         F.lit(version).alias("package_version"),
         F.lit(ENGINE_VERSION).alias("engine_version"),
+        "received_at",
         "type",
         "confidence",
         "outcome",
         "reasons",
+        "error",
         F.coalesce("fields", F.array().cast("array<struct<field:string,triple:struct<value:string,source:string,confidence:decimal(5,4)>>>")).alias("fields"),
+        "raw_sources",
+        trace(F.col("reasons"), F.col("error")).alias("agent_trace"),
+        F.coalesce("field_attribution", F.array().cast("array<struct<field:string,value:string,source:string,produced_by:string,confidence:decimal(5,4)>>")).alias("field_attribution"),
+        F.coalesce("retries", F.array().cast(tried)).alias("retries"),
     )
 
 

@@ -8,7 +8,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import kept
+from ..operators.history import incomplete_types, publish_problems
 from ..plans.contracts import schema
+from ..plans.records import checked
 
 
 def package_files(spark: SparkSession, path: str) -> DataFrame:
@@ -18,8 +21,12 @@ def package_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace(F.substring_index("path", bare, -1), "^/", "").alias("path"), "content", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def load_package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The dimensions of a package; every listed checksum must hold, else package_corrupt.
+def load_package(spark: SparkSession, path: str, engine_version: str = "1.0.0") -> dict[str, DataFrame]:
+    """The dimensions of a package, once all that its load is conditional on holds.
+
+    Raises ValueError with the code of what does not: package_corrupt (a checksum, a path that leaves the
+    package, more than 10 MB, a file that is not listed), engine_incompatible, schema_unsupported,
+    type_incomplete (a declared type without exactly one schema and one threshold entry).
 
     manifest, schema_fields (type, field, field_type, required, critical, min, currency_required, format,
     not_before, pattern), aliases (type, field, alias), keywords, patterns, entities and negatives (type,
@@ -30,10 +37,14 @@ def load_package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     manifest_text = files.where("path = 'manifest.json'").select(F.col("content").cast("string").alias("j"))
     manifest = manifest_text.select(F.from_json("j", schema("manifest")).alias("m")).select("m.*")
     listed = manifest.select(F.explode("artifacts").alias("a")).select("a.*")
-    wrong = listed.join(files.select("path", F.col("sha256").alias("found")), "path", "left").where("not (sha256 <=> found)")
-    extra = files.where("path <> 'manifest.json'").join(listed, "path", "left_anti")
-    if manifest.isEmpty() or not wrong.isEmpty() or not extra.isEmpty():
+    if manifest.isEmpty():
         raise ValueError("package_corrupt")
+    stated = files.where("path <> 'manifest.json'").select("path", "size", "sha256", F.get_json_object(F.col("content").cast("string"), "$.schema_version").alias("schema_version"))
+    none = spark.createDataFrame([], "client_id string, workflow_id string, version string")
+    found = {r.code for r in publish_problems(manifest, stated, none, engine_version).select("code").distinct().collect()}
+    for code in ("package_corrupt", "engine_incompatible", "schema_unsupported"):
+        if code in found:
+            raise ValueError(code)
 
     def artifacts(kind: str) -> DataFrame:
         chosen = files.join(F.broadcast(listed.where(F.col("kind") == kind).select("path")), "path")
@@ -45,6 +56,9 @@ def load_package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     optional = fields.select(F.col("email_type").alias("type"), F.explode("optional_fields").alias("f")).selectExpr("type", *flat, "false as required", "false as critical")
     types = rules.select(F.explode("types").alias("type", "r"))
     bands = limits.select(F.explode("types").alias("type", "t"))
+    declared = manifest.select(F.explode("email_types").alias("type")).distinct()
+    if not incomplete_types(declared, fields.select(F.col("email_type").alias("type")), bands.select("type")).isEmpty():
+        raise ValueError("type_incomplete")
     return {
         "manifest": manifest,
         "schema_fields": required.unionByName(optional, allowMissingColumns=True),
@@ -80,15 +94,10 @@ def append(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
-def write_terminals(terminals: DataFrame, path: str) -> None:
-    """Result, review and audit rows of one batch, each under its own folder, from one persisted input."""
-    held = terminals.persist()
-    try:
-        append(held.where("outcome = 'extracted'"), f"{path}/result", "client_id")
-        append(held.where("outcome = 'review_queued'"), f"{path}/review", "client_id")
-        append(held, f"{path}/audit", "client_id")
-    finally:
-        held.unpersist()
+def write_terminals(done: DataFrame, path: str) -> None:
+    """Result, review, dead-letter and audit rows of finished runs, each under its own folder, once all keep their contracts."""
+    for name, rows in checked(kept(done, "done")).items():
+        append(rows, f"{path}/{name}", "client_id")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.frames import kept
+from ..plans.records import checked
+
 
 def message_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
     """A folder as a queue of messages; per_trigger bounds what one batch admits."""
@@ -21,20 +24,16 @@ def deduplicated(stream: DataFrame, keys: list[str], at: str = "received_at", da
 
 
 def run_stream(stream: DataFrame, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, shadow: bool = False) -> StreamingQuery:
-    """Runs the batch plan on each micro-batch; terminals and audits of a batch share one folder number.
+    """Runs the batch plan on each micro-batch; the records of a batch share one folder number.
 
-    A batch that is replayed after a failure overwrites its own folders, so each run has one terminal
-    and one audit. Rows of a trial feed are labelled as shadow.
+    Results, review entries, dead letters and audits keep their contracts (see plans.records), and each has
+    its folder. A batch that is replayed after a failure overwrites its own folders, so each run has one
+    terminal object and one audit. Records of a trial feed are labelled as shadow.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        done = process(batch).withColumn("is_shadow", F.lit(shadow)).persist()
-        try:
-            done.where("outcome <> 'error'").write.mode("overwrite").parquet(f"{sink}/terminal/batch={number}")
-            done.write.mode("overwrite").parquet(f"{sink}/audit/batch={number}")
-            done.where("outcome = 'error'").write.mode("overwrite").parquet(f"{sink}/dead_letter/batch={number}")
-        finally:
-            done.unpersist()
+        for name, rows in checked(kept(process(batch), "done")).items():
+            rows.withColumn("is_shadow", F.lit(shadow)).write.mode("overwrite").parquet(f"{sink}/{name}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 

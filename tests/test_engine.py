@@ -321,11 +321,13 @@ def test_stream_writes_pairs_once(spark: SparkSession, messages: DataFrame, tmp_
         query = streaming.run_stream(stream, lambda b: process(b, package, "acme", "invoices", "1.0.0"), str(tmp_path / "out"), str(tmp_path / "ck"), shadow=True)
         query.processAllAvailable()
         query.stop()
-    audits = spark.read.parquet(str(tmp_path / "out/audit"))
-    assert audits.count() == audits.select("run_id").distinct().count() == len(MAILS)
-    assert audits.where("not is_shadow").isEmpty()
-    ends = spark.read.parquet(str(tmp_path / "out/terminal")).select(F.col("run_id").alias("audit_id"))
-    assert {r.audit_id for r in history.reconcile(ends, audits.select(F.col("run_id").alias("audit_id"))).collect()} == {"bad"}
+    kinds = {name: spark.read.parquet(str(tmp_path / f"out/{name}")) for name in ("result", "review_entry", "dead_letter", "audit")}
+    assert kinds["audit"].count() == kinds["audit"].select("audit_id").distinct().count() == len(MAILS)
+    assert kinds["audit"].where("not is_shadow").isEmpty()
+    ends = kinds["result"].select("audit_id").unionByName(kinds["review_entry"].select("audit_id")).unionByName(kinds["dead_letter"].select("audit_id"))
+    assert history.reconcile(ends, kinds["audit"]).isEmpty() and kinds["dead_letter"].count() == 1
+    failed = kinds["audit"].where("outcome = 'error'").first()
+    assert [(s.agent, s.status, s.reason) for s in failed.agent_trace] == [("ingestion", "failed", "malformed_email")]
 
 
 def test_stream_dedupe(spark: SparkSession, tmp_path: Path) -> None:
