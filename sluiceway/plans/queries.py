@@ -63,7 +63,7 @@ def q_locked_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT lang, count(*) AS n, round(avg(CASE WHEN type = lang THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM ({_LOCKED}) GROUP BY GROUPING SETS ((), (lang))")
 def q_type_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy of the locked type, overall and by true type (OP-053, 071, 072)."""
+    """Accuracy of the locked type, overall and by true type (OP-071, 072)."""
     joined = _t(spark, sf_dir, "documents").select("doc_id", "lang").join(_locked(spark, sf_dir), "doc_id")
     right = joined.withColumn("correct", F.coalesce(F.col("type") == F.col("lang"), F.lit(False)).cast("int"))
     return evaluation.accuracy(right, "lang").withColumn("accuracy", F.round("accuracy", 9))
@@ -196,7 +196,7 @@ def q_holdout_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT lang AS email_type, 250 - count(DISTINCT doc_id) AS lacking FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) < 250")
 def q_corpus_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types with fewer labelled samples than asked for (OP-037, 080)."""
+    """Types with fewer labelled samples than asked for (OP-080)."""
     return authoring.shortfall(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("email_type")), least=250)
 
 
@@ -247,7 +247,7 @@ def q_asof_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT user_id, event_type, ts, r, ts AS start, 1 AS epoch FROM t WHERE r = 1 UNION ALL SELECT t.user_id, t.event_type, t.ts, t.r, CASE WHEN t.ts >= f.start + INTERVAL 7 DAY THEN t.ts ELSE f.start END, CASE WHEN t.ts >= f.start + INTERVAL 7 DAY THEN f.epoch + 1 ELSE f.epoch END FROM t JOIN f ON t.user_id = f.user_id AND t.event_type = f.event_type AND t.r = f.r + 1)
 SELECT e.event_id, CAST(f.epoch AS BIGINT) AS delivery_epoch, row_number() OVER (PARTITION BY e.user_id, e.event_type, f.epoch ORDER BY e.ts, e.event_id) = 1 AS is_first FROM events e JOIN f ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.ts = f.ts""")
 def q_dedupe_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First deliveries of each key within seven days (OP-064, 098, 121)."""
+    """First deliveries of each key within seven days (OP-098, 121)."""
     events = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     return history.first_deliveries(events, ["user_id", "event_type"], "ts").select("event_id", "delivery_epoch", "is_first")
 
@@ -291,7 +291,7 @@ def q_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT user_id AS run_id, event_type AS agent, count(*) AS attempts, arg_max(CASE WHEN value > 90 THEN 'failed' ELSE 'ok' END, event_id) AS final_status FROM events GROUP BY 1, 2")
 def q_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts of each agent and how they ended (OP-088, 118)."""
+    """Attempts of each agent and how they ended (OP-088)."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
@@ -410,14 +410,14 @@ def q_parsed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 5 THEN 'schema_validation_failed:quantity' END AS bad_quantity, NOT (l_shipdate >= o_orderdate) AS too_early FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def q_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least values and dates that must not come before others (OP-030, 033, 034, 035)."""
+    """Least values and dates that must not come before others (OP-030, 033, 035)."""
     joined = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select("l_orderkey", "l_linenumber", F.when(~fn.at_least(F.col("l_quantity"), F.lit(5)), fn.code("schema_validation_failed", F.lit("quantity"))).alias("bad_quantity"), (~fn.not_before(F.col("l_shipdate"), F.col("o_orderdate"))).alias("too_early"))
 
 
 @register("SELECT l_orderkey, l_linenumber, 'attachment' AS kind, 'inv' || l_orderkey || '.xlsx' AS file, 'Lines!B' || l_linenumber AS locator, 0 AS depth FROM lineitem")
 def q_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source strings built and read again (OP-027, 028, 029)."""
+    """Source strings built and read again (OP-028, 029)."""
     source = fn.cell_locator(F.concat(F.lit("inv"), F.col("l_orderkey").cast("string"), F.lit(".xlsx")), F.lit("Lines"), F.concat(F.lit("B"), F.col("l_linenumber").cast("string")))
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fn.parse_locator(source).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
 
@@ -454,7 +454,7 @@ def q_rejected_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'package' WHEN p_size < 40 THEN 'default' END AS skill_source FROM part")
 def q_skill_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package's skill where it overrides the default, else the default (OP-008, 056)."""
+    """A package's skill where it overrides the default, else the default (OP-056)."""
     part = _t(spark, sf_dir, "part")
     skills = part.select(F.col("p_size").alias("skill_id")).distinct().select("skill_id", F.lit("b").alias("body"), F.lit("1.0.0").alias("version"))
     found = history.resolve_skills(part.select(F.col("p_partkey"), F.col("p_size").alias("skill_id")).select("skill_id").distinct(), skills.where("skill_id < 10"), skills.where("skill_id < 40"))
@@ -489,10 +489,10 @@ def _messages(customers: DataFrame) -> DataFrame:
     return messages.select("run_id", "message_id").join(attached.select("run_id", "kind"), "run_id").join(rows, "run_id").select(F.col("run_id").cast("long").alias("c_custkey"), "message_id", "kind", "n")
 
 
-@register("SELECT c_custkey, 'c' || c_custkey || '@example.org' AS message_id, 'csv' AS kind, count(*) AS n FROM customer JOIN (VALUES (1), (2)) v(k) ON true WHERE c_custkey % 10 = 0 GROUP BY 1")
+@register("SELECT c_custkey, 'c' || c_custkey || '@example.org' AS message_id, 'csv' AS kind, count(*) AS n FROM customer JOIN (VALUES (1), (2)) v(k) ON true GROUP BY 1")
 def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw messages of a tenth of the customers; q_messages_all has all (OP-001, 002, 003, 008, 039, 116)."""
-    return _messages(_t(spark, sf_dir, "customer").where("c_custkey % 10 = 0"))
+    """Raw messages of all customers with a table attached, opened and parsed (OP-001, 002, 003, 008, 039, 116)."""
+    return _messages(_t(spark, sf_dir, "customer"))
 
 
 @register("SELECT c_custkey, 'c' || c_custkey || '@example.org' AS message_id, 'csv' AS kind, count(*) AS n FROM customer JOIN (VALUES (1), (2)) v(k) ON true GROUP BY 1")
@@ -512,15 +512,15 @@ def _table_candidates(spark: SparkSession, items: DataFrame) -> DataFrame:
     return found.groupBy(F.col("run_id").cast("long").alias("run_id"), "field").agg(F.max("value_dec").cast("double").alias("value"))
 
 
-@register("SELECT l_orderkey AS run_id, 'amount' AS field, CAST(CAST(max(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS DOUBLE) AS value FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1")
+@register("SELECT l_orderkey AS run_id, 'amount' AS field, CAST(CAST(max(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS DOUBLE) AS value FROM lineitem GROUP BY 1")
 def q_table_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates from CSV rows of a twentieth of the orders; q_table_candidates_all has all (OP-003, 060, 145, 148)."""
-    return _table_candidates(spark, _t(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0"))
+    """Candidates from CSV rows of all orders by the aliases of their headers (OP-003, 060, 148)."""
+    return _table_candidates(spark, _t(spark, sf_dir, "lineitem"))
 
 
 @register("SELECT l_orderkey AS run_id, 'amount' AS field, CAST(CAST(max(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS DOUBLE) AS value FROM lineitem GROUP BY 1")
 def q_table_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates from CSV rows of all orders by the aliases of their headers (OP-003, 060, 145, 148)."""
+    """Candidates from CSV rows of all orders by the aliases of their headers (OP-003, 060, 148)."""
     return _table_candidates(spark, _t(spark, sf_dir, "lineitem"))
 
 
@@ -588,7 +588,7 @@ def q_incomplete_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT o_orderkey AS version, CASE WHEN o_orderkey % 5 = 0 THEN 'gate_failed' WHEN o_orderkey % 3 = 0 OR o_orderkey % 7 = 0 THEN 'signoff_required' END AS code FROM orders")
 def q_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What forbids each promotion (OP-063, 154, 158)."""
+    """What forbids each promotion (OP-063, 154)."""
     v = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version"))
     reports = v.select("version", (F.col("version") % 5 != 0).alias("passed"), F.lit("h").alias("report_hash"))
     signed = v.where("version % 3 <> 0").select("version", F.lit("h").alias("report_hash"))
@@ -608,7 +608,7 @@ def q_first_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT 'c' AS client_id, 'w' AS workflow_id, p_partkey AS version FROM part WHERE p_size % 4 <> 0")
 def q_unevaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Promoted packages without an evaluation on the engine that is rolled out (OP-053, 167)."""
+    """Promoted packages without an evaluation on the engine that is rolled out (OP-167)."""
     promoted = _t(spark, sf_dir, "part").select(F.lit("c").alias("client_id"), F.lit("w").alias("workflow_id"), F.col("p_partkey").alias("version"), "p_size")
     done = promoted.withColumn("engine_version", F.when(F.col("p_size") % 4 == 0, "2.0.0").otherwise("1.0.0"))
     return history.unevaluated(promoted.drop("p_size"), done, "2.0.0")
@@ -616,7 +616,7 @@ def q_unevaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT conv_id AS sample_id, string_agg(DISTINCT role, ',' ORDER BY role) AS kinds, count(*) AS files, max(turn) AS depth FROM conversations GROUP BY 1")
 def q_corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inventory of each sample (OP-038, 093)."""
+    """The inventory of each sample (OP-093)."""
     turns = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sample_id"), F.col("role").alias("kind"), F.lit(False).alias("encrypted"), F.array("role").alias("headers"), F.array().cast("array<string>").alias("sheets"), F.col("turn").alias("depth"))
     return authoring.profile(turns).select("sample_id", F.array_join("kinds", ",").alias("kinds"), "files", "depth")
 
@@ -635,14 +635,14 @@ def q_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT user_id AS run_id, CASE WHEN NOT bool_or(event_type = 'click') THEN 'click' WHEN NOT bool_or(event_type = 'view') THEN 'view' WHEN NOT bool_or(event_type = 'purchase') THEN 'purchase' END AS next_stage FROM events WHERE value > 110 GROUP BY 1")
 def q_next_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stage at which an authoring run resumes (OP-120, 125)."""
+    """The stage at which an authoring run resumes (OP-125)."""
     stages = _t(spark, sf_dir, "events").where("value > 110").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"))
     return authoring.next_stage(stages, ("click", "view", "purchase"))
 
 
 @register("SELECT p_type AS kind, p_partkey AS key, CASE WHEN p_size < 5 THEN upper(p_brand) ELSE p_brand END AS payload, CASE WHEN p_size < 5 THEN 'edit' WHEN p_size < 25 THEN 'accept' ELSE 'waiting' END AS decision FROM part")
 def q_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proposals after the designer's decisions (OP-126, 156, 160)."""
+    """Proposals after the designer's decisions (OP-126)."""
     part = _t(spark, sf_dir, "part")
     proposals = part.select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("key"), F.col("p_brand").alias("payload"))
     decisions = part.where("p_size < 25").select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("key"), F.when(F.col("p_size") < 5, "edit").otherwise("accept").alias("decision"), F.when(F.col("p_size") < 5, F.upper("p_brand")).alias("payload"))
@@ -683,7 +683,7 @@ def q_attachment_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT o.o_orderkey AS sample_id, CASE WHEN l.v IS NULL THEN o.o_orderpriority ELSE l.v END AS value FROM orders o LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag || l_linestatus, l_extendedprice) AS v FROM lineitem WHERE l_quantity > 40 GROUP BY 1) l ON o.o_orderkey = l.l_orderkey")
 def q_corrected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels with the last correction of each field (OP-019, 020, 168)."""
+    """Labels with the last correction of each field (OP-020)."""
     labels = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.lit("f").alias("field"), F.col("o_orderpriority").alias("value"))
     fixes = _t(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("sample_id"), F.lit("f").alias("field"), F.concat("l_returnflag", "l_linestatus").alias("corrected"), F.col("l_extendedprice").alias("corrected_at"))
     return packages.corrected_labels(fixes, labels).select("sample_id", "value")
@@ -700,21 +700,21 @@ def q_undeclared_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT event_id AS run_id, 'error' AS outcome, 'agent_timeout:orchestrator' AS code FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 300 SECOND AND event_id % 3 <> 0")
 def q_overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Started runs without an audit after the ceiling (OP-017, 119)."""
+    """Started runs without an audit after the ceiling (OP-119)."""
     started = _t(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("started_at"))
     return monitoring.overdue(started, started.where("run_id % 3 = 0"), F.lit("2024-01-15 00:00:00").cast("timestamp"))
 
 
 @register("SELECT event_id AS run_id, event_type AS agent FROM events WHERE event_type = 'click'")
 def q_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls that the orchestrator did not make (OP-107, 171)."""
+    """Calls that the orchestrator did not make (OP-171)."""
     trace = _t(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("agent"), F.when(F.col("event_type") != "click", "orchestrator").alias("parent"))
     return governance.hops(trace).select("run_id", "agent")
 
 
 @register("SELECT o_orderkey AS run_id FROM orders WHERE o_orderkey % 4 = 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def q_empty_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review entries without fields although something was extracted (OP-016, 165)."""
+    """Review entries without fields although something was extracted (OP-165)."""
     fields = F.when(F.col("o_orderkey") % 4 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("a"), F.lit("b")))
     entries = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), fields.alias("partial_fields"))
     return routing.empty_partials(entries, _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"))).select("run_id")
@@ -722,7 +722,7 @@ def q_empty_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT CAST(l_orderkey AS VARCHAR) AS audit_id, l_linenumber AS field, l_shipdate AS value, o_orderstatus AS state FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey = (SELECT min(l_orderkey) FROM lineitem)")
 def q_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything recorded of one run (OP-023, 164, 166)."""
+    """Everything recorded of one run (OP-166)."""
     orders, lines = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
     first = lines.agg(F.min("l_orderkey")).first()[0]
     audits = orders.select(F.col("o_orderkey").cast("string").alias("audit_id"), F.lit("c").alias("client_id"), F.lit("w").alias("workflow_id"), F.col("o_orderkey").alias("package_version"))
@@ -731,18 +731,6 @@ def q_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.reconstruct(str(first), audits, attribution, registry).select("audit_id", "field", "value", "state")
 
 
-@register("""SELECT 'package_corrupt' AS code, p_partkey || '.json' AS detail FROM part WHERE p_partkey % 50 = 0 AND p_size % 2 = 0 UNION SELECT 'schema_unsupported', p_partkey || '.json' FROM part WHERE p_partkey % 50 = 0 AND p_size > 40
-UNION SELECT 'engine_incompatible', '>=2.0.0' UNION SELECT 'version_exists', '1.0.0' UNION SELECT 'package_corrupt', 'size ' || CAST(sum(p_size) * 1000000 AS VARCHAR) FROM part WHERE p_partkey % 50 = 0 HAVING sum(p_size) * 1000000 > 10485760""")
-def q_publish_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What forbids a publication: checksums, size, engine, schema and version (OP-010, 022, 043, 045, 161)."""
-    part = _t(spark, sf_dir, "part").where("p_partkey % 50 = 0")
-    path = F.concat(F.col("p_partkey").cast("string"), F.lit(".json"))
-    listed = part.agg(F.collect_list(F.struct(path.alias("path"), F.lit("thresholds").alias("kind"), F.lit("h").alias("sha256"))).alias("artifacts"))
-    manifest = listed.select(F.lit("c").alias("client_id"), F.lit("w").alias("workflow_id"), F.lit("1.0.0").alias("version"), F.lit(">=2.0.0").alias("engine_range"), "artifacts")
-    found = part.select(path.alias("path"), (F.col("p_size").cast("long") * 1_000_000).alias("size"), F.when(F.col("p_size") % 2 == 0, "x").otherwise("h").alias("sha256"), F.when(F.col("p_size") > 40, "9").otherwise("1").alias("schema_version"))
-    return history.publish_problems(manifest, found, manifest.select("client_id", "workflow_id", "version"), "1.0.0")
-
-
 _PACKAGES = "p AS (SELECT p_brand AS client_id, p_type AS workflow_id, '1.' || (p_partkey // 100000) || '.0' AS version, p_partkey || '.json' AS path, p_size FROM part)"
 
 
@@ -751,7 +739,7 @@ SELECT client_id, workflow_id, version, 'package_corrupt' AS code, path AS detai
 UNION SELECT client_id, workflow_id, version, 'package_corrupt', 'size ' || CAST(n AS VARCHAR) FROM k WHERE n > 10485760
 UNION SELECT client_id, workflow_id, version, 'engine_incompatible', '>=2.0.0' FROM k WHERE client_id < 'Brand#3' UNION SELECT client_id, workflow_id, version, 'version_exists', version FROM k WHERE workflow_id LIKE 'PROMO%'""")
 def q_publish_problems_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What forbids the publication of each package; brand, type and a block of keys name one, so a manifest stays small (OP-010, 022, 043, 045, 161)."""
+    """What forbids the publication of each package; brand, type and a block of keys name one, so a manifest stays small (OP-010, 022, 043, 045)."""
     keys = ["client_id", "workflow_id", "version"]
     version = F.concat(F.lit("1."), F.floor(F.col("p_partkey") / 100_000).cast("string"), F.lit(".0"))
     part = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("client_id"), F.col("p_type").alias("workflow_id"), version.alias("version"), F.concat(F.col("p_partkey").cast("string"), F.lit(".json")).alias("path"), "p_size")
@@ -759,3 +747,125 @@ def q_publish_problems_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifests = listed.withColumn("engine_range", F.when(F.col("client_id") < "Brand#3", ">=2.0.0").otherwise(">=1.0.0"))
     found = part.select(*keys, "path", (F.col("p_size").cast("long") * 1_000_000).alias("size"), F.when(F.col("p_size") % 2 == 0, "x").otherwise("h").alias("sha256"), F.when(F.col("p_size") > 40, "9").otherwise("1").alias("schema_version"))
     return history.publish_problems(manifests, found, part.where("workflow_id like 'PROMO%'").select(*keys).distinct(), "1.0.0", keys=keys)
+
+
+# The name of the query before packages were told apart; both run over the whole table.
+QUERIES["q_publish_problems"], ORACLES["q_publish_problems"] = q_publish_problems_all, ORACLES["q_publish_problems_all"]
+
+
+@register(f"""WITH l AS ({_LOCKED}), b AS (SELECT CAST(least(floor(score * 10), 9) AS BIGINT) AS bucket, score, CASE WHEN type = lang THEN 1.0 ELSE 0.0 END AS ok FROM l),
+g AS (SELECT count(*) AS n, abs(avg(score) - avg(ok)) AS gap FROM b GROUP BY bucket) SELECT round(sum(n * gap) / sum(n), 6) AS calibration FROM g""")
+def q_calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-number calibration metric: the mean gap over the buckets' rows (OP-076)."""
+    joined = _t(spark, sf_dir, "documents").select("doc_id", "lang").join(_locked(spark, sf_dir), "doc_id")
+    rows = joined.select(F.col("score").alias("confidence"), F.coalesce(F.col("type") == F.col("lang"), F.lit(False)).cast("int").alias("correct"))
+    return evaluation.calibration_error(evaluation.calibration(rows)).select(F.round("calibration", 6).alias("calibration"))
+
+
+@register(f"SELECT doc_id, 'classification_ambiguous' AS code FROM ({_LOCKED}) WHERE type IS NOT NULL AND type <> lang")
+def q_contradicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose locked type the declared language contradicts: flagged, not changed (OP-117)."""
+    later = _t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("type"))
+    return detection.contradicted(_locked(spark, sf_dir), later, "doc_id")
+
+
+@register("""SELECT l.doc_id AS sample_id, 'toxic' AS field, l.quality = 1 AS critical, CAST(l.toxic AS VARCHAR) AS expected, CASE WHEN d.n_chars > 500 THEN '0' ELSE '1' END AS actual,
+coalesce(CAST(l.toxic AS VARCHAR) = CASE WHEN d.n_chars > 500 THEN '0' ELSE '1' END, false) AS correct FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id""")
+def q_scored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label beside its prediction (OP-053)."""
+    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("sample_id"), F.lit("toxic").alias("field"), (F.col("quality") == 1).alias("critical"), F.col("toxic").cast("string").alias("expected"))
+    predictions = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.lit("toxic").alias("field"), F.when(F.col("n_chars") > 500, "0").otherwise("1").alias("value_norm"), F.lit(1.0).alias("confidence"))
+    return evaluation.scored_fields(labels, predictions).drop("confidence")
+
+
+@register("SELECT doc_id, round(length(text) / greatest(len(string_split(text, chr(10))), 1), 6) AS density, length(text) / greatest(len(string_split(text, chr(10))), 1) < 40 AS scanned FROM documents")
+def q_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters for each line as for each page of a document, and which are so thin that they may be scans (OP-143)."""
+    density = fn.text_density(F.col("text"), F.size(F.split("text", "\n")))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.round(density, 6).alias("density"), (density < 40).alias("scanned"))
+
+
+@register("""WITH h AS (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS a, trim(regexp_replace(lower(CASE WHEN p_size > 25 THEN p_type ELSE split_part(p_type, ' ', 1) END), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS b, p_size FROM part)
+SELECT p_partkey, CAST(CAST(least(1.0, CASE WHEN a = b THEN 0.9 WHEN contains(a, b) OR contains(b, a) THEN 0.6 ELSE 0.0 END + 0.1 * p_size / 50) AS DECIMAL(5,4)) AS DOUBLE) AS confidence FROM h""")
+def q_mapping_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How surely a header means a field, from its words and how full its column is (OP-145)."""
+    alias = F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.substring_index("p_type", " ", 1))
+    return _t(spark, sf_dir, "part").select("p_partkey", fn.mapping_confidence(F.col("p_type"), alias, F.col("p_size"), F.lit(50)).cast("double").alias("confidence"))
+
+
+@register("""SELECT n_nationkey, '{"name":"' || n_name || '","region":' || n_regionkey || ',"none":null}' AS record, '[{"key":"a","value":"' || n_regionkey || '"},{"key":"b","value":"' || n_name || '"}]' AS entries FROM nation""")
+def q_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as canonical JSON: fields in their order, nulls kept, maps as sorted entries (OP-136, 137)."""
+    none = F.lit(None).cast("string").alias("none")
+    entries = fn.sorted_entries(F.create_map(F.lit("b"), F.col("n_name"), F.lit("a"), F.col("n_regionkey").cast("string")))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", fn.canonical_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), none)).alias("record"), F.to_json(entries).alias("entries"))
+
+
+@register("SELECT doc_id AS sample_id FROM documents WHERE length(text) < 300 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def q_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples too short to read that were not expected to be so (OP-038)."""
+    inventory = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), (F.char_length("text") >= 300).alias("readable"))
+    return authoring.unreadable(inventory, _t(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("sample_id")))
+
+
+@register("SELECT 'alias' AS kind, c_custkey AS key, c_mktsegment AS payload, s AS delta FROM customer LEFT JOIN (SELECT o_custkey, CAST(count(*) AS BIGINT) AS s FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def q_review_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals with what each would change, for a decision (OP-156)."""
+    proposals = _t(spark, sf_dir, "customer").select(F.lit("alias").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("payload"))
+    deltas = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("delta")).withColumn("kind", F.lit("alias"))
+    return authoring.review_surface(proposals, deltas).select("kind", "key", "payload", "delta")
+
+
+@register("""SELECT o_custkey AS client_id, o_orderkey AS version, o_orderpriority AS report_hash, o_orderstatus AS state, c_name AS signed_by FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'O' AND c_acctbal > 0""")
+def q_promotion_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promotions with who signed off which report (OP-158)."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("client_id"), F.lit("w").alias("workflow_id"), F.col("o_orderkey").alias("version"), F.col("o_orderpriority").alias("report_hash"), "o_orderstatus")
+    signed = orders.join(_t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("client_id"), F.col("c_name").alias("signed_by")), "client_id").select("client_id", "workflow_id", "version", "signed_by")
+    reports = orders.where("o_orderstatus <> 'O'").select("client_id", "workflow_id", "version", "report_hash", F.col("o_orderstatus").alias("state"))
+    return governance.promotion_history(orders.select("client_id", "workflow_id", "version", "report_hash"), signed, reports).select("client_id", "version", "report_hash", "state", "signed_by")
+
+
+@register("SELECT o_orderkey AS run_id, 'controller' AS agent, 'orchestrator' AS parent, 'flagged' AS status, 'low_confidence' AS reason FROM orders WHERE o_totalprice < 50000")
+def q_interventions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a controller said of runs, as rows of their traces; none is a call past the orchestrator (OP-115, 171)."""
+    found = _t(spark, sf_dir, "orders").where("o_totalprice < 50000").select(F.col("o_orderkey").alias("run_id"), F.lit("low_confidence").alias("code"))
+    rows = governance.interventions(found, "controller")
+    return rows.join(governance.hops(rows.select("run_id", "agent", "parent")).select("run_id"), "run_id", "left_anti")
+
+
+@register("""WITH m AS (SELECT DISTINCT user_id, ts FROM events), r AS (SELECT user_id, ts AS started_at, CAST(event_id AS VARCHAR) AS audit_id FROM events WHERE event_type = 'signup'),
+f AS (SELECT m.user_id, m.ts, arg_min(audit_id, (started_at, audit_id)) AS a FROM m JOIN r ON m.user_id = r.user_id AND started_at <= m.ts AND started_at > m.ts - INTERVAL 2 DAY GROUP BY 1, 2)
+SELECT e.event_id, f.a AS original_audit_id FROM events e LEFT JOIN f ON f.user_id = e.user_id AND f.ts = e.ts""")
+def q_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the first run of their user within two days before, whatever else is null (OP-064)."""
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.lit(None).cast("string").alias("subject"), "event_type")
+    runs = events.where("event_type = 'signup'").select("user_id", F.col("ts").alias("started_at"), F.col("event_id").cast("string").alias("audit_id"))
+    return history.redelivered(events, runs, ["user_id"], "ts", 2).select("event_id", "original_audit_id")
+
+
+@register("""SELECT n_regionkey AS run_id, 'book.xlsx' AS file, 'amounts' AS sheet, '2 headers mean a field' AS reason FROM nation GROUP BY 1""")
+def q_chosen_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet of a workbook with most headers that mean a field (OP-104, 147)."""
+    nations = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("run_id"), F.lit("book.xlsx").alias("file"), "n_name")
+    notes = nations.select("run_id", "file", F.lit("notes").alias("sheet"), F.create_map(F.lit("Vendor"), F.col("n_name"), F.lit("Remark"), F.col("n_name")).alias("cells"))
+    amounts = nations.select("run_id", "file", F.lit("amounts").alias("sheet"), F.create_map(F.lit("Vendor"), F.col("n_name"), F.lit("Total  Amount"), F.lit("1")).alias("cells"))
+    aliases = spark.sql("SELECT alias FROM VALUES ('vendor'), ('total amount') v(alias)")
+    return extraction.choose_sheet(notes.unionByName(amounts), aliases)
+
+
+@register("""SELECT c_custkey, CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS DOUBLE) AS amount, 'embedded:1:0/attachment:bill.pdf#p1' AS source FROM customer""")
+def q_embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts in a PDF of a message that is embedded in each customer's message (OP-005, 014, 113, 116)."""
+    crlf = "\r\n"
+    pdf = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Length 40 >>\nstream\nBT (Amount: "), F.abs("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit(") Tj ET\nendstream\nendobj\n%%EOF\n"))
+    part = lambda head, body: F.concat(F.lit(f"--x{crlf}{head}{crlf}{crlf}"), body, F.lit(crlf))
+    inner = F.concat(F.lit(f"From: b@example.org{crlf}Message-ID: <i@x>{crlf}Content-Type: multipart/mixed; boundary=y{crlf}{crlf}--y{crlf}Content-Type: application/pdf; name=bill.pdf{crlf}Content-Disposition: attachment; filename=bill.pdf{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}"), F.base64(pdf.cast("binary")), F.lit(f"{crlf}--y--{crlf}"))
+    raw = F.concat(F.lit(f"From: a@example.org{crlf}Message-ID: <o@x>{crlf}Content-Type: multipart/mixed; boundary=x{crlf}{crlf}"), part("Content-Type: text/plain", F.lit("see the message")), part("Content-Type: message/rfc822", inner), F.lit(f"--x--{crlf}"))
+    messages = files.ingest(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), raw.cast("binary").alias("content")))
+    opened = kept(files.expand_embedded(messages.where("error_code is null"), 1)[0], "opened")
+    every = files.away(opened)
+    pages = files.parse_pdf(files.attachments(every))
+    types = every.select("run_id", F.lit("invoice").alias("type"))
+    fields = spark.sql("SELECT 'invoice' AS type, 'amount' AS field, 'decimal' AS field_type, 'amount' AS alias")
+    found = files.at_home(extraction.extract_texts(pages, types, fields, "pdf_parser"))
+    return found.select(F.col("run_id").cast("long").alias("c_custkey"), F.col("value_dec").cast("double").alias("amount"), F.concat(F.lit("embedded:"), "origin", F.lit("/"), "source").alias("source"))
