@@ -55,11 +55,16 @@ def redelivered(messages: DataFrame, runs: DataFrame, keys: list[str], at: str,
 
     Of several the first. Runs are matched by key and time alone, so nulls in other columns do not matter.
     """
-    moments = messages.select(*keys, F.col(at).alias("_at")).distinct()
-    prior = runs.select(*keys, "started_at", F.col("audit_id").alias("original_audit_id"))
-    fresh = (F.col("started_at") <= F.col("_at")) & (F.col("started_at") > F.col("_at") - F.make_dt_interval(F.lit(days)))
-    found = moments.join(prior, keys).where(fresh).groupBy(*keys, "_at").agg(F.min_by("original_audit_id", F.struct("started_at", "original_audit_id")).alias("original_audit_id"))
-    return messages.join(found.withColumnRenamed("_at", at), [*keys, at], "left").select(*messages.columns, "original_audit_id")
+    span = days * 86_400_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    moments = messages.select(*keys, F.col(at).alias("_at"), micros(at).alias("_t")).distinct().withColumn("_span", F.floor(F.col("_t") / span))
+    prior = runs.select(*keys, micros("started_at").alias("_t"), F.struct("started_at", "audit_id").alias("_run"))
+    # A run counts in its own span and the next, so a key with very many rows is spread over its spans.
+    prior = prior.withColumn("_span", F.explode(F.array(F.floor(F.col("_t") / span), F.floor(F.col("_t") / span) + 1)))
+    both = moments.unionByName(prior, allowMissingColumns=True)
+    near = Window.partitionBy(*keys, "_span").orderBy("_t").rangeBetween(1 - span, 0)
+    found = both.withColumn("_first", F.min("_run").over(near)).where("_run is null").select(*keys, F.col("_at").alias(at), F.col("_first.audit_id").alias("original_audit_id"))
+    return messages.join(found, [*keys, at], "left").select(*messages.columns, "original_audit_id")
 
 
 def audit_id(client: F.Column, workflow: F.Column, message: F.Column, epoch: F.Column) -> F.Column:
