@@ -38,6 +38,60 @@ def test_evidence_is_fused(spark: SparkSession, model: language_id.TextModel) ->
     assert none.where("accepted or lang_id is not null").isEmpty() and none.count() == len(rows)
 
 
+def fused(rows: list[tuple], model: language_id.TextModel) -> list[tuple]:
+    """(language, posterior, accepted) of each row (id, text, host, declared, suffix) by the formulas written out."""
+    languages, size = model.languages, len(model.languages)
+    text = [language_id.text_evidence(r[1], model) for r in rows]
+    said = [None if e is None else max(range(size), key=lambda k: (e[k], -k)) for e in text]
+    plain = [tuple((x or "").lower() for x in r[2:]) for r in rows]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    every = [sum(s == k for s in said) for k in range(size)]
+    prior = [(n + 1) / (sum(every) + size) for n in every]
+
+    def others(i: int, same: list[bool]) -> list[float]:
+        return [float(sum(same[j] and said[j] == k for j in range(len(rows)) if j != i)) for k in range(size)]
+
+    out = []
+    for i, (host, *channels) in enumerate(plain):
+        total = list(text[i][:-1]) if text[i] else [0.0] * size
+        if host and any(p[0] == host and s is not None for p, s in zip(plain, said, strict=True)):
+            d = others(i, [bool(p[0]) and domain(p[0]) == domain(host) for p in plain])
+            d = [(x + language_id.DOMAIN_WEIGHT * p) / (sum(d) + language_id.DOMAIN_WEIGHT) for x, p in zip(d, prior, strict=True)]
+            h = others(i, [p[0] == host for p in plain])
+            own = [(x + language_id.HOST_WEIGHT * p) / (sum(h) + language_id.HOST_WEIGHT) for x, p in zip(h, d, strict=True)]
+        else:
+            own = prior
+        total = [t + math.log(p) for t, p in zip(total, own, strict=True)]
+        for c, value in enumerate(channels, 1):
+            if value and any(p[c] == value and s is not None for p, s in zip(plain, said, strict=True)):
+                n = others(i, [p[c] == value for p in plain])
+                w = language_id.CHANNEL_WEIGHT
+                total = [t + math.log((x + w * (sum(n) + 1) / (sum(n) + w) * p) / (every[k] + w * size)) for k, (t, x, p) in enumerate(zip(total, n, prior, strict=True))]
+        top = max(total)
+        posterior = 1 / sum(math.exp(t - top) for t in total)
+        known = text[i] is not None and text[i][-1] + language_id.UNKNOWN_ODDS < 0
+        out.append((languages[total.index(top)], posterior, known and posterior >= 0.5))
+    return out
+
+
+def test_language_id_by_brute_force(spark: SparkSession, model: language_id.TextModel) -> None:
+    r = random.Random(4)
+    some = lambda *values: r.choice([None, "", *values])
+    rows = [(k, " ".join(r.sample(r.choice((EN, FR, EN + " " + FR)).split(), r.randrange(1, 7))), some("a.x.org", "B.x.org", "y.fr", "solo"), some("en", "FR"), some("org", "fr")) for k in range(150)]
+    rows += [(200, None, "a.x.org", "en", None), (201, "12 !", None, None, None), (202, EN * 2000, "y.fr", "fr", "fr"), (203, "слово за слово, и всё о погоде", "a.x.org", "en", "org"), (204, rows[3][1], *rows[3][2:]), rows[5], (None, FR, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, host string, declared string, suffix string")
+    odd = df.withColumns({c: F.lit("q") for c in ("_scores", "_text", "_host", "_fused", "host_prior", "n", "key", "accepted")})
+    found = language_id.identify(odd, model).collect()
+    expected = {(x[0], x[1]): y for x, y in zip(rows, fused(rows, model), strict=True)}
+    assert len(found) == len(rows) and all(x["_scores"] == x["n"] == "q" for x in found)
+    for x in found:
+        lang, posterior, accepted = expected[x.id, x.text]
+        assert (x.lang_id, x.accepted) == (lang, accepted) and x.posterior == pytest.approx(posterior, abs=1e-6), x
+    assert language_id.identify(df.limit(0), model).isEmpty()
+    kept = language_id.keep_identified(df.select(F.col("id").alias("doc_id"), "text", F.col("host").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("accepted"), F.lit(2).alias("_mark")))
+    assert kept.columns == ["doc_id", "text", "source", "lang", "accepted", "_mark"] and kept.where("doc_id = 201").isEmpty()
+
+
 def test_page_evidence(spark: SparkSession) -> None:
     page = spark.createDataFrame([(1, "https://Www.Example.org/fr/1", "<html lang='fr-CA'><script>var x</script><p>Bonjour</p>"), (2, None, None)], "page_id long, url string, html string")
     a, b = language_id.page_evidence(page).orderBy("page_id").collect()
