@@ -54,7 +54,7 @@ def score_types(segments: DataFrame, keywords: list[tuple[str, str, float]], pat
     """(key, type, score): the weights of the rules that hold, at most 1; a negative signal vetoes its type.
 
     A text is cut into words once, and these are met with the terms of all rules; each key leaves its task
-    as one row.
+    as one row. Without rules there are no scores.
     """
     terms = sorted({t.lower() for _, t, *_ in [*keywords, *(negatives or [])] if one_word(t)})
     cut = F.array_intersect(F.split(F.lower(F.col(text)), f"[^{LETTER}]+"), F.array(*[F.lit(t) for t in terms]).cast("array<string>"))
@@ -64,6 +64,8 @@ def score_types(segments: DataFrame, keywords: list[tuple[str, str, float]], pat
     for kind, term in negatives or []:
         veto[kind] = veto.get(kind, F.lit(False)) | _stands(F.col("_text"), F.col("_words"), term)
     kinds = sorted(hits)
+    if not kinds:
+        return segments.select(key, F.lit("").alias("type"), F.lit(0).cast("decimal(5,4)").alias("score")).where("false")
     score = {
         kind: F.when(veto.get(kind, F.lit(False)), F.lit(0)).otherwise(F.least(F.lit(1).cast("decimal(10,4)"), sum(hits[kind][1:], hits[kind][0]).cast("decimal(10,4)"))).cast("decimal(5,4)")
         for kind in kinds
