@@ -12,7 +12,7 @@ from sluiceway.llm.queries import ORACLES, queries
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_operator(spark: SparkSession, sf: str, name: str) -> None:
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = queries()[name](spark, sf)
     expected = con.execute(ORACLES[name])
