@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LETTER, date_entities, money_entities, org_entities, phrase_in
+from .rules import score_by_index
+
+#: Keywords and negative signals that are written out as expressions, at most; larger tables are joined as an index.
+MOST_EXPRESSIONS = 64
+_ENTITIES = {"MONEY": money_entities, "DATE": date_entities, "ORG": org_entities}
 
 #: Lines that open a quoted reply.
 REPLY = r"(?m)^(?:-{2,}\s*Original Message\s*-{2,}.*|On .{4,120} wrote:\s*|Am .{4,120} schrieb.*:\s*|Le .{4,120} a écrit\s*:\s*|El .{4,120} escribió\s*:\s*)$"
@@ -30,14 +35,13 @@ def rule_hits(text: Column, words: Column, keywords: list[tuple[str, str, float]
     words are the terms of one word that stand in the text (see one_word); phrases are looked up in the text.
     """
     found: dict[str, list[Column]] = {}
-    kinds = {"MONEY": money_entities, "DATE": date_entities, "ORG": org_entities}
     weigh = lambda hit, weight: F.when(hit, F.lit(weight).cast("decimal(5,4)")).otherwise(F.lit(0).cast("decimal(5,4)"))
     for kind, term, weight in keywords:
         found.setdefault(kind, []).append(weigh(_stands(text, words, term), weight))
     for kind, regex, weight in patterns:
         found.setdefault(kind, []).append(weigh(text.rlike(regex), weight))
     for kind, entity, weight in entities or []:
-        found.setdefault(kind, []).append(weigh(F.size(kinds[entity](text)) > 0, weight))
+        found.setdefault(kind, []).append(weigh(F.size(_ENTITIES[entity](text)) > 0, weight))
     return found
 
 
@@ -75,6 +79,16 @@ def score_types(segments: DataFrame, keywords: list[tuple[str, str, float]], pat
     return per.select(key, F.explode(rows).alias("s")).select(key, "s.type", "s.score")
 
 
+def score_package(segments: DataFrame, package: dict[str, DataFrame], key: str = "run_id", text: str = "text") -> DataFrame:
+    """(key, type, score) by a package's keywords, patterns, negatives and entities: as expressions where they are few, else by the rule index."""
+    tuples = lambda name, *columns: [tuple(r[c] for c in columns) for r in package[name].orderBy(*columns).collect()]
+    patterns, entities = tuples("patterns", "type", "regex", "weight"), tuples("entities", "type", "entity", "weight")
+    if package["keywords"].count() + package["negatives"].count() <= MOST_EXPRESSIONS:
+        return score_types(segments, tuples("keywords", "type", "term", "weight"), patterns, tuples("negatives", "type", "term"), key, text, entities)
+    more = [(kind, F.col(text).rlike(regex), weight) for kind, regex, weight in patterns] + [(kind, F.size(_ENTITIES[entity](F.col(text))) > 0, weight) for kind, entity, weight in entities]
+    return score_by_index(segments, package["keywords"], package["negatives"], key, text, more)
+
+
 def lock_type(scores: DataFrame, thresholds: DataFrame, key: str = "run_id") -> DataFrame:
     """The best type that reaches its threshold (type, threshold), else null; ambiguous if none does or two tie."""
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), "type")

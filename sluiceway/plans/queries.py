@@ -869,3 +869,6 @@ def q_embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = spark.sql("SELECT 'invoice' AS type, 'amount' AS field, 'decimal' AS field_type, 'amount' AS alias")
     found = files.at_home(extraction.extract_texts(pages, types, fields, "pdf_parser"))
     return found.select(F.col("run_id").cast("long").alias("c_custkey"), F.col("value_dec").cast("double").alias("amount"), F.concat(F.lit("embedded:"), "origin", F.lit("/"), "source").alias("source"))
+
+
+from . import authoring_queries  # noqa: E402,F401  registers its queries

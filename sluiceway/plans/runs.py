@@ -17,11 +17,6 @@ ENGINE_VERSION = "1.0.0"
 MOST_DEPTH = 3
 
 
-def _rows(df: DataFrame, *columns: str) -> list[tuple]:
-    """A package table as tuples: at most 10 MB, the ceiling of a package."""
-    return [tuple(r[c] for c in columns) for r in df.select(*columns).orderBy(*columns).collect()]
-
-
 def received(text: F.Column) -> F.Column:
     """The time of a Date header, or of an ISO timestamp; null if it is neither."""
     mail = F.regexp_extract(text, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})", 1)
@@ -46,7 +41,7 @@ def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str,
     errors = runs.where("error_code is not null").select("run_id", F.col("error_code").alias("code"))
     whole = runs.where("error_code is null").select("run_id", "body", "depth", "error_code", "attachments", "embedded")
     segments = detection.segment(whole)
-    scores = detection.score_types(segments, _rows(package["keywords"], "type", "term", "weight"), _rows(package["patterns"], "type", "regex", "weight"), _rows(package["negatives"], "type", "term"), entities=_rows(package["entities"], "type", "entity", "weight"))
+    scores = detection.score_package(segments, package)
     locked = detection.lock_type(scores, package["types"])
     typed = locked.where("type is not null").select("run_id", "type")
     named = package["schema_fields"].select("type", "field", "field_type").join(package["aliases"], ["type", "field"], "left").select("type", "field", "field_type", F.explode(F.array_distinct(F.array(F.coalesce("alias", "field"), F.regexp_replace("field", "_", " ")))).alias("alias"))
