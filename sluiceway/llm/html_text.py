@@ -2,17 +2,21 @@
 
 Each page's containers are scored; the best one of a page votes for its generalised path (tags and
 classes, digits taken out) on the page's host. Votes are counted in Spark, and every page is then
-extracted again from the path that won on its host, or from its own best container where it lacks it.
+extracted again from the path that won on its host, or from its own where the host's holds too little of
+its prose. A container's path is kept as a label, a parent and a rolling hash, so that memory and time are
+linear in a page's length however deep it is nested.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,34 +56,70 @@ ABOUT = frozenset("has have no not non with without hide".split())
 LOOSE, PART, NAME, TAG, HIDDEN = 1, 2, 3, 4, 5
 
 
+#: Article and main elements of one path are a page's own path if they hold this share of its prose; other containers need all of it.
+SEMANTIC = 0.5
+#: The share of its own path's prose that a page must have under its host's path to be extracted by it.
+AGREES = 0.9
+
+
 @dataclass
 class Element:
-    """An open block element."""
+    """An open block element: its innermost container and mark (itself included), and where an open paragraph lies that a block would end."""
 
     tag: str
-    path: str
-    marks: tuple[tuple[int, int], ...]
-    number: int
+    container: int
+    mark: int
+    paragraph: int
 
 
 @dataclass
 class Block:
-    """A block of text: the containers around it, how much of it is link text, the elements around it that may be chrome, and whether they are."""
+    """A block of text: its innermost container, how much of it is link text, the innermost element around it that may be chrome."""
 
     text: str
-    inside: tuple[int, ...]
+    inside: int
     link_chars: int
-    marks: tuple[tuple[int, int], ...]
+    mark: int
     heading: bool
     chrome: bool = False
 
 
 @dataclass
 class Page:
-    """Blocks in page order and the path of each container."""
+    """Blocks in page order; containers and marks, each after the one around it, by their own numbers."""
 
     blocks: list[Block] = field(default_factory=list)
-    paths: dict[int, str] = field(default_factory=dict)
+    #: Of containers: the label (tag and class), the container around it (-1: none), the hash of the labels down to it.
+    labels: list[str] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    hashes: list[int] = field(default_factory=list)
+    #: Of marks: how surely the element is chrome, the mark around it (-1: none), whether all down to it are PART.
+    sure: list[int] = field(default_factory=list)
+    around: list[int] = field(default_factory=list)
+    all_part: list[bool] = field(default_factory=list)
+
+    def path(self, container: int) -> str:
+        labels = []
+        while container >= 0:
+            labels.append(self.labels[container])
+            container = self.parents[container]
+        return "".join(f">{x}" for x in reversed(labels))
+
+    def open_container(self, label: str, parent: int) -> int:
+        self.labels.append(label)
+        self.parents.append(parent)
+        self.hashes.append(_below(self.hashes[parent] if parent >= 0 else 0, label))
+        return len(self.labels) - 1
+
+    def open_mark(self, sure: int, around: int) -> int:
+        self.sure.append(sure)
+        self.around.append(around)
+        self.all_part.append(sure == PART and (around < 0 or self.all_part[around]))
+        return len(self.sure) - 1
+
+
+def _below(above: int, label: str) -> int:
+    return xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), above)
 
 
 def _names_of(attributes: str) -> tuple[int, str]:
@@ -98,7 +138,7 @@ def _names_of(attributes: str) -> tuple[int, str]:
     bare = _ATTRIBUTE.sub(" ", attributes).lower().replace("/", " ").split()
     if "hidden" in bare or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display:\s*none", found.get("style", "")):
         sure = HIDDEN
-    return sure, ".".join(sorted(re.sub(r"\d+", "", x) for x in found.get("class", "").lower().split()))
+    return sure, ".".join(sorted(re.sub(r"[\d>]+", "", x) for x in found.get("class", "").lower().split()))
 
 
 def _pairs(source: str, tag: str) -> dict[int, int]:
@@ -114,19 +154,25 @@ def _pairs(source: str, tag: str) -> dict[int, int]:
 
 def _settle(page: Page) -> Page:
     """Decides which blocks are chrome by what their marks hold; marks give way, the least sure first, before a page is left empty."""
-    held: dict[int, list[int]] = {}
+    chars, links = [0] * len(page.sure), [0] * len(page.sure)
     total = 0
     for b in page.blocks:
-        if all(sure == PART for _, sure in b.marks):
+        if b.mark < 0 or page.all_part[b.mark]:
             total += len(b.text)
-            for number, _ in b.marks:
-                of = held.setdefault(number, [0, 0])
-                of[0] += len(b.text)
-                of[1] += b.link_chars
-    cleared = {n for n, (chars, links) in held.items() if 2 * chars >= total and 2 * links < chars}
+            if b.mark >= 0:
+                chars[b.mark] += len(b.text)
+                links[b.mark] += b.link_chars
+    for m in range(len(page.sure) - 1, -1, -1):
+        if page.around[m] >= 0:
+            chars[page.around[m]] += chars[m]
+            links[page.around[m]] += links[m]
+    cleared = [sure == PART and 0 < c and 2 * c >= total and 2 * k < c for sure, c, k in zip(page.sure, chars, links, strict=True)]
     for least in (0, NAME, TAG, HIDDEN):
+        chrome: list[bool] = []
+        for m, sure in enumerate(page.sure):
+            chrome.append((page.around[m] >= 0 and chrome[page.around[m]]) or (sure > least and not cleared[m]))
         for b in page.blocks:
-            b.chrome = any(sure > least and not (sure == PART and number in cleared) for number, sure in b.marks)
+            b.chrome = b.mark >= 0 and chrome[b.mark]
         if not all(b.chrome for b in page.blocks):
             break
     return page
@@ -134,20 +180,26 @@ def _settle(page: Page) -> Page:
 
 def parse_page(source: str | None) -> Page:
     """Blocks of a page with unclosed, misnested or cut tags; only block elements are tracked."""
-    page, stack, at = Page(), [Element("", "", (), -1)], 0
+    page, stack, at = Page(), [Element("", -1, -1, 0)], 0
+    opened: Counter[str] = Counter()  # elements on the stack by tag
     # The silent element that is open, where its end tag is (None: it has none), and the blocks open in it.
     silent, silent_end = "", None
     inner: list[str] = []
     pairs: dict[str, dict[int, int]] = {}
     parts: list[str] = []
-    link, link_chars, number, heading = 0, 0, 0, False
+    link, link_chars = 0, 0
     source = source or ""
 
+    def close_from(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
+
     def flush() -> None:
         nonlocal link_chars
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            page.blocks.append(Block(text, tuple(e.number for e in stack if e.number >= 0), link_chars, stack[-1].marks, stack[-1].tag[:1] == "h" and stack[-1].tag[1:].isdigit()))
+            page.blocks.append(Block(text, stack[-1].container, link_chars, stack[-1].mark, stack[-1].tag[:1] == "h" and stack[-1].tag[1:].isdigit()))
         parts.clear()
         link_chars = 0
 
@@ -180,7 +232,7 @@ def parse_page(source: str | None) -> Page:
                     pass
                 continue
             if closing:
-                ended = tag in BLOCK and any(e.tag == tag for e in stack)
+                ended = tag in BLOCK and opened[tag] > 0
             elif silent_end is None:
                 ended = tag not in LABEL
             elif silent in ("svg", "math"):
@@ -219,24 +271,17 @@ def parse_page(source: str | None) -> Page:
         elif tag in BLOCK:
             flush()
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        link = 0
-                        break
+                if opened[tag]:
+                    close_from(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+                    link = 0
             else:
-                if tag in ENDS_P:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag == "p":
-                            del stack[k:]
-                            break
-                        if stack[k].tag in CONTAINER:
-                            break
+                if tag in ENDS_P and stack[-1].paragraph:
+                    close_from(stack[-1].paragraph)
                 if tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1].tag == tag:
-                    stack.pop()
+                    close_from(len(stack) - 1)
                 sure, classes = _names_of(m[4]) if m[4].strip() else (0, "")
                 top = stack[-1]
-                in_article = any(e.tag in ("article", "main") for e in stack)
+                in_article = opened["article"] + opened["main"] > 0
                 if tag in ("html", "body", "article", "main") and sure != HIDDEN:
                     sure = 0
                 if sure == LOOSE:
@@ -245,13 +290,11 @@ def parse_page(source: str | None) -> Page:
                     sure = max(sure, PART)
                 elif tag in CHROME_TAGS or (tag == "header" and not in_article):
                     sure = max(sure, TAG)
-                marks = (*top.marks, (number, sure)) if sure else top.marks
-                path = f"{top.path}>{tag}{'.' + classes if classes else ''}"
-                held = tag in CONTAINER
-                if held:
-                    page.paths[number] = path
-                stack.append(Element(tag, path, marks, number if held else -1))
-                number += 1
+                mark = page.open_mark(sure, top.mark) if sure else top.mark
+                container = page.open_container(f"{tag}{'.' + classes if classes else ''}", top.container) if tag in CONTAINER else top.container
+                paragraph = len(stack) if tag == "p" else 0 if tag in CONTAINER else top.paragraph
+                stack.append(Element(tag, container, mark, paragraph))
+                opened[tag] += 1
     if not silent and at < len(source):
         rest = source[at:]
         cut = re.search(r"<[a-zA-Z/!]?[^<>]*\Z", rest)
@@ -260,31 +303,91 @@ def parse_page(source: str | None) -> Page:
     return _settle(page)
 
 
-def container_scores(page: Page) -> dict[int, float]:
-    """Characters of prose in each container, less link text, halved for each level between text and container."""
-    scores: dict[int, float] = {}
-    for b in page.blocks:
-        if b.chrome:
-            continue
-        worth = len(b.text) - 2.0 * b.link_chars
-        for depth, number in enumerate(reversed(b.inside)):
-            scores[number] = scores.get(number, 0.0) + worth / 2**depth
-    return {n: s + (0.25 * s if page.paths[n].rpartition(">")[2].split(".")[0] in ("article", "main") else 0) for n, s in scores.items()}
+def _worth(page: Page) -> list[float]:
+    """Of each block: characters of prose, which link text counts against; where a page has no prose, its characters. Chrome has none."""
+    worth = [0.0 if b.chrome else max(0.0, len(b.text) - 2.0 * b.link_chars) for b in page.blocks]
+    return worth if any(worth) else [0.0 if b.chrome else float(len(b.text)) for b in page.blocks]
+
+
+def container_scores(page: Page) -> tuple[list[float], list[int], list[int], float]:
+    """Prose, blocks that are no headings, and headings in each container; the prose of the page."""
+    scores, blocks, headings = [0.0] * len(page.labels), [0] * len(page.labels), [0] * len(page.labels)
+    total = 0.0
+    for b, worth in zip(page.blocks, _worth(page), strict=True):
+        total += worth
+        if b.inside >= 0:
+            scores[b.inside] += worth
+            blocks[b.inside] += not (b.chrome or b.heading)
+            headings[b.inside] += b.heading and not b.chrome
+    for n in range(len(scores) - 1, 0, -1):
+        if page.parents[n] >= 0:
+            scores[page.parents[n]] += scores[n]
+            blocks[page.parents[n]] += blocks[n]
+            headings[page.parents[n]] += headings[n]
+    return scores, blocks, headings, total
 
 
 def best_path(page: Page) -> tuple[str, float]:
-    """The path of the best container of a page and its score; an empty path if the page has no text in one."""
-    scores = container_scores(page)
-    if not scores:
+    """The path of the containers that hold the page's article, and their prose; an empty path if no container holds it.
+
+    First the outermost article and main elements of one path that hold most of the page's prose together,
+    else the innermost container that holds all of it, or one around that adds headings only (of links, which are no prose).
+    """
+    scores, blocks, headings, total = container_scores(page)
+    semantic: dict[int, list[float]] = {}
+    inside: list[bool] = []
+    for n, label in enumerate(page.labels):
+        within = page.parents[n] >= 0 and inside[page.parents[n]]
+        named = label.split(".")[0] in ("article", "main")
+        inside.append(within or named)
+        if named and not within:
+            held = semantic.setdefault(page.hashes[n], [0.0, -n])
+            held[0] += scores[n]
+    if semantic:
+        held, first = max(semantic.values())
+        if held >= SEMANTIC * total and held > 0:
+            return page.path(int(-first)), held
+    best = -1
+    for n, score in enumerate(scores):
+        if score >= total > 0:
+            best = n
+    if best < 0:
         return "", 0.0
-    best = min(scores, key=lambda n: (-scores[n], n))
-    return page.paths[best], scores[best]
+    around = page.parents[best]
+    while around >= 0 and blocks[around] == blocks[best]:
+        if headings[around] > headings[best]:
+            best = around
+        around = page.parents[around]
+    return page.path(best), scores[best]
+
+
+def blocks_at(page: Page, path: str) -> list[bool]:
+    """Whether each block lies in a container of this path; all do for an empty path."""
+    if not path:
+        return [True] * len(page.blocks)
+    wanted = 0
+    for label in path.split(">")[1:]:
+        wanted = _below(wanted, label)
+    held: list[bool] = []
+    for n, value in enumerate(page.hashes):
+        held.append(value == wanted or (page.parents[n] >= 0 and held[page.parents[n]]))
+    return [b.inside >= 0 and held[b.inside] for b in page.blocks]
 
 
 def text_at(page: Page, path: str) -> str:
     """The blocks inside containers of this path, without chrome, each on a line."""
-    held = {n for n, p in page.paths.items() if p == path}
-    return "\n".join(b.text for b in page.blocks if not b.chrome and held.intersection(b.inside))
+    return "\n".join(b.text for b, held in zip(page.blocks, blocks_at(page, path), strict=True) if held and not b.chrome)
+
+
+def agreed_path(page: Page, hosts: str | None) -> str:
+    """The host's path where it holds most of what the page's own path holds, else the page's own."""
+    own = best_path(page)[0]
+    if not hosts or hosts == own:
+        return own
+    worth = _worth(page)
+    under = lambda path: sum(w for w, held in zip(worth, blocks_at(page, path), strict=True) if held)
+    by_host = under(hosts)
+    return hosts if by_host > 0 and by_host >= AGREES * under(own) else own
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -295,9 +398,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, path, text for each row of pages (page_id, url, html).
 
     text joins the blocks of the container path that won on the page's host; white space in a block is
-    one space. Pages without that path use their own best container, pages without any container all
-    blocks that are no chrome. A null html is empty and has an empty text; pages without a host vote
-    together. Votes that tie go to the higher total score, then to the smaller path. Repeated rows keep
+    one space. Pages with less than AGREES of their own path's prose under it use their own path (see
+    best_path), pages without one all blocks that are no chrome. A null html is empty and has an empty
+    text; pages without a host vote together; an empty table gives an empty table. Votes that tie go to the higher total score, then to the smaller path. Repeated rows keep
     a row each; other columns are ignored.
     """
     rows = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
@@ -318,11 +421,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
             texts, paths = [], []
             for source, path in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 page = parse_page(source.as_py())
-                text = text_at(page, path) if path else ""
-                if not text:
-                    path = best_path(page)[0]
-                    text = text_at(page, path) if path else "\n".join(b.text for b in page.blocks if not b.chrome)
-                texts.append(text)
+                path = agreed_path(page, path)
+                texts.append(text_at(page, path))
                 paths.append(path)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "path", "text"])
 

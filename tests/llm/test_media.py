@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
+import time
+import tracemalloc
 from html.parser import HTMLParser
 
 import numpy as np
@@ -262,6 +265,87 @@ def test_html_text_drops_chrome_in_an_article(block: str) -> None:
     assert html_text.text_at(page, html_text.best_path(page)[0]) == f"{STORY}\n{STORY}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>A</p><div class="box"><p>{0}</p></div><p>END</p></article>', "A\n{0}\nEND"),
+        ('<main><section class="intro"><p>{0}</p></section><section class="text"><p>{1}</p></section></main>', "{0}\n{1}"),
+        ('<body><div class="a"><p>{0}</p></div><div class="b"><p>{1}</p></div></body>', "{0}\n{1}"),
+        ('<body><h1>Title</h1><div class="wrap"><div class="story"><p>{0}</p><p>{1}</p></div></div></body>', "Title\n{0}\n{1}"),
+        ('<body><article class="x"><p>{0}</p></article><nav>Menu</nav><article class="x"><p>{1}</p></article></body>', "{0}\n{1}"),
+        ('<body><article><p>Teaser</p></article><div class="story"><p>{0}</p><p>{1}</p></div></body>', "Teaser\n{0}\n{1}"),
+        ('<body><p>{0}</p><div><div><div><p>{1}</p></div></div></div><p>END</p></body>', "{0}\n{1}\nEND"),
+    ],
+)
+def test_html_text_loses_no_block(page: str, text: str) -> None:
+    a, b = "First " + STORY, "Second " + STORY
+    parsed = html_text.parse_page(page.format(a, b))
+    assert html_text.text_at(parsed, html_text.best_path(parsed)[0]) == text.format(a, b)
+
+
+def test_html_text_leaves_a_hosts_path_that_misses_the_article(spark: SparkSession) -> None:
+    usual = '<body><div class="ad">x</div><div class="story"><p>{0}</p><p>{0}</p></div></body>'
+    rows = [(k, "http://h/", usual.format(f"{k} {STORY}")) for k in range(5)]
+    rows += [(10, "http://h/", f'<body><div class="story"><p>short teaser</p></div><div class="long"><p>{STORY}</p><p>{STORY}</p></div></body>')]
+    found = {r.page_id: (r.text, r.path) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[3] == (f"3 {STORY}\n3 {STORY}", ">body>div.story")
+    assert found[10][0].endswith(f"{STORY}\n{STORY}")
+
+
+def random_article(r: random.Random) -> tuple[str, list[str]]:
+    """An article split over nested sections, lists and boxes, with chrome between them; and its blocks."""
+    lines: list[str] = []
+
+    def prose(least: int = 3) -> str:
+        lines.append(" ".join(r.choice(["alpha", "beta", "gamma", "delta", "Über", "naïve", "omega"]) + str(r.randrange(100)) for _ in range(r.randrange(least, 60))))
+        return lines[-1]
+
+    def chrome() -> str:
+        return r.choice(["<nav><ul><li><a href=/>Home</a></ul></nav>", '<div class="cookie-banner"><p>We use cookies</p></div>', "<aside><p>Aside</p></aside>", '<div class="ad"><p>Buy this now</p></div>', "<script>var x = '<p>no</p>'</script>", "<form><p>Search</p></form>", '<section id="comments"><p>Nice one</p></section>', ""])
+
+    def part(depth: int) -> str:
+        kind = r.randrange(6 if depth else 2)
+        if kind == 0:
+            return f"<p>{prose()}</p>"
+        if kind == 1:
+            return f"<h2>{prose(1)}</h2><p>{prose()}</p>"
+        if kind == 2:
+            return f"<ul><li>{prose()}<li>{prose()}</ul>"
+        tag, name = r.choice([("div", "box"), ("section", "part"), ("div", ""), ("section", "intro"), ("div", "col-7")])
+        return f'<{tag} class="{name}">' + "".join(part(depth - 1) + chrome() for _ in range(r.randrange(1, 4))) + f"</{tag}>"
+
+    body = "".join(part(3) for _ in range(r.randrange(1, 5)))
+    around = r.choice(["<main>{}</main>", "<article>{}</article>", '<main class="m"><article>{}</article></main>', '<div class="wrap"><div class="text">{}</div></div>', "{}"])
+    return f"<html><head><title>t</title></head><body>{chrome()}<header><p>Site</p></header>{around.format(body)}{chrome()}<footer><p>Imprint</p></footer></body></html>", lines
+
+
+def test_html_text_of_random_articles(spark: SparkSession) -> None:
+    r = random.Random(11)
+    pages = [random_article(r) for _ in range(300)]
+    for html, lines in pages:
+        parsed = html_text.parse_page(html)
+        assert html_text.text_at(parsed, html_text.best_path(parsed)[0]).split("\n") == lines
+    rows = [(k, f"http://h{k % 7}/", html) for k, (html, _) in enumerate(pages)]
+    found = {x.page_id: x.text for x in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    kept = sum(len(set(found[k].split("\n")) & set(lines)) for k, (_, lines) in enumerate(pages))
+    assert kept >= 0.98 * sum(len(set(lines)) for _, lines in pages)
+
+
+@pytest.mark.parametrize("unit", ["<div>", '<div class="a1 b">', '<div class="nav">', "<ul><li>", "<p><table><td>", "<article>", "<div>x</p></section>", "<svg><p>", "<button>", "<select><option>"])
+def test_html_text_of_deep_pages(unit: str) -> None:
+    began, seconds = time.process_time(), {}
+    for n in (3_000, 12_000):
+        page = html_text.parse_page(unit * n + f"<p>{STORY}</p>" + "</div>" * n)
+        assert STORY in html_text.text_at(page, html_text.best_path(page)[0])
+        seconds[n] = time.process_time() - began
+    assert seconds[12_000] < 5
+    tracemalloc.start()
+    html_text.best_path(html_text.parse_page("<div>" * 12_000 + STORY))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+
+
 class ArticleText(HTMLParser):
     """The text of the article element by the standard library's parser: one line for each block."""
 
