@@ -32,24 +32,6 @@ def as_of(rows: DataFrame, activations: DataFrame, keys: list[str], at: str, act
     return found.select("_row.*", F.coalesce("_now", "_before").alias(value))
 
 
-def first_deliveries(messages: DataFrame, keys: list[str], at: str, days: int = 7) -> DataFrame:
-    """messages with delivery_epoch and is_first: a delivery within `days` of an epoch's first belongs to it.
-
-    The window is fixed from the first delivery; one outside it opens another epoch. Each key's times are
-    folded once in order, so the state is one epoch start and its number.
-    """
-    seconds = F.unix_micros(F.col(at).cast("timestamp"))
-    span = days * 86_400_000_000
-    times = messages.select(*keys, seconds.alias("_t")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
-    start = F.struct(F.array().cast("array<bigint>").alias("starts"))
-    folded = F.aggregate("_ts", start, lambda s, t: F.struct(F.when((F.size(s["starts"]) == 0) | (t - F.get(s["starts"], F.size(s["starts"]) - 1) >= span), F.concat(s["starts"], F.array(t))).otherwise(s["starts"]).alias("starts")))
-    epochs = times.select(*keys, folded["starts"].alias("_starts"))
-    joined = messages.withColumn("_t", seconds).join(epochs, keys)
-    epoch = F.size(F.filter("_starts", lambda x: x <= F.col("_t"))).cast("long")
-    order = Window.partitionBy(*keys, "delivery_epoch").orderBy("_t", *[c for c in messages.columns if c not in keys])
-    return joined.withColumn("delivery_epoch", epoch).withColumn("is_first", F.row_number().over(order) == 1).drop("_t", "_starts")
-
-
 def redelivered(messages: DataFrame, runs: DataFrame, keys: list[str], at: str, days: int = 7) -> DataFrame:
     """messages with original_audit_id: the run of the same key that started within `days` before, else null.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions.frames import kept, spread
-from ..operators import authoring, detection, evaluation, extraction, governance, history, merging, monitoring, routing
+from ..operators import authoring, deliveries, detection, evaluation, extraction, governance, history, merging, monitoring, routing
 from ..sources import files, packages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,7 +249,7 @@ SELECT e.event_id, CAST(f.epoch AS BIGINT) AS delivery_epoch, row_number() OVER
 def q_dedupe_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First deliveries of each key within seven days (OP-098, 121)."""
     events = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return history.first_deliveries(events, ["user_id", "event_type"], "ts").select("event_id", "delivery_epoch", "is_first")
+    return deliveries.first_deliveries(events, ["user_id", "event_type"], "ts").select("event_id", "delivery_epoch", "is_first")
 
 
 @register("SELECT coalesce(a.k, b.k) AS audit_id, CASE WHEN a.k IS NULL THEN 'audit_only' ELSE 'terminal_only' END AS side FROM (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 7 <> 0) a FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
