@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import code_prefix
-from .contracts import schema, violations
+from .contracts import TERMINAL_STATES, known_reason, schema
 
 #: The agents of a run in their order, each with the reasons that it raises. The plan runs them as stages
 #: over all runs of a batch, so a run's trace tells their order and what they said, and no times.
@@ -64,12 +64,32 @@ def records(done: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def sound(done: DataFrame) -> DataFrame:
+    """Finished runs, those that would break a contract turned into errors that name the rule: one bad run must not stop its batch.
+
+    Such a run goes to the dead letters and keeps its audit; what it lacks of its keys is filled in.
+    """
+    bare = F.exists("fields", lambda f: f["triple"]["source"].isNull() | f["triple"]["confidence"].isNull())
+    rule = (
+        F.when(F.col("audit_id").isNull() | F.col("package_version").isNull() | F.col("engine_version").isNull(), F.lit("a key is null"))
+        .when(F.col("outcome").isNull() | ~F.col("outcome").isin(*TERMINAL_STATES), F.lit("unknown outcome"))
+        .when((F.col("outcome") == "review_queued") & ~(F.coalesce(F.size("reasons") > 0, F.lit(False)) & F.coalesce(F.forall("reasons", known_reason), F.lit(False))), F.lit("unknown or no reason"))
+        .when((F.col("outcome") == "extracted") & F.coalesce(bare, F.lit(True)), F.lit("a value without source or confidence"))
+    )
+    marked = done.withColumn("_rule", rule)
+    broken = F.col("_rule").isNotNull()
+    return marked.withColumns({
+        "audit_id": F.coalesce("audit_id", F.sha2(F.concat(F.lit("broken|"), F.coalesce("run_id", F.lit(""))), 256)),
+        "package_version": F.coalesce("package_version", F.lit("unknown")),
+        "engine_version": F.coalesce("engine_version", F.lit("unknown")),
+        "outcome": F.when(broken, "error").otherwise(F.col("outcome")),
+        "error": F.when(broken, F.concat(F.lit("contract: "), F.col("_rule"))).otherwise(F.col("error")),
+    }).drop("_rule")
+
+
 def checked(done: DataFrame) -> dict[str, DataFrame]:
-    """The records of finished runs; raises ValueError if one breaks its contract. done is read several times and should be kept."""
-    found = records(done)
+    """The records of finished runs, each in the shape of its contract (see sound). done is read several times and should be kept."""
+    found = records(sound(done))
     for name in ("result", "review_entry", "audit"):
-        bad = violations(found[name], name).first()
-        if bad is not None:
-            raise ValueError(f"{name}: {bad.rule}")
         assert found[name].columns == schema(name).names
     return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,17 @@ ENGINE_VERSION = "1.0.0"
 MOST_DEPTH = 3
 
 
+def run_key(messages: DataFrame, package: dict[str, DataFrame], version: str) -> str:
+    """What the tables of a run depend on, as one name: the messages, the package's rows and the engine (see functions.frames.stages)."""
+    parts = [version, ENGINE_VERSION]
+    for df in (messages, *(package[k] for k in sorted(package))):
+        # Sums of hashes do not depend on the order of the rows; two hashes with other seeds make 128 bits.
+        columns = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in df.dtypes]
+        row = df.select(*[F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)").alias(f"h{seed}") for seed in (0, 1)]).agg(F.count(F.lit(1)), F.sum("h0"), F.sum("h1")).first()
+        parts.append("|".join(map(str, row)))
+    return hashlib.sha256("#".join(parts).encode()).hexdigest()
+
+
 def received(text: F.Column) -> F.Column:
     """The time of a Date header, or of an ISO timestamp; null if it is neither."""
     mail = F.regexp_extract(text, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})", 1)

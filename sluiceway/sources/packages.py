@@ -12,6 +12,7 @@ from ..functions.frames import kept
 from ..operators.history import incomplete_types, publish_problems
 from ..plans.contracts import schema
 from ..plans.records import checked
+from .commits import write_batch
 
 
 def package_files(spark: SparkSession, path: str) -> DataFrame:
@@ -94,10 +95,9 @@ def append(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
-def write_terminals(done: DataFrame, path: str) -> None:
-    """Result, review, dead-letter and audit rows of finished runs, each under its own folder, once all keep their contracts."""
-    for name, rows in checked(kept(done, "done")).items():
-        append(rows, f"{path}/{name}", "client_id")
+def write_terminals(done: DataFrame, sink: str, batch: str) -> bool:
+    """Result, review, dead-letter and audit rows of finished runs, committed together under the batch's name; False if it is committed already."""
+    return write_batch(checked(kept(done, "done")), sink, batch)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -1,15 +1,17 @@
-"""The streaming run path: deduplicated messages, the batch plan, paired writes of terminals and audits."""
+"""The streaming run path: deduplicated messages, the batch plan, terminals and audits committed together."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.frames import kept
+from ..functions.frames import kept, stages
 from ..plans.records import checked
+from ..sources.commits import committed, write_batch
 
 
 def message_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
@@ -23,17 +25,24 @@ def deduplicated(stream: DataFrame, keys: list[str], at: str = "received_at", da
     return timed.withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark(keys)
 
 
-def run_stream(stream: DataFrame, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, shadow: bool = False) -> StreamingQuery:
-    """Runs the batch plan on each micro-batch; the records of a batch share one folder number.
+def run_stream(stream: DataFrame, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, shadow: bool = False, version: str = "") -> StreamingQuery:
+    """Runs the batch plan on each micro-batch; its results, review entries, dead letters and audits are committed together.
 
-    Results, review entries, dead letters and audits keep their contracts (see plans.records), and each has
-    its folder. A batch that is replayed after a failure overwrites its own folders, so each run has one
-    terminal object and one audit. Records of a trial feed are labelled as shadow.
+    A batch that is replayed after a failure goes on from the stages that had ended (version, the package's,
+    tells other plans apart), commits once, and leaves no intermediate table. sources.commits.read_committed
+    reads what is there. A run that breaks a contract is a dead letter. Records of a trial feed are labelled
+    as shadow.
     """
+    spark = stream.sparkSession
+    source = hashlib.sha256(f"{checkpoint}|{version}".encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, number: int) -> None:
-        for name, rows in checked(kept(process(batch), "done")).items():
-            rows.withColumn("is_shadow", F.lit(shadow)).write.mode("overwrite").parquet(f"{sink}/{name}/batch={number}")
+        name = f"{number:012}"
+        if committed(spark, sink, name):
+            return
+        with stages(spark, f"stream-{source}-{name}"):
+            found = checked(kept(process(batch), "done"))
+            write_batch({table: rows.withColumn("is_shadow", F.lit(shadow)) for table, rows in found.items()}, sink, name)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 

@@ -18,7 +18,7 @@ from sluiceway.functions import scalars as fn
 from sluiceway.operators import authoring, detection, evaluation, governance, history, monitoring, routing
 from sluiceway.plans import contracts
 from sluiceway.plans.runs import canonical_hash, process
-from sluiceway.sources import files, packages
+from sluiceway.sources import commits, files, packages
 from sluiceway.streaming import runs as streaming
 
 SCHEMA = {
@@ -321,7 +321,7 @@ def test_stream_writes_pairs_once(spark: SparkSession, messages: DataFrame, tmp_
         query = streaming.run_stream(stream, lambda b: process(b, package, "acme", "invoices", "1.0.0"), str(tmp_path / "out"), str(tmp_path / "ck"), shadow=True)
         query.processAllAvailable()
         query.stop()
-    kinds = {name: spark.read.parquet(str(tmp_path / f"out/{name}")) for name in ("result", "review_entry", "dead_letter", "audit")}
+    kinds = {name: commits.read_committed(spark, str(tmp_path / "out"), name, contracts.schema(name).add("is_shadow", "boolean")) for name in ("result", "review_entry", "dead_letter", "audit")}
     assert kinds["audit"].count() == kinds["audit"].select("audit_id").distinct().count() == len(MAILS)
     assert kinds["audit"].where("not is_shadow").isEmpty()
     ends = kinds["result"].select("audit_id").unionByName(kinds["review_entry"].select("audit_id")).unionByName(kinds["dead_letter"].select("audit_id"))
