@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LETTER = r"\p{L}\p{N}"
+#: What stands between a repeated header and its number.
+REPEAT = "\x1f"
 CURRENCIES = r"(?i)(EUR|USD|GBP|CHF|JPY|€|\$|£|¥)"
 
 
@@ -45,6 +47,11 @@ def normal_label(label: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(label), rf"[^{LETTER}]+", " "))
 
 
+def plain_header(header: Column) -> Column:
+    """A header without the number that a repeated one has."""
+    return F.regexp_replace(header, f"{REPEAT}\\d+$", "")
+
+
 def parse_amount(text: Column) -> Column:
     """decimal(18,2) of an amount with currency signs and separators; a comma before two last digits is decimal."""
     bare = F.regexp_replace(text, r"[^0-9,.\-]", "")

@@ -81,9 +81,10 @@ def score_types(segments: DataFrame, keywords: list[tuple[str, str, float]], pat
 
 def score_package(segments: DataFrame, package: dict[str, DataFrame], key: str = "run_id", text: str = "text") -> DataFrame:
     """(key, type, score) by a package's keywords, patterns, negatives and entities: as expressions where they are few, else by the rule index."""
-    tuples = lambda name, *columns: [tuple(r[c] for c in columns) for r in package[name].orderBy(*columns).collect()]
+    tuples = lambda name, *columns: sorted((tuple(r[c] for c in columns) for r in package[name].select(*columns).collect()), key=repr)
     patterns, entities = tuples("patterns", "type", "regex", "weight"), tuples("entities", "type", "entity", "weight")
-    if package["keywords"].count() + package["negatives"].count() <= MOST_EXPRESSIONS:
+    few = [package[name].limit(MOST_EXPRESSIONS + 1).count() for name in ("keywords", "negatives")]
+    if sum(few) <= MOST_EXPRESSIONS:
         return score_types(segments, tuples("keywords", "type", "term", "weight"), patterns, tuples("negatives", "type", "term"), key, text, entities)
     more = [(kind, F.col(text).rlike(regex), weight) for kind, regex, weight in patterns] + [(kind, F.size(_ENTITIES[entity](F.col(text))) > 0, weight) for kind, entity, weight in entities]
     return score_by_index(segments, package["keywords"], package["negatives"], key, text, more)

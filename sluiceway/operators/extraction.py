@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import attachment_locator, body_locator, cell_locator, currency_of, normal_label, normal_value, parse_amount, parse_date
+from ..functions.scalars import attachment_locator, body_locator, cell_locator, currency_of, mapping_confidence, normal_label, normal_value, parse_amount, parse_date, plain_header
 
 
 def typed(candidates: DataFrame) -> DataFrame:
@@ -40,22 +40,36 @@ def _labelled(texts: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def extract_rows(rows: DataFrame, types: DataFrame, fields: DataFrame, producer: str, confidence: float = 0.9) -> DataFrame:
-    """Candidates of table rows (run_id, file, sheet, row_no, cells, places); types: run_id, type."""
-    cells = rows.where("error_code is null").join(types, "run_id").select("run_id", "type", "file", "sheet", F.explode("cells").alias("header", "value_raw"), F.col("places").alias("_p"))
+    """Candidates of table rows (run_id, file, sheet, row_no, cells, places); types: run_id, type.
+
+    A cell is as sure as its parser times how surely its column means the field (see scalars.mapping_confidence).
+    """
+    table = ["run_id", "file", "_sheet"]
+    good = rows.where("error_code is null and cells is not null").withColumn("_sheet", F.coalesce("sheet", F.lit("")))
+    cells = good.join(types, "run_id").select(*table, "type", "sheet", F.explode("cells").alias("header", "value_raw"), F.col("places").alias("_p"))
+    # What is known of each column: one row for each.
+    filled = cells.groupBy(*table, "header").agg(F.count(F.when(F.trim("value_raw") != "", 1)).alias("_filled"))
+    filled = filled.join(good.groupBy(*table).agg(F.count(F.lit(1)).alias("_rows")), table)
     named = fields.select("type", "field", "field_type", normal_label(F.col("alias")).alias("label")).distinct()
-    found = cells.withColumn("label", normal_label(F.col("header"))).where("trim(value_raw) <> ''").join(F.broadcast(named), ["type", "label"])
+    found = cells.withColumn("label", normal_label(plain_header(F.col("header")))).where("trim(value_raw) <> ''").join(F.broadcast(named), ["type", "label"]).join(filled, [*table, "header"])
     place = F.element_at("_p", F.col("header"))
     source = F.when(F.col("sheet").isNull(), attachment_locator(F.col("file"), place)).otherwise(cell_locator(F.col("file"), F.col("sheet"), place))
-    return typed(found.select("run_id", "field", "field_type", "value_raw", source.alias("source"), F.lit(None).cast("int").alias("segment_index"), F.lit(confidence).cast("decimal(5,4)").alias("confidence"), F.lit(producer).alias("producer")))
+    sure = F.lit(confidence).cast("decimal(5,4)") * mapping_confidence(F.col("label"), F.col("label"), F.col("_filled"), F.col("_rows"))
+    return typed(found.select("run_id", "field", "field_type", "value_raw", source.alias("source"), F.lit(None).cast("int").alias("segment_index"), sure.cast("decimal(5,4)").alias("confidence"), F.lit(producer).alias("producer")))
 
 
 def choose_sheet(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(run_id, file, sheet, reason): the sheet with most headers that mean a field; ties go to the first name."""
-    heads = rows.where("sheet is not null").select("run_id", "file", "sheet", F.explode(F.map_keys("cells")).alias("header")).distinct().withColumn("label", normal_label(F.col("header")))
-    named = aliases.select(normal_label(F.col("alias")).alias("label"), F.lit(1).alias("hit")).distinct()
-    per = heads.join(F.broadcast(named), "label", "left").groupBy("run_id", "file", "sheet").agg(F.count("hit").alias("hits"))
+    """(run_id, file, sheet, hits, reason): the sheet with most headers that mean a field; ties go to the first name.
+
+    Where rows have a type, aliases (type, alias) count for their own type only.
+    """
+    typed_by = ["type"] if "type" in rows.columns and "type" in aliases.columns else []
+    heads = rows.where("sheet is not null").select("run_id", "file", "sheet", *typed_by, F.explode(F.map_keys("cells")).alias("header")).distinct().withColumn("label", normal_label(plain_header(F.col("header"))))
+    named = aliases.select(*typed_by, normal_label(F.col("alias")).alias("label"), F.lit(1).alias("hit")).distinct()
+    per = heads.join(F.broadcast(named), [*typed_by, "label"], "left").groupBy("run_id", "file", "sheet").agg(F.count("hit").alias("hits"))
     best = per.groupBy("run_id", "file").agg(F.min(F.struct((-F.col("hits")).alias("h"), "sheet")).alias("b"))
-    return best.select("run_id", "file", "b.sheet", F.concat((-F.col("b.h")).cast("string"), F.lit(" headers mean a field")).alias("reason"))
+    hits = -F.col("b.h")
+    return best.select("run_id", "file", "b.sheet", hits.alias("hits"), F.concat(hits.cast("string"), F.lit(" headers mean a field")).alias("reason"))
 
 
 def validate(resolved: DataFrame, fields: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ TRIPLE = "struct<value:string,source:string,confidence:decimal(5,4)>"
 SCHEMAS = {
     "result": f"audit_id string, client_id string, workflow_id string, package_version string, engine_version string, type string, confidence decimal(5,4), fields map<string,{TRIPLE}>, completed_at timestamp, human_corrected boolean",
     "review_entry": f"audit_id string, client_id string, workflow_id string, package_version string, engine_version string, type string, confidence decimal(5,4), partial_fields map<string,{TRIPLE}>, review_reason array<string>, raw_sources array<string>, queued_at timestamp",
-    "audit": "audit_id string, client_id string, workflow_id string, package_version string, engine_version string, received_at timestamp, outcome string, agent_trace array<struct<agent:string,started_ms:bigint,duration_ms:bigint,status:string,skill:string,skill_source:string,reason:string>>, field_attribution array<struct<field:string,value:string,source:string,produced_by:string,confidence:decimal(5,4)>>, retries array<struct<agent:string,attempts:int,final_status:string>>",
+    "audit": "audit_id string, client_id string, workflow_id string, package_version string, engine_version string, received_at timestamp, outcome string, agent_trace array<struct<agent:string,started_ms:bigint,duration_ms:bigint,status:string,skill:string,skill_source:string,reason:string>>, field_attribution array<struct<field:string,value:string,source:string,produced_by:string,confidence:decimal(5,4)>>, retries array<struct<agent:string,attempts:int,final_status:string>>, conflicts array<struct<field:string,winner:struct<value:string,source:string,confidence:decimal(5,4)>,loser:struct<value:string,source:string,confidence:decimal(5,4)>,rule:string>>, chosen_sheets array<struct<file:string,sheet:string,reason:string>>",
     "dead_letter": "audit_id string, client_id string, workflow_id string, package_version string, engine_version string, error string, raw_sources array<string>, queued_at timestamp",
     "manifest": "client_id string, workflow_id string, version string, engine_range string, email_types array<string>, created_at timestamp, created_by string, source_corpus_id string, artifacts array<struct<path:string,kind:string,sha256:string>>, eval struct<report:string,corpus_size:int,field_accuracy:double>",
     "field_schema": "schema_version string, email_type string, required_fields array<struct<name:string,type:string,critical:boolean,validation:struct<min:double,currency_required:boolean,format:string,not_before:string,pattern:string>>>, optional_fields array<struct<name:string,type:string>>, aliases map<string,array<string>>, generated_by string, reviewed_by string",

@@ -850,7 +850,7 @@ def q_chosen_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = nations.select("run_id", "file", F.lit("notes").alias("sheet"), F.create_map(F.lit("Vendor"), F.col("n_name"), F.lit("Remark"), F.col("n_name")).alias("cells"))
     amounts = nations.select("run_id", "file", F.lit("amounts").alias("sheet"), F.create_map(F.lit("Vendor"), F.col("n_name"), F.lit("Total  Amount"), F.lit("1")).alias("cells"))
     aliases = spark.sql("SELECT alias FROM VALUES ('vendor'), ('total amount') v(alias)")
-    return extraction.choose_sheet(notes.unionByName(amounts), aliases)
+    return extraction.choose_sheet(notes.unionByName(amounts), aliases).drop("hits")
 
 
 @register("""SELECT c_custkey, CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS DOUBLE) AS amount, 'embedded:1:0/attachment:bill.pdf#p1' AS source FROM customer""")

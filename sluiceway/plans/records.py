@@ -9,7 +9,8 @@ from ..functions.scalars import code_prefix
 from .contracts import TERMINAL_STATES, known_reason, schema
 
 #: The agents of a run in their order, each with the reasons that it raises. The plan runs them as stages
-#: over all runs of a batch, so a run's trace tells their order and what they said, and no times.
+#: over all runs of a batch, so a run's trace tells their order and what they said; times are known of the
+#: parsers alone, which open files one by one.
 AGENTS = (
     ("ingestion", ()),
     ("thread_decomposer", ()),
@@ -18,7 +19,7 @@ AGENTS = (
     ("body_parser", ()),
     ("attachment_router", ("unsupported_attachment",)),
     ("encryption", ("encrypted_no_key",)),
-    ("attachment_parsers", ("attachment_parse_failed",)),
+    ("attachment_parsers", ("attachment_parse_failed", "agent_timeout")),
     ("embedded_email", ("embedded_depth_exceeded",)),
     ("merge", ("critical_field_conflict",)),
     ("completeness_checker", ("missing_field", "schema_validation_failed")),
@@ -33,12 +34,12 @@ def _first(codes: Column, prefixes: tuple[str, ...]) -> Column:
     return F.get(F.filter(codes, lambda c: code_prefix(c).isin(*prefixes)), F.lit(0))
 
 
-def trace(codes: Column, error: Column) -> Column:
-    """The agent_trace of a run with these codes; a run with an error ends at ingestion."""
+def trace(codes: Column, error: Column, parsing_ms: Column) -> Column:
+    """The agent_trace of a run with these codes, whose parsers took so long; a run with an error ends at ingestion."""
 
     def step(agent: str, reason: Column, status: Column) -> Column:
         none = F.lit(None)
-        return F.struct(F.lit(agent).alias("agent"), none.cast("bigint").alias("started_ms"), none.cast("bigint").alias("duration_ms"), status.alias("status"), none.cast("string").alias("skill"), none.cast("string").alias("skill_source"), reason.alias("reason")).cast(_STEP)
+        return F.struct(F.lit(agent).alias("agent"), none.cast("bigint").alias("started_ms"), (parsing_ms if agent == "attachment_parsers" else none).cast("bigint").alias("duration_ms"), status.alias("status"), none.cast("string").alias("skill"), none.cast("string").alias("skill_source"), reason.alias("reason")).cast(_STEP)
 
     steps = []
     for agent, raised in AGENTS:
@@ -60,7 +61,7 @@ def records(done: DataFrame) -> dict[str, DataFrame]:
         "result": done.where("outcome = 'extracted'").select(*typed, values.alias("fields"), now.alias("completed_at"), F.lit(False).alias("human_corrected")),
         "review_entry": done.where("outcome = 'review_queued'").select(*typed, values.alias("partial_fields"), F.col("reasons").alias("review_reason"), "raw_sources", now.alias("queued_at")),
         "dead_letter": done.where("outcome = 'error'").select(*keys, "error", "raw_sources", now.alias("queued_at")),
-        "audit": done.select(*keys, "received_at", "outcome", "agent_trace", "field_attribution", "retries"),
+        "audit": done.select(*keys, "received_at", "outcome", "agent_trace", "field_attribution", "retries", "conflicts", "chosen_sheets"),
     }
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import kept
 from ..operators import detection, extraction, history, merging, routing
 from ..sources import files as sources
+from .contracts import schema
 from .records import trace
 
 ENGINE_VERSION = "1.0.0"
@@ -40,7 +41,8 @@ def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str,
 
     run_id, audit_id, client_id, workflow_id, package_version, engine_version, received_at, type, confidence,
     outcome, reasons, error, fields (array of field and triple), raw_sources, agent_trace,
-    field_attribution and retries (see plans.records). audit_id follows from client, workflow, run and, where
+    field_attribution, retries, conflicts and chosen_sheets (see plans.records), and stage_hashes (see
+    replayed_stages). audit_id follows from client, workflow, run and, where
     messages have it, delivery_epoch, so a replay keeps it. attempts (run_id, agent, attempt, status) are what a retry controller saw.
     """
     messages = kept(messages, "ingested")
@@ -62,14 +64,18 @@ def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str,
     every = sources.away(opened)
     unread = sources.at_home(every.where("error_code is not null")).select("run_id", F.concat(F.lit("attachment_parse_failed:embedded:"), "origin").alias("code"))
     attached = sources.attachments(every)
-    csv_rows, sheet_rows = sources.parse_csv(attached), sources.parse_xlsx(attached)
-    documents, pages = sources.parse_docx(attached), sources.parse_pdf(attached)
+    parsers = {"csv_parser": sources.parse_csv, "spreadsheet_parser": sources.parse_xlsx, "doc_parser": sources.parse_docx, "pdf_parser": sources.parse_pdf}
+    read = {agent: kept(parse(attached), agent) for agent, parse in parsers.items()}
+    csv_rows, sheet_rows, documents, pages = read.values()
     # The type is locked on the outer message, and every embedded one is read as of that type.
     typed_all = sources.away(opened.select("run_id", "origin").join(typed, "run_id")).select("run_id", "type")
+    chosen = extraction.choose_sheet(sheet_rows.join(typed_all, "run_id"), named)
+    of_chosen = sheet_rows.join(chosen.where("hits > 0").select("run_id", "file", "sheet"), ["run_id", "file", "sheet"], "left_semi")
+    no_sheet = chosen.where("hits = 0").select("run_id", F.concat(F.lit("attachment_parse_failed:"), "file").alias("code"))
     parsed = merging.union_candidates(
         extraction.extract_body(detection.segment(every).join(typed_all, "run_id"), named),
         extraction.extract_rows(csv_rows, typed_all, named, "csv_parser"),
-        extraction.extract_rows(sheet_rows, typed_all, named, "spreadsheet_parser"),
+        extraction.extract_rows(of_chosen, typed_all, named, "spreadsheet_parser"),
         extraction.extract_texts(documents, typed_all, named, "doc_parser"),
         extraction.extract_texts(pages, typed_all, named, "pdf_parser"),
     )
@@ -78,8 +84,13 @@ def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str,
     settled = kept(merging.settle(candidates), "settled")
     required = routing.required_of(typed, package["schema_fields"])
     scored = routing.confidence(required, settled)
-    failed = reduce(DataFrame.unionByName, [x.where("error_code is not null").select("run_id", F.col("error_code").alias("code")) for x in (csv_rows, sheet_rows, documents, pages)])
-    of_files = sources.at_home(sources.attachment_flags(attached).unionByName(failed)).select("run_id", "code")
+    called = sources.at_home(reduce(DataFrame.unionByName, [sources.calls(df, agent) for agent, df in read.items()]))
+    of_files = sources.at_home(sources.attachment_flags(attached).unionByName(no_sheet)).select("run_id", "code").unionByName(called.where("code is not null").select("run_id", "code"))
+    # What attachments and embedded messages say of the type comes after it is locked, and can only be flagged.
+    said = [df.where("text is not null").select("run_id", "text") for df in (documents, pages)]
+    later = sources.at_home(reduce(DataFrame.unionByName, said)).select("run_id", "text").unionByName(opened.where("depth > 0 and body is not null").select("run_id", F.col("body").alias("text")))
+    later_types = detection.lock_type(detection.score_package(later, package), package["types"]).where("type is not null")
+    of_files = of_files.unionByName(detection.contradicted(typed, later_types))
     invalid = extraction.validate(settled.join(typed, "run_id"), package["schema_fields"])
     flags = of_files.unionByName(unread).unionByName(too_deep).unionByName(locked.where("ambiguous").select("run_id", F.lit("classification_ambiguous").alias("code"))).join(typed, "run_id", "left")
     unclassified = flags.where("type is null").select("run_id", "code")
@@ -97,16 +108,22 @@ def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str,
     triple = F.struct(F.col("value_norm").alias("value"), "source", "confidence")
     made = F.struct("field", F.col("value_norm").alias("value"), "source", F.col("producer").alias("produced_by"), "confidence")
     fields = settled.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("field", triple.alias("triple")))).alias("fields"), F.array_sort(F.collect_list(made)).alias("field_attribution"))
+    logged = merging.conflict_log(candidates, settled).select("run_id", F.struct("field", _value("winner"), _value("loser"), "rule").alias("x"))
+    sheets = sources.at_home(chosen).select("run_id", F.struct(F.when(F.col("origin") == "", F.col("file")).otherwise(F.concat(F.lit("embedded:"), "origin", F.lit("/"), "file")).alias("file"), "sheet", "reason").alias("x"))
+    listed = lambda df, name: df.groupBy("run_id").agg(F.array_sort(F.collect_set("x")).alias(name))
+    gathered = candidates.groupBy("run_id").agg(F.sum(F.xxhash64("field", "value_norm", "source", "confidence", "producer").cast("decimal(38,0)")).alias("candidate_sum"))
     named = F.transform("attachments", lambda a: F.concat(F.lit("attachment:"), a["name"]))
     raw = F.concat(F.when(F.col("body").isNotNull(), F.array(F.lit("body"))).otherwise(F.array().cast("array<string>")), F.coalesce(named, F.array().cast("array<string>")))
     facts = runs.select("run_id", "audit_id", "received_at", F.col("error_code").alias("error"), raw.alias("raw_sources"))
     out = ends.join(facts, "run_id").join(locked.select("run_id", "type"), "run_id", "left").join(scored.select("run_id", "confidence"), "run_id", "left").join(fields, "run_id", "left")
+    out = out.join(listed(logged, "conflicts"), "run_id", "left").join(listed(sheets, "chosen_sheets"), "run_id", "left").join(gathered, "run_id", "left")
+    out = out.join(called.groupBy("run_id").agg(F.sum("elapsed_ms").alias("parsing_ms")), "run_id", "left")
     tried = "array<struct<agent:string,attempts:int,final_status:string>>"
-    if attempts is not None:
-        per = attempts.groupBy("run_id", "agent").agg(F.max("attempt").cast("int").alias("attempts"), F.max_by("status", "attempt").alias("final_status")).where("attempts > 1")
-        out = out.join(per.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("agent", "attempts", "final_status"))).cast(tried).alias("retries")), "run_id", "left")
-    else:
-        out = out.withColumn("retries", F.lit(None).cast(tried))
+    own = called.where("attempts > 1").select("run_id", "agent", F.col("attempts").alias("attempt"), F.when(F.col("code").isNull(), "ok").otherwise("failed").alias("status"))
+    seen = own if attempts is None else own.unionByName(attempts.select("run_id", "agent", F.col("attempt").cast("int").alias("attempt"), "status"))
+    per = seen.groupBy("run_id", "agent").agg(F.max("attempt").cast("int").alias("attempts"), F.max_by("status", "attempt").alias("final_status")).where("attempts > 1")
+    out = out.join(per.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("agent", "attempts", "final_status"))).cast(tried).alias("retries")), "run_id", "left")
+    out = out.join(locked.select("run_id", F.struct("type", "score", "ambiguous").alias("lock")), "run_id", "left").join(runs.select("run_id", F.sha2(F.to_json(F.struct("body", F.transform("attachments", lambda a: F.struct(a["name"], F.sha2(a["content"], 256))), "error_code")), 256).alias("arrived")), "run_id")
     return out.select(
         "run_id",
         "audit_id",
@@ -122,12 +139,43 @@ def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str,
         "error",
         F.coalesce("fields", F.array().cast("array<struct<field:string,triple:struct<value:string,source:string,confidence:decimal(5,4)>>>")).alias("fields"),
         "raw_sources",
-        trace(F.col("reasons"), F.col("error")).alias("agent_trace"),
+        trace(F.col("reasons"), F.col("error"), F.col("parsing_ms")).alias("agent_trace"),
         F.coalesce("field_attribution", F.array().cast("array<struct<field:string,value:string,source:string,produced_by:string,confidence:decimal(5,4)>>")).alias("field_attribution"),
         F.coalesce("retries", F.array().cast(tried)).alias("retries"),
+        F.coalesce("conflicts", F.array()).cast(schema("audit")["conflicts"].dataType).alias("conflicts"),
+        F.coalesce("chosen_sheets", F.array()).cast(schema("audit")["chosen_sheets"].dataType).alias("chosen_sheets"),
+        _chain(
+            ("ingestion", F.col("arrived")),
+            ("classification", F.to_json("lock")),
+            ("attachment_parsers", F.col("candidate_sum").cast("string")),
+            ("merge", F.to_json(F.struct("fields"))),
+            ("confidence_scorer", F.col("confidence").cast("string")),
+            ("flag_router", F.to_json(F.struct("outcome", "reasons"))),
+        ).alias("stage_hashes"),
     )
 
 
+def _value(side: str) -> Column:
+    return F.struct(F.col(f"{side}.value_norm").alias("value"), F.col(f"{side}.source").alias("source"), F.col(f"{side}.confidence").alias("confidence")).alias(side)
+
+
+def _chain(*outputs: tuple[str, Column]) -> Column:
+    """Array of (stage_no, agent, hash): each stage's output hashed together with the hash of the stage before."""
+    parts = F.array(*[F.struct(F.lit(k).alias("stage_no"), F.lit(agent).alias("agent"), F.coalesce(out, F.lit("")).alias("hash")) for k, (agent, out) in enumerate(outputs, 1)])
+    none = F.array().cast("array<struct<stage_no:int,agent:string,hash:string>>")
+
+    def add(done: Column, part: Column) -> Column:
+        before = F.coalesce(F.get(done, F.size(done) - 1)["hash"], F.lit(""))
+        return F.concat(done, F.array(F.struct(part["stage_no"].alias("stage_no"), part["agent"].alias("agent"), F.sha2(F.concat(before, F.lit("|"), part["hash"]), 256).alias("hash"))))
+
+    return F.aggregate(parts, none, add)
+
+
+def replayed_stages(done: DataFrame) -> DataFrame:
+    """(run_id, stage_no, agent, hash) of finished runs, for history.first_divergence between two replays."""
+    return done.select("run_id", F.explode("stage_hashes").alias("s")).select("run_id", "s.*")
+
+
 def canonical_hash(terminals: DataFrame) -> DataFrame:
     """(run_id, hash) of what a replay must repeat: no time enters it."""
     return terminals.select("run_id", F.sha2(F.to_json(F.struct("client_id", "workflow_id", "package_version", "engine_version", "type", "confidence", "outcome", "reasons", "fields"), {"ignoreNullFields": "false"}), 256).alias("hash"))

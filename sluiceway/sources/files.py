@@ -1,7 +1,8 @@
 """Messages and attachments: MIME, CSV, spreadsheets, documents and PDF text from binary files.
 
 Bytes are opened in Python inside mapInPandas only, each kind on its own filtered branch, and every
-parser answers with rows or a typed error, never with an exception.
+parser answers with rows or a typed error, never with an exception: a code, whether another attempt may do
+better, how many there were and how long they took. A parser that cannot read all of a file reads none of it.
 """
 
 from __future__ import annotations
@@ -10,23 +11,24 @@ import csv
 import email
 import email.policy
 import io
+import posixpath
 import re
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import magic_kind
+from ..functions.scalars import REPEAT, magic_kind
+from . import pdf
+from .attempts import DEADLINE, MOST_MEMBER, MOST_RATIO, attempted
 
-#: An archive member larger than this, or packed tighter than this, is refused.
-MOST_MEMBER, MOST_RATIO = 50_000_000, 200
 MESSAGE = "run_id string, message_id string, received_at string, subject string, body string, depth int, attachments array<struct<name:string,mime:string,content:binary>>, embedded array<binary>, error_code string"
-ROWS = "run_id string, file string, sheet string, row_no int, cells map<string,string>, places map<string,string>, error_code string"
-TEXTS = "run_id string, file string, page_no int, text string, path string, error_code string"
+ROWS = "run_id string, file string, sheet string, row_no int, cells map<string,string>, places map<string,string>, error_code string, is_transient boolean, attempts int, elapsed_ms bigint"
+TEXTS = "run_id string, file string, page_no int, text string, path string, error_code string, is_transient boolean, attempts int, elapsed_ms bigint"
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -126,35 +128,75 @@ def attachment_flags(files: DataFrame, supported: tuple[str, ...] = ("csv", "xls
     return files.select("run_id", code.alias("code")).where("code is not null")
 
 
-def _each(files: DataFrame, parse: Callable[[str, bytes], list[dict]], schema: str, columns: list[str]) -> DataFrame:
+def parse_with(files: DataFrame, parse: Callable[[str, bytes], list[dict]], schema: str, agent: str, most: int = 3, seconds: float = DEADLINE) -> DataFrame:
+    """The rows that parse gives for each file (run_id, name, content), or one row with an error code; see attempted."""
+    columns = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema)]
+
     def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for run, name, content in zip(frame["run_id"], frame["name"], frame["content"], strict=True):
-                try:
-                    rows += [{"run_id": run, "file": name, "error_code": None} | r for r in parse(name, bytes(content))]
-                except (ValueError, KeyError, LookupError, OSError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError, csv.Error, RuntimeError, NotImplementedError):
-                    rows.append({"run_id": run, "file": name, "error_code": f"attachment_parse_failed:{name}"})
+                found, code, transient, attempts, elapsed = attempted(lambda name=name, content=content: parse(name, bytes(content)), agent, name, most, seconds)
+                call = {"run_id": run, "file": name, "error_code": code, "is_transient": transient, "attempts": attempts, "elapsed_ms": elapsed}
+                rows += [call | r for r in found] or [call]
             yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda d: d.notna(), None)
 
     return files.select("run_id", "name", "content").mapInPandas(fn, schema)
 
 
+def calls(parsed: DataFrame, agent: str) -> DataFrame:
+    """(run_id, agent, file, code, is_transient, attempts, elapsed_ms): one row for each file that a parser was given."""
+    return parsed.select("run_id", F.lit(agent).alias("agent"), "file", F.col("error_code").alias("code"), "is_transient", "attempts", "elapsed_ms").distinct()
+
+
+def _decoded(content: bytes) -> str:
+    """UTF-8, or else what Windows writes in the West; bytes that it has no letter for stand for themselves."""
+    for name in ("utf-8-sig", "cp1252"):
+        try:
+            return content.decode(name)
+        except UnicodeDecodeError:
+            pass
+    return content.decode("latin-1")
+
+
+def _delimiter(text: str) -> str:
+    """The one that parts the first line in several cells and most other lines in as many; of equal ones the first."""
+    first = next(csv.reader(io.StringIO(text[: text.find("\n") + 1] or text)), [])
+    line = ",".join(first) if len(first) > 1 else text[: text.find("\n") + 1] or text
+    able = [d for d in ",;\t|" if d in line]
+    if len(able) < 2:
+        return able[0] if able else ","
+
+    def alike(d: str) -> int:
+        widths = [len(row) for row in csv.reader(io.StringIO(text), delimiter=d) if row]
+        return sum(w == widths[0] for w in widths) if widths and widths[0] > 1 else 0
+
+    return max(able, key=alike)
+
+
+def named_cells(head: list[str], line: list[str]) -> dict[str, str]:
+    """Cells by their headers; a repeated header and cells beyond the headers keep their cells under numbered names (see scalars.plain_header)."""
+    seen: dict[str, int] = {}
+    cells = {}
+    for k, value in enumerate(line):
+        name = head[k] if k < len(head) else f"column {k + 1}"
+        seen[name] = seen.get(name, 0) + 1
+        cells[name if seen[name] == 1 else f"{name}{REPEAT}{seen[name]}"] = value
+    return cells
+
+
 def _csv_rows(name: str, content: bytes) -> list[dict]:
-    text = content.decode("utf-8-sig", "replace")
+    text = _decoded(content)
     if not text.strip() or "\0" in text:
         raise ValueError("no table")
-    try:
-        dialect = csv.Sniffer().sniff(text[:20_000], ",;\t|")
-    except csv.Error:
-        dialect = csv.excel
-    lines = list(csv.reader(io.StringIO(text), dialect))
-    head = [h.strip() for h in lines[0]]
+    csv.field_size_limit(1 << 30)
+    lines = csv.reader(io.StringIO(text, newline=""), delimiter=_delimiter(text), strict=False)
+    head = [h.strip() for h in next(lines)]
     out = []
-    for k, line in enumerate(lines[1:], 2):
+    for k, line in enumerate(lines, 2):
         if any(c.strip() for c in line):
-            cells = dict(zip(head, line, strict=False))
-            out.append({"sheet": None, "row_no": k, "cells": cells, "places": {h: f"row{k}:{h}" for h in cells}})
+            cells = named_cells(head, line)
+            out.append({"sheet": None, "row_no": k, "cells": cells, "places": {h: f"row{k}:{h.replace(REPEAT, '#')}" for h in cells}})
     return out
 
 
@@ -171,42 +213,93 @@ def _xml(data: bytes) -> ElementTree.Element:
     return ElementTree.fromstring(data)
 
 
+def _texts(node: ElementTree.Element) -> str:
+    """The text of a string item, runs of rich text together, without phonetic hints."""
+    hints = {t for x in node.iter() if x.tag.endswith("}rPh") for t in x.iter()}
+    return "".join(t.text or "" for t in node.iter() if t.tag.endswith("}t") and t not in hints)
+
+
+# Fixed values of the format: the numbers of built-in formats that are dates or times.
+_DATE_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
+
+
+def _date_styles(archive: zipfile.ZipFile, names: list[str]) -> list[bool]:
+    """Of each cell style, whether it shows a number as a date."""
+    if "xl/styles.xml" not in names:
+        return []
+    root = _xml(_member(archive, "xl/styles.xml"))
+    own = {x.get("numFmtId"): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", x.get("formatCode", "")) for x in root.iter() if x.tag.endswith("}numFmt")}
+    formats = next((x for x in root.iter() if x.tag.endswith("}cellXfs")), [])
+    return [bool(re.search(r"[ymdhs]", own[n], re.I)) if (n := x.get("numFmtId", "0")) in own else int(n) in _DATE_FORMATS for x in formats]
+
+
+def _as_date(serial: str, base_1904: bool) -> str:
+    """A serial number of days as ISO 8601; numbers before March 1900 count a day that never was."""
+    days = float(serial)
+    start = datetime(1904, 1, 1) if base_1904 else datetime(1899, 12, 30 if days >= 61 else 31)
+    at = start + timedelta(seconds=round(days * 86_400))
+    return at.date().isoformat() if days == int(days) else at.isoformat(sep=" ")
+
+
+def _sheets(archive: zipfile.ZipFile, names: list[str], workbook: ElementTree.Element) -> list[tuple[str, str]]:
+    """(name, part) of each sheet by its relationship; where the file has none, by position."""
+    parts: dict[str, str] = {}
+    if "xl/_rels/workbook.xml.rels" in names:
+        for x in _xml(_member(archive, "xl/_rels/workbook.xml.rels")):
+            target = x.get("Target", "")
+            parts[x.get("Id", "")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+    found = []
+    for k, x in enumerate((x for x in workbook.iter() if x.tag.endswith("}sheet")), 1):
+        link = next((v for name, v in x.attrib.items() if name.endswith("}id")), None)
+        found.append((x.get("name", ""), parts.get(link, "") if link is not None and parts else f"xl/worksheets/sheet{k}.xml"))
+    return found
+
+
 def _xlsx_rows(name: str, content: bytes) -> list[dict]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         names = archive.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter() if t.tag.endswith("}t")) for si in _xml(_member(archive, "xl/sharedStrings.xml")) if si.tag.endswith("}si")]
-        sheets = [s.get("name") for s in _xml(_member(archive, "xl/workbook.xml")).iter() if s.tag.endswith("}sheet")]
+            shared = [_texts(si) for si in _xml(_member(archive, "xl/sharedStrings.xml")) if si.tag.endswith("}si")]
+        workbook = _xml(_member(archive, "xl/workbook.xml"))
+        base_1904 = any(x.tag.endswith("}workbookPr") and x.get("date1904") in ("1", "true") for x in workbook.iter())
+        dates = _date_styles(archive, names)
         out = []
-        for k, sheet in enumerate(sheets, 1):
-            part = f"xl/worksheets/sheet{k}.xml"
-            if part not in names:
-                continue
-            head: dict[str, str] = {}
+        for sheet, part in _sheets(archive, names, workbook):
+            if not part.startswith("xl/worksheets/"):
+                continue  # a chart or dialog
+            columns: list[str] = []
+            head: list[str] = []
             for row in (r for r in _xml(_member(archive, part)).iter() if r.tag.endswith("}row")):
-                values = {}
-                for c in row:
-                    ref = c.get("r", "")
-                    v = next((x.text for x in c.iter() if x.tag.endswith("}v") or x.tag.endswith("}t")), None)
-                    if v is not None:
-                        values[re.sub(r"\d", "", ref)] = shared[int(v)] if c.get("t") == "s" else v
+                values: dict[str, str] = {}
+                for c in (c for c in row if c.tag.endswith("}c")):
+                    kind, v = c.get("t"), next((x.text for x in c if x.tag.endswith("}v")), None)
+                    inline = next((x for x in c if x.tag.endswith("}is")), None)
+                    value = _texts(inline) if inline is not None else shared[int(v)] if kind == "s" and v is not None else v
+                    style = int(c.get("s", "0"))
+                    if value is not None and kind in (None, "n") and style < len(dates) and dates[style]:
+                        value = _as_date(value, base_1904)
+                    if value is not None:
+                        values[re.sub(r"\d", "", c.get("r", ""))] = value
                 if not head:
-                    head = {col: str(v).strip() for col, v in values.items()}
+                    columns, head = list(values), [str(v).strip() for v in values.values()]
                 elif values:
                     n = int(row.get("r", "0"))
-                    out.append({"sheet": sheet, "row_no": n, "cells": {head[c]: v for c, v in values.items() if c in head}, "places": {head[c]: f"{c}{n}" for c in values if c in head}})
+                    beyond = [c for c in values if c not in columns]
+                    labels = [*named_cells(head, head), *(f"column {c}" for c in beyond)]
+                    placed = [(h, c) for h, c in zip(labels, [*columns, *beyond], strict=True) if c in values]
+                    out.append({"sheet": sheet, "row_no": n, "cells": {h: values[c] for h, c in placed}, "places": {h: f"{c}{n}" for h, c in placed}})
     return out
 
 
 def parse_csv(files: DataFrame) -> DataFrame:
     """Rows of CSV attachments, with the place of each cell."""
-    return _each(files.where("kind = 'csv' and not encrypted"), _csv_rows, ROWS, ["run_id", "file", "sheet", "row_no", "cells", "places", "error_code"])
+    return parse_with(files.where("kind = 'csv' and not encrypted"), _csv_rows, ROWS, "csv_parser")
 
 
 def parse_xlsx(files: DataFrame) -> DataFrame:
     """Rows of spreadsheets: the first row of a sheet names its columns."""
-    return _each(files.where("kind = 'xlsx' and not encrypted"), _xlsx_rows, ROWS, ["run_id", "file", "sheet", "row_no", "cells", "places", "error_code"])
+    return parse_with(files.where("kind = 'xlsx' and not encrypted"), _xlsx_rows, ROWS, "spreadsheet_parser")
 
 
 def _docx_text(name: str, content: bytes) -> list[dict]:
@@ -216,60 +309,9 @@ def _docx_text(name: str, content: bytes) -> list[dict]:
     return [{"page_no": 1, "text": "\n".join(lines), "path": "docx"}]
 
 
-#: Shown strings, and the operators that move to another line.
-_PDF_TEXT = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*(Tj|'|\")|\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ|(-?(?:\d+\.?\d*|\.\d+))\s+(Td|TD|Tm)\b|(T\*|\bET\b)")
-
-
-def _pdf_text(name: str, content: bytes) -> list[dict]:
-    """Text operators of plain and deflated content streams; a PDF without any fails (no OCR here)."""
-    out = []
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", content, re.S):
-        data = m[1]
-        if data[:1] == b"\x78":
-            data = zlib.decompressobj().decompress(data, MOST_MEMBER)
-        if b"BT" not in data:
-            continue
-        lines: list[list[str]] = [[]]
-        height = b""
-        for a, show, b, y, move, new in _PDF_TEXT.findall(data):
-            if new or (move in (b"Td", b"TD") and float(y) != 0) or (move == b"Tm" and y != height) or show in (b"'", b'"'):
-                lines.append([])
-            if move == b"Tm":
-                height = y
-            if show or b:
-                lines[-1].append((a if show else b"".join(re.findall(rb"\(((?:\\.|[^\\()])*)\)", b))).decode("latin-1"))
-        text = "\n".join(" ".join(line) for line in lines if line)
-        out.append({"page_no": len(out) + 1, "text": re.sub(r"\\([()\\])", r"\1", text), "path": "pdf_text"})
-    if not any(r["text"].strip() for r in out):
-        raise ValueError("no text")
-    return out
-
-
 def parse_docx(files: DataFrame) -> DataFrame:
-    return _each(files.where("kind = 'docx' and not encrypted"), _docx_text, TEXTS, ["run_id", "file", "page_no", "text", "path", "error_code"])
+    return parse_with(files.where("kind = 'docx' and not encrypted"), _docx_text, TEXTS, "doc_parser")
 
 
 def parse_pdf(files: DataFrame) -> DataFrame:
-    return _each(files.where("kind = 'pdf' and not encrypted"), _pdf_text, TEXTS, ["run_id", "file", "page_no", "text", "path", "error_code"])
-
-
-def with_retries(attempt: Callable[[], object], most: int = 3, wait: Callable[[int], None] | None = None) -> tuple[object | None, str | None, int]:
-    """(result, error, attempts): transient errors are tried again with growing waits, permanent ones are not.
-
-    attempt raises TransientError or any other error; this runs inside a worker, apart from Spark's task retries.
-    """
-    for k in range(1, most + 1):
-        try:
-            return attempt(), None, k
-        except TransientError as e:
-            if k == most:
-                return None, str(e) or "transient", k
-            if wait:
-                wait(2 ** (k - 1))
-        except Exception as e:  # the error is returned, typed
-            return None, str(e) or type(e).__name__, k
-    return None, "no attempt", 0
-
-
-class TransientError(Exception):
-    """A failure that another attempt may not meet."""
+    return parse_with(files.where("kind = 'pdf' and not encrypted"), pdf.pages, TEXTS, "pdf_parser")

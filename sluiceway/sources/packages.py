@@ -60,7 +60,7 @@ def load_package(spark: SparkSession, path: str, engine_version: str = "1.0.0")
     declared = manifest.select(F.explode("email_types").alias("type")).distinct()
     if not incomplete_types(declared, fields.select(F.col("email_type").alias("type")), bands.select("type")).isEmpty():
         raise ValueError("type_incomplete")
-    return {
+    tables = {
         "manifest": manifest,
         "schema_fields": required.unionByName(optional, allowMissingColumns=True),
         "aliases": fields.select(F.col("email_type").alias("type"), F.explode("aliases").alias("field", "names")).select("type", "field", F.explode("names").alias("alias")),
@@ -74,6 +74,8 @@ def load_package(spark: SparkSession, path: str, engine_version: str = "1.0.0")
         "always_review": bands.select("type", F.explode("t.always_review_if").alias("prefix")),
         "skills": artifacts("skill_manifest"),
     }
+    # At most 10 MB, as checked above: read once here and not again by every stage of every run.
+    return {name: spark.createDataFrame(df.collect(), df.schema) for name, df in tables.items()}
 
 
 def load_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -222,7 +222,7 @@ def test_reasons_are_closed(spark: SparkSession) -> None:
     for name in contracts.SCHEMAS:
         assert contracts.schema(name).fields
     bad = spark.createDataFrame([("a", "c", "w", "1.0.0", None, "done")], "audit_id string, client_id string, workflow_id string, package_version string, engine_version string, outcome string")
-    bad = bad.selectExpr("*", "current_timestamp() received_at", "array() agent_trace", "array() field_attribution", "array() retries")
+    bad = bad.selectExpr("*", "current_timestamp() received_at", "array() agent_trace", "array() field_attribution", "array() retries", "array() conflicts", "array() chosen_sheets")
     assert {r.rule for r in contracts.violations(bad, "audit").collect()} == {"engine_version is null", "unknown outcome"}
 
 
@@ -295,19 +295,6 @@ def test_empty_partials_invariant(spark: SparkSession) -> None:
     assert [r.run_id for r in routing.empty_partials(entries, entries.select("run_id")).collect()] == ["b"]
 
 
-def test_retries() -> None:
-    tries = iter([files.TransientError("busy"), 5])
-
-    def attempt() -> object:
-        x = next(tries)
-        if isinstance(x, Exception):
-            raise x
-        return x
-
-    assert files.with_retries(attempt) == (5, None, 2)
-    assert files.with_retries(lambda: 1 / 0)[1:] == ("division by zero", 1)
-
-
 def test_segments(spark: SparkSession) -> None:
     bodies = spark.createDataFrame([("a", "new\nOn Monday, X wrote:\nold"), ("b", None)], "run_id string, body string")
     assert sorted((r.run_id, r.segment_index, r.text) for r in detection.segment(bodies).collect()) == [("a", 0, "new"), ("a", 1, "old"), ("b", 0, "")]

@@ -24,8 +24,9 @@ def fail(df: DataFrame) -> DataFrame:
     return df.withColumn(df.columns[0], F.when(F.rand() < 2, F.raise_error(F.lit("killed"))).cast(df.dtypes[0][1]))
 
 
-@pytest.fixture
-def done(spark: SparkSession, tmp_path: Path) -> DataFrame:
+@pytest.fixture(scope="module")
+def done(spark: SparkSession, tmp_path_factory: pytest.TempPathFactory) -> DataFrame:
+    tmp_path = tmp_path_factory.mktemp("packages")
     messages = files.ingest(spark.createDataFrame(list(MAILS.items()), "path string, content binary"))
     return kept(process(messages, packages.load_package(spark, write_package(tmp_path / "p")), "acme", "invoices", "1.0.0"), "done")
 
@@ -73,7 +74,7 @@ def test_a_killed_run_goes_on_from_its_last_stage(spark: SparkSession, tmp_path:
     assert root.exists()
     with stages(spark, key) as store:
         outcomes = {r.run_id: r.outcome for r in process(messages, package, "acme", "invoices", "1.0.0").collect()}
-    assert store.resumed == ["ingested", "messages", "candidates", "settled"] and len(outcomes) == len(MAILS)
+    assert store.resumed == ["ingested", "messages", "csv_parser", "spreadsheet_parser", "doc_parser", "pdf_parser", "candidates", "settled"] and len(outcomes) == len(MAILS)
     assert not root.exists(), "nothing is left after success"
     with pytest.raises(ValueError), stages(spark) as other:
         kept(spark.range(3), "x")
