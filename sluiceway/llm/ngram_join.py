@@ -14,7 +14,8 @@ All sets leave out by the same order of fragments, so the rarest one in which tw
 same stays with both, and no candidate is lost.
 
 The classes of one fragment are not paired with one another: they are compared with two pivots and
-linked, then with other pivots where they still lie in different components. When few pairs of
+linked, then with other pivots where they still lie in different components. A class of many large
+fragments meets two pivots for them all, so that the pairs of a round grow with the classes. When few pairs of
 different components are left, these are compared, which keeps every link between components while the
 work on a group of near copies grows with its size. A parity sketch of each set, whose bits differ in
 no more places than the sets in n-grams, tells most pairs apart before their n-grams are read; a finer
@@ -45,6 +46,8 @@ SPARE = 0.3
 HOT_LEAST, HOT_SHARE, MOST_BROADCAST = 16, 0.001, 1_000_000
 #: Rounds of pivots, at most, and the pairs of different components for each fragment row at which they end.
 ROUNDS, FEW = 2, 2
+#: A fragment of more classes is a large one: in each round a class meets two pivots of all its large fragments together.
+LARGE = 8
 #: Bits of the finer sketch for each bit of the plain one, up to this size; larger plain sketches serve as both.
 FINER, FINE_BITS = 4, 4096
 #: Rows of a fragment in each slice of the last comparison.
@@ -204,7 +207,7 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
     most = Window.partitionBy("key", "room").orderBy(F.desc("classes"), "fragment")
     ranked = index.join(held, "fragment").withColumn("rank", F.row_number().over(most))
     left = scratch.keep(ranked.where(F.col("rank") > F.col("room").bitwiseAND(F.lit((1 << ROOM_BITS) - 1))).select("fragment", "key").distinct(), "needed")
-    ends = left.groupBy("fragment").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    ends = left.groupBy("fragment").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
     index = scratch.keep(left.join(ends, "fragment"), "index")
     scratch.free("shared", "needed")
 
@@ -243,10 +246,17 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
         return sizes & plain & (sketch_distance(F.coalesce("fa", "sa"), F.coalesce("fb", "sb")) * (100 + percent) <= most)
 
     side_a, side_b = (facts.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("fine").alias(f"f{x}")) for x in "ab")
-    pivots = index.select("fragment", F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
+
+    def few_pivots(rows: DataFrame, first: Column, second: Column) -> DataFrame:
+        """(a, b): each class of a small fragment with both its pivots (first.p and second.p), a class of large ones with the least of each over them all."""
+        small = rows.where(F.col("size") <= LARGE).select("key", F.explode(F.array(first["p"], second["p"])).alias("b"))
+        large = rows.where(F.col("size") > LARGE).groupBy("key").agg(F.min(first).alias("x"), F.min(second).alias("y")).select("key", F.explode(F.array("x.p", "y.p")).alias("b"))
+        return small.unionByName(large).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+
+    pivots = few_pivots(index, F.struct(F.col("low").alias("o"), F.col("low").alias("p")), F.struct(F.bitwise_not(F.col("high")).alias("o"), F.col("high").alias("p")))
     links, rows = None, index.select("fragment", "key")
     for k in range(ROUNDS + 1):
-        pairs = pivots.select("a", "b").distinct().join(side_a, "a").join(side_b, "b").where(near()).select("a", "b", "na", "nb")
+        pairs = pivots.join(side_a, "a").join(side_b, "b").where(near()).select("a", "b", "na", "nb")
         found = scratch.keep(verified(pairs), f"links{k}")
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links, scratch, f"cc{k}", least=False).withColumnRenamed("node", "key")
@@ -259,9 +269,11 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
         if left <= FEW * part.count() or k == ROUNDS:
             break
         # Other pivots for each fragment, so that classes meet other classes than before.
-        drawn = [F.min(F.struct(F.xxhash64("fragment", "key", F.lit(2 * k + x)), "key", "component")) for x in (0, 1)]
-        chosen_pivots = part.groupBy("fragment").agg(F.array(*drawn).alias("pivots")).select("fragment", F.explode("pivots").alias("p"))
-        pivots = part.join(chosen_pivots, "fragment").where("component <> p.component").select("fragment", F.col("key").alias("a"), F.col("p.key").alias("b"))
+        drawn = [F.min(F.struct(F.xxhash64("key", F.lit(2 * k + x)).alias("o"), F.col("key").alias("p"), F.col("component").alias("c"))).alias(f"p{x}") for x in (0, 1)]
+        chosen_pivots = part.groupBy("fragment").agg(F.count(F.lit(1)).alias("size"), *drawn)
+        # A pivot of the class's own component has nothing to tell it.
+        told = [F.when(F.col(f"p{x}.c") != F.col("component"), F.struct(f"p{x}.o", f"p{x}.p")) for x in (0, 1)]
+        pivots = few_pivots(part.join(chosen_pivots, "fragment"), *told).where("b is not null")
     # What is left: classes of different components that share a fragment, told apart by their sketches
     # inside the join. The rows of a large fragment are dealt in slices, each of which meets them all.
     if left:
