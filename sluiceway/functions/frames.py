@@ -55,6 +55,12 @@ class Files:
         fs, at = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
+    def usage(self, path: str) -> tuple[int, int]:
+        """How many files lie below a folder, and their bytes."""
+        fs, at = self._at(path)
+        found = fs.getContentSummary(at)
+        return int(found.getFileCount()), int(found.getLength())
+
     def put_once(self, path: str, text: str) -> bool:
         """Writes a small file under another name and moves it to its own; False if that is taken."""
         fs, at = self._at(path)

@@ -12,13 +12,6 @@ from ..functions.scalars import normal_label, pii_findings
 MOST_BROADCAST = 1_000_000
 
 
-def holdout(samples: DataFrame, corpus_id: str, by: str = "email_type", sample: str = "sample_id", share: float = 0.2, least: int = 5) -> DataFrame:
-    """samples with is_holdout: of each type the max(least, ceil(share n)) samples with the least hashes."""
-    key = F.sha2(F.concat_ws("|", F.lit(corpus_id), F.col(sample).cast("string")), 256)
-    ranked = samples.withColumn("_h", key).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_h", sample))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by)))
-    return ranked.withColumn("is_holdout", F.col("_r") <= F.greatest(F.lit(least), F.ceil(F.col("_n") * share))).drop("_h", "_r", "_n")
-
-
 def leaks(generation: DataFrame, held: DataFrame, sample: str = "sample_id") -> DataFrame:
     """Samples on both sides: must be none."""
     return generation.select(sample).intersect(held.select(sample))
@@ -29,13 +22,6 @@ def shortfall(labels: DataFrame, by: str = "email_type", least: int = 25) -> Dat
     return labels.groupBy(by).agg(F.count_distinct("sample_id").alias("n")).where(F.col("n") < least).select(by, (F.lit(least) - F.col("n")).alias("lacking"))
 
 
-def propose_types(samples: DataFrame, k: int = 3, by: str = "email_type") -> DataFrame:
-    """(type, n, exemplars) of each type, the exemplars with the least ids."""
-    top = Window.partitionBy(by).orderBy("sample_id")
-    counted = samples.withColumn("_r", F.row_number().over(top)).groupBy(by)
-    return counted.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= k, F.col("sample_id")))).alias("exemplars"))
-
-
 def propose_fields(values: DataFrame, samples: DataFrame, share: float = 0.6) -> DataFrame:
     """(type, field, n, share) of fields that stand in at least this share of a type's samples."""
     total = samples.groupBy("email_type").agg(F.count_distinct("sample_id").alias("total"))
@@ -58,7 +44,7 @@ def propose_aliases(headers: DataFrame, labels: DataFrame, least: int = 1) -> Da
 def map_headers(headers: DataFrame, aliases: DataFrame) -> DataFrame:
     """(file, header, field): headers that are an alias of a field; aliases: field, alias."""
     named = aliases.select("field", normal_label(F.col("alias")).alias("label")).distinct()
-    return headers.withColumn("label", normal_label(F.col("header"))).join(F.broadcast(named), "label").drop("label")
+    return headers.withColumn("label", normal_label(F.col("header"))).join(named, "label").drop("label")
 
 
 def mine_keywords(texts: DataFrame, least: int = 3, purity: float = 0.8) -> DataFrame:

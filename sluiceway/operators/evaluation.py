@@ -47,14 +47,14 @@ def calibration_error(buckets: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(predictions: DataFrame, confidence: str = "confidence", right: str = "correct") -> DataFrame:
-    """(band, review_share, residual_error) at each confidence seen, were it the acceptance band.
+    """(band, review_share, residual_error) at each confidence seen, to four decimals, were it the acceptance band.
 
     Counts for each distinct confidence are summed in order; a band's rows are those below it.
     """
-    per = predictions.groupBy(F.col(confidence).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col(right)).alias("wrong"))
+    per = predictions.groupBy(F.round(confidence, 4).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col(right)).alias("wrong"))
     below = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     total = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # One row for each distinct confidence, at most 10,001 of four decimals.
+    # One row for each distinct confidence: at most 10,001 from 0 to 1.
     run = per.withColumns({"nb": F.coalesce(F.sum("n").over(below), F.lit(0)), "wb": F.coalesce(F.sum("wrong").over(below), F.lit(0)), "nt": F.sum("n").over(total), "wt": F.sum("wrong").over(total)})
     return run.select("band", (F.col("nb") / F.col("nt")).alias("review_share"), ((F.col("wt") - F.col("wb")) / (F.col("nt") - F.col("nb"))).alias("residual_error"))
 

@@ -133,8 +133,8 @@ def resolve_skills(used: DataFrame, package: DataFrame, defaults: DataFrame) ->
 
 def binding_violations(invocations: DataFrame, bindings: DataFrame, tools: DataFrame) -> DataFrame:
     """Invocations (agent, skill_id, tool) that the skill's manifest does not allow."""
-    agents = invocations.join(F.broadcast(bindings), ["skill_id", "agent"], "left_anti").withColumn("code", F.lit("skill_binding_violation"))
-    calls = invocations.where("tool is not null").join(F.broadcast(tools), ["skill_id", "tool"], "left_anti").withColumn("code", F.lit("skill_binding_violation"))
+    agents = invocations.join(bindings, ["skill_id", "agent"], "left_anti").withColumn("code", F.lit("skill_binding_violation"))
+    calls = invocations.where("tool is not null").join(tools, ["skill_id", "tool"], "left_anti").withColumn("code", F.lit("skill_binding_violation"))
     return agents.unionByName(calls).distinct()
 
 

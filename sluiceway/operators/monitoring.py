@@ -20,6 +20,22 @@ def latency(runs: DataFrame, ms: str, by: str, exact: bool = True) -> DataFrame:
     return runs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), p[0].alias("p50"), p[1].alias("p95"))
 
 
+#: A sketch's size, and how far the rank of a quantile that it gives may be off (as a share of the rows, for 99 of 100).
+KLL_SIZE, RANK_ERROR = 400, 0.01
+
+
+def latency_sketches(runs: DataFrame, ms: str, at: str, client: str = "client_id", span: str = "1 hour") -> DataFrame:
+    """(client, hour, n, sketch): a KLL sketch of each client's hour, of bounded size whatever the number of runs; null values are left out."""
+    rows = runs.where(F.col(ms).isNotNull()).select(F.col(client).alias("client_id"), F.window(F.col(at).cast("timestamp"), span)["start"].alias("hour"), F.col(ms).cast("double").alias("ms"))
+    return rows.groupBy("client_id", "hour").agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("ms", KLL_SIZE).alias("sketch"))
+
+
+def merged_latency(sketches: DataFrame, *by: str) -> DataFrame:
+    """(by, n, p50, p95) of stored sketches, over any window that `by` names; each rank is within RANK_ERROR."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", KLL_SIZE).alias("sketch"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(q).cast("double")).alias(name) for q, name in ((0.5, "p50"), (0.95, "p95"))])
+
+
 def state_mix(runs: DataFrame, state: str, by: str) -> DataFrame:
     """(by, state, n, share)."""
     per = runs.groupBy(by, state).agg(F.count(F.lit(1)).alias("n"))

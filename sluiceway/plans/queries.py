@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions.frames import kept, spread
-from ..operators import authoring, deliveries, detection, evaluation, extraction, governance, history, merging, monitoring, routing
+from ..operators import authoring, deliveries, detection, evaluation, extraction, governance, history, merging, monitoring, routing, selection
 from ..sources import files, packages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,7 +178,7 @@ _HOLDOUT = "SELECT doc_id AS sample_id, lang AS email_type, row_number() OVER (P
 
 
 def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return authoring.holdout(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("email_type")), "c1")
+    return selection.holdout(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("email_type")), "c1")
 
 
 @register(_HOLDOUT)
@@ -203,7 +203,7 @@ def q_corpus_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT lang AS email_type, count(*) AS n, (SELECT string_agg(CAST(d2.doc_id AS VARCHAR), ',' ORDER BY d2.doc_id) FROM (SELECT doc_id FROM documents d3 WHERE d3.lang = d.lang ORDER BY doc_id LIMIT 3) d2) AS exemplars FROM documents d GROUP BY lang")
 def q_type_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types with their counts and exemplars (OP-081, 105)."""
-    found = authoring.propose_types(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("email_type")))
+    found = selection.propose_types(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("email_type")))
     return found.select("email_type", "n", F.array_join(F.transform("exemplars", lambda x: x.cast("string")), ",").alias("exemplars"))
 
 
@@ -505,7 +505,7 @@ def _table_candidates(spark: SparkSession, items: DataFrame) -> DataFrame:
     """The greatest amount of each order among candidates from its lines as a CSV file."""
     lines = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat_ws(";", F.col("l_linenumber").cast("string"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")))).alias("l"))
     attached = lines.select(F.col("l_orderkey").cast("string").alias("run_id"), F.lit("l.csv").alias("name"), F.concat(F.lit("line;Total Price\n"), F.array_join("l", "\n")).cast("binary").alias("content"), F.lit("csv").alias("kind"), F.lit(False).alias("encrypted"))
-    rows = files.parse_csv(attached)
+    rows = kept(files.parse_csv(attached), "rows")
     fields = spark.sql("SELECT 'invoice' AS type, 'amount' AS field, 'decimal' AS field_type, 'total price' AS alias")
     types = attached.select("run_id", F.lit("invoice").alias("type"))
     found = extraction.extract_rows(rows, types, fields, "csv_parser")
@@ -871,4 +871,4 @@ def q_embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("run_id").cast("long").alias("c_custkey"), F.col("value_dec").cast("double").alias("amount"), F.concat(F.lit("embedded:"), "origin", F.lit("/"), "source").alias("source"))
 
 
-from . import authoring_queries  # noqa: E402,F401  registers its queries
+from . import authoring_queries, operations_queries  # noqa: E402,F401  register their queries
