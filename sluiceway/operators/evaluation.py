@@ -83,6 +83,22 @@ def exemplars(scored: DataFrame, k: int = 3) -> DataFrame:
     return scored.where("not correct").withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
 
 
+def skill_variants(default: DataFrame, variant: DataFrame, least_gain: float = 0.0, shown: int = 3) -> DataFrame:
+    """(skill_id, n, before, after, fixed, broken, cases, proposed): a client's variant of each skill against the engine's default.
+
+    Both: skill_id, sample_id, correct, over the same samples; one without a result counts as wrong. cases
+    are the least ids of the default's errors that the variant mends. A variant is proposed only where it is
+    more accurate by more than least_gain; elsewhere the default stays.
+    """
+    a, b = (df.groupBy("skill_id", "sample_id").agg(F.bool_and(F.coalesce("correct", F.lit(False))).alias(name)) for df, name in ((default, "was"), (variant, "now")))
+    both = a.join(b, ["skill_id", "sample_id"], "full_outer").withColumns({"was": F.coalesce("was", F.lit(False)), "now": F.coalesce("now", F.lit(False))})
+    per = both.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("was").cast("double")).alias("before"), F.avg(F.col("now").cast("double")).alias("after"), F.count_if(~F.col("was") & F.col("now")).alias("fixed"), F.count_if(F.col("was") & ~F.col("now")).alias("broken"))
+    first = Window.partitionBy("skill_id").orderBy("sample_id")
+    cases = both.where("NOT was AND now").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= shown).groupBy("skill_id").agg(F.array_sort(F.collect_list("sample_id")).alias("cases"))
+    found = per.join(cases, "skill_id", "left")
+    return found.withColumns({"cases": F.coalesce("cases", F.array().cast(cases.schema["cases"].dataType)), "proposed": F.col("after") - F.col("before") > least_gain})
+
+
 def report(metrics: DataFrame, per_field: DataFrame) -> DataFrame:
     """One row: canonical JSON of metrics and per-field accuracies, and its SHA-256; no time enters it."""
     m = metrics.agg(F.array_sort(F.collect_list(F.struct("metric", "value"))).alias("metrics"))

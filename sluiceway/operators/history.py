@@ -32,6 +32,18 @@ def as_of(rows: DataFrame, activations: DataFrame, keys: list[str], at: str, act
     return found.select("_row.*", F.coalesce("_now", "_before").alias(value))
 
 
+def resolve_packages(messages: DataFrame, routes: DataFrame, activations: DataFrame, at: str = "received_at") -> DataFrame:
+    """messages (run_id, route, ...) with client_id, workflow_id, package_version and error: the version that was active when each arrived.
+
+    routes: route, client_id, workflow_id. activations: client_id, workflow_id, version, activated_at. A
+    message whose route is unknown or null, or whose workflow had no active package then, has the error
+    package_unresolved and no version: nothing is extracted under a guessed one.
+    """
+    named = messages.join(routes.dropDuplicates(["route"]), "route", "left")
+    found = as_of(named, activations, ["client_id", "workflow_id"], at)
+    return found.withColumnRenamed("version", "package_version").withColumn("error", F.when(F.col("package_version").isNull(), F.lit("package_unresolved")))
+
+
 def redelivered(messages: DataFrame, runs: DataFrame, keys: list[str], at: str, days: int = 7) -> DataFrame:
     """messages with original_audit_id: the run of the same key that started within `days` before, else null.
 

@@ -86,3 +86,10 @@ def overdue(started: DataFrame, audits: DataFrame, now: F.Column, seconds: int =
     """Start records without an audit after the run ceiling: they close as error with agent_timeout:orchestrator."""
     late = started.join(audits.select("run_id").distinct(), "run_id", "left_anti").where(F.col("started_at") < now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds).cast("decimal(18,6)")))
     return late.select("run_id", F.lit("error").alias("outcome"), F.lit("agent_timeout:orchestrator").alias("code"))
+
+
+def queue_lag(messages: DataFrame, started: DataFrame, now: F.Column, by: str = "client_id", at: str = "received_at") -> DataFrame:
+    """(by, waiting, oldest_s): messages (run_id, ...) without a start record, and how long the first of them has waited."""
+    waiting = messages.join(started.select("run_id").distinct(), "run_id", "left_anti")
+    oldest = F.unix_seconds(now) - F.unix_seconds(F.min(F.col(at).cast("timestamp")))
+    return waiting.groupBy(by).agg(F.count(F.lit(1)).alias("waiting"), oldest.alias("oldest_s"))

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import kept, spread
-from ..operators import extraction, monitoring
+from ..operators import detection, evaluation, extraction, history, monitoring
 from ..sources import files
-from .queries import _t, register
+from .queries import _HIT, _LOCKED, KEYWORDS, _locked, _t, register
 
 _MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 _LINKS = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -92,3 +92,52 @@ def q_latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Equal values share ranks: the wanted rank lies between the rows below the value and those up to it.
     near = lambda p, q: ((F.col(f"{p}_below") / F.col("n") <= q + monitoring.RANK_ERROR) & (F.col(f"{p}_upto") / F.col("n") >= q - monitoring.RANK_ERROR)).alias(f"{p}_near")
     return ranks.select("client_id", "n", near("p50", 0.5), near("p95", 0.95))
+
+
+_ACTIVATED = "(VALUES ('click', '1.0.0', TIMESTAMP '2024-01-03 00:00:00'), ('click', '1.1.0', TIMESTAMP '2024-01-10 12:00:00'), ('view', '2.0.0', TIMESTAMP '2024-01-01 00:00:00'), ('view', '2.0.1', TIMESTAMP '2024-01-21 06:30:00'), ('signup', '1.0.0', TIMESTAMP '2024-01-15 00:00:00')) a(workflow_id, version, activated_at)"
+
+
+@register(f"""SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS workflow_id, a.version AS package_version, CASE WHEN a.version IS NULL THEN 'package_unresolved' END AS error
+FROM events e ASOF LEFT JOIN {_ACTIVATED} ON e.event_type = a.workflow_id AND e.ts >= a.activated_at""")
+def q_resolved_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The package of each event's route that was active when it came, or package_unresolved (OP-011, 049, 102)."""
+    events = _t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("route"), F.col("ts").cast("timestamp").alias("received_at"))
+    routes = events.where("route <> 'error'").select("route", F.lit("c").alias("client_id"), F.col("route").alias("workflow_id")).distinct()
+    active = spark.sql(f"SELECT 'c' AS client_id, workflow_id, version, activated_at FROM {_ACTIVATED}")
+    return history.resolve_packages(events, routes, active).select("event_id", "workflow_id", "package_version", "error")
+
+
+@register("SELECT event_id, event_type AS skill_id, CASE WHEN value < 50 THEN 'read' ELSE 'write' END AS tool FROM events WHERE value IS NOT NULL AND NOT (value < 50 OR event_type IN ('click', 'view'))")
+def q_tool_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of tools that a skill's manifest does not list (OP-057)."""
+    calls = _t(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", F.col("event_type").alias("skill_id"), F.lit("agent").alias("agent"), F.when(F.col("value") < 50, "read").otherwise("write").alias("tool"))
+    skills = calls.select("skill_id").distinct()
+    tools = skills.select("skill_id", F.lit("read").alias("tool")).unionByName(skills.where("skill_id IN ('click', 'view')").select("skill_id", F.lit("write").alias("tool")))
+    return history.binding_violations(calls, skills.select("skill_id", F.lit("agent").alias("agent")), tools).select("event_id", "skill_id", "tool")
+
+
+@register("SELECT o_orderpriority AS client_id, count(*) AS waiting, CAST(epoch(TIMESTAMP '2030-01-01 00:00:00') - epoch(CAST(min(o_orderdate) AS TIMESTAMP)) AS BIGINT) AS oldest_s FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 1")
+def q_queue_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that nothing has started on, and how long the first waits (OP-123)."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("client_id"), F.col("o_orderdate").alias("received_at"))
+    started = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"))
+    return monitoring.queue_lag(orders, started, F.lit("2030-01-01 00:00:00").cast("timestamp"))
+
+
+#: A client's own weights beside the default's.
+_OWN = [(kind, term, weight + 0.15) for kind, term, weight in KEYWORDS]
+_LOCKED_OWN = _LOCKED.replace(_HIT, " + ".join("CASE WHEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}])' || '{0}' || '([^\\p{{L}}\\p{{N}}]|$)') AND type = '{1}' THEN {2} ELSE 0 END".format(w, k, round(s, 4)) for k, w, s in _OWN))
+
+
+@register(f"""WITH a AS ({_LOCKED}), b AS ({_LOCKED_OWN}), j AS (SELECT 'detect_' || a.lang AS skill_id, a.doc_id, coalesce(a.type = a.lang, false) AS was, coalesce(b.type = b.lang, false) AS now FROM a JOIN b ON a.doc_id = b.doc_id WHERE a.lang IS NOT NULL)
+SELECT skill_id, count(*) AS n, round(avg(CASE WHEN was THEN 1.0 ELSE 0.0 END), 9) AS before, round(avg(CASE WHEN now THEN 1.0 ELSE 0.0 END), 9) AS after, count(*) FILTER (WHERE NOT was AND now) AS fixed, count(*) FILTER (WHERE was AND NOT now) AS broken,
+array_to_string((list(doc_id ORDER BY doc_id) FILTER (WHERE NOT was AND now))[1:3], ',') AS cases, avg(CASE WHEN now THEN 1.0 ELSE 0.0 END) > avg(CASE WHEN was THEN 1.0 ELSE 0.0 END) AS proposed FROM j GROUP BY 1""")
+def q_skill_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client's variant of each detection skill, before and after, with the errors that it mends (the skill author's proposal)."""
+    documents = spread(_t(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    limits = spark.sql("SELECT type, CAST(0.6 AS DECIMAL(5,4)) AS threshold FROM VALUES ('en'), ('fr'), ('de'), ('es') v(type)")
+    own = detection.lock_type(detection.score_types(documents, _OWN, [], key="doc_id"), limits, "doc_id")
+    scored = lambda locked: documents.where("lang IS NOT NULL").join(locked, "doc_id").select(F.concat(F.lit("detect_"), "lang").alias("skill_id"), F.col("doc_id").alias("sample_id"), (F.col("type") == F.col("lang")).alias("correct"))
+    found = evaluation.skill_variants(scored(_locked(spark, sf_dir)), scored(own))
+    rate = {c: F.round(c, 9) for c in ("before", "after")}
+    return found.withColumns(rate | {"cases": F.array_join(F.transform("cases", lambda x: x.cast("string")), ",")})

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import kept
+from ..functions.frames import Files, kept
 from ..operators.history import incomplete_types, publish_problems
 from ..plans.contracts import schema
 from ..plans.records import checked
@@ -78,13 +78,41 @@ def load_package(spark: SparkSession, path: str, engine_version: str = "1.0.0")
     return {name: spark.createDataFrame(df.collect(), df.schema) for name, df in tables.items()}
 
 
+CORPUS = "id string, client string, date date, sample_count long, provenance string, consent string"
+
+
 def load_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """samples (sample_id, file, content), labels and label_fields (sample_id, field, value, source) of a corpus folder."""
+    """The tables of a corpus folder.
+
+    samples (sample_id, file, content), labels, label_fields (sample_id, email_type, field, value, source), and
+    corpus: what corpus.json says (see CORPUS, nulls where it says nothing or is missing), with content_hash,
+    the SHA-256 of the sorted paths and hashes of all samples and of the labels, which names the version, and
+    counted, how many samples there are.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/samples")
-    samples = files.select(F.regexp_extract("path", r"/samples/([^/]+)/", 1).alias("sample_id"), F.substring_index("path", "/", -1).alias("file"), "content")
+    samples = files.select(F.regexp_extract("path", r"/samples/([^/]+)/", 1).alias("sample_id"), F.regexp_extract("path", r"/samples/(.*)$", 1).alias("_path"), F.substring_index("path", "/", -1).alias("file"), "content")
     labels = spark.read.schema("sample_id string, email_type string, in_scope boolean, expected_unreadable boolean, fields map<string,string>, field_sources map<string,string>, labelled_by string, labelled_at date").json(f"{path}/labels.jsonl")
     fields = labels.where("in_scope").select("sample_id", "email_type", F.explode("fields").alias("field", "value"), F.col("field_sources").alias("_s"))
-    return {"samples": samples, "labels": labels, "label_fields": fields.select("sample_id", "email_type", "field", "value", F.try_element_at("_s", F.col("field")).alias("source"))}
+    lines = spark.read.text(f"{path}/labels.jsonl").select(F.sha2(F.concat(F.lit("label|"), "value"), 256).alias("h"))
+    hashes = samples.select(F.sha2(F.concat(F.col("_path"), F.lit("|"), F.sha2("content", 256)), 256).alias("h")).unionByName(lines)
+    # Two sums of hashes name the contents whatever their order, so no task holds them all.
+    part = lambda k: F.sum(F.conv(F.substring("h", k, 15), 16, 10).cast("decimal(38,0)"))
+    content = hashes.agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *[part(k).cast("string") for k in (1, 16, 31, 46)]), 256).alias("content_hash"))
+    head = spark.range(1).select(F.lit(_corpus_json(spark, path)).alias("j")).select(F.from_json("j", CORPUS).alias("c")).select("c.*")
+    counted = samples.agg(F.count_distinct("sample_id").alias("counted"))
+    return {
+        "samples": samples.drop("_path"),
+        "labels": labels,
+        "label_fields": fields.select("sample_id", "email_type", "field", "value", F.try_element_at("_s", F.col("field")).alias("source")),
+        "corpus": head.crossJoin(content).crossJoin(counted),
+    }
+
+
+def _corpus_json(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file."""
+    if not Files(spark).exists(f"{path}/corpus.json"):
+        return None
+    return spark.read.text(f"{path}/corpus.json", wholetext=True).first().value
 
 
 def write_once(df: DataFrame, path: str) -> None:

@@ -40,6 +40,9 @@ def run_stream(stream: DataFrame, process: Callable[[DataFrame], DataFrame], sin
         name = f"{number:012}"
         if committed(spark, sink, name):
             return
+        # Start records come first, so that a batch that never ends is known (see monitoring.overdue).
+        started = batch.select(F.col("run_id"), F.current_timestamp().alias("started_at"), F.lit(shadow).alias("is_shadow"))
+        write_batch({"started": started}, sink, f"{name}-started")
         with stages(spark, f"stream-{source}-{name}"):
             found = checked(kept(process(batch), "done"))
             write_batch({table: rows.withColumn("is_shadow", F.lit(shadow)) for table, rows in found.items()}, sink, name)

@@ -257,6 +257,21 @@ def test_redelivery(spark: SparkSession) -> None:
     assert found == {("c", 1): "a1", ("c", 2): None, ("d", 1): None}
 
 
+def test_packages_by_route(spark: SparkSession) -> None:
+    messages = spark.createDataFrame([("a", "in@acme", "2024-01-05"), ("b", "in@acme", "2023-12-31"), ("c", "nobody", "2024-01-05"), ("d", None, "2024-01-05"), ("e", "in@acme", "2024-02-05")], "run_id string, route string, received_at string").withColumn("received_at", F.to_timestamp("received_at"))
+    routes = spark.createDataFrame([("in@acme", "acme", "invoices")], "route string, client_id string, workflow_id string")
+    active = spark.sql("SELECT 'acme' client_id, 'invoices' workflow_id, * FROM VALUES ('1.0.0', timestamp'2024-01-01'), ('1.1.0', timestamp'2024-02-01') v(version, activated_at)")
+    found = {r.run_id: (r.client_id, r.package_version, r.error) for r in history.resolve_packages(messages, routes, active).collect()}
+    assert found == {"a": ("acme", "1.0.0", None), "b": ("acme", None, "package_unresolved"), "c": (None, None, "package_unresolved"), "d": (None, None, "package_unresolved"), "e": ("acme", "1.1.0", None)}
+
+
+def test_skill_variants(spark: SparkSession) -> None:
+    default = spark.createDataFrame([("s", k, k < 5) for k in range(10)] + [("t", k, True) for k in range(4)], "skill_id string, sample_id long, correct boolean")
+    variant = spark.createDataFrame([("s", k, k != 0) for k in range(9)] + [("t", k, None) for k in range(4)], "skill_id string, sample_id long, correct boolean")
+    found = {r.skill_id: (r.n, r.before, r.after, r.fixed, r.broken, r.cases, r.proposed) for r in evaluation.skill_variants(default, variant).collect()}
+    assert found == {"s": (10, 0.5, 0.8, 4, 1, [5, 6, 7], True), "t": (4, 1.0, 0.0, 0, 4, [], False)}
+
+
 def test_as_of_before_first_activation(spark: SparkSession) -> None:
     runs = spark.createDataFrame([(1, "w", "2024-01-01"), (2, "w", "2024-01-03"), (3, "w", "2024-03-01"), (4, "v", "2024-03-01")], "id int, workflow_id string, at string").withColumn("at", F.to_timestamp("at"))
     active = spark.createDataFrame([("w", "1", "2024-01-02"), ("w", "2", "2024-02-01")], "workflow_id string, version string, activated_at string").withColumn("activated_at", F.to_timestamp("activated_at"))
@@ -311,6 +326,8 @@ def test_stream_writes_pairs_once(spark: SparkSession, messages: DataFrame, tmp_
     kinds = {name: commits.read_committed(spark, str(tmp_path / "out"), name, contracts.schema(name).add("is_shadow", "boolean")) for name in ("result", "review_entry", "dead_letter", "audit")}
     assert kinds["audit"].count() == kinds["audit"].select("audit_id").distinct().count() == len(MAILS)
     assert kinds["audit"].where("not is_shadow").isEmpty()
+    started = commits.read_committed(spark, str(tmp_path / "out"), "started", "run_id string, started_at timestamp, is_shadow boolean")
+    assert {r.run_id for r in started.collect()} == set(MAILS)
     ends = kinds["result"].select("audit_id").unionByName(kinds["review_entry"].select("audit_id")).unionByName(kinds["dead_letter"].select("audit_id"))
     assert history.reconcile(ends, kinds["audit"]).isEmpty() and kinds["dead_letter"].count() == 1
     failed = kinds["audit"].where("outcome = 'error'").first()
@@ -353,4 +370,11 @@ def test_corpus_folder(spark: SparkSession, tmp_path: Path) -> None:
     (tmp_path / "c/labels.jsonl").write_text(json.dumps({"sample_id": "s1", "email_type": "invoice", "in_scope": True, "fields": {"amount": "100"}, "field_sources": {"amount": "body:segment:0"}}))
     corpus = packages.load_corpus(spark, f"file://{tmp_path}/c")
     assert corpus["samples"].select("sample_id", "file").first() == ("s1", "mail.eml")
+    bare = corpus["corpus"].first()
+    assert (bare.id, bare.counted) == (None, 1)
+    (tmp_path / "c/corpus.json").write_text('{"id": "acme-1", "client": "acme", "date": "2026-09-01", "sample_count": 1}')
+    named = packages.load_corpus(spark, f"file://{tmp_path}/c")["corpus"].first()
+    assert (named.id, str(named.date), named.sample_count, named.content_hash) == ("acme-1", "2026-09-01", 1, bare.content_hash)
+    (tmp_path / "c/samples/s1/other.eml").write_bytes(b"x")
+    assert packages.load_corpus(spark, f"file://{tmp_path}/c")["corpus"].first().content_hash != bare.content_hash
     assert corpus["label_fields"].select("field", "value", "source").first() == ("amount", "100", "body:segment:0")
