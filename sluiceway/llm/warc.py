@@ -13,6 +13,7 @@ import base64
 import hashlib
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,11 +24,15 @@ from pyspark.sql import functions as F
 
 CHUNK = 64 * 1024
 DATE = "2024-01-01T00:00:00Z"
+#: What begins a record after a line break.
+VERSION = b"\nWARC/1."
 CHUNKS = "archive long, record long, chunk int, last boolean, data binary, digest string"
 RECORDS = "page_id long, record_type string, refers_to long, target string, payload_bytes long, payload_digest string, digest_good boolean, whole boolean"
 #: Fields of a record head that are read; of other lines only so many bytes are held.
 FIELDS = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-payload-digest", "content-type", "content-length")
 LINE = 8192
+#: Bytes that a line of these fields and a record's head may have; a record with more is read on, but is not whole.
+MOST_LINE, MOST_HEAD = 1 << 20, 4 << 20
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
@@ -102,20 +107,22 @@ def _chunk_batch(held: list[tuple]) -> pa.RecordBatch:
 
 
 class Lines:
-    """Cuts chunks into lines; of a line that is still open and not wanted it holds no more than LINE bytes."""
+    """Cuts chunks into lines; it holds MOST_LINE bytes of a wanted line and LINE bytes of any other. cut: a wanted line had more."""
 
     def __init__(self) -> None:
-        self.held = b""
+        self.held, self.cut = bytearray(), False
 
     def next(self, data: bytes, at: int, wanted: bool) -> tuple[bytes | None, int]:
         """The line that ends in data from `at` on, without its line break, and where the next begins; None if it goes on."""
         end = data.find(b"\n", at)
         stop = len(data) if end < 0 else end
-        room = stop - at if wanted and _wanted(self.held or data[at : at + 64]) else max(0, LINE - len(self.held))
+        named = wanted and _wanted(bytes(self.held[:64]) + data[at : at + 64])
+        room = max(0, (MOST_LINE if named else LINE) - len(self.held))
+        self.cut |= named and stop - at > room
         self.held += data[at : min(stop, at + room)]
         if end < 0:
             return None, len(data)
-        line, self.held = self.held.removesuffix(b"\r"), b""
+        line, self.held = bytes(self.held).removesuffix(b"\r"), bytearray()
         return line, end + 1
 
 
@@ -185,7 +192,7 @@ class RecordReader:
         digest = self.payload.hexdigest() if kind != "revisit" else _digest(stated)
         # A revisit has no payload of its own; resolve_revisits holds its digest against the response's.
         good = digest is not None and (kind == "revisit" or digest == _digest(stated))
-        whole = self.state == "body" and self.left == 0 and self.tail in (b"\r\n\r\n", b"\n\n") and self.good
+        whole = self.state == "body" and self.left == 0 and self.tail in (b"\r\n\r\n", b"\n\n") and self.good and not self.lines.cut
         return page, kind, refers_to, self.fields.get("warc-target-uri"), self.size if kind != "revisit" else None, digest, good, whole
 
 
@@ -245,48 +252,81 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def _open(path: str, write: bool = False) -> pa.NativeFile:
-    """A stream of the bytes of a file at a path or URI, packed or unpacked as its name says."""
+    """A stream of the bytes of a file at a path or URI: to write as they are, to read unpacked as its name says."""
     system, plain = FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
-    packed = "gzip" if path.endswith(".gz") else None
-    return system.open_output_stream(plain, compression=packed) if write else system.open_input_stream(plain, compression=packed)
+    return system.open_output_stream(plain, compression=None) if write else system.open_input_stream(plain, compression="gzip" if path.endswith(".gz") else None)
 
 
 def record_chunks(stream: pa.NativeFile) -> Iterator[tuple[int, int, bool, bytes, str]]:
     """(record, chunk, last, data, running digest) of a stream of records; holds the head of one record and one chunk.
 
     A record reaches from its version line to the blank lines after its block, whose length the head
-    states. Bytes before the next version line belong to the record before them.
+    states. A record without a blank line in MOST_HEAD bytes has no head: it reaches to the next line that
+    begins like a version line, in chunks like any other, and is not whole.
     """
-    buffer, record, ended = b"", 0, False
+    buffer, record, ended = bytearray(), 0, False
 
     def fill(n: int) -> None:
-        nonlocal buffer, ended
+        nonlocal ended
         while len(buffer) < n and not ended:
             more = stream.read(CHUNK)
-            buffer, ended = buffer + more, not more
+            buffer.extend(more)
+            ended = not more
+
+    def take(n: int) -> bytes:
+        piece = bytes(buffer[:n])
+        del buffer[:n]
+        return piece
+
+    def headless() -> Iterator[bytes]:
+        """What comes before the next version line, in pieces; a mark may lie across two of them."""
+        seen = 1
+        while True:
+            fill(CHUNK + len(VERSION))
+            at = buffer.find(VERSION, seen)
+            if at >= 0 and at + 1 <= CHUNK:
+                yield take(at + 1)
+                return
+            if ended and len(buffer) <= CHUNK:
+                yield take(len(buffer))
+                return
+            yield take(CHUNK - len(VERSION))
+            seen = 0
 
     while True:
         fill(4)
         if not buffer:
             return
         size = 0
-        while (at := min((x for x in (buffer.find(b"\r\n\r\n", max(0, size - 4)), buffer.find(b"\n\n", max(0, size - 4))) if x >= 0), default=-1)) < 0 and not ended:
+        while (at := min((x for x in (buffer.find(b"\r\n\r\n", max(0, size - 4)), buffer.find(b"\n\n", max(0, size - 4))) if x >= 0), default=-1)) < 0 and not ended and len(buffer) < MOST_HEAD:
             size = len(buffer)
             fill(size + 1)
-        head = buffer if at < 0 else buffer[: at + (4 if buffer[at : at + 1] == b"\r" else 2)]
+        state, chunk = hashlib.sha1(), 0
+        if at < 0:
+            pieces = headless()
+            piece = next(pieces)
+            while True:
+                following = next(pieces, None)
+                state.update(piece)
+                yield record, chunk, following is None, piece, state.hexdigest()
+                if following is None:
+                    break
+                piece, chunk = following, chunk + 1
+            record += 1
+            continue
+        head = bytes(buffer[: at + (4 if buffer[at : at + 1] == b"\r" else 2)])
         stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)", head)
         left = len(head) + (int(stated[1]) if stated else 0)
-        state, chunk = hashlib.sha1(), 0
         while True:
             fill(min(left, CHUNK + len(head)) + 8)
-            piece = buffer[: min(left, CHUNK + (len(head) if chunk == 0 else 0))]
-            buffer, left = buffer[len(piece) :], left - len(piece)
+            piece = take(min(left, CHUNK + (len(head) if chunk == 0 else 0)))
+            left -= len(piece)
             last = left == 0 or not piece
             if last:
                 # Blank lines end the record.
                 fill(5)
-                blank = len(buffer) - len(buffer.lstrip(b"\r\n"))
-                piece, buffer = piece + buffer[:blank], buffer[blank:]
+                start = bytes(buffer[:CHUNK])
+                piece += take(len(start) - len(start.lstrip(b"\r\n")))
             state.update(piece)
             yield record, chunk, last, piece, state.hexdigest()
             chunk += 1
@@ -322,15 +362,19 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 def write_files(chunks: DataFrame, folder: str, packed: bool = True) -> DataFrame:
     """archive, path, bytes: a file in `folder` for each archive of a chunked record table, written by one task as a stream.
 
+    A packed file has a gzip member for each record, so that a reader can begin at any of them.
+
     A task writes under a name of its attempt and renames the file when it is whole, so a lost executor
     leaves no part of a file under its name. The files are written when the result is first computed.
     """
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out, size, done = None, None, 0, []
+        now, out, member, size, done = None, None, None, 0, []
         mine = f"{TaskContext.get().taskAttemptId()}"
 
         def close() -> None:
+            if member is not None:
+                out.write(member.flush())
             out.close()
             path = f"{folder}/{now:06d}.warc{'.gz' if packed else ''}"
             system, plain = FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
@@ -338,7 +382,7 @@ def write_files(chunks: DataFrame, folder: str, packed: bool = True) -> DataFram
             done.append((now, path, size))
 
         for batch in batches:
-            for archive, data in zip(batch.column(0).to_pylist(), batch.column(4), strict=True):
+            for archive, chunk, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
                 if archive != now:
                     if out is not None:
                         close()
@@ -346,8 +390,12 @@ def write_files(chunks: DataFrame, folder: str, packed: bool = True) -> DataFram
                     target = f"{folder}/{archive:06d}.warc.{mine}{'.gz' if packed else ''}"
                     system, plain = FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
                     system.create_dir(plain)
-                    out = _open(target, write=True)
-                out.write(data.as_buffer())
+                    out, member = _open(target, write=True), None
+                if packed and (member is None or chunk == 0):
+                    if member is not None:
+                        out.write(member.flush())
+                    member = zlib.compressobj(wbits=31)
+                out.write(member.compress(data.as_buffer()) if packed else data.as_buffer())
                 size += len(data.as_buffer())
         if out is not None:
             close()

@@ -7,6 +7,7 @@ import hashlib
 import random
 import time
 import tracemalloc
+import zlib
 from html.parser import HTMLParser
 
 import numpy as np
@@ -180,6 +181,48 @@ def test_records_cut_anywhere(step: int) -> None:
     assert bad[5:] == (None, False, True)
     endless, held = read_one(b"WARC/1.1\r\nX: " + b"z" * 300_000, step)
     assert not endless[-1] and held <= warc.LINE
+    if step >= 1000:
+        long = head(WARC_Type="resource", WARC_Target_URI="u" * 3_000_000, Content_Type="text/plain", Content_Length="4") + b"abcd\r\n\r\n"
+        row, held = read_one(long, step)
+        assert held <= warc.MOST_LINE and row[4] == 4 and not row[-1], "a field that is too long is told"
+
+
+class Bytes:
+    """A stream of these bytes that counts how many it has given."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def read(self, n: int) -> bytes:
+        piece, self.at = self.data[self.at : self.at + n], self.at + n
+        return piece
+
+
+@pytest.mark.parametrize("junk", [b"no head at all " * 400_000, b"WARC/1.0\r\nX: " + b"y" * 6_000_000, b"x" * 10, b"x" * (warc.CHUNK - 3), b"\n" + b"x" * (5 << 20)])
+def test_a_record_without_a_head_is_cut_in_chunks(junk: bytes) -> None:
+    good = head(WARC_Type="resource", WARC_Record_ID="<urn:page:7>", Content_Type="text/plain", Content_Length="4") + b"abcd\r\n\r\n"
+    began = time.process_time()
+    rows = list(warc.record_chunks(Bytes(junk + b"\n" + good + good)))
+    assert time.process_time() - began < 3
+    assert b"".join(r[3] for r in rows) == junk + b"\n" + good + good and max(len(r[3]) for r in rows) <= warc.MOST_HEAD
+    if len(junk) > warc.MOST_HEAD:
+        assert max(len(r[3]) for r in rows) <= warc.CHUNK and {r[0] for r in rows} == {0, 1, 2}
+        assert [r[0] for r in rows if r[2]] == [0, 1, 2] and b"".join(r[3] for r in rows if r[0] == 1) == good
+
+
+def test_packed_files_have_a_member_for_each_record(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.with_revisits(pages), str(tmp_path / "w"))
+    chunks = spark.read.schema(warc.CHUNKS).parquet(str(tmp_path / "w"))
+    records = {(r.archive, r.record) for r in chunks.select("archive", "record").distinct().collect()}
+    members = 0
+    for row in warc.write_files(chunks, str(tmp_path / "files"), True).collect():
+        data = open(row.path, "rb").read()
+        while data:
+            member = zlib.decompressobj(wbits=31)
+            assert member.decompress(data).startswith(b"WARC/1.1\r\n")
+            data, members = member.unused_data, members + 1
+    assert members == len(records)
 
 
 @pytest.mark.parametrize("packed", [True, False])
