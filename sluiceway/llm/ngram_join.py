@@ -247,13 +247,13 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
 
     side_a, side_b = (facts.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("fine").alias(f"f{x}")) for x in "ab")
 
-    def few_pivots(rows: DataFrame, first: Column, second: Column) -> DataFrame:
-        """(a, b): each class of a small fragment with both its pivots (first.p and second.p), a class of large ones with the least of each over them all."""
-        small = rows.where(F.col("size") <= LARGE).select("key", F.explode(F.array(first["p"], second["p"])).alias("b"))
-        large = rows.where(F.col("size") > LARGE).groupBy("key").agg(F.min(first).alias("x"), F.min(second).alias("y")).select("key", F.explode(F.array("x.p", "y.p")).alias("b"))
+    def few_pivots(rows: DataFrame) -> DataFrame:
+        """(a, b): each class (key) of a small fragment with both its pivots (xp and yp), a class of large ones with the least of each, by xo and yo, over them all."""
+        small = rows.where(F.col("size") <= LARGE).select("key", F.explode(F.array("xp", "yp")).alias("b"))
+        large = rows.where(F.col("size") > LARGE).groupBy("key").agg(F.min_by("xp", "xo").alias("xp"), F.min_by("yp", "yo").alias("yp")).select("key", F.explode(F.array("xp", "yp")).alias("b"))
         return small.unionByName(large).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
-    pivots = few_pivots(index, F.struct(F.col("low").alias("o"), F.col("low").alias("p")), F.struct(F.bitwise_not(F.col("high")).alias("o"), F.col("high").alias("p")))
+    pivots = few_pivots(index.select("key", "size", F.col("low").alias("xo"), F.col("low").alias("xp"), F.bitwise_not("high").alias("yo"), F.col("high").alias("yp")))
     links, rows = None, index.select("fragment", "key")
     for k in range(ROUNDS + 1):
         pairs = pivots.join(side_a, "a").join(side_b, "b").where(near()).select("a", "b", "na", "nb")
@@ -272,8 +272,8 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
         drawn = [F.min(F.struct(F.xxhash64("key", F.lit(2 * k + x)).alias("o"), F.col("key").alias("p"), F.col("component").alias("c"))).alias(f"p{x}") for x in (0, 1)]
         chosen_pivots = part.groupBy("fragment").agg(F.count(F.lit(1)).alias("size"), *drawn)
         # A pivot of the class's own component has nothing to tell it.
-        told = [F.when(F.col(f"p{x}.c") != F.col("component"), F.struct(f"p{x}.o", f"p{x}.p")) for x in (0, 1)]
-        pivots = few_pivots(part.join(chosen_pivots, "fragment"), *told).where("b is not null")
+        told = [F.when(F.col(f"p{x}.c") != F.col("component"), F.col(f"p{x}.{c}")).alias(f"{'xy'[x]}{c}") for x in (0, 1) for c in "op"]
+        pivots = few_pivots(part.join(chosen_pivots, "fragment").select("key", "size", *told))
     # What is left: classes of different components that share a fragment, told apart by their sketches
     # inside the join. The rows of a large fragment are dealt in slices, each of which meets them all.
     if left:
