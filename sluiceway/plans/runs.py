@@ -42,14 +42,14 @@ def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str,
     run_id, audit_id, client_id, workflow_id, package_version, engine_version, received_at, type, confidence,
     outcome, reasons, error, fields (array of field and triple), raw_sources, agent_trace,
     field_attribution, retries, conflicts and chosen_sheets (see plans.records), and stage_hashes (see
-    replayed_stages). audit_id follows from client, workflow, run and, where
-    messages have it, delivery_epoch, so a replay keeps it. attempts (run_id, agent, attempt, status) are what a retry controller saw.
+    replayed_stages). audit_id is that of the messages, or else
+    follows from client, workflow, run and, where messages have it, delivery_epoch, so a replay keeps it. attempts (run_id, agent, attempt, status) are what a retry controller saw.
     """
     messages = kept(messages, "ingested")
     epoch = F.col("delivery_epoch") if "delivery_epoch" in messages.columns else F.lit(1)
     runs = messages.select(
         "run_id", "body", "depth", "error_code", "attachments", "embedded",
-        history.audit_id(F.lit(client_id), F.lit(workflow_id), F.col("run_id"), epoch).alias("audit_id"),
+        (F.col("audit_id") if "audit_id" in messages.columns else history.audit_id(F.lit(client_id), F.lit(workflow_id), F.col("run_id"), epoch)).alias("audit_id"),
         received(F.col("received_at")).alias("received_at"),
     )
     errors = runs.where("error_code is not null").select("run_id", F.col("error_code").alias("code"))

@@ -9,14 +9,20 @@ checkpoint folder, and a query that starts again from there goes on with it.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from ..functions.frames import kept, stages
+from ..plans.records import checked
+from ..sources.commits import committed, write_batch
+from ..sources.files import ingest
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY = 86_400_000
 
@@ -26,11 +32,11 @@ def stream_audit_id(client_id: str, workflow_id: str, message_id: str, begin_ms:
 
 
 class Redelivery(StatefulProcessor):
-    """(client_id, message_id, received_ms, n) -> with audit_id and is_new.
+    """Rows with client_id, message_id, received_ms and n -> also audit_id and is_new.
 
-    Messages of a batch are taken in the order of their times. One before the begin of the epoch, which came
-    late, belongs to it as well, if it lies within the window before; one at the window's end or later begins
-    the next epoch.
+    The messages of a piece of a batch are taken in the order of their times, then of n. One before the
+    begin of the epoch, which came late, belongs to it as well, if it lies within the window before; one at
+    the window's end or later begins the next epoch.
     """
 
     def __init__(self, workflow_id: str, days: float):
@@ -68,16 +74,39 @@ class Redelivery(StatefulProcessor):
 
 
 def with_audit_ids(stream: DataFrame, workflow_id: str, days: float = 7, late: str = "1 day") -> DataFrame:
-    """(client_id, message_id, received_at, n) -> client_id, message_id, received_ms, n, audit_id, is_new.
+    """A stream with client_id, message_id, received_at (timestamp) and n -> all its columns, audit_id and is_new.
 
     A repeat within `days` of its epoch's begin has the begin's audit_id and is_new false. Rows later than
     `late` behind the newest are dropped by the watermark; rows without a key or time are left out. n is the
-    message's number at the source, which comes back with it.
+    message's number at the source and orders messages of the same time.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    timed = stream.where("client_id IS NOT NULL AND message_id IS NOT NULL AND received_at IS NOT NULL").withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", late)
-    rows = timed.select("client_id", "message_id", "received_at", F.unix_millis("received_at").alias("received_ms"), "n")
-    shape = "client_id string, message_id string, received_at timestamp, received_ms long, n long, audit_id string, is_new boolean"
+    timed = stream.where("client_id IS NOT NULL AND message_id IS NOT NULL AND received_at IS NOT NULL").withWatermark("received_at", late)
+    rows = timed.withColumn("received_ms", F.unix_millis("received_at"))
+    shape = T.StructType([*rows.schema.fields, T.StructField("audit_id", T.StringType()), T.StructField("is_new", T.BooleanType())])
     found = rows.groupBy("client_id", "message_id").transformWithStateInPandas(Redelivery(workflow_id, days), outputStructType=shape, outputMode="append", timeMode="EventTime")
-    return found.drop("received_at")
+    return found.drop("received_ms")
+
+
+def run_deliveries(stream: DataFrame, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, workflow_id: str, version: str = "", days: float = 7) -> StreamingQuery:
+    """Runs the batch plan on first deliveries (client_id, message_id, received_at, n, content) and answers repeats with their run's audit_id.
+
+    Each batch commits the records of its new runs, under the audit_id that their delivery was given, and the
+    table redelivered (client_id, message_id, received_at, n, audit_id) together.
+    """
+    spark = stream.sparkSession
+    source = hashlib.sha256(f"{checkpoint}|{version}".encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        name = f"{number:012}"
+        if committed(spark, sink, name):
+            return
+        with stages(spark, f"deliveries-{source}-{name}"):
+            rows = kept(batch, "deliveries")
+            new = rows.where("is_new").withColumn("run_id", F.col("n").cast("string"))
+            messages = ingest(new, "run_id").join(new.select("run_id", "audit_id"), "run_id")
+            again = rows.where("NOT is_new").select("client_id", "message_id", "received_at", "n", "audit_id")
+            write_batch(checked(kept(process(messages), "done")) | {"redelivered": again}, sink, name)
+
+    return with_audit_ids(stream, workflow_id, days).writeStream.foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
