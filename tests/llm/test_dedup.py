@@ -127,6 +127,15 @@ def test_ngram_join(spark: SparkSession, size: int, percent: int) -> None:
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == sorted(components(rows, size, percent))
 
 
+def test_every_round_of_pivots(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """All rounds, and every fragment a large one, lose no link."""
+    monkeypatch.setattr(ngram_join, "FEW", -1)
+    monkeypatch.setattr(ngram_join, "LARGE", 1)
+    rows = hard_texts(2)
+    found = ngram_join.jaccard_components(frame(spark, rows), 5, 80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == sorted(components(rows, 5, 80))
+
+
 def test_keep_one_of_each(spark: SparkSession) -> None:
     """Repeated rows leave one, and a copy goes even if it shares its id with a row that stays."""
     rows = hard_texts(3)
