@@ -1,7 +1,9 @@
 """A training corpus from raw documents: identify, dedup lines, join near copies, decontaminate, pack.
 
 Every stage takes (spark, docs, sf_dir), with docs the whole result of the stage before, and returns a
-DataFrame; all but the last keep the columns of documents.
+DataFrame; all but the last keep the columns of documents, and any others, whatever their names. An empty
+table gives an empty table. Rows with a null doc_id pass the first four stages, which judge them like others
+where they can, and end before packing, whose pieces are told by their document's id.
 """
 
 from __future__ import annotations
@@ -22,28 +24,40 @@ SHINGLE, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted."""
+    """Documents whose language is accepted, unchanged.
+
+    A null or empty text, or one without letters, has no language and goes; very long texts are judged by
+    all their words. Repeated rows are judged alike and all stay or go; nothing is left to a tie.
+    """
     return keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their texts less the lines that an earlier document has; n_chars follows."""
+    """All documents, with their texts less the lines that an earlier document has; n_chars follows.
+
+    A null text becomes empty. A text that loses all its lines is empty and stays. Rows that repeat an id
+    are one document for this: neither loses lines to the other.
+    """
     kept = dedup_lines(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long"))
     return kept.select(*docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies."""
+    """The document with the least id of each group of near copies.
+
+    Documents without words and rows without an id are in no group and stay. Of rows with one id and
+    other texts the text with the least hash stays, of equal rows one.
+    """
     return keep_one_of_each(docs, SHINGLE, PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; empty ones hold none, and an id of which any row holds one goes."""
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences, with their token ids."""
+    """The pieces of packed sequences, with their token ids; an empty text is its end token, repeated rows are documents of their own."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
