@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +88,15 @@ def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> Da
     return rows.join(F.broadcast(hot.drop("n")), on).unionByName(cold)
 
 
+def trim() -> None:
+    """Hands back to the system what earlier tasks of this worker, which lives on between them, have freed but hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 class WordHasher(dict):
     """word -> 64-bit hash, remembered for the words that a worker has seen."""
 

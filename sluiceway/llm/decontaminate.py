@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, Scratch, WordHasher, mix, shingle_hashes
+from .common import MEMO_WORDS, Scratch, WordHasher, mix, shingle_hashes, trim
 
 SIZE, THRESHOLD = 5, 0.8
 #: Blocks of a fingerprint, and bits by which a block may differ: fingerprints within RADIUS differ by no more in some block.
@@ -193,6 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     known = spark.sparkContext.broadcast(Known(lengths, _bitmap(items.select(F.explode("entries").alias("h")).distinct())))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         hasher, found, size = PlainHasher(), [], 0
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 

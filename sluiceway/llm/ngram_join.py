@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHasher, ascii_words, connected_components, fresh, mix, only, shingle_hashes
+from .common import Scratch, WordHasher, ascii_words, connected_components, fresh, mix, only, shingle_hashes, trim
 
 #: Each size class reaches up to this times its least size.
 CLASS_STEP = 1.5
@@ -142,6 +142,7 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, rows of fragments for each class of equal sets, and the fragments that many classes hold."""
+        trim()
         hasher, done, seen, held = WordHasher(), set(), [], 0
         names = ["doc_id", "text_hash", "n", "key", "fragment", "room"]
 
@@ -217,6 +218,7 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text its set's size and sketches, and the n-grams of each fragment of the order."""
+        trim()
         hasher = WordHasher()
         types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
         for batch in batches:

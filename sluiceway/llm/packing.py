@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trim
 from .tokens import load
 
 WINDOW, END = 4096, 2
@@ -163,6 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, then rows of the task's document frequencies."""
+        trim()
         tokens = load(tokenizer)
         last = np.array([end], tokens.dtype).tobytes()
         df = np.zeros(tokens.tokenizer.get_vocab_size(), np.int64)
@@ -206,6 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packs each run of shard_tokens ids of the task's sorted rows."""
+        trim()
         shard, sequences, ids, texts, size = 0, TaskContext.get().partitionId() * TASK_SHARDS << 32, [], [], 0
 
         def packed() -> pa.RecordBatch:
