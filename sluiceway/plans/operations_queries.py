@@ -131,7 +131,7 @@ _LOCKED_OWN = _LOCKED.replace(_HIT, " + ".join("CASE WHEN regexp_matches(lower(t
 
 @register(f"""WITH a AS ({_LOCKED}), b AS ({_LOCKED_OWN}), j AS (SELECT 'detect_' || a.lang AS skill_id, a.doc_id, coalesce(a.type = a.lang, false) AS was, coalesce(b.type = b.lang, false) AS now FROM a JOIN b ON a.doc_id = b.doc_id WHERE a.lang IS NOT NULL)
 SELECT skill_id, count(*) AS n, round(avg(CASE WHEN was THEN 1.0 ELSE 0.0 END), 9) AS before, round(avg(CASE WHEN now THEN 1.0 ELSE 0.0 END), 9) AS after, count(*) FILTER (WHERE NOT was AND now) AS fixed, count(*) FILTER (WHERE was AND NOT now) AS broken,
-array_to_string((list(doc_id ORDER BY doc_id) FILTER (WHERE NOT was AND now))[1:3], ',') AS cases, avg(CASE WHEN now THEN 1.0 ELSE 0.0 END) > avg(CASE WHEN was THEN 1.0 ELSE 0.0 END) AS proposed FROM j GROUP BY 1""")
+coalesce(array_to_string((list(doc_id ORDER BY doc_id) FILTER (WHERE NOT was AND now))[1:3], ','), '') AS cases, avg(CASE WHEN now THEN 1.0 ELSE 0.0 END) > avg(CASE WHEN was THEN 1.0 ELSE 0.0 END) AS proposed FROM j GROUP BY 1""")
 def q_skill_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A client's variant of each detection skill, before and after, with the errors that it mends (the skill author's proposal)."""
     documents = spread(_t(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
