@@ -46,8 +46,8 @@ SPARE = 0.3
 HOT_LEAST, HOT_SHARE, MOST_BROADCAST = 16, 0.001, 1_000_000
 #: Rounds of pivots, at most, and the pairs of different components for each fragment row at which they end.
 ROUNDS, FEW = 2, 2
-#: A fragment of more classes is a large one: in each round a class meets two pivots of all its large fragments together.
-LARGE = 8
+#: A fragment of more classes is a large one: in each round a class meets twice PIVOTS pivots of all its large fragments together.
+LARGE, PIVOTS = 8, 8
 #: Bits of the finer sketch for each bit of the plain one, up to this size; larger plain sketches serve as both.
 FINER, FINE_BITS = 4, 4096
 #: Rows of a fragment in each slice of the last comparison.
@@ -250,10 +250,11 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
     side_a, side_b = (facts.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("fine").alias(f"f{x}")) for x in "ab")
 
     def few_pivots(rows: DataFrame) -> DataFrame:
-        """(a, b): each class (key) of a small fragment with both its pivots (xp and yp), a class of large ones with the least of each, by xo and yo, over them all."""
+        """(a, b): each class (key) with both pivots (xp and yp) of its small fragments, and with the first PIVOTS of each, by xo and yo, of all its large ones."""
         small = rows.where(F.col("size") <= LARGE).select("key", F.explode(F.array("xp", "yp")).alias("b"))
-        large = rows.where(F.col("size") > LARGE).groupBy("key").agg(F.min_by("xp", "xo").alias("xp"), F.min_by("yp", "yo").alias("yp")).select("key", F.explode(F.array("xp", "yp")).alias("b"))
-        return small.unionByName(large).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+        large = rows.where(F.col("size") > LARGE).select("key", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("xo").alias("o"), F.col("xp").alias("b")), F.struct(F.lit(1).alias("side"), F.col("yo").alias("o"), F.col("yp").alias("b")))).alias("p")).select("key", "p.*").where("b is not null").distinct()
+        first = large.withColumn("place", F.row_number().over(Window.partitionBy("key", "side").orderBy("o", "b"))).where(F.col("place") <= PIVOTS)
+        return small.unionByName(first.select("key", "b")).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
     pivots = few_pivots(index.select("key", "size", F.col("low").alias("xo"), F.col("low").alias("xp"), F.bitwise_not("high").alias("yo"), F.col("high").alias("yp")))
     links, rows = None, index.select("fragment", "key")
