@@ -252,7 +252,8 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
     def few_pivots(rows: DataFrame) -> DataFrame:
         """(a, b): each class (key) with both pivots (xp and yp) of its small fragments, and with the first PIVOTS of each, by xo and yo, of all its large ones."""
         small = rows.where(F.col("size") <= LARGE).select("key", F.explode(F.array("xp", "yp")).alias("b"))
-        large = rows.where(F.col("size") > LARGE).select("key", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("xo").alias("o"), F.col("xp").alias("b")), F.struct(F.lit(1).alias("side"), F.col("yo").alias("o"), F.col("yp").alias("b")))).alias("p")).select("key", "p.*").where("b is not null").distinct()
+        sides = [rows.where((F.col("size") > LARGE) & F.col(p).isNotNull()).select("key", F.lit(p).alias("side"), F.col(o).alias("o"), F.col(p).alias("b")).distinct() for o, p in (("xo", "xp"), ("yo", "yp"))]
+        large = sides[0].unionByName(sides[1])
         first = large.withColumn("place", F.row_number().over(Window.partitionBy("key", "side").orderBy("o", "b"))).where(F.col("place") <= PIVOTS)
         return small.unionByName(first.select("key", "b")).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
