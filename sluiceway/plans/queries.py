@@ -483,7 +483,8 @@ def _messages(customers: DataFrame) -> DataFrame:
         F.lit(f"From: a@example.org{crlf}Message-ID: c"), F.col("c_custkey").cast("string"), F.lit(f"@example.org{crlf}Content-Type: multipart/mixed; boundary=x{crlf}{crlf}--x{crlf}Content-Type: text/plain{crlf}{crlf}Amount: "),
         F.col("c_acctbal").cast("string"), F.lit(f"{crlf}--x{crlf}Content-Type: text/csv{crlf}Content-Disposition: attachment; filename=t.csv{crlf}{crlf}name,amount{crlf}"), F.col("c_name"), F.lit(f",1{crlf}"), F.col("c_name"), F.lit(f",2{crlf}--x--{crlf}"),
     )
-    messages = files.ingest(customers.select(F.col("c_custkey").alias("path"), raw.cast("binary").alias("content")))
+    # The small table makes much work: it is dealt over the cores, and each message is parsed once.
+    messages = kept(files.ingest(spread(customers).select(F.col("c_custkey").alias("path"), raw.cast("binary").alias("content"))), "messages")
     attached = files.attachments(messages)
     rows = files.parse_csv(attached).where("error_code is null").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     return messages.select("run_id", "message_id").join(attached.select("run_id", "kind"), "run_id").join(rows, "run_id").select(F.col("run_id").cast("long").alias("c_custkey"), "message_id", "kind", "n")
@@ -861,7 +862,7 @@ def q_embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda head, body: F.concat(F.lit(f"--x{crlf}{head}{crlf}{crlf}"), body, F.lit(crlf))
     inner = F.concat(F.lit(f"From: b@example.org{crlf}Message-ID: <i@x>{crlf}Content-Type: multipart/mixed; boundary=y{crlf}{crlf}--y{crlf}Content-Type: application/pdf; name=bill.pdf{crlf}Content-Disposition: attachment; filename=bill.pdf{crlf}Content-Transfer-Encoding: base64{crlf}{crlf}"), F.base64(pdf.cast("binary")), F.lit(f"{crlf}--y--{crlf}"))
     raw = F.concat(F.lit(f"From: a@example.org{crlf}Message-ID: <o@x>{crlf}Content-Type: multipart/mixed; boundary=x{crlf}{crlf}"), part("Content-Type: text/plain", F.lit("see the message")), part("Content-Type: message/rfc822", inner), F.lit(f"--x--{crlf}"))
-    messages = files.ingest(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), raw.cast("binary").alias("content")))
+    messages = kept(files.ingest(spread(_t(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("path"), raw.cast("binary").alias("content"))), "messages")
     opened = kept(files.expand_embedded(messages.where("error_code is null"), 1)[0], "opened")
     every = files.away(opened)
     pages = files.parse_pdf(files.attachments(every))
