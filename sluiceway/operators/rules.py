@@ -1,9 +1,10 @@
-"""Signal scores from rule tables of any size: an index of the rules' first words, joined with the words of the texts.
+"""Signal scores from rule tables of any size: an index of the rules' phrases, joined with the phrases of the texts.
 
-The plan's size does not depend on the number of rules. A rule's key is its first word; a text gives a row for
-each of its words, with the text that follows as far as the longest rule needs, and a phrase is verified
-there, at its place. Weights are summed by groupBy. What a rule matches is what scalars.phrase_in matches:
-whole words, whatever the case, with just the characters between them that the rule has.
+The plan's size does not depend on the number of rules. A rule's key is its phrase from its first to its last
+word; a text gives the phrases of each length that rules have, and these meet in an equal join, so that a
+common first word brings no rules but those that stand in the text. A rule that begins or ends with other characters
+is verified there, at its place. Weights are summed by groupBy. What a rule matches is what scalars.phrase_in
+matches: whole words, whatever the case, with just the characters between them that the rule has.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import kept
 from ..functions.scalars import LETTER
 
 #: Rules that are broadcast, at most (a term has some 20 bytes); a larger table is joined by a shuffle.
@@ -29,40 +31,49 @@ def _is_word(piece: Column) -> Column:
 
 
 def rule_index(rules: DataFrame) -> DataFrame:
-    """(type, term, weight, veto, word, lead, core, pieces): each term once for a type, keyed by its first word.
+    """(type, term, weight, veto, phrase, lead, trail, pieces): each term once for a type, keyed by its phrase of whole words.
 
-    rules: type, term, weight, veto. Equal terms of a type add up. lead is what stands before the first word.
-    Terms without a letter or digit, and null ones, match nothing and are left out.
+    rules: type, term, weight, veto. Equal terms of a type add up. lead and trail are what stands before the
+    first word and after the last, pieces how many words and gaps the phrase has. Terms without a letter or
+    digit, and null ones, match nothing and are left out.
     """
     summed = rules.where("type IS NOT NULL AND term IS NOT NULL").groupBy("type", F.lower("term").alias("term")).agg(F.sum(F.col("weight").cast(_WEIGHT)).alias("weight"), F.bool_or("veto").alias("veto"))
     cut = summed.withColumn("p", pieces(F.col("term")))
-    lead = F.when(_is_word(F.get("p", F.lit(0))), "").otherwise(F.get("p", F.lit(0)))
-    first = F.when(lead == "", 0).otherwise(1)
-    found = cut.withColumns({"lead": lead, "word": F.get("p", first)}).where("word IS NOT NULL")
-    return found.select("type", "term", "weight", "veto", "word", "lead", F.substring("term", F.length("lead") + 1, F.length("term")).alias("core"), (F.size("p") - F.when(F.col("lead") == "", 0).otherwise(1)).alias("pieces"))
+    outer = lambda i: F.when(_is_word(F.get("p", i)), "").otherwise(F.get("p", i))
+    cut = cut.withColumns({"lead": outer(F.lit(0)), "trail": outer(F.size("p") - 1)})
+    length = F.size("p") - F.when(F.col("lead") == "", 0).otherwise(1) - F.when(F.col("trail") == "", 0).otherwise(1)
+    found = cut.withColumn("pieces", length).where("pieces > 0")
+    phrase = F.array_join(F.slice("p", F.when(F.col("lead") == "", 1).otherwise(2), F.col("pieces")), "")
+    return found.select("type", "term", "weight", "veto", phrase.alias("phrase"), "lead", "trail", "pieces")
+
+
+def _places(p: Column, length: int) -> Column:
+    """Where phrases of so many pieces begin among pieces, counted from 1; null if there are none."""
+    start = F.when(_is_word(F.get(p, F.lit(0))), 1).otherwise(2)
+    return F.when(F.size(p) >= start + (length - 1), F.sequence(start, F.size(p) - (length - 1), F.lit(2)))
 
 
 def index_hits(texts: DataFrame, index: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, type, term, weight, veto): the rules that stand in each text, each once for a key."""
-    alone = index.where("lead = '' AND pieces = 1").select("type", "term", "weight", "veto", "word")
-    phrases = index.where("lead <> '' OR pieces > 1")
-    told = index.agg(F.count(F.when(F.expr("lead = '' AND pieces = 1"), 1)).alias("alone"), F.count(F.lit(1)).alias("all"), F.max("pieces").alias("longest")).first()
-    side = lambda df, n: F.broadcast(df) if n <= MOST_BROADCAST else df
-    words = texts.select(*key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), f"[^{LETTER}]+"))).alias("word"))
-    hits = words.join(side(alone, told["alone"]), "word").select(*key, "type", "term", "weight", "veto")
-    if told["all"] > told["alone"]:
-        cut = texts.select(*key, pieces(F.col(text)).alias("p")).where(F.size("p") > 0)
-        start = F.when(_is_word(F.get("p", F.lit(0))), 1).otherwise(2)
-        places = F.when(F.size("p") >= start, F.sequence(start, F.size("p"), F.lit(2)))
-        # One piece more than the longest rule has, to see what bounds it.
-        at = F.transform(places, lambda i: F.struct(F.get("p", i - 1).alias("word"), F.get("p", i - 2).alias("before"), (i == 2).alias("opens"), F.array_join(F.slice("p", i, F.lit(told["longest"] + 1)), "").alias("tail")))
-        rows = cut.select(*key, F.explode(at).alias("at")).select(*key, "at.*")
-        joined = rows.join(side(phrases, told["all"] - told["alone"]), "word")
-        follows = F.substring("tail", F.length("core") + 1, F.lit(1))
+    """(key, type, term, weight, veto): the rules that stand in each text, each once for a key; texts have one row for a key."""
+    plain, bounded = index.where("lead = '' AND trail = ''"), index.where("lead <> '' OR trail <> ''")
+    told = {(r.bounded, r.pieces): r.n for r in index.groupBy(F.expr("lead <> '' OR trail <> ''").alias("bounded"), "pieces").agg(F.count(F.lit(1)).alias("n")).collect()}
+    side = lambda df, bound: F.broadcast(df) if sum(n for (b, _), n in told.items() if b == bound) <= MOST_BROADCAST else df
+    lengths = lambda bound: sorted(length for b, length in told if b == bound)
+    none = F.array().cast("array<string>")
+    cut = texts.select(*key, pieces(F.col(text)).alias("p")).where(F.size("p") > 0)
+    at = lambda length: F.coalesce(F.transform(_places(F.col("p"), length), lambda i: F.array_join(F.slice("p", i, F.lit(length)), "")), none)
+    phrases = cut.select(*key, F.explode(F.array_distinct(F.concat(none, *[at(n) for n in lengths(False)]))).alias("phrase"))
+    hits = phrases.join(side(plain, False), "phrase").select(*key, "type", "term", "weight", "veto")
+    if lengths(True):
+        # The gap after a phrase must go on beyond the rule's, or end the text.
+        around = lambda n: F.transform(_places(F.col("p"), n), lambda i: F.struct(F.array_join(F.slice("p", i, F.lit(n)), "").alias("phrase"), F.get("p", i - 2).alias("before"), (i == 2).alias("opens"), F.coalesce(F.get("p", i + (n - 1)), F.lit("")).alias("after"), (i + n >= F.size("p")).alias("closes")))
+        every = F.flatten(F.array_compact(F.array(*[around(n) for n in lengths(True)])))
+        joined = cut.select(*key, F.explode(every).alias("at")).select(*key, "at.*").join(side(bounded, True), "phrase")
         led = (F.col("lead") == "") | (F.endswith("before", F.col("lead")) & (F.col("opens") | (F.length("before") > F.length("lead"))))
-        verified = joined.where(F.startswith("tail", F.col("core")) & ~_is_word(follows) & led)
-        hits = hits.unionByName(verified.select(*key, "type", "term", "weight", "veto"))
-    return hits.groupBy(*key, "type", "term").agg(F.first("weight").alias("weight"), F.bool_or("veto").alias("veto"))
+        trailed = (F.col("trail") == "") | (F.startswith("after", F.col("trail")) & (F.col("closes") | (F.length("after") > F.length("trail"))))
+        found = joined.where(led & trailed).groupBy(*key, "type", "term").agg(F.first("weight").alias("weight"), F.bool_or("veto").alias("veto"))
+        hits = hits.unionByName(found.select(*key, "type", "term", "weight", "veto"))
+    return hits
 
 
 def score_by_index(segments: DataFrame, keywords: DataFrame, negatives: DataFrame | None = None, key: str = "run_id", text: str = "text", more: list[tuple[str, Column, float]] | None = None) -> DataFrame:
@@ -85,7 +96,8 @@ def score_by_index(segments: DataFrame, keywords: DataFrame, negatives: DataFram
         typed = typed.select("type", "term", F.col("weight").cast(_WEIGHT).alias("weight"), "veto").unionByName(vetoes)
     # Segments of one key with equal texts score alike, so the text's hash tells segments apart.
     texts = segments.select("*", F.xxhash64(text).alias("_segment"))
-    hits = index_hits(texts.select(F.col(key).alias("_key"), "_segment", F.col(text).alias("_text")), rule_index(typed), ["_key", "_segment"], "_text").select("_key", "_segment", "type", "weight", "veto")
+    once = texts.select(F.col(key).alias("_key"), "_segment", F.col(text).alias("_text")).dropDuplicates(["_key", "_segment"])
+    hits = index_hits(once, kept(rule_index(typed), "rule-index"), ["_key", "_segment"], "_text").select("_key", "_segment", "type", "weight", "veto")
     if more:
         tests = F.array(*[F.struct(F.lit(kind).alias("type"), F.when(hit, F.lit(weight)).cast(_WEIGHT).alias("weight"), F.lit(False).alias("veto")) for kind, hit, weight in more])
         hits = hits.unionByName(_once(texts, tests, key))

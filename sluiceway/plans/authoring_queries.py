@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import spread
+from ..functions.frames import kept, spread
 from ..operators import mining, rules
 from .queries import _SCORES, _t, _type_scores, register
 
@@ -76,6 +76,7 @@ def q_rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = documents.where("lang IS NOT NULL").select("lang", rules.pieces(F.col("text")).alias("p")).where(F.size("p") >= 3)
     pairs = F.transform(F.sequence(F.lit(0), F.size("p") - 3), lambda i: F.when((F.get("p", i + 1) == " "), F.concat(F.get("p", i), F.lit(" "), F.get("p", i + 2))))
     terms = cut.select(F.col("lang").alias("type"), F.explode(F.array_distinct(pairs)).alias("term")).where("term IS NOT NULL").distinct()
+    terms = kept(terms, "terms")
     table = terms.withColumn("weight", ((1 + F.length("term") % 7) * F.lit("0.0004").cast("decimal(5,4)")).cast("decimal(5,4)"))
     vetoes = terms.groupBy("type").agg(F.min("term").alias("term"))
     return rules.score_by_index(documents, table, vetoes, key="doc_id").withColumn("score", F.col("score").cast("double"))
