@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import attachment_locator, body_locator, cell_locator, currency_of, mapping_confidence, normal_label, normal_value, parse_amount, parse_date, plain_header
@@ -45,14 +45,19 @@ def extract_rows(rows: DataFrame, types: DataFrame, fields: DataFrame, producer:
     A cell is as sure as its parser times how surely its column means the field (see scalars.mapping_confidence).
     """
     table = ["run_id", "file", "_sheet"]
-    good = rows.where("error_code is null and cells is not null").withColumn("_sheet", F.coalesce("sheet", F.lit("")))
-    cells = good.join(types, "run_id").select(*table, "type", "sheet", F.explode("cells").alias("header", "value_raw"), F.col("places").alias("_p"))
-    # What is known of each column: one row for each.
-    filled = cells.groupBy(*table, "header").agg(F.count(F.when(F.trim("value_raw") != "", 1)).alias("_filled"))
-    filled = filled.join(good.groupBy(*table).agg(F.count(F.lit(1)).alias("_rows")), table)
     named = fields.select("type", "field", "field_type", normal_label(F.col("alias")).alias("label")).distinct()
-    found = cells.withColumn("label", normal_label(plain_header(F.col("header")))).where("trim(value_raw) <> ''").join(F.broadcast(named), ["type", "label"]).join(filled, [*table, "header"])
-    place = F.element_at("_p", F.col("header"))
+    good = rows.where("error_code is null and cells is not null").withColumn("_sheet", F.coalesce("sheet", F.lit("")))
+    # Only cells whose header means a field of any type leave their task; a row without any still counts for its table.
+    label = lambda header: normal_label(plain_header(header))
+    meant = F.filter(F.map_entries("cells"), lambda c: F.array_contains("_labels", label(c["key"])))
+    cells = F.transform(meant, lambda c: F.struct(c["key"].alias("header"), c["value"].alias("value_raw"), F.element_at("places", c["key"]).alias("place")))
+    cut = good.crossJoin(F.broadcast(named.agg(F.collect_set("label").alias("_labels")))).select(*table, "sheet", cells.alias("_cells"))
+    # A run is one message, which one worker has opened: its rows are dealt by run once, and that serves both counts.
+    whole = cut.join(types, "run_id").withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*table)))
+    each = whole.select(*table, "type", "sheet", "_rows", F.explode("_cells").alias("_c")).select(*table, "type", "sheet", "_rows", "_c.*").where("trim(value_raw) <> ''")
+    filled = each.withColumn("_filled", F.count(F.lit(1)).over(Window.partitionBy(*table, "header")))
+    found = filled.withColumn("label", label(F.col("header"))).join(F.broadcast(named), ["type", "label"])
+    place = F.col("place")
     source = F.when(F.col("sheet").isNull(), attachment_locator(F.col("file"), place)).otherwise(cell_locator(F.col("file"), F.col("sheet"), place))
     sure = F.lit(confidence).cast("decimal(5,4)") * mapping_confidence(F.col("label"), F.col("label"), F.col("_filled"), F.col("_rows"))
     return typed(found.select("run_id", "field", "field_type", "value_raw", source.alias("source"), F.lit(None).cast("int").alias("segment_index"), sure.cast("decimal(5,4)").alias("confidence"), F.lit(producer).alias("producer")))

@@ -506,11 +506,11 @@ def _table_candidates(spark: SparkSession, items: DataFrame) -> DataFrame:
     """The greatest amount of each order among candidates from its lines as a CSV file."""
     lines = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat_ws(";", F.col("l_linenumber").cast("string"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")))).alias("l"))
     attached = lines.select(F.col("l_orderkey").cast("string").alias("run_id"), F.lit("l.csv").alias("name"), F.concat(F.lit("line;Total Price\n"), F.array_join("l", "\n")).cast("binary").alias("content"), F.lit("csv").alias("kind"), F.lit(False).alias("encrypted"))
-    rows = kept(files.parse_csv(attached), "rows")
+    rows = files.parse_csv(attached)
     fields = spark.sql("SELECT 'invoice' AS type, 'amount' AS field, 'decimal' AS field_type, 'total price' AS alias")
-    types = attached.select("run_id", F.lit("invoice").alias("type"))
+    types = items.select(F.col("l_orderkey").cast("string").alias("run_id"), F.lit("invoice").alias("type")).distinct()
     found = extraction.extract_rows(rows, types, fields, "csv_parser")
-    return found.groupBy(F.col("run_id").cast("long").alias("run_id"), "field").agg(F.max("value_dec").cast("double").alias("value"))
+    return found.groupBy("run_id", "field").agg(F.max("value_dec").cast("double").alias("value")).withColumn("run_id", F.col("run_id").cast("long"))
 
 
 @register("SELECT l_orderkey AS run_id, 'amount' AS field, CAST(CAST(max(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS DOUBLE) AS value FROM lineitem GROUP BY 1")
