@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.frames import kept
 from ..functions.scalars import normal_label
 
-#: Patterns or terms that are broadcast, at most.
-MOST_BROADCAST = 200_000
+#: Patterns or terms that are broadcast, at most; a larger table is joined by a shuffle, however small Spark takes its packed files to be.
+MOST_BROADCAST = 10_000
 _TOKENS = r"(\d+|\p{L}+|[ \t\r\n\f\x0b]+|[^\d\p{L} \t\r\n\f\x0b])"
 
 
@@ -44,7 +44,7 @@ def near_digits(samples: DataFrame, reach: int) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df.hint("merge")
 
 
 def mine_patterns(samples: DataFrame, least: int = 3, longest: int = 5, shown: int = 3) -> DataFrame:
@@ -66,30 +66,36 @@ def mine_patterns(samples: DataFrame, least: int = 3, longest: int = 5, shown: i
         found.append(support)
         occurrences.append(level.select(*kinds, "sample_id", "pos", "text"))
         after = level.select("email_type", "sample_id", (F.col("pos") - 1).alias("pos"), F.col("pattern").alias("rest"), "last", "end")
-        level = level.select("email_type", "sample_id", "pos", F.col("pattern").alias("head"), F.col("text").alias("begin")).join(after, ["email_type", "sample_id", "pos"])
+        level = level.select("email_type", "sample_id", "pos", F.col("pattern").alias("head"), F.col("text").alias("begin")).join(after.hint("merge"), ["email_type", "sample_id", "pos"])
         level = level.select("email_type", "sample_id", "pos", F.concat("head", "last").alias("pattern"), "last", F.concat("begin", "end").alias("text"), "end", "head", "rest").distinct()
     every = reduce(DataFrame.unionByName, found)
     part = lambda c: every.select("email_type", F.col(c).alias("pattern"), "support").where("pattern IS NOT NULL")
-    closed = every.join(part("head").unionByName(part("rest")).distinct(), [*kinds, "support"], "left_anti").where(F.contains("pattern", F.lit(r"\d{")))
+    closed = every.join(part("head").unionByName(part("rest")).distinct().hint("merge"), [*kinds, "support"], "left_anti").where(F.contains("pattern", F.lit(r"\d{")))
     closed = kept(closed.select(*kinds, "tokens", "support"), "closed")
     places = reduce(DataFrame.unionByName, occurrences).join(_small(closed.select(*kinds)), kinds, "left_semi")
     # A rank with a bound is cut in every task before the shuffle.
     first = Window.partitionBy(*kinds).orderBy("sample_id", "pos", "text")
     top = places.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= shown)
     evidence = top.groupBy(*kinds).agg(F.array_sort(F.collect_list(F.struct("sample_id", "pos", "text"))).alias("evidence"))
-    return closed.join(evidence, kinds)
+    return closed.hint("merge").join(evidence, kinds)
 
 
-def contrast_terms(samples: DataFrame, targets: DataFrame, shortest: int = 3) -> DataFrame:
-    """(email_type, sample_id, term): the words of each target that no sample of the target's type has.
+def sample_terms(samples: DataFrame, shortest: int = 3) -> DataFrame:
+    """(own, sample_id, terms): the distinct words of each row, own being its type."""
+    terms = F.filter(F.array_distinct(F.split(normal_label(F.col("text")), " ")), lambda t: F.char_length(t) >= shortest)
+    return samples.where("sample_id IS NOT NULL AND text IS NOT NULL").select(F.col("email_type").alias("own"), "sample_id", terms.alias("terms"))
+
+
+def contrast_terms(words: DataFrame, targets: DataFrame) -> DataFrame:
+    """(email_type, sample_id, term): the words (see sample_terms) of each target that no sample of the target's type has.
 
     targets: (email_type, sample_id) - the samples, of whatever type or out of scope, that must not be taken for email_type.
     """
-    words = samples.where("sample_id IS NOT NULL AND text IS NOT NULL").select(F.col("email_type").alias("own"), "sample_id", F.explode(F.array_distinct(F.split(normal_label(F.col("text")), " "))).alias("term")).where(F.char_length("term") >= shortest)
-    words = kept(words, "words")
-    of_type = words.where("own IS NOT NULL").select(F.col("own").alias("email_type"), "term").distinct()
+    of_type = words.where("own IS NOT NULL").select(F.col("own").alias("email_type"), F.explode("terms").alias("term")).distinct()
     wanted = targets.where("email_type IS NOT NULL").select("email_type", "sample_id").distinct()
-    return words.select("sample_id", "term").distinct().join(wanted, "sample_id").join(of_type, ["email_type", "term"], "left_anti").select("email_type", "sample_id", "term")
+    # Only the words of targets are dealt out, and of them only what their type lacks is made distinct.
+    found = words.select("sample_id", "terms").join(wanted, "sample_id").select("email_type", "sample_id", F.explode("terms").alias("term"))
+    return found.join(of_type.hint("merge"), ["email_type", "term"], "left_anti").select("email_type", "sample_id", "term").distinct()
 
 
 def mine_negatives(samples: DataFrame, targets: DataFrame, shortest: int = 3) -> DataFrame:
@@ -102,8 +108,10 @@ def mine_negatives(samples: DataFrame, targets: DataFrame, shortest: int = 3) ->
     not compete are chosen together. covers counts targets at the choice; log_odds is the smoothed log-odds
     of the term in the targets against the type's samples, which have none.
     """
-    counted = samples.where("email_type IS NOT NULL AND sample_id IS NOT NULL AND text IS NOT NULL").groupBy("email_type").agg(F.count_distinct("sample_id").alias("own"))
-    left = kept(contrast_terms(samples, targets, shortest), "contrast")
+    words = kept(sample_terms(samples, shortest), "words")
+    targets = kept(targets.select("email_type", "sample_id"), "targets")
+    counted = words.where("own IS NOT NULL").groupBy(F.col("own").alias("email_type")).agg(F.count_distinct("sample_id").alias("own"))
+    left = kept(contrast_terms(words, targets), "contrast")
     total = targets.where("email_type IS NOT NULL").groupBy("email_type").agg(F.count_distinct("sample_id").alias("targets"))
     every = left.groupBy("email_type", "term").agg(F.count(F.lit(1)).alias("holds"))
     key, chosen = ["email_type", "term"], []
