@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Tables of fewer bytes for each core are spread where their files are few.
 SMALL = 64 << 20
+#: Rows that a task of a large table sorts or groups at once, about.
+ROWS_A_TASK = 500_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -21,6 +23,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A large table dealt by these keys over as many tasks as its rows ask for, so that what one task sorts or groups does not grow with it; a small one as it is.
+
+    Spark merges the partitions of a join up to a size in packed bytes, and rows of few distinct values unpack
+    to many times that. The rows are counted, so the table should lie in files.
+    """
+    spark, rows = df.sparkSession, df.count()
+    if rows <= ROWS_A_TASK * spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK)), *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a temporary one in local mode if none is named, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

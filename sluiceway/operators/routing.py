@@ -20,9 +20,10 @@ def missing(required: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def confidence(required: DataFrame, settled: DataFrame) -> DataFrame:
-    """(run_id, coverage, agreement, certainty, confidence) of every run with a required field; settled: see merging.settle."""
+    """(run_id, type, coverage, agreement, certainty, confidence) of every run with a required field; settled: see merging.settle."""
     have = required.join(settled.select("run_id", "field", "confidence", "agreement"), ["run_id", "field"], "left")
-    per = have.groupBy("run_id").agg(
+    # A run has one type, which is grouped by so that nobody has to join it again.
+    per = have.groupBy("run_id", "type").agg(
         (F.count("confidence") / F.count(F.lit(1))).cast("decimal(5,4)").alias("coverage"),
         F.coalesce(F.avg("agreement"), F.lit(0)).cast("decimal(5,4)").alias("agreement"),
         F.coalesce(F.avg("confidence"), F.lit(0)).cast("decimal(5,4)").alias("certainty"),

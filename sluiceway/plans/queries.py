@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..functions.frames import kept, spread
+from ..functions.frames import dealt, kept, spread
 from ..operators import authoring, deliveries, detection, evaluation, extraction, governance, history, merging, monitoring, routing, selection
 from ..sources import files, packages
 
@@ -86,14 +86,15 @@ _RUNS = """a AS (SELECT o_orderkey AS run_id, CAST(o_totalprice AS DECIMAL(18,2)
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts in an order's body and in its lines, its date, and its number of lines."""
     conf, none = (lambda x: F.lit(x).cast("decimal(5,4)")), F.lit(None)
-    shape = lambda df, field, dec, date, norm, source, seg, c: df.select("run_id", F.lit(field).alias("field"), norm.cast("string").alias("value_raw"), norm.cast("string").alias("value_norm"), dec.cast("decimal(18,2)").alias("value_dec"), date.cast("date").alias("value_date"), F.lit(source).alias("source"), F.lit(seg).cast("int").alias("segment_index"), conf(c).alias("confidence"))
+    cell = lambda field, dec, date, norm, source, seg, c: F.struct(F.lit(field).alias("field"), norm.cast("string").alias("value_raw"), norm.cast("string").alias("value_norm"), dec.cast("decimal(18,2)").alias("value_dec"), date.cast("date").alias("value_date"), F.lit(source).alias("source"), F.lit(seg).cast("int").alias("segment_index"), conf(c).alias("confidence"))
+    shape = lambda df, *cells: df.select("run_id", F.inline(F.array(*cells)))
     body = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), "o_orderdate")
-    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("amount"), F.count(F.lit(1)).alias("n"))
+    lineitem = dealt(_t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_extendedprice"), "run_id")
+    lines = lineitem.groupBy("run_id").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("amount"), F.count(F.lit(1)).alias("n"))
+    # Both candidates of a row are made at once: the lines are grouped by one pass.
     return merging.union_candidates(
-        shape(body, "amount", F.col("amount"), none, F.col("amount"), "body:segment:0", 0, 0.7),
-        shape(lines, "amount", F.col("amount"), none, F.col("amount"), "attachment:lines.csv#total", None, 0.9),
-        shape(body, "invoice_date", none, F.col("o_orderdate"), F.to_date("o_orderdate"), "body:segment:0", 0, 0.8),
-        shape(lines, "line_count", F.col("n"), none, F.col("n"), "attachment:lines.csv#rows", None, 0.9),
+        shape(body, cell("amount", F.col("amount"), none, F.col("amount"), "body:segment:0", 0, 0.7), cell("invoice_date", none, F.col("o_orderdate"), F.to_date("o_orderdate"), "body:segment:0", 0, 0.8)),
+        shape(lines, cell("amount", F.col("amount"), none, F.col("amount"), "attachment:lines.csv#total", None, 0.9), cell("line_count", F.col("n"), none, F.col("n"), "attachment:lines.csv#rows", None, 0.9)),
     )
 
 
@@ -108,10 +109,10 @@ def q_route_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = spark.sql("SELECT 'invoice' AS type, CAST(0.85 AS DECIMAL(5,4)) AS accept_at, CAST(0.5 AS DECIMAL(5,4)) AS reject_below")
     always = spark.sql("SELECT 'invoice' AS type, 'encrypted_no_key' AS prefix")
     no_flags = runs.where("false").select("run_id", "type", F.lit("").alias("code"))
-    settled, required = kept(merging.settle(found), "settled"), routing.required_of(runs, fields)
-    scores = routing.confidence(required, settled).join(runs, "run_id")
+    settled, required = dealt(kept(merging.settle(found), "settled"), "run_id", "field"), routing.required_of(runs, fields)
+    scores = routing.confidence(required, settled)
     codes = routing.reasons(no_flags, always, routing.missing(required, settled), merging.conflicts(settled, tolerances), scores, bands, required.where("critical").select("run_id", "field"))
-    return routing.terminal(runs, codes).groupBy("outcome", F.array_join("reasons", "|").alias("codes")).agg(F.count(F.lit(1)).alias("n"))
+    return routing.terminal(dealt(runs, "run_id"), codes).groupBy("outcome", F.array_join("reasons", "|").alias("codes")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(f"WITH {_RUNS} SELECT run_id, 'amount' AS field, CAST(coalesce(att, body) AS DOUBLE) AS value, CASE WHEN att IS NULL THEN 'body:segment:0' ELSE 'attachment:lines.csv#total' END AS source FROM j")
@@ -575,7 +576,7 @@ def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _candidates(spark, sf_dir)
     runs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.lit("invoice").alias("type"))
     fields = spark.sql("SELECT 'invoice' AS type, field, true AS required, false AS critical FROM VALUES ('amount'), ('invoice_date'), ('line_count') v(field)")
-    scores = routing.confidence(routing.required_of(runs, fields), merging.settle(found))
+    scores = routing.confidence(routing.required_of(runs, fields), dealt(kept(merging.settle(found), "settled"), "run_id", "field"))
     return scores.select("run_id", F.col("coverage").cast("double").alias("coverage"))
 
 

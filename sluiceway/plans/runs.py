@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import kept
+from ..functions.frames import dealt, kept
 from ..operators import detection, extraction, history, merging, routing
 from ..sources import files as sources
 from .contracts import schema
@@ -83,7 +83,8 @@ def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str,
     candidates = kept(sources.at_home(parsed).withColumn("source", inside).drop("origin"), "candidates")
     settled = kept(merging.settle(candidates), "settled")
     required = routing.required_of(typed, package["schema_fields"])
-    scored = routing.confidence(required, settled)
+    by_field = dealt(settled, "run_id", "field")
+    scored = routing.confidence(required, by_field)
     called = sources.at_home(reduce(DataFrame.unionByName, [sources.calls(df, agent) for agent, df in read.items()]))
     of_files = sources.at_home(sources.attachment_flags(attached).unionByName(no_sheet)).select("run_id", "code").unionByName(called.where("code is not null").select("run_id", "code"))
     # What attachments and embedded messages say of the type comes after it is locked, and can only be flagged.
@@ -97,9 +98,9 @@ def process(messages: DataFrame, package: dict[str, DataFrame], client_id: str,
     codes = routing.reasons(
         flags.where("type is not null"),
         package["always_review"],
-        routing.missing(required, settled),
+        routing.missing(required, by_field),
         merging.conflicts(settled.join(typed, "run_id"), package["tolerances"]),
-        scored.join(typed, "run_id"),
+        scored,
         package["bands"],
         required.where("critical").select("run_id", "field"),
     )
