@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from functools import lru_cache
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +19,25 @@ _MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 _LINKS = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
 
-def _packed(parts: dict[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+def _packed(parts: dict[str, str], begun: bytes = b"") -> bytes:
+    """An archive of these parts, after those of one that is begun."""
+    out = io.BytesIO(begun)
+    with zipfile.ZipFile(out, "a" if begun else "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
             z.writestr(name, text)
     return out.getvalue()
 
 
+@lru_cache(1)
+def _book() -> bytes:
+    """What all workbooks share."""
+    return _packed({
+        "xl/workbook.xml": f'<workbook {_MAIN} {_LINKS}><sheets><sheet name="Bill" r:id="b"/><sheet name="Notes" r:id="a"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="worksheets/sheet2.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {_MAIN}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+    })
+
+
 def _row(n: int, *cells: tuple[str, str, str]) -> str:
     return f'<row r="{n}">' + "".join(f'<c r="{column}{n}" {kind}><v>{escape(value)}</v></c>' for column, kind, value in cells) + "</row>"
 
@@ -37,13 +47,11 @@ def _workbook(name: str, balance: str, nation: int) -> bytes:
     text = 't="str"'
     notes = _row(1, ("A", text, "Remark"), ("B", text, "Name")) + _row(2, ("A", text, name), ("B", text, name))
     bill = _row(1, ("A", text, "Amount due"), ("B", text, "Due"), ("C", text, "Amount due")) + _row(2, ("A", "", balance), ("B", 's="1"', str(45292 + nation)), ("C", "", "0.01"))
-    return _packed({
-        "xl/workbook.xml": f'<workbook {_MAIN} {_LINKS}><sheets><sheet name="Bill" r:id="b"/><sheet name="Notes" r:id="a"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="worksheets/sheet2.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet {_MAIN}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+    sheets = {
         "xl/worksheets/sheet1.xml": f"<worksheet {_MAIN}><sheetData>{notes}</sheetData></worksheet>",
         "xl/worksheets/sheet2.xml": f"<worksheet {_MAIN}><sheetData>{bill}</sheetData></worksheet>",
-    })
+    }
+    return _packed(sheets, _book())
 
 
 def _document(balance: str) -> bytes:
@@ -53,16 +61,13 @@ def _document(balance: str) -> bytes:
 def _attached(customers: DataFrame) -> DataFrame:
     """A workbook and a document of each customer."""
 
-    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for run, name, balance, nation in frame.itertuples(index=False):
-                rows += [(run, "bill.xlsx", _workbook(name, balance, nation)), (run, "letter.docx", _document(balance))]
-            yield pd.DataFrame(rows, columns=["run_id", "name", "content"])
+    def made(c: dict) -> list[dict]:
+        contents = {"bill.xlsx": _workbook(c["c_name"], c["balance"], c["nation"]), "letter.docx": _document(c["balance"])}
+        return [{"run_id": c["run_id"], "attachments": [{"name": k, "mime": "application/octet-stream", "content": v} for k, v in contents.items()]}]
 
     balance = F.abs("c_acctbal").cast("decimal(18,2)").cast("string")
-    found = customers.select(F.col("c_custkey").cast("string").alias("run_id"), "c_name", balance.alias("balance"), F.col("c_nationkey").cast("int").alias("nation")).mapInPandas(made, "run_id string, name string, content binary")
-    return files.attachments(found.groupBy("run_id").agg(F.collect_list(F.struct("name", F.lit("application/octet-stream").alias("mime"), "content")).alias("attachments")))
+    given = customers.select(F.col("c_custkey").cast("string").alias("run_id"), "c_name", balance.alias("balance"), F.col("c_nationkey").cast("int").alias("nation"))
+    return files.attachments(files.in_arrow(given, made, "run_id string, attachments array<struct<name:string,mime:string,content:binary>>"))
 
 
 @register("""WITH c AS (SELECT c_custkey, CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS a, DATE '2024-01-01' + CAST(c_nationkey AS INTEGER) AS d FROM customer)
