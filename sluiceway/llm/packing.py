@@ -167,13 +167,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         tokens = load(tokenizer)
         last = np.array([end], tokens.dtype).tobytes()
         df = np.zeros(tokens.tokenizer.get_vocab_size(), np.int64)
+        held = np.zeros(len(df), bool)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
                 coded = [x + last for x in tokens.encode(part.column(1).to_pylist())]
                 n = part.num_rows
                 for x in coded:
-                    df[np.unique(np.frombuffer(x, tokens.dtype))] += 1
+                    ids = np.frombuffer(x, tokens.dtype)
+                    held[ids] = True
+                    df[np.flatnonzero(held)] += 1
+                    held[ids] = False
                 yield pa.record_batch([part.column(0), pa.array(coded, pa.binary()), pa.array([len(x) // tokens.dtype.itemsize for x in coded], pa.int64()), pa.nulls(n, pa.int64())], ["doc_id", "ids", "n", "token"])
         tokens.forget()
         seen = np.flatnonzero(df)

@@ -4,20 +4,38 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
 
 #: Chunks that a worker remembers (about 60 MB) before it forgets the half that it met last, mostly rare ones.
 MEMO_CHUNKS = 300_000
-#: Signs that the tokenizer splits off a word, and texts joined for one call.
-SIGNS, TOGETHER = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 100
+#: Signs that the tokenizer splits off a word.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, others follow from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _LOADED: dict[str, WordTokens] = {}
 
 
+class Memo(dict):
+    """chunk -> what `learn` says of it, remembered; when full it forgets the half that it met last."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.learn(chunk)
+        if len(self) >= MEMO_CHUNKS:
+            kept = dict(islice(self.items(), MEMO_CHUNKS // 2))
+            self.clear()
+            self.update(kept)
+        self[chunk] = ids
+        return ids
+
+
 class WordTokens:
     """A tokenizer whose pre-tokens never cross white space, so a text's ids are those of its chunks in order.
 
@@ -41,7 +59,7 @@ class WordTokens:
         self.signs = bytes(c for c in SIGNS if apart(chr(c)) and apart(chr(c) + "!?") and apart("." + chr(c)))
         self.plain = all(self._direct(w.encode()) == self._whole(w) for w in ("a", "word", "zxqvj", "internationally"))
         self.latin = all(self._direct(w.encode()) == self._whole(w) for w in ("été", "über", "größe", "ñandú", "ÀÉ", "µª"))
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo(self._learn)
 
     def _direct(self, word: bytes) -> bytes:
         """The ids that the model alone gives a word, each of its bytes as the letter that stands for it."""
@@ -60,57 +78,27 @@ class WordTokens:
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Plain words at once, with the signs after them; other chunks in joined lines, where a token belongs to the chunk in which it starts."""
-        memo, parted, rest = self.memo, [], set()
-        for c in chunks:
-            core = c.rstrip(self.signs)
-            if not core or not self._is_word(core):
-                rest.add(c)
-                continue
-            if core not in memo:
-                memo[core] = self._direct(core)
-            if len(core) < len(c):
-                parted.append((c, core, c[len(core) :]))
-        rest.update(tail for _, _, tail in parted if tail not in memo)
-        chunks = list(rest)
-        for k in range(0, len(chunks), TOGETHER):
-            part = chunks[k : k + TOGETHER]
-            texts = [c.decode("utf-8", "surrogatepass") for c in part]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids, n, held = found.ids, 0, 0
-            starts = [start for start, _ in found.offsets]
-            end = -1
-            for c, text in zip(part, texts, strict=True):
-                end += len(text) + 1
-                while n < len(starts) and starts[n] < end:
-                    n += 1
-                self.memo[c] = array(self.code, ids[held:n]).tobytes()
-                held = n
-        for c, core, tail in parted:
-            memo[c] = memo[core] + memo[tail]
+    def _learn(self, chunk: bytes) -> bytes:
+        """The ids of a chunk: a plain word and the signs after it each by itself, any other by the whole tokenizer."""
+        core = chunk.rstrip(self.signs)
+        if not core or not self._is_word(core):
+            return self._whole(chunk.decode("utf-8", "surrogatepass"))
+        return self._direct(chunk) if len(core) == len(chunk) else self.memo[core] + self.memo[chunk[len(core) :]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype; none for a null text."""
-        split: list[list[bytes] | None] = []
+        known, out = self.memo.__getitem__, []
         for text in texts:
             if text and any(m in text for m in self.marks):
-                split.append(None)
+                out.append(self._whole(text))
             else:
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                split.append((raw.lower() if self.folds else raw).split())
-        seen = set().union(*(chunks for chunks in split if chunks))
-        new = seen - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_CHUNKS and self.memo:
-            self.memo = dict(islice(self.memo.items(), MEMO_CHUNKS // 2))
-            new = seen - self.memo.keys()
-        self._learn(list(new))
-        memo = self.memo
-        return [self._whole(text) if chunks is None else b"".join([memo[c] for c in chunks]) for text, chunks in zip(texts, split, strict=True)]
+                out.append(b"".join(map(known, (raw.lower() if self.folds else raw).split())))
+        return out
 
     def forget(self) -> None:
         """Empties the memo, so that a worker holds it only while a task tokenizes."""
-        self.memo = {}
+        self.memo.clear()
 
 
 def load(path: str) -> WordTokens:

@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluiceway.llm import html_text, mpeg, packing, warc
+from sluiceway.llm import html_text, mpeg, packing, tokens, warc
 from sluiceway.llm.tokens import load
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -425,6 +425,19 @@ def test_html_text_of_all_pages(spark: SparkSession, sf: str) -> None:
     assert len(found) == pages.count() > 0
 
 
+def test_chunks_are_learnt_once_and_forgotten_by_halves(monkeypatch: pytest.MonkeyPatch) -> None:
+    """A chunk is learnt where it is first met, without a pass over a batch's chunks before; a full memo keeps its older half."""
+    words = tokens.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    asked, learn = [], words.memo.learn
+    words.memo.learn = lambda chunk: asked.append(chunk) or learn(chunk)
+    found = words.encode(["one two, one 3.5 two,", "one four five"])
+    assert asked == [b"one", b"two,", b"two", b",", b"3.5", b"four", b"five"]
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 7)
+    more = words.encode(["six, one"])
+    assert list(words.memo) == [b"one", b"two", b",", b"six", b"six,"] and asked[-2:] == [b"six,", b"six"]
+    assert found + more == [words._whole(t) for t in ("one two, one 3.5 two,", "one four five", "six, one")]
+
+
 def test_tokens_equal_the_tokenizer() -> None:
     words = load(PATH)
     plain = Tokenizer.from_file(PATH)
