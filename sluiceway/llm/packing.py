@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, trim
-from .tokens import load
+from .tokens import forget, load
 
 WINDOW, END = 4096, 2
 #: Tokens of a shard, at least, unless its partition ends.
@@ -45,10 +45,21 @@ class Statistics:
         return self.idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(self.mean, 1e-9)))
 
 
-def heaviest(ids: np.ndarray, stats: Statistics) -> list[int]:
+def distinct(ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token of a document once, in any order, and how often it occurs there; place has room for a number of each token."""
+    place[ids] = np.arange(len(ids))
+    tf = np.bincount(place[ids])
+    at = np.flatnonzero(tf)
+    return ids[at], tf[at]
+
+
+def heaviest(ids: np.ndarray, stats: Statistics, place: np.ndarray | None = None) -> list[int]:
     """The DEALT_BY tokens that weigh most in a document, -1 where it has fewer; of equal weights the smaller token."""
-    token, tf = np.unique(ids, return_counts=True)
+    token, tf = distinct(ids, np.empty(len(stats.idf), np.int64) if place is None else place)
     weight = stats.weights(token, tf, len(ids))
+    if len(weight) > DEALT_BY:
+        top = np.flatnonzero(weight >= np.partition(weight, -DEALT_BY)[-DEALT_BY])
+        token, weight = token[top], weight[top]
     best = np.lexsort((token, -weight))[:DEALT_BY]
     return [int(token[k]) if weight[k] > 0 else -1 for k in best] + [-1] * (DEALT_BY - len(best))
 
@@ -167,19 +178,15 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         tokens = load(tokenizer)
         last = np.array([end], tokens.dtype).tobytes()
         df = np.zeros(tokens.tokenizer.get_vocab_size(), np.int64)
-        held = np.zeros(len(df), bool)
+        place = np.empty(len(df), np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
                 coded = [x + last for x in tokens.encode(part.column(1).to_pylist())]
                 n = part.num_rows
                 for x in coded:
-                    ids = np.frombuffer(x, tokens.dtype)
-                    held[ids] = True
-                    df[np.flatnonzero(held)] += 1
-                    held[ids] = False
+                    df[distinct(np.frombuffer(x, tokens.dtype), place)[0]] += 1
                 yield pa.record_batch([part.column(0), pa.array(coded, pa.binary()), pa.array([len(x) // tokens.dtype.itemsize for x in coded], pa.int64()), pa.nulls(n, pa.int64())], ["doc_id", "ids", "n", "token"])
-        tokens.forget()
         seen = np.flatnonzero(df)
         if len(seen):
             yield pa.record_batch([pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.binary()), pa.array(df[seen]), pa.array(seen)], ["doc_id", "ids", "n", "token"])
@@ -201,8 +208,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         return [np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(cells, batch.column("n").to_pylist(), strict=True)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        place = np.empty(len(stats.value.idf), np.int64)
         for batch in batches:
-            found = np.array([heaviest(x, stats.value) for x in arrays(batch)], np.int32).reshape(-1, DEALT_BY)
+            found = np.array([heaviest(x, stats.value, place) for x in arrays(batch)], np.int32).reshape(-1, DEALT_BY)
             yield pa.record_batch([*batch.columns, *(pa.array(found[:, k]) for k in range(DEALT_BY))], [*batch.schema.names, *keys])
 
     dealt = coded.where("doc_id is not null").select("doc_id", "ids", "n").mapInArrow(deal, f"doc_id long, ids binary, n long, {', '.join(f'{k} int' for k in keys)}")
@@ -211,6 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packs each run of shard_tokens ids of the task's sorted rows."""
+        forget()
         trim()
         shard, sequences, ids, texts, size = 0, TaskContext.get().partitionId() * TASK_SHARDS << 32, [], [], 0
 

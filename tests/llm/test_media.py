@@ -438,6 +438,36 @@ def test_chunks_are_learnt_once_and_forgotten_by_halves(monkeypatch: pytest.Monk
     assert found + more == [words._whole(t) for t in ("one two, one 3.5 two,", "one four five", "six, one")]
 
 
+@pytest.mark.parametrize("marked", [True, False])
+def test_many_new_words_are_learnt_together(marked: bool, monkeypatch: pytest.MonkeyPatch) -> None:
+    """No word of many is asked for alone if the model marks where words end; what a word has after it is not remembered with it."""
+    monkeypatch.setattr(tokens, "TOGETHER", 999)
+    words, plain = tokens.WordTokens(PATH), Tokenizer.from_file(PATH)
+    asked, learn = [], words.memo.learn
+    words.memo.learn = lambda chunk: asked.append(chunk) or learn(chunk)
+    words.last &= marked
+    letters = "abcdéßñöxyz"
+    made = ["".join(letters[k // 11**i % 11] for i in range(5)) for k in range(0, 160_000, 16)]
+    texts = [" ".join(made[k : k + 1000]) + f" {made[k]}, it's\t{made[k + 1]}... 3.{k} don't ÀB" for k in range(0, len(made), 1000)] + [None, "", "a<|endoftext|>b", " \x0b"]
+    found = words.encode(texts)
+    assert [np.frombuffer(x, words.dtype).tolist() for x in found] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(set(made)) == 10_000 > tokens.MANY_CHUNKS and {m.encode() for m in made} <= set(words.memo)
+    if marked:
+        assert not {m.encode() for m in made} & set(asked) and f"{made[0]},".encode() not in words.memo
+    tokens._LOADED["made"] = words
+    tokens.forget()
+    assert not words.memo and tokens._LOADED.pop("made").encode(texts) == found
+
+
+def test_heaviest_tokens_of_a_document() -> None:
+    """Tokens count once however often they occur, in any order of ids; of equal weights the smaller token is taken."""
+    stats = packing.Statistics(np.array([0.0, 1, 1, 1, 1, 3, 0]), 4.0)
+    token, tf = packing.distinct(np.array([4, 1, 4, 5, 4], np.uint16), np.full(7, 99))
+    assert sorted(zip(token.tolist(), tf.tolist(), strict=True)) == [(1, 1), (4, 3), (5, 1)]
+    assert packing.heaviest(np.array([4, 3, 2, 1, 5, 0], np.uint16), stats) == [5, 1, 2]
+    assert packing.heaviest(np.array([4, 2, 4, 0, 6], np.uint16), stats) == [4, 2, -1]
+
+
 def test_tokens_equal_the_tokenizer() -> None:
     words = load(PATH)
     plain = Tokenizer.from_file(PATH)
