@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 MEMO_WORDS = 400_000
 #: Keys that are joined apart from the rest since they hold many rows, at most.
 MOST_HOT = 10_000
+#: With this set a write's shuffle files go when it ends, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Edges for each part of the tables of connected components.
 EDGES_PER_PART = 200_000
 
@@ -43,7 +45,15 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         self.names.add(name)
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, *names: str) -> None:

@@ -192,7 +192,7 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text"))
     first = scratch.keep(hashed.mapInArrow(sketch, "doc_id long, text_hash long, n long, key long, fragment long, room int"), "sketch")
-    base = first.where("doc_id is not null").select("doc_id", "text_hash", "n", "key")
+    base = scratch.keep(first.where("doc_id is not null").select("doc_id", "text_hash", "n", "key"), "base")
     index = first.where("key is not null and doc_id is null").select("fragment", "key", "room")
     # Fragments that many classes of some task hold are shared for sure: their rows need not meet in one place.
     hot = scratch.keep(first.where("key is null").select("fragment").distinct(), "hot")
@@ -202,6 +202,7 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
     together = Window.partitionBy("fragment")
     rest = rest.select("fragment", "key", "room", F.min("key").over(together).alias("low"), F.max("key").over(together).alias("high")).where("low <> high")
     index = scratch.keep(rest.select("fragment", "key", "room").unionByName(shared).distinct(), "shared")
+    scratch.free("sketch", "hot")
 
     # Of its shared fragments a class leaves out as many as it has room for, those of the most classes first.
     held = index.groupBy("fragment").agg(F.count_distinct("key").alias("classes")).where("classes > 1")
@@ -233,9 +234,12 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
     sets = scratch.keep(only(chosen, wanted.select("key"), ["key"]).dropDuplicates(["key"]), "sets")
     facts = sets.select("key", "n", "sketch", "fine")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, na, nb) -> (u, v) of the pairs whose overlaps, counted in each fragment on its own, sum to the threshold."""
-        one, other = (sets.select(F.col("key").alias(x), F.col("fragments").alias(f"f{x}")) for x in "ab")
+        # Sets are large, pairs are not: only those sets are moved that a pair asks for.
+        pairs = scratch.keep(pairs, f"pairs{name}")
+        asked = F.broadcast if pairs.count() <= MOST_BROADCAST else lambda keys: keys
+        one, other = (sets.select(F.col("key").alias(x), F.col("fragments").alias(f"f{x}")).join(asked(pairs.select(x)), x, "left_semi") for x in "ab")
         partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
         counted = pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda total, n: total + n).cast("long").alias("common"))
         return counted.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -261,7 +265,7 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
     links, rows = None, index.select("fragment", "key")
     for k in range(ROUNDS + 1):
         pairs = pivots.join(side_a, "a").join(side_b, "b").where(near()).select("a", "b", "na", "nb")
-        found = scratch.keep(verified(pairs), f"links{k}")
+        found = scratch.keep(verified(pairs, f"{k}"), f"links{k}")
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links, scratch, f"cc{k}", least=False).withColumnRenamed("node", "key")
         part = rows.join(comps, "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -285,7 +289,7 @@ def _classes(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> Data
         ones = full.select("fragment", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("slice"), "component", F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("fine").alias("fa"))
         others = full.select("fragment", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("component").alias("other"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("fine").alias("fb"))
         pairs = ones.join(others, ["fragment", "slice"]).where(F.col("component") < F.col("other")).where(near()).select("a", "b", "na", "nb").distinct()
-        found = scratch.keep(verified(pairs), "links-last")
+        found = scratch.keep(verified(pairs, "-last"), "links-last")
         comps = connected_components(links.unionByName(found), scratch, "cc-last", least=False).withColumnRenamed("node", "key")
     # Components of classes, then the least document of each.
     member = base.where("n > 0").join(comps, "key", "left").withColumn("component", F.coalesce("component", "key"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -211,3 +212,24 @@ def test_connected_components(spark: SparkSession) -> None:
     found = connected_components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark))
     assert {r.node: r.component for r in found.collect()} == {k: 300 for k in range(300, 801)} | {k: 0 for k in range(61)} | {100: 100} | {200 + k: 100 for k in range(20)}
     assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark)).isEmpty()
+
+
+def test_kept_tables_leave_no_shuffle_files(spark: SparkSession) -> None:
+    """What a kept table shuffled is deleted when it is written, and the session's setting is as before."""
+    from sluiceway.llm import common
+
+    def shuffled() -> set[str]:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f and f.endswith(".data")}
+
+    before, setting = shuffled(), spark.conf.get(common.CLEANUP, None)
+    rows = spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).count()
+    scratch = common.Scratch(spark)
+    kept = scratch.keep(rows, "rows")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(common.CLEANUP, None) == setting
+    assert kept.count() == rows.count() == 1000
+    scratch.free("rows")
