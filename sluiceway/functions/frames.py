@@ -100,14 +100,14 @@ class StageStore:
         self.stages: list[str] = []
         self.resumed: list[str] = []
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, hashed: bool = False) -> DataFrame:
         stage = f"{len(self.stages):03}-{name}"
         self.stages.append(stage)
         path = f"{self.root}/{stage}"
         if self.files.exists(f"{path}/_SUCCESS"):
             self.resumed.append(name)
         else:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").options(**_HASHED if hashed else {}).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self) -> None:
@@ -139,11 +139,15 @@ def stages(spark: SparkSession, key: str | None = None) -> Iterator[StageStore]:
         _STORE.reset(token)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read from there, so that no later branch computes it again (see stages)."""
+#: Columns of hashes hold hardly a value twice, which a dictionary would look for.
+_HASHED = {"parquet.enable.dictionary": "false"}
+
+
+def kept(df: DataFrame, name: str, hashed: bool = False) -> DataFrame:
+    """The table written to the shared folder and read from there, so that no later branch computes it again (see stages); hashed: most of it are hashes."""
     store = _STORE.get()
     if store is not None:
-        return store.keep(df, name)
+        return store.keep(df, name, hashed)
     path = f"{shared_folder(df.sparkSession)}/sluiceway-run-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**_HASHED if hashed else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

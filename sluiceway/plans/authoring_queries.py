@@ -73,10 +73,13 @@ SELECT doc_id, type, max(score)::DOUBLE AS score FROM s GROUP BY 1, 2""")
 def q_rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by a rule table of every pair of neighbouring words of the documents, over 100,000 rules, and a veto of each type (OP-046, 065, 152)."""
     documents = spread(_t(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    cut = documents.where("lang IS NOT NULL").select("lang", rules.pieces(F.col("text")).alias("p")).where(F.size("p") >= 3)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("p") - 3), lambda i: F.when((F.get("p", i + 1) == " "), F.concat(F.get("p", i), F.lit(" "), F.get("p", i + 2))))
-    terms = cut.select(F.col("lang").alias("type"), F.explode(F.array_distinct(pairs)).alias("term")).where("term IS NOT NULL").distinct()
+    pairs = rules.phrases(F.col("text"), [" "])
+    terms = documents.where("lang IS NOT NULL").select(F.col("lang").alias("type"), F.explode(F.array_distinct(pairs)).alias("term")).where("term <> ''").distinct()
     terms = kept(terms, "terms")
     table = terms.withColumn("weight", ((1 + F.length("term") % 7) * F.lit("0.0004").cast("decimal(5,4)")).cast("decimal(5,4)"))
-    vetoes = terms.groupBy("type").agg(F.min("term").alias("term"))
-    return rules.score_by_index(documents, table, vetoes, key="doc_id").withColumn("score", F.col("score").cast("double"))
+    # A least string for each type without a group, for which Spark would sort all terms.
+    kinds = sorted(r.lang for r in documents.select("lang").where("lang IS NOT NULL").distinct().collect())
+    least = terms.agg(*[F.min(F.when(F.col("type") == kind, F.col("term"))).alias(f"_{k}") for k, kind in enumerate(kinds)] or [F.count(F.lit(1))])
+    rows = F.array(F.struct(F.lit("").alias("type"), F.lit(None).cast("string").alias("term")), *[F.struct(F.lit(kind).alias("type"), F.col(f"_{k}").alias("term")) for k, kind in enumerate(kinds)])
+    vetoes = least.select(F.explode(rows).alias("v")).select("v.*").where("term IS NOT NULL")
+    return rules.score_by_index(documents, table, vetoes, key="doc_id", repeated=False).withColumn("score", F.col("score").cast("double"))
