@@ -58,11 +58,14 @@ def rule_index(rules: DataFrame, grouped: bool = True) -> DataFrame:
     digit, and null ones, match nothing and are left out. Without `grouped`, equal terms stay rows of their own.
     """
     term = rules.where("type IS NOT NULL").select("type", F.lower("term").alias("t"), F.col("weight").cast(_narrow(rules)).alias("weight"), "veto").where(F.col("t").rlike(f"[{LETTER}]"))
-    told = term.select("*", F.col("t").rlike(rf"(?s)^[{LETTER}](?:.*[{LETTER}])?\z").alias("plain"))
+    # Words with one space between them are told at once; others are cut.
+    told = term.select("*", F.col("t").rlike(rf"^[{LETTER}]++(?: [{LETTER}]++)*+\z").alias("plain"))
     cut = lambda k: F.regexp_extract("t", rf"(?s)^([^{LETTER}]*+)(.*[{LETTER}])([^{LETTER}]*+)$", k)
     part = lambda k: F.when(F.col("plain"), F.col("t") if k == 2 else F.lit("")).otherwise(cut(k))
-    parts = told.select("type", "weight", "veto", part(2).alias("t"), part(1).alias("lead"), part(3).alias("trail"))
-    keyed = parts.select("type", *_keys(F.col("t")), "lead", "trail", F.regexp_replace("t", f"[{LETTER}]++", "x").alias("shape"), "weight", "veto")
+    parts = told.select("type", "weight", "veto", "plain", part(2).alias("t"), part(1).alias("lead"), part(3).alias("trail"))
+    spaces = F.length("t") - F.length(F.replace("t", F.lit(" ")))
+    shape = F.when(F.col("plain"), F.concat(F.lit("x"), F.repeat(F.lit(" x"), spaces))).otherwise(F.regexp_replace("t", f"[{LETTER}]++", "x"))
+    keyed = parts.select("type", *_keys(F.col("t")), "lead", "trail", shape.alias("shape"), "weight", "veto")
     return _summed(keyed) if grouped else keyed
 
 

@@ -74,8 +74,9 @@ def q_rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by a rule table of every pair of neighbouring words of the documents, over 100,000 rules, and a veto of each type (OP-046, 065, 152)."""
     documents = spread(_t(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     pairs = rules.phrases(F.col("text"), [" "])
-    terms = documents.where("lang IS NOT NULL").select(F.col("lang").alias("type"), F.explode(F.array_distinct(pairs)).alias("term")).where("term <> ''").distinct()
-    terms = kept(terms, "terms")
+    terms = documents.where("lang IS NOT NULL").select(F.col("lang").alias("type"), F.explode(F.array_distinct(pairs)).alias("term")).where("term <> ''")
+    # Most pairs are rare: tasks that made them distinct before they are dealt would hold, then sort, almost all that they read.
+    terms = kept(terms.repartition("type", "term").distinct(), "terms")
     table = terms.withColumn("weight", ((1 + F.length("term") % 7) * F.lit("0.0004").cast("decimal(5,4)")).cast("decimal(5,4)"))
     # A least string for each type without a group, for which Spark would sort all terms.
     kinds = sorted(r.lang for r in documents.select("lang").where("lang IS NOT NULL").distinct().collect())
