@@ -207,3 +207,20 @@ def test_rows_are_dealt_by_run_once(spark: SparkSession) -> None:
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(run_id") == 2
     sure = spark.range(1).select((F.lit(0.9).cast("decimal(5,4)") * scalars.mapping_confidence(F.lit("total"), F.lit("total"), F.lit(1), F.lit(3))).cast("decimal(5,4)")).first()[0]
     assert [(r.field, r.value_raw, r.source, r.confidence) for r in found.collect()] == [("amount", "5.00", "attachment:a.csv#row2:Total", sure)]
+
+
+def test_labels_of_cells_are_found_once(spark: SparkSession, sf: str) -> None:
+    """Where no count of rows is asked for, Spark tested before the shuffle that a row has a cell of a field, and found all labels twice more for that."""
+    plan = QUERIES["q_table_candidates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(map_entries(cells") == 1
+
+
+def test_blank_and_missing_cells_are_no_candidates(spark: SparkSession) -> None:
+    cells = [{"Total": "1.00"}, {"Total": None}, {"Total": " "}, {}, None, {"Note": "n"}, {"Total": "2.00", f"Total{REPEAT}2": "3.00"}]
+    rows = spark.createDataFrame([("1", "a.csv", None, k, c, {h: f"row{k}:{h}" for h in c or ()}, None) for k, c in enumerate(cells, 2)], files.ROWS.partition(", is_transient")[0])
+    types = spark.createDataFrame([("1", "invoice")], "run_id string, type string")
+    fields = spark.createDataFrame([("invoice", "amount", "decimal", "total")], "type string, field string, field_type string, alias string")
+    found = extraction.extract_rows(rows, types, fields, "csv_parser")
+    sure = [spark.range(1).select((F.lit(0.9).cast("decimal(5,4)") * scalars.mapping_confidence(F.lit("total"), F.lit("total"), F.lit(n), F.lit(6))).cast("decimal(5,4)")).first()[0] for n in (2, 1)]
+    assert sorted((r.value_raw, r.confidence) for r in found.collect()) == [("1.00", sure[0]), ("2.00", sure[0]), ("3.00", sure[1])]
+    assert sorted(r.value_raw for r in found.select("value_raw").collect()) == ["1.00", "2.00", "3.00"]
