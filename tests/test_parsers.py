@@ -224,3 +224,20 @@ def test_blank_and_missing_cells_are_no_candidates(spark: SparkSession) -> None:
     sure = [spark.range(1).select((F.lit(0.9).cast("decimal(5,4)") * scalars.mapping_confidence(F.lit("total"), F.lit("total"), F.lit(n), F.lit(6))).cast("decimal(5,4)")).first()[0] for n in (2, 1)]
     assert sorted((r.value_raw, r.confidence) for r in found.collect()) == [("1.00", sure[0]), ("2.00", sure[0]), ("3.00", sure[1])]
     assert sorted(r.value_raw for r in found.select("value_raw").collect()) == ["1.00", "2.00", "3.00"]
+
+
+def test_cells_are_named_once_for_lines_of_one_width(monkeypatch: pytest.MonkeyPatch) -> None:
+    """Every line's names, and the text of their places, were made anew."""
+    named, plain = [], files.cell_names
+    monkeypatch.setattr(files, "cell_names", lambda head, width: named.append(width) or plain(head, width))
+    found = files._csv_rows("x.csv", b"a,a,b\n" + b"1,2,3\n" * 50 + b"4\n5,6,7,8\n")
+    assert sorted(named) == [1, 3, 4]
+    assert found[0] == {"sheet": None, "row_no": 2, "cells": {"a": "1", f"a{REPEAT}2": "2", "b": "3"}, "places": {"a": "row2:a", f"a{REPEAT}2": "row2:a#2", "b": "row2:b"}}
+    assert [r["cells"] for r in found[50:]] == [{"a": "4"}, {"a": "5", f"a{REPEAT}2": "6", "b": "7", "column 4": "8"}]
+
+
+def test_maps_of_rows_may_be_empty_or_missing(spark: SparkSession) -> None:
+    kinds = {"full": {"cells": {"a": "1", "b": None}}, "empty": {"cells": {}}, "null": {"cells": None}, "absent": {}}
+    given = spark.createDataFrame([(k,) for k in kinds], "kind string").coalesce(1)
+    found = files.in_arrow(given, lambda r: [{"kind": r["kind"]} | kinds[r["kind"]]], "kind string, cells map<string,string>")
+    assert {r.kind: r.cells for r in found.collect()} == {"full": {"a": "1", "b": None}, "empty": {}, "null": None, "absent": None}
