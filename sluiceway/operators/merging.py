@@ -22,11 +22,14 @@ def settle(candidates: DataFrame, by: tuple[str, ...] = ("run_id", "field")) ->
     The winner has the highest confidence, then the newest segment, then the first source. agreement is the
     share of source kinds that give the value most of them give.
     """
-    order = F.struct((-F.col("confidence")).alias("c"), F.coalesce("segment_index", F.lit(2**31 - 1)).alias("s"), F.col("source").alias("o"), F.coalesce("value_norm", F.lit("")).alias("v"))
-    kind = F.substring_index("source", ":", 1)
+    # What orders candidates is itself most of the winner: it is shuffled once, with the rest behind it.
+    order = [(-F.col("confidence")).alias("_c"), F.coalesce("segment_index", F.lit(2**31 - 1)).alias("_s"), F.col("source").alias("_o"), F.coalesce("value_norm", F.lit("")).alias("_v")]
+    unset = [F.col("segment_index").isNull().alias("_no_s"), F.col("value_norm").isNull().alias("_no_v")]
+    ordered = {"confidence": -F.col("w._c"), "segment_index": F.when(~F.col("w._no_s"), F.col("w._s")), "source": F.col("w._o"), "value_norm": F.when(~F.col("w._no_v"), F.col("w._v"))}
     own = [c for c in candidates.columns if c not in by]
+    kind = F.substring_index("source", ":", 1)
     per = candidates.groupBy(*by).agg(
-        F.min_by(F.struct(*own), order).alias("w"),
+        F.min(F.struct(*order, *unset, *[c for c in own if c not in ordered])).alias("w"),
         (F.max("value_dec") - F.min("value_dec")).alias("delta"),
         F.datediff(F.max("value_date"), F.min("value_date")).alias("days"),
         # A field of one run has few candidates.
@@ -35,7 +38,8 @@ def settle(candidates: DataFrame, by: tuple[str, ...] = ("run_id", "field")) ->
     values = F.array_distinct(F.transform("seen", lambda x: x["v"]))
     most = F.array_max(F.transform(values, lambda v: F.size(F.filter("seen", lambda x: x["v"].eqNullSafe(v)))))
     kinds = F.size(F.array_distinct(F.transform("seen", lambda x: x["k"])))
-    return per.select(*by, "w.*", "delta", "days", F.size(F.array_compact(values)).cast("long").alias("values"), (most / kinds).cast("decimal(5,4)").alias("agreement"))
+    winner = [ordered.get(c, F.col(f"w.{c}")).alias(c) for c in own]
+    return per.select(*by, *winner, "delta", "days", F.size(F.array_compact(values)).cast("long").alias("values"), (most / kinds).cast("decimal(5,4)").alias("agreement"))
 
 
 def resolve(candidates: DataFrame, key: list[str] | None = None) -> DataFrame:
