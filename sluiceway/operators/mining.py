@@ -113,19 +113,26 @@ def mine_negatives(samples: DataFrame, targets: DataFrame, shortest: int = 3) ->
     counted = words.where("own IS NOT NULL").groupBy(F.col("own").alias("email_type")).agg(F.count_distinct("sample_id").alias("own"))
     left = kept(contrast_terms(words, targets), "contrast")
     total = targets.where("email_type IS NOT NULL").groupBy("email_type").agg(F.count_distinct("sample_id").alias("targets"))
-    every = left.groupBy("email_type", "term").agg(F.count(F.lit(1)).alias("holds"))
     key, chosen = ["email_type", "term"], []
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """How many targets hold a term, of the terms that more than one holds."""
+        return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("holds")).where("holds > 1")
+
+    # The first round's counts are asked for again where the chosen terms are weighed; a term that is not there is held once.
+    every = kept(shared(left), "holds")
+    gain = _small(every)
     while not left.isEmpty():
-        gain = left.groupBy(*key).agg(F.count(F.lit(1)).alias("gain"))
         # The least of (-gain, term) is the vote.
-        vote = left.join(gain, key).groupBy("email_type", "sample_id").agg(F.min(F.struct((-F.col("gain")).alias("g"), "term")).alias("v"))
+        vote = left.join(gain, key, "left").groupBy("email_type", "sample_id").agg(F.min(F.struct((-F.coalesce("holds", F.lit(1))).alias("g"), "term")).alias("v"))
         votes = vote.groupBy("email_type", F.col("v.term").alias("term"), (-F.col("v.g")).alias("covers")).agg(F.count(F.lit(1)).alias("votes"))
         picked = kept(votes.where("2 * votes >= covers").select(*key, "covers"), "picked")
         chosen.append(picked)
         covered = left.join(_small(picked.select(*key)), key, "left_semi").select("email_type", "sample_id").distinct()
         left = kept(left.join(covered, ["email_type", "sample_id"], "left_anti"), "left")
+        gain = shared(left)
     if not chosen:
         return left.select(*key, F.lit(0).cast("long").alias("covers"), F.lit(0.0).alias("log_odds"))
-    terms = reduce(DataFrame.unionByName, chosen).join(every, key).join(_small(total), "email_type").join(_small(counted), "email_type", "left")
+    terms = reduce(DataFrame.unionByName, chosen).join(_small(every), key, "left").withColumn("holds", F.coalesce("holds", F.lit(1))).join(_small(total), "email_type").join(_small(counted), "email_type", "left")
     odds = lambda n, of: F.log((n + 0.5) / (of - n + 0.5))
     return terms.select(*key, "covers", (odds(F.col("holds"), F.col("targets")) - odds(F.lit(0), F.coalesce("own", F.lit(0)))).alias("log_odds"))

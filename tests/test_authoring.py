@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -145,6 +146,17 @@ def test_negative_signals(spark: SparkSession) -> None:
     assert [tuple(x)[:3] for x in mining.mine_negatives(samples(spark, once), spark.createDataFrame([("t", 2)], "email_type string, sample_id long")).collect()] == [("t", "odd", 1)]
 
 
+def test_targets_of_terms_are_counted_once(spark: SparkSession) -> None:
+    """The first round's counts were made again from all words of all targets to weigh the chosen terms; words that one target holds are not written."""
+    own = [("t", 1, "the usual words"), (None, 2, "odd shared"), (None, 3, "odd shared"), (None, 4, "shared alone"), (None, 5, "alpha beta"), (None, 5, "alpha gamma")]
+    found = mining.mine_negatives(samples(spark, own), spark.createDataFrame([("t", k) for k in range(2, 6)], "email_type string, sample_id long"))
+    files = {f.split("/")[-2]: f.rpartition("/")[0] for f in found.inputFiles()}
+    assert "contrast" not in files
+    assert sorted(tuple(x) for x in spark.read.parquet(files["holds"]).collect()) == [("t", "odd", 2), ("t", "shared", 3)]
+    odds = lambda n: math.log((n + 0.5) / (4 - n + 0.5)) - math.log(0.5 / 1.5)
+    assert sorted((x.term, x.covers, round(x.log_odds, 9)) for x in found.collect()) == [("alpha", 1, round(odds(1), 9)), ("shared", 3, round(odds(3), 9))]
+
+
 @pytest.mark.parametrize("n", [200])
 def test_a_type_with_most_samples(spark: SparkSession, n: int) -> None:
     rows = [("hot", k, f"No. {k:05}/24") for k in range(n)] + [("cold", n, "No. 1/24")]
