@@ -23,13 +23,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """A large table dealt by these keys over as many tasks as its rows ask for, so that what one task sorts or groups does not grow with it; a small one as it is.
 
     Spark merges the partitions of a join up to a size in packed bytes, and rows of few distinct values unpack
-    to many times that. The rows are counted, so the table should lie in files.
+    to many times that. The rows are counted, so the table should lie in files; rows: those of the
+    table that it is to be dealt like, which it meets in a join.
     """
-    spark, rows = df.sparkSession, df.count()
+    spark, rows = df.sparkSession, df.count() if rows is None else rows
     if rows <= ROWS_A_TASK * spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK)), *keys)

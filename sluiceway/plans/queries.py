@@ -109,9 +109,13 @@ def q_route_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = spark.sql("SELECT 'invoice' AS type, CAST(0.85 AS DECIMAL(5,4)) AS accept_at, CAST(0.5 AS DECIMAL(5,4)) AS reject_below")
     always = spark.sql("SELECT 'invoice' AS type, 'encrypted_no_key' AS prefix")
     no_flags = runs.where("false").select("run_id", "type", F.lit("").alias("code"))
-    settled, required = dealt(kept(merging.settle(found), "settled"), "run_id", "field"), routing.required_of(runs, fields)
+    whole, required = kept(merging.settle(found), "settled"), routing.required_of(runs, fields)
+    rows, keys = whole.count(), ("run_id", "field")
+    settled = dealt(whole, *keys, rows=rows)
     scores = routing.confidence(required, settled)
-    codes = routing.reasons(no_flags, always, routing.missing(required, settled), merging.conflicts(settled, tolerances), scores, bands, required.where("critical").select("run_id", "field"))
+    # Fields in conflict are told before they are dealt out to meet the critical ones.
+    critical = dealt(required.where("critical").select("run_id", "field"), *keys, rows=rows)
+    codes = routing.reasons(no_flags, always, routing.missing(required, settled), merging.conflicts(whole, tolerances), scores, bands, critical)
     return routing.terminal(dealt(runs, "run_id"), codes).groupBy("outcome", F.array_join("reasons", "|").alias("codes")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -31,6 +31,18 @@ def test_no_task_joins_more_than_its_rows(spark: SparkSession, sf: str, monkeypa
     assert sorted(found.collect()) == before
 
 
+def test_only_conflicts_are_dealt_to_meet_critical_fields(spark: SparkSession, sf: str, monkeypatch: pytest.MonkeyPatch) -> None:
+    """All settled fields of a large table were dealt out once more, with how far they lie apart, before those in conflict were told."""
+    before = sorted(QUERIES["q_route_outcomes"](spark, sf).collect())
+    monkeypatch.setattr(frames, "ROWS_A_TASK", 200)
+    found = QUERIES["q_route_outcomes"](spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = [plan[k + 1] for k, x in enumerate(plan) if "RepartitionByExpression [run_id" in x]
+    # One side of each join by field keeps as many tasks as the rows ask for.
+    assert len(dealt) == 4 and not any("delta" in x for x in dealt)
+    assert sorted(found.collect()) == before
+
+
 def test_parts_that_workbooks_share_are_read_once(monkeypatch: pytest.MonkeyPatch) -> None:
     """Three of the five parts of each of q_office_files' workbooks are alike; each took a parse of its own."""
     read, plain = [], files._xml
